@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fileledger.llm import chat_format, secret_scan, shingle_join
+from fileledger.llm import chat_format, secret_scan, shingle_join, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(of, secret_scan.BASE_KINDS), F.sha2(secret_scan.spans_text(base), 256).alias("base_sha256"), secret_scan.spans_text(F.col("secrets")).alias("spans"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.link_components(table(spark, sf_dir, "documents"))
 
@@ -70,6 +75,7 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.node = d.doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_shingle_join": op4_shingle_join,
     "op8_secret_scan": op8_secret_scan,
 }
