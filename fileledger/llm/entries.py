@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fileledger.llm import chat_format, secret_scan, shingle_join, substring_dedup
+from fileledger.llm import chat_format, packing, secret_scan, shingle_join, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +53,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op4_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.link_components(table(spark, sf_dir, "documents"))
 
@@ -76,6 +82,7 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.node = d.doc_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_packing": op3_packing,
     "op4_shingle_join": op4_shingle_join,
     "op8_secret_scan": op8_secret_scan,
 }
