@@ -36,6 +36,7 @@ HEAVY_AT = 16
 HEAVY_MOST = 1 << 19
 BITMAP_BITS = 2048
 TILE_ROWS = 256
+FILTER_BITS = 1 << 26
 _U = np.uint64
 _TOP = _U(1 << 63)
 
@@ -177,12 +178,8 @@ def _linked(x: np.ndarray, y: np.ndarray, bx: np.ndarray, by: np.ndarray) -> boo
     return 100 * common >= 75 * (total - common)
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those (a, b) of pairs whose texts link.  The text of a is sent once for some hundred of its partners."""
-    load = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).alias("parts"))
-    p = pairs.join(load, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
-    heads = p.select("a", "part").distinct().join(texts, F.col("a") == F.col("id")).select("a", "part", F.lit(0).alias("role"), "id", "text")
-    rest = p.join(texts, F.col("b") == F.col("id")).select("a", "part", F.lit(1).alias("role"), "id", "text")
+def _checked(rows: DataFrame) -> DataFrame:
+    """Linked (a, b) of rows (a, part, role, id, text): role 0 is the text of a, role 1 a partner's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, head_sets = None, []
@@ -202,8 +199,43 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                             out.add((a[row], ids[row]))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in sorted(out)], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    rows = heads.unionByName(rest).repartition("a", "part").sortWithinPartitions("a", "part", "role", "id")
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "role", "id").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _tile_parts(pairs: DataFrame) -> DataFrame:
+    """pairs (a, b) with part, parts: the partners of a in parts of about TILE_ROWS, so that no task has all of them."""
+    load = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).alias("parts"))
+    return pairs.join(load, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those (a, b) of a written table of pairs whose texts link."""
+    p = _tile_parts(pairs)
+    heads = p.select("a", "part").distinct().join(texts, F.col("a") == F.col("id")).select("a", "part", F.lit(0).alias("role"), "id", "text")
+    rest = p.join(texts, F.col("b") == F.col("id")).select("a", "part", F.lit(1).alias("role"), "id", "text")
+    return _checked(heads.unionByName(rest))
+
+
+def likely_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs (id, ...) without most of those whose id is not in ids, by one broadcast bitmap of FILTER_BITS at most.
+
+    It only lessens what a join with ids has to move: none that is in ids is lost, whatever the table's size.
+    """
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    rows = ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    bitmap = np.zeros(FILTER_BITS // 8 + 4096, np.uint8)
+    for bucket, bits in rows.collect():  # FILTER_BITS / 32768 rows at most
+        bitmap[bucket * 4096 : bucket * 4096 + len(bits)] = np.frombuffer(bits, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = len(b.schema.names) - 1
+            bucket, at = b.column(n - 1).to_numpy(), b.column(n).to_numpy()
+            keep = (shared.value[bucket * 4096 + at // 8] >> (at % 8).astype(np.uint8)) & 1
+            yield pa.RecordBatch.from_arrays(b.columns[: n - 1], names=b.schema.names[: n - 1]).filter(pa.array(keep.astype(bool)))
+
+    return docs.withColumns({"_bucket": F.bitmap_bucket_number(bit), "_at": F.bitmap_bit_position(bit)}).mapInArrow(run, docs.schema)
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,50 +243,68 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slim = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     survey = written(_survey(slim), "shingle-survey")
     heavy_rows = survey.where("not is_doc").groupBy("k1").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_AT).orderBy(F.desc("n"), "k1").limit(HEAVY_MOST).select("k1").toPandas()
-    spark = docs.sparkSession
-    heavy = spark.sparkContext.broadcast(np.sort(heavy_rows["k1"].to_numpy().astype(np.uint64)))
+    heavy = docs.sparkSession.sparkContext.broadcast(np.sort(heavy_rows["k1"].to_numpy().astype(np.uint64)))
     sets = survey.where("is_doc").select("id", "n", "k1", "k2")
 
     named = sets.where("n > 0 and id is not null")
     groups = named.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    copies = written(named.join(groups, ["k1", "k2", "n"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct(), "shingle-copies")
-    one = copies.groupBy("a").agg(F.min("b").alias("b"))
-
-    entries = _prefixes(slim.where("id is not null"), heavy).repartition("shingle")
-    tiles = _tiles(entries)
-    for name in ("id", "leader"):
-        tiles = tiles.join(one.select(F.col("a").alias(name), "b"), name, "left").withColumn(name, F.coalesce("b", name)).drop("b")
-    tiles = written(tiles.select("shingle", "id", "n", "leader").distinct(), "shingle-tiles")
-
-    wanted = tiles.select("id").unionByName(tiles.select(F.col("leader").alias("id"))).distinct()
-    texts = written(slim.join(wanted, "id", "left_semi"), "shingle-texts")
-
-    stars = tiles.where("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("tiles"))
-    best = stars.groupBy("id").agg(F.max_by("leader", F.struct("tiles", -F.col("leader"))).alias("leader"))
-    links = written(verified(best.select(F.col("leader").alias("a"), F.col("id").alias("b")), texts), "shingle-links")
-    for _ in range(2):
-        links = links.unionByName(_between(tiles, components(links), texts, every=False))
-        links = written(links.distinct(), "shingle-links")
-    links = links.unionByName(_between(tiles, components(links), texts, every=True)).unionByName(copies)
-    found = components(links)
+    copies = written(named.join(groups, ["k1", "k2", "n"]).where("id <> rep").groupBy(F.col("id").alias("a")).agg(F.min("rep").alias("b")), "shingle-copies")
+
+    def to_first(df: DataFrame, name: str) -> DataFrame:
+        """Copies of a set stand for one document from here on: name becomes the first's id."""
+        return df.join(copies.select(F.col("a").alias(name), F.col("b").alias("_first")), name, "left").withColumn(name, F.coalesce("_first", name)).drop("_first")
+
+    known = slim.where("id is not null")
+    tiles = written(_tiles(_prefixes(known, heavy).repartition("shingle")), "shingle-tiles")
+    stars = tiles.groupBy("id", "leader").agg(F.count(F.lit(1)).alias("tiles"))
+    stars = written(to_first(to_first(stars, "id"), "leader"), "shingle-stars")
+    best = stars.where("id <> leader").groupBy("id").agg(F.max_by("leader", F.struct("tiles", -F.col("leader"))).alias("leader"))
+    best = _tile_parts(best.select(F.col("leader").alias("a"), F.col("id").alias("b")))
+    lead = best.groupBy("a").agg(F.max("parts").alias("lead_parts"))
+    wanted = stars.select("id").distinct().join(best.select(F.col("b").alias("id"), F.col("a").alias("leader"), "part"), "id", "left").join(lead.withColumnRenamed("a", "id"), "id", "left")
+    wanted = written(wanted, "shingle-wanted")
+    texts = written(likely_in(known, wanted).join(wanted, "id"), "shingle-texts")
+
+    rows = texts.where("lead_parts > 0").select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("lead_parts") - 1)).alias("part"), F.lit(0).alias("role"), "id", "text")
+    rows = rows.unionByName(texts.where("leader is not null").select(F.col("leader").alias("a"), "part", F.lit(1).alias("role"), "id", "text"))
+    links = [copies, written(_checked(rows), "shingle-links")]
+
+    found = components(links[0].unionByName(links[1])).select(F.col("node").alias("id"), "component")
+    t = to_first(_mixed(tiles.select("shingle", "id", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))), "id").distinct()
+    t = written(t, "shingle-mixed")
+    for every in (False, False, True):
+        p = written(_open_pairs(t, every), "shingle-pairs")
+        if p.isEmpty():
+            continue
+        links.append(written(verified(p.select("a", "b"), texts.select("id", "text")), "shingle-links"))
+        if not every:
+            joined = components(p.join(links[-1], ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("_to"))
+            t = written(_mixed(t.join(joined, "component", "left").withColumn("component", F.coalesce("_to", "component")).drop("_to")), "shingle-mixed")
+    every_link = links[0]
+    for more in links[1:]:
+        every_link = every_link.unionByName(more)
+    found = components(every_link) if len(links) > 2 else found.withColumnRenamed("id", "node")
     return sets.select("id", F.col("n").alias("n_shingles")).join(found.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
-def _between(tiles: DataFrame, found: DataFrame, texts: DataFrame, every: bool) -> DataFrame:
-    """Verified links between members of one tile that are in different components so far.
+def _mixed(t: DataFrame) -> DataFrame:
+    """Rows of tiles whose members lie in more than one component."""
+    t = t.repartition("shingle")
+    mixed = t.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+    return t.join(mixed.select("shingle"), "shingle", "left_semi").select("shingle", "id", "n", "component")
+
+
+def _open_pairs(t: DataFrame, every: bool) -> DataFrame:
+    """(a, b, ca, cb): members of one tile, within the size band of a link, in different components so far.
 
-    every: all such pairs within the size band; else each component's best-met pair with the first component of its tiles.
+    every: all of them; else for each component only its best-met pair with the first component of its tiles.
     """
-    t = tiles.select("shingle", "id", "n").distinct().join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = t.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
-    t = t.join(mixed, "shingle")
     if not every:
-        least = t.where("component = least").groupBy("shingle").agg(F.min("id").alias("a"))
-        p = t.where("component <> least").join(least, "shingle").groupBy("component", "a").agg(F.count(F.lit(1)).alias("tiles"), F.min("id").alias("b"))
-        p = p.groupBy("component").agg(F.max_by(F.struct("a", "b"), F.struct("tiles", -F.col("a"))).alias("p")).select("p.a", "p.b")
-        return verified(p, texts)
+        least = t.groupBy("shingle").agg(F.min(F.struct("component", "id")).alias("first")).select("shingle", F.col("first.component").alias("ca"), F.col("first.id").alias("a"))
+        p = t.join(least, "shingle").where("component <> ca").groupBy("component", "ca", "a").agg(F.count(F.lit(1)).alias("tiles"), F.min("id").alias("b"))
+        p = p.groupBy("component").agg(F.max_by(F.struct("a", "b", "ca"), F.struct("tiles", -F.col("a"))).alias("p"))
+        return p.select("p.a", "p.b", "p.ca", F.col("component").alias("cb"))
     band = F.floor(F.log("n") / F.log(F.lit(4 / 3)))
     x = t.select("shingle", band.alias("band"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
     y = t.select("shingle", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    p = x.join(y, ["shingle", "band"]).where("ca < cb and 4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b").distinct()
-    return verified(written(p, "shingle-pairs"), texts)
+    return x.join(y, ["shingle", "band"]).where("ca < cb and 4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b", "ca", "cb").distinct()
