@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fileledger.llm import chat_format, packing, quality_rules, secret_scan, shingle_join, substring_dedup
+from fileledger.llm import chat_format, packing, quality_rules, secret_scan, shingle_join, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,10 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.node = d.doc_id
 """
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_substring_dedup": op2_substring_dedup,
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_shingle_join": op4_shingle_join,
     "op7_quality_rules": op7_quality_rules,
     "op8_secret_scan": op8_secret_scan,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL, "op4_shingle_join": OP4_SQL}

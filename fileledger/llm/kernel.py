@@ -99,11 +99,11 @@ class Words:
     by_doc: np.ndarray
 
 
-def split_words(piece: Slice, fold_case: bool = False) -> Words:
-    """Maximal runs of bytes other than space and \\x09-\\x0D; words end with their document."""
+def split_words(piece: Slice, fold_case: bool = False, separators: np.ndarray = _SPACE) -> Words:
+    """Maximal runs of bytes other than separators (space and \\x09-\\x0D); words end with their document."""
     data, bounds = piece.data, piece.bounds
     n = len(data)
-    inside = ~_SPACE[data]
+    inside = ~separators[data]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
