@@ -31,7 +31,7 @@ from fileledger.llm.kernel import Slice, ragged, slices, split_words
 WINDOW, STRIDE = 32, 16
 WORDS, WORD_DIM, TRIGRAMS, CHAR_DIM = 1 << 15, 12, 1 << 12, 8
 HIDDEN, ATTENTION = 8, 8
-EPOCHS, BATCH, RATE = 3, 128, 0.02
+EPOCHS, LEAST_STEPS, BATCH, RATE = 3, 150, 128, 0.02
 SAMPLE_POSITIVE, SAMPLE_NEGATIVE, SAMPLE_BYTES = 1500, 3000, 200_000
 THRESHOLD = 0.3
 #: Share of documents, and least number, that must have a word for it to have an embedding of its own; pull of word shares to their mean.
@@ -246,7 +246,9 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 9) -> Model | None:
     step = 0
     rows = np.flatnonzero(~aside[s.doc])
     share = max(1, int((fit_labels == 0).sum() / max(1, (fit_labels == 1).sum())))
-    for epoch in range(EPOCHS):
+    documents = len(np.unique(s.doc[rows]))
+    epochs = max(EPOCHS, LEAST_STEPS * BATCH // max(BATCH, 2 * documents))
+    for epoch in range(epochs):
         if epoch:
             logits = net.window_logits(s)
         order = rows[np.lexsort((-logits[rows], s.doc[rows]))]
@@ -264,7 +266,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 9) -> Model | None:
                 m = moment[k]
                 m[0] = 0.9 * m[0] + 0.1 * g[k]
                 m[1] = 0.99 * m[1] + 0.01 * g[k] ** 2
-                v -= (RATE * (1 - epoch / EPOCHS) * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                v -= (RATE * (1 - epoch / epochs) * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
     best = np.full(len(labels), -np.inf)
     np.maximum.at(best, s.doc, net.window_logits(s))
     use = (aside if aside.any() else np.ones(len(labels), bool)) & ~np.isinf(best)
