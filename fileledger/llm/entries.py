@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fileledger.llm import chat_format, media_store, packing, quality_rules, secret_scan, shingle_join, source_mixing, substring_dedup, toxicity
+from fileledger.llm import chat_format, language_id, media_store, packing, quality_rules, secret_scan, shingle_join, source_mixing, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,15 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_store.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and all pages; a page's doc_id is -1 - page_id."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    langs, likelihoods = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
+    d = language_id.document_rows(docs.select(F.lit("documents").alias("of"), "doc_id", "text", "source")).drop("source")
+    p = language_id.page_rows(pages.select(F.lit("pages").alias("of"), (-1 - F.col("page_id")).alias("doc_id"), "url", "html")).drop("url", "html")
+    return language_id.fuse(d.unionByName(p), langs, likelihoods)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "score")
@@ -102,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_shingle_join": op4_shingle_join,
     "op5_media_columns": op5_media_columns,
+    "op6_language_id": op6_language_id,
     "op7_quality_rules": op7_quality_rules,
     "op8_secret_scan": op8_secret_scan,
     "op9_toxicity": op9_toxicity,
