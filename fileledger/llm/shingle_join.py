@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fileledger.llm.graph import components
@@ -34,7 +34,8 @@ from fileledger.llm.scratch import written
 SIZE = 5
 HEAVY_AT = 16
 HEAVY_MOST = 1 << 19
-BITMAP_BITS = 2048
+BITMAP_BITS = (256, 8192)
+LEADERS = 3
 TILE_ROWS = 256
 FILTER_BITS = 1 << 26
 _U = np.uint64
@@ -64,26 +65,27 @@ def _set_keys(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _survey(docs: DataFrame) -> DataFrame:
-    """Rows (id, n, k1, k2) of every document, and rows (null id, count, shingle) of shingles met twice in a batch."""
+    """Rows (id, n, k1, k2, bits) of every document, and rows (null id, count, shingle) of shingles met twice in a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["is_doc", "id", "n", "k1", "k2"]
+        names = ["is_doc", "id", "n", "k1", "k2", "bits"]
         for b in batches:
-            ids, seen, n, k1, k2 = b.column(0), [], [], [], []
+            ids, seen, n, k1, k2, bits = b.column(0), [], [], [], [], []
             for _, values, bounds in text_sets(b.column(1)):
                 seen.append(values)
                 n.append(np.diff(bounds))
                 a, c = _set_keys(values, bounds)
                 k1.append(a)
                 k2.append(c)
+                bits += bitmaps(values, bounds)
             if not seen:
                 continue
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(ids), bool)), ids, *(pa.array(np.concatenate(x).astype(np.int64)) for x in (n, k1, k2))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(ids), bool)), ids, *(pa.array(np.concatenate(x).astype(np.int64)) for x in (n, k1, k2)), pa.array(bits, pa.binary())], names=names)
             shared, count = np.unique(np.concatenate(seen), return_counts=True)
             shared, count = shared[count > 1].astype(np.int64), count[count > 1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(shared), bool)), pa.nulls(len(shared), pa.int64()), pa.array(count), pa.array(shared), pa.nulls(len(shared), pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(shared), bool)), pa.nulls(len(shared), pa.int64()), pa.array(count), pa.array(shared), pa.nulls(len(shared), pa.int64()), pa.nulls(len(shared), pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "is_doc boolean, id bigint, n bigint, k1 bigint, k2 bigint")
+    return docs.mapInArrow(run, "is_doc boolean, id bigint, n bigint, k1 bigint, k2 bigint, bits binary")
 
 
 def _prefixes(docs: DataFrame, heavy) -> DataFrame:
@@ -160,24 +162,55 @@ def _tiles(entries: DataFrame) -> DataFrame:
     return entries.sortWithinPartitions("shingle", "n", "id").mapInArrow(run, "shingle bigint, id bigint, n int, leader bigint")
 
 
-def _bitmap(values: np.ndarray) -> np.ndarray:
-    """Parity of the members that hash to each bit; bits that differ between two sets are members of only one of them."""
-    return np.packbits(np.bincount((values & _U(BITMAP_BITS - 1)).astype(np.int64), minlength=BITMAP_BITS) & 1)
+def bitmaps(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """For each set the parity of the members that hash to each bit; more bits for larger size bands.
+
+    Bits that differ between two sets belong to members of only one of them, and a
+    bitmap folds to half its size by xor of its halves.
+    """
+    n = np.diff(bounds)
+    width = np.clip(2 ** np.ceil(np.log2(np.maximum(n, 1))), *BITMAP_BITS).astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum(width)])
+    at = np.repeat(begin[:-1], n) + (values & np.repeat(width - 1, n).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(at, minlength=begin[-1]) & 1).astype(np.uint8)).tobytes()
+    return [packed[s // 8 : e // 8] for s, e in zip(begin[:-1].tolist(), begin[1:].tolist())]
+
+
+def overlap_bound(n: int, m: int, x: bytes, y: bytes) -> int:
+    """The most members that sets of n and m members with these bitmaps can share."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return min(n, m, (n + m - int(np.bitwise_count(a ^ b).sum())) // 2)
 
 
-def _linked(x: np.ndarray, y: np.ndarray, bx: np.ndarray, by: np.ndarray) -> bool:
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
     total = len(x) + len(y)
     if not len(x) or not len(y) or 4 * min(len(x), len(y)) < 3 * max(len(x), len(y)):
         return False
-    most = (total - int(np.bitwise_count(bx ^ by).sum())) // 2
-    if 100 * most < 75 * (total - most):
-        return False
     both = np.concatenate([x, y])
     both.sort()
     common = int(np.count_nonzero(both[1:] == both[:-1]))
     return 100 * common >= 75 * (total - common)
 
 
+def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) less those that size or bitmaps rule out; sets: (id, n, bits)."""
+    names = pairs.columns
+    side = lambda k: sets.select(F.col("id").alias(k), F.col("n").alias(f"_n{k}"), F.col("bits").alias(f"_bits{k}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            last = [b.column(len(names) + k).to_pylist() for k in range(4)]
+            keep = [4 * min(n, m) >= 3 * max(n, m) and 100 * (most := overlap_bound(n, m, x, y)) >= 75 * (n + m - most) for n, x, m, y in zip(*last)]
+            yield pa.RecordBatch.from_arrays(b.columns[: len(names)], names=names).filter(pa.array(keep, pa.bool_()))
+
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    return joined.select(*names, "_na", "_bitsa", "_nb", "_bitsb").mapInArrow(run, pairs.schema)
+
+
 def _checked(rows: DataFrame) -> DataFrame:
     """Linked (a, b) of rows (a, part, role, id, text): role 0 is the text of a, role 1 a partner's."""
 
@@ -192,28 +225,25 @@ def _checked(rows: DataFrame) -> DataFrame:
                     if role[row] == 0:
                         if head != (a[row], part[row]):
                             head, head_sets = (a[row], part[row]), []
-                        head_sets.append((x.copy(), _bitmap(x)))
-                    elif head == (a[row], part[row]):
-                        bits = _bitmap(x)
-                        if any(_linked(h, x, hb, bits) for h, hb in head_sets):
-                            out.add((a[row], ids[row]))
+                        head_sets.append(x.copy())
+                    elif head == (a[row], part[row]) and any(_linked(h, x) for h in head_sets):
+                        out.add((a[row], ids[row]))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in sorted(out)], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", "role", "id").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _tile_parts(pairs: DataFrame) -> DataFrame:
-    """pairs (a, b) with part, parts: the partners of a in parts of about TILE_ROWS, so that no task has all of them."""
-    load = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).alias("parts"))
-    return pairs.join(load, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those (a, b) of a written table of pairs whose texts link.
 
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those (a, b) of a written table of pairs whose texts link."""
-    p = _tile_parts(pairs)
-    heads = p.select("a", "part").distinct().join(texts, F.col("a") == F.col("id")).select("a", "part", F.lit(0).alias("role"), "id", "text")
-    rest = p.join(texts, F.col("b") == F.col("id")).select("a", "part", F.lit(1).alias("role"), "id", "text")
-    return _checked(heads.unionByName(rest))
+    The partners of a are dealt into parts of about TILE_ROWS, and the text of a is
+    sent to each part, so no task has all partners of one document.
+    """
+    load = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).alias("parts"))
+    p = pairs.join(load, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    roles = p.select("a", "part").distinct().select(F.col("a").alias("id"), "a", "part", F.lit(0).alias("role")).unionByName(p.select(F.col("b").alias("id"), "a", "part", F.lit(1).alias("role")))
+    roles = written(roles, "shingle-roles")
+    return _checked(likely_in(docs, roles.select("id")).join(roles, "id").select("a", "part", "role", "id", "text"))
 
 
 def likely_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -244,7 +274,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     survey = written(_survey(slim), "shingle-survey")
     heavy_rows = survey.where("not is_doc").groupBy("k1").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_AT).orderBy(F.desc("n"), "k1").limit(HEAVY_MOST).select("k1").toPandas()
     heavy = docs.sparkSession.sparkContext.broadcast(np.sort(heavy_rows["k1"].to_numpy().astype(np.uint64)))
-    sets = survey.where("is_doc").select("id", "n", "k1", "k2")
+    sets = survey.where("is_doc").select("id", "n", "k1", "k2", "bits")
 
     named = sets.where("n > 0 and id is not null")
     groups = named.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
@@ -256,35 +286,31 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     known = slim.where("id is not null")
     tiles = written(_tiles(_prefixes(known, heavy).repartition("shingle")), "shingle-tiles")
-    stars = tiles.groupBy("id", "leader").agg(F.count(F.lit(1)).alias("tiles"))
-    stars = written(to_first(to_first(stars, "id"), "leader"), "shingle-stars")
-    best = stars.where("id <> leader").groupBy("id").agg(F.max_by("leader", F.struct("tiles", -F.col("leader"))).alias("leader"))
-    best = _tile_parts(best.select(F.col("leader").alias("a"), F.col("id").alias("b")))
-    lead = best.groupBy("a").agg(F.max("parts").alias("lead_parts"))
-    wanted = stars.select("id").distinct().join(best.select(F.col("b").alias("id"), F.col("a").alias("leader"), "part"), "id", "left").join(lead.withColumnRenamed("a", "id"), "id", "left")
-    wanted = written(wanted, "shingle-wanted")
-    texts = written(likely_in(known, wanted).join(wanted, "id"), "shingle-texts")
-
-    rows = texts.where("lead_parts > 0").select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("lead_parts") - 1)).alias("part"), F.lit(0).alias("role"), "id", "text")
-    rows = rows.unionByName(texts.where("leader is not null").select(F.col("leader").alias("a"), "part", F.lit(1).alias("role"), "id", "text"))
-    links = [copies, written(_checked(rows), "shingle-links")]
+    stars = to_first(to_first(tiles.groupBy("id", "leader").agg(F.count(F.lit(1)).alias("tiles")), "id"), "leader").where("id <> leader")
+    stars = stars.groupBy("id", "leader").agg(F.max("tiles").alias("tiles"))
+    nearest = Window.partitionBy("id").orderBy(F.desc("tiles"), "leader")
+    stars = stars.withColumn("_k", F.row_number().over(nearest)).where(F.col("_k") <= LEADERS).select(F.col("leader").alias("a"), F.col("id").alias("b"), "tiles")
+    signed = sets.where("id is not null").dropDuplicates(["id"])
+    best = plausible(stars, signed).groupBy("b").agg(F.max_by("a", F.struct("tiles", -F.col("a"))).alias("a")).select("a", "b")
+    links = [copies, written(verified(written(best, "shingle-pairs"), known), "shingle-links")]
 
     found = components(links[0].unionByName(links[1])).select(F.col("node").alias("id"), "component")
     t = to_first(_mixed(tiles.select("shingle", "id", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))), "id").distinct()
     t = written(t, "shingle-mixed")
-    for every in (False, False, True):
-        p = written(_open_pairs(t, every), "shingle-pairs")
+    for every in (False, True):
+        p = written(plausible(_open_pairs(t, every), signed), "shingle-pairs")
         if p.isEmpty():
             continue
-        links.append(written(verified(p.select("a", "b"), texts.select("id", "text")), "shingle-links"))
+        links.append(written(verified(p.select("a", "b"), known), "shingle-links"))
         if not every:
             joined = components(p.join(links[-1], ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("_to"))
             t = written(_mixed(t.join(joined, "component", "left").withColumn("component", F.coalesce("_to", "component")).drop("_to")), "shingle-mixed")
-    every_link = links[0]
-    for more in links[1:]:
-        every_link = every_link.unionByName(more)
-    found = components(every_link) if len(links) > 2 else found.withColumnRenamed("id", "node")
-    return sets.select("id", F.col("n").alias("n_shingles")).join(found.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    if len(links) > 2:
+        every_link = links[0]
+        for more in links[1:]:
+            every_link = every_link.unionByName(more)
+        found = components(every_link).withColumnRenamed("node", "id")
+    return sets.select("id", F.col("n").alias("n_shingles")).join(found, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
 def _mixed(t: DataFrame) -> DataFrame:
@@ -297,7 +323,7 @@ def _mixed(t: DataFrame) -> DataFrame:
 def _open_pairs(t: DataFrame, every: bool) -> DataFrame:
     """(a, b, ca, cb): members of one tile, within the size band of a link, in different components so far.
 
-    every: all of them; else for each component only its best-met pair with the first component of its tiles.
+    every: all that the number of shared prefix elements leaves possible; else for each component only its best-met pair with the first component of its tiles.
     """
     if not every:
         least = t.groupBy("shingle").agg(F.min(F.struct("component", "id")).alias("first")).select("shingle", F.col("first.component").alias("ca"), F.col("first.id").alias("a"))
@@ -307,4 +333,7 @@ def _open_pairs(t: DataFrame, every: bool) -> DataFrame:
     band = F.floor(F.log("n") / F.log(F.lit(4 / 3)))
     x = t.select("shingle", band.alias("band"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
     y = t.select("shingle", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    return x.join(y, ["shingle", "band"]).where("ca < cb and 4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b", "ca", "cb").distinct()
+    return x.join(y, ["shingle", "band"]).where("ca < cb and 4 * least(na, nb) >= 3 * greatest(na, nb)")
+    p = p.groupBy("a", "b", "ca", "cb", "na", "nb").agg(F.count(F.lit(1)).alias("met"))
+    # Beyond the shorter-reaching prefix lie at most 3/4 of that set: with too few prefix elements in common the overlap cannot suffice.
+    return p.where("7 * (met + greatest(ceil(3 * na / 4), ceil(3 * nb / 4)) - 1) >= 3 * (na + nb)").select("a", "b", "ca", "cb")
