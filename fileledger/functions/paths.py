@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _col(c: Column | str) -> Column:
@@ -52,7 +53,7 @@ def unescape_path(path: Column | str) -> Column:
     return F.replace(_col(path), F.lit("\\\\"), F.lit("\\"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def escape_path_bytes(raw):
     """Paths as bytes: a backslash is doubled, a byte that is no part of valid UTF-8 is written \\xHH."""
     import pandas as pd
