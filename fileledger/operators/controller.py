@@ -1,8 +1,8 @@
 """Replay of the concurrency controller: sliding percentiles and a clamped window, folded in time order.
 
-Each clamp depends on the one before, so this is no window sum.  Groups are one
-run, side and operation; within a group samples arrive sorted and only those of the
-long window are held.
+Each clamp depends on the one before, so this is no window sum.  Samples of one run,
+side and operation arrive sorted and are folded as a stream; only those of the long
+window are held.
 """
 
 from __future__ import annotations
@@ -84,21 +84,30 @@ def replay_controller(samples: DataFrame, tick_us: int = 1_000_000, cfg: RatioCo
     samples: run, side, op, at_us, latency_us.  A tick sees the samples up to its time.
     """
     make = CONTROLLERS[controller]
+    names = ["run", "side", "op", "tick", "baseline_us", "current_us", "cwnd"]
 
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        c, rows, tick = make(cfg), [], None
-        for at, latency in pdf.sort_values(["at_us", "latency_us"])[["at_us", "latency_us"]].itertuples(index=False):
-            due = -(-at // tick_us) * tick_us
-            if tick is not None and due != tick:
-                rows.append((*key, tick, *c.tick(tick)))
-            tick = due
-            c.sample(at, latency)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = tick = state = None
+        for b in batches:
+            rows = []
+            for run, side, op, at, latency in b.itertuples(index=False):
+                due = -(-at // tick_us) * tick_us
+                if tick is not None and (key != (run, side, op) or due != tick):
+                    rows.append((*key, tick, *state.tick(tick)))
+                if key != (run, side, op):
+                    key, state = (run, side, op), make(cfg)
+                tick = due
+                state.sample(at, latency)
+            yield _frame(rows, names)
         if tick is not None:
-            rows.append((*key, tick, *c.tick(tick)))
-        out = pd.DataFrame(rows, columns=["run", "side", "op", "tick", "baseline_us", "current_us", "cwnd"])
-        return out.astype({"baseline_us": "Int64", "current_us": "Int64"})
+            yield _frame([(*key, tick, *state.tick(tick))], names)
+
+    rows = samples.select("run", "side", "op", "at_us", "latency_us").where("at_us is not null and latency_us is not null")
+    return rows.repartition("run", "side", "op").sortWithinPartitions("run", "side", "op", "at_us", "latency_us").mapInPandas(fold, SCHEMA)
+
 
-    return samples.groupBy("run", "side", "op").applyInPandas(fold, SCHEMA)
+def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=names).astype({"baseline_us": "Int64", "current_us": "Int64", "tick": "int64", "cwnd": "int64"})
 
 
 def ratio_signal(samples: DataFrame, tick_us: int = 1_000_000, cfg: RatioConfig = RatioConfig()) -> DataFrame:

@@ -65,7 +65,7 @@ def select_percentile(samples: DataFrame, p: float, keys=("run", "side", "op"),
 
 def band_panel(buckets: DataFrame, keys=("run", "side", "op")) -> DataFrame:
     """(keys, band, count, bar): counts by power of two, at most eight bands around the fullest (the last of equals)."""
-    band = F.length(F.bin("bucket_low")) - 1
+    band = (F.length(F.bin("bucket_low")) - 1).cast("bigint")
     b = buckets.groupBy(*keys, band.alias("band")).agg(F.sum("count").alias("count"))
     top = b.groupBy(*keys).agg(F.max(F.struct("count", "band")).alias("_top"), F.min("band").alias("_low"), F.max("band").alias("_high"))
     j = b.join(top, list(keys))
