@@ -92,13 +92,12 @@ def document_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 OPS = {"view": "stat", "click": "open-create", "purchase": "chmod", "error": "unlink", "signup": "mkdir"}
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(run, ts, side, op, latency_us, bytes, outcome)"""
-    e = table(spark, sf_dir, "events")
+def sample_columns() -> list[Column]:
+    """run, ts, side, op, latency_us, bytes, outcome of events."""
     op: Column = F.lit("stat")
     for event, name in OPS.items():
         op = F.when(F.col("event_type") == event, name).otherwise(op)
-    return e.select(
+    return [
         F.concat(F.lit("r"), (F.col("user_id") % 4).cast("string")).alias("run"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.when(F.col("user_id") % 2 == 0, "source").otherwise("destination").alias("side"),
@@ -106,7 +105,11 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.greatest(F.lit(1), F.round(F.col("value") * 1000)).cast("bigint").alias("latency_us"),
         F.col("user_id").cast("bigint").alias("bytes"),
         F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("outcome"),
-    )
+    ]
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(*sample_columns())
 
 
 def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
