@@ -46,5 +46,6 @@ class CompletionTracker:
         s = spark.read.parquet(self.sums)
         dirs = s.select(F.col("dir").alias("rel_path"), F.col("expected").isNotNull().alias("announced"), F.coalesce("expected", F.lit(0)).alias("expected"), "failed")
         children = s.where("done > 0").select(F.explode(F.transform(F.sequence(F.lit(1), F.col("done")), lambda i: F.when(F.col("dir") == "", F.concat(F.lit("#"), i.cast("string"))).otherwise(F.concat("dir", F.lit("/#"), i.cast("string"))))).alias("rel_path"))
+        dirs = dirs.where("announced or failed")
         known = dirs.where("announced").select("rel_path")
         return directory_completion(dirs, children).join(known, "rel_path", "left_semi")
