@@ -34,9 +34,9 @@ from fileledger.llm.scratch import written
 SIZE = 5
 HEAVY_AT = 16
 HEAVY_MOST = 1 << 19
-BITMAP_BITS = (256, 8192)
+BITMAP_BITS = (256, 16384)
 LEADERS = 3
-TILE_ROWS = 256
+BLOCK_DOCS = 64
 FILTER_BITS = 1 << 26
 _U = np.uint64
 _TOP = _U(1 << 63)
@@ -169,7 +169,7 @@ def bitmaps(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     bitmap folds to half its size by xor of its halves.
     """
     n = np.diff(bounds)
-    width = np.clip(2 ** np.ceil(np.log2(np.maximum(n, 1))), *BITMAP_BITS).astype(np.int64)
+    width = np.clip(2 ** np.ceil(np.log2(np.maximum(2 * n, 1))), *BITMAP_BITS).astype(np.int64)
     begin = np.concatenate([[0], np.cumsum(width)])
     at = np.repeat(begin[:-1], n) + (values & np.repeat(width - 1, n).astype(np.uint64)).astype(np.int64)
     packed = np.packbits((np.bincount(at, minlength=begin[-1]) & 1).astype(np.uint8)).tobytes()
@@ -211,39 +211,42 @@ def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select(*names, "_na", "_bitsa", "_nb", "_bitsb").mapInArrow(run, pairs.schema)
 
 
-def _checked(rows: DataFrame) -> DataFrame:
-    """Linked (a, b) of rows (a, part, role, id, text): role 0 is the text of a, role 1 a partner's."""
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those (a, b) of a written table of pairs whose texts link.
+
+    Documents that share their least partner are dealt into blocks of about
+    BLOCK_DOCS, and pairs into tiles of two blocks.  A text is sent once to each tile
+    it has a pair in, not once per pair, and a task holds the sets of one tile.
+    """
+    ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("_other")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("_other")))
+    home = ends.groupBy("id").agg(F.min("_other").alias("_least")).select("id", F.least("id", "_least").alias("home"))
+    load = home.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).alias("parts"))
+    block = written(home.join(load, "home").select("id", F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")), "shingle-blocks")
+    at = lambda k: block.select(F.col("id").alias(k), F.col("block").alias(f"_{k}"))
+    p = pairs.select("a", "b").join(at("a"), "a").join(at("b"), "b").select("a", "b", F.least("_a", "_b").alias("x"), F.greatest("_a", "_b").alias("y"))
+    p = written(p, "shingle-tiled")
+    members = p.select("x", "y", F.col("a").alias("id")).unionByName(p.select("x", "y", F.col("b").alias("id"))).distinct()
+    texts = likely_in(docs, block.select("id")).join(members, "id").select("x", "y", F.lit(0).alias("role"), "id", F.lit(None).cast("bigint").alias("b"), "text")
+    rows = texts.unionByName(p.select("x", "y", F.lit(1).alias("role"), F.col("a").alias("id"), "b", F.lit(None).cast("string").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, head_sets = None, []
-        for b in batches:
-            a, part, role, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        tile, sets = None, {}
+        for batch in batches:
+            x, y, role, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            partner = batch.column(4).to_pylist()
             out: set[tuple[int, int]] = set()
-            for first, values, bounds in text_sets(b.column(4)):
+            for first, values, bounds in text_sets(batch.column(5)):
                 for i in range(len(bounds) - 1):
-                    row, x = first + i, values[bounds[i] : bounds[i + 1]]
+                    row = first + i
+                    if tile != (x[row], y[row]):
+                        tile, sets = (x[row], y[row]), {}
                     if role[row] == 0:
-                        if head != (a[row], part[row]):
-                            head, head_sets = (a[row], part[row]), []
-                        head_sets.append(x.copy())
-                    elif head == (a[row], part[row]) and any(_linked(h, x) for h in head_sets):
-                        out.add((a[row], ids[row]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in sorted(out)], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "role", "id").mapInArrow(run, "a bigint, b bigint").distinct()
+                        sets.setdefault(ids[row], []).append(values[bounds[i] : bounds[i + 1]].copy())
+                    elif any(_linked(v, w) for v in sets.get(ids[row], ()) for w in sets.get(partner[row], ())):
+                        out.add((ids[row], partner[row]))
+            yield pa.RecordBatch.from_arrays([pa.array([t[k] for t in sorted(out)], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those (a, b) of a written table of pairs whose texts link.
-
-    The partners of a are dealt into parts of about TILE_ROWS, and the text of a is
-    sent to each part, so no task has all partners of one document.
-    """
-    load = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).alias("parts"))
-    p = pairs.join(load, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
-    roles = p.select("a", "part").distinct().select(F.col("a").alias("id"), "a", "part", F.lit(0).alias("role")).unionByName(p.select(F.col("b").alias("id"), "a", "part", F.lit(1).alias("role")))
-    roles = written(roles, "shingle-roles")
-    return _checked(likely_in(docs, roles.select("id")).join(roles, "id").select("a", "part", "role", "id", "text"))
+    return rows.repartition("x", "y").sortWithinPartitions("x", "y", "role", "id").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def likely_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
