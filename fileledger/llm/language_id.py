@@ -41,7 +41,7 @@ _DECLARED = r"(?i)<html[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})(?![a-z])"
 
 
 def _trigrams(piece) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of the trigram at each byte and the document of each; none crosses documents or holds a digit or mark."""
+    """Bucket of the trigram at each byte and the document of each; none crosses documents, holds a digit or mark, or is all spaces."""
     d = piece.data.astype(np.uint32)
     d[(d >= 65) & (d <= 90)] += 32
     plain = (d >= 128) | ((d >= 97) & (d <= 122)) | (d == 32) | (d == 10)
@@ -50,7 +50,8 @@ def _trigrams(piece) -> tuple[np.ndarray, np.ndarray]:
     if n < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     doc = np.repeat(np.arange(len(piece)), np.diff(piece.bounds))
-    ok = plain[:-2] & plain[1:-1] & plain[2:] & (doc[:-2] == doc[2:])
+    letter = d > 32
+    ok = plain[:-2] & plain[1:-1] & plain[2:] & (doc[:-2] == doc[2:]) & (letter[:-2] | letter[1:-1] | letter[2:])
     h = (d[:-2] * np.uint32(0x9E3779B1)) ^ (d[1:-1] * np.uint32(0x85EBCA77)) ^ (d[2:] * np.uint32(0xC2B2AE3D))
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)

@@ -14,10 +14,10 @@ by the windows' digests instead.
 
 Rules.  Null text is empty and nothing is removed from it; texts shorter than a
 window have none; windows never cross documents; equal windows inside one text
-count; rows that repeat an id are separate texts with equal ids and each gets the
-spans of its own windows only if their texts are equal (ids name a text).  An
-empty table gives an empty table.  The id must be an integer column without
-nulls; rows with a null id keep their text.
+count; a repeated row is another copy of its text, so both go; an id must name one
+text.  An empty table gives an empty table; extra columns are not read.  The id
+must be an integer column; rows with a null id keep their whole text and count as
+no copy of others.
 """
 
 from __future__ import annotations
@@ -229,7 +229,7 @@ def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             data, bounds = byte_view(text_column(b.column(1)))
             rows = []
             for i, (id_, cuts) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist())):
-                rows += [(c["key"], id_, c["s"], c["a"], c["sure"], data[bounds[i] + c["s"] : bounds[i] + c["e"]].tobytes()) for c in cuts]
+                rows += [(c["key"], id_, c["s"], c["a"], c["sure"], data[bounds[i] + c["s"] : bounds[i] + c["e"]].tobytes()) for c in cuts if bounds[i] + c["e"] <= bounds[i + 1]]
                 if len(rows) > 5000:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
                     rows = []
@@ -290,12 +290,12 @@ def remove_repeats(docs: DataFrame, window: int = 400, id_col: str = "doc_id", t
                 if not spans:
                     removed.append(0), n_spans.append(0), kept.append(body.tobytes())
                     continue
-                s, e = np.array([x["s"] for x in spans]), np.array([x["e"] for x in spans])
-                _, s, e = merged(np.zeros(len(s), np.int64), s, e)
-                stay = np.ones(len(body), bool)
-                for x, y in zip(s.tolist(), e.tolist()):
-                    stay[x:y] = False
-                removed.append(int((e - s).sum())), n_spans.append(len(s)), kept.append(body[stay].tobytes())
+                stay = np.ones(len(body) + 1, bool)
+                for x in spans:
+                    stay[x["s"] : min(x["e"], len(body))] = False
+                ends = np.count_nonzero(~stay[:-1] & stay[1:])
+                stay = stay[:-1]
+                removed.append(int((~stay).sum())), n_spans.append(int(ends)), kept.append(body[stay].tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds)), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept"])
 
     return slim.join(lists, "id", "left").select("id", "text", "spans").mapInArrow(run, f"`{id_col}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")

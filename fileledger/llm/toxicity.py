@@ -13,7 +13,8 @@ up to SAMPLE_BYTES.  Label, language, source and id are no inputs of a score.
 Rules.  Null text counts as empty; texts without a word get the share of toxic
 rows in the sample, at most 0.29; whole texts are scored whatever their length;
 equal texts get equal scores; without labelled rows of both kinds every score is
-0.  An empty table gives an empty table; extra columns are not read.
+0.  An empty table gives an empty table; extra columns are not read.  A null id is outside
+the held-out fold.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ _SEPARATORS[[b for b in range(128) if not chr(b).isalnum()]] = True
 
 
 def held_out(id_column: Column) -> Column:
-    return F.crc32(id_column.cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 @dataclass
