@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,8 +35,12 @@ from fileledger.llm.scratch import written
 SIZE = 5
 HEAVY_AT = 16
 HEAVY_MOST = 1 << 19
-BITMAP_BITS = (256, 16384)
+BITMAP_BITS = (512, 16384)
 LEADERS = 3
+STAR_ROUNDS = 3
+SIGN_BYTES = 64
+TILE_ROWS = 8192
+PAIRS_AT_ONCE = 200_000
 BLOCK_DOCS = 64
 FILTER_BITS = 1 << 26
 _U = np.uint64
@@ -300,8 +305,10 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links[0].unionByName(links[1])).select(F.col("node").alias("id"), "component")
     t = to_first(_mixed(tiles.select("shingle", "id", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))), "id").distinct()
     t = written(t, "shingle-mixed")
-    for every in (False, True):
-        p = written(plausible(_open_pairs(t, every), signed), "shingle-pairs")
+    for every in (*(False for _ in range(STAR_ROUNDS)), True):
+        if not every and len(links) > 2 and links[-1].isEmpty():
+            continue
+        p = written(plausible(_tile_pairs(t, signed) if every else _star_pairs(t), signed), "shingle-pairs")
         if p.isEmpty():
             continue
         links.append(written(verified(p.select("a", "b"), known), "shingle-links"))
@@ -323,20 +330,88 @@ def _mixed(t: DataFrame) -> DataFrame:
     return t.join(mixed.select("shingle"), "shingle", "left_semi").select("shingle", "id", "n", "component")
 
 
-def _open_pairs(t: DataFrame, every: bool) -> DataFrame:
-    """(a, b, ca, cb): members of one tile, within the size band of a link, in different components so far.
+def _star_pairs(t: DataFrame) -> DataFrame:
+    """(a, b, ca, cb): for each component its best-met pair with the first component of its tiles."""
+    least = t.groupBy("shingle").agg(F.min(F.struct("component", "id")).alias("first")).select("shingle", F.col("first.component").alias("ca"), F.col("first.id").alias("a"))
+    p = t.join(least, "shingle").where("component <> ca").groupBy("component", "ca", "a").agg(F.count(F.lit(1)).alias("tiles"), F.min("id").alias("b"))
+    p = p.groupBy("component").agg(F.max_by(F.struct("a", "b", "ca"), F.struct("tiles", -F.col("a"))).alias("p"))
+    return p.select("p.a", "p.b", "p.ca", F.col("component").alias("cb"))
+
+
+def _folded(sets: DataFrame) -> DataFrame:
+    """(id, sign): bitmaps folded to SIGN_BYTES, which none falls short of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for bits in b.column(1).to_pylist():
+                a = np.frombuffer(bits, np.uint8)
+                while len(a) > SIGN_BYTES:
+                    a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+                out.append(a.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "sign"])
+
+    return sets.select("id", "bits").mapInArrow(run, "id bigint, sign binary")
+
 
-    every: all that the number of shared prefix elements leaves possible; else for each component only its best-met pair with the first component of its tiles.
+def _tile_pairs(t: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, ca, cb): all pairs of one tile in different components that size, signs and the number of shared prefix elements leave possible.
+
+    Rows stream sorted by tile and size; each is held against the earlier rows of its
+    size band.  Tiles of more than TILE_ROWS are dealt into blocks, and every two
+    blocks are a tile of their own.
     """
-    if not every:
-        least = t.groupBy("shingle").agg(F.min(F.struct("component", "id")).alias("first")).select("shingle", F.col("first.component").alias("ca"), F.col("first.id").alias("a"))
-        p = t.join(least, "shingle").where("component <> ca").groupBy("component", "ca", "a").agg(F.count(F.lit(1)).alias("tiles"), F.min("id").alias("b"))
-        p = p.groupBy("component").agg(F.max_by(F.struct("a", "b", "ca"), F.struct("tiles", -F.col("a"))).alias("p"))
-        return p.select("p.a", "p.b", "p.ca", F.col("component").alias("cb"))
-    band = F.floor(F.log("n") / F.log(F.lit(4 / 3)))
-    x = t.select("shingle", band.alias("band"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = t.select("shingle", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    return x.join(y, ["shingle", "band"]).where("ca < cb and 4 * least(na, nb) >= 3 * greatest(na, nb)")
-    p = p.groupBy("a", "b", "ca", "cb", "na", "nb").agg(F.count(F.lit(1)).alias("met"))
+    load = t.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("parts"))
+    block = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    mates = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))
+    dealt = t.join(load, "shingle").withColumn("block", block).join(_folded(sets), "id")
+    dealt = dealt.where("parts = 1").withColumn("m", F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"))).unionByName(dealt.where("parts > 1").withColumn("m", F.explode(mates)))
+    dealt = dealt.select("shingle", "m.x", "m.y", "n", "id", "component", "block", "sign")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for b in batches:
+            cols = [b.column(i).to_numpy() for i in range(7)]
+            cols.append(np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint64).reshape(b.num_rows, -1))
+            old = 0 if held is None else len(held[0])
+            if held is not None:
+                cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
+            shingle, x, y, n = cols[:4]
+            if not len(n):
+                continue
+            new = np.ones(len(n), bool)
+            new[1:] = (shingle[1:] != shingle[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+            tile = np.cumsum(new) - 1
+            key = tile * (1 << 32) + n
+            at = np.arange(old, len(n))
+            first = np.searchsorted(key, tile[at] * (1 << 32) + _needed(n[at].astype(np.int64)))
+            yield from _plausible_rows(cols, at, first)
+            last = np.flatnonzero(new)[-1]
+            held = [c[last:] for c in cols]
+
+    p = dealt.repartition("shingle", "x", "y").sortWithinPartitions("shingle", "x", "y", "n", "id").mapInArrow(run, "a bigint, b bigint, ca bigint, cb bigint, na int, nb int, met bigint")
+    p = p.groupBy("a", "b", "ca", "cb", "na", "nb").agg(F.sum("met").alias("met"))
     # Beyond the shorter-reaching prefix lie at most 3/4 of that set: with too few prefix elements in common the overlap cannot suffice.
     return p.where("7 * (met + greatest(ceil(3 * na / 4), ceil(3 * nb / 4)) - 1) >= 3 * (na + nb)").select("a", "b", "ca", "cb")
+
+
+def _plausible_rows(cols: list[np.ndarray], at: np.ndarray, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs of each row at[k] with the rows first[k]..at[k]-1, counted, less those that components or signs rule out."""
+    _, x, y, n, ids, component, block, sign = cols
+    count = at - first
+    begin = 0
+    while begin < len(at):
+        end = max(begin + 1, int(np.searchsorted(np.cumsum(count[begin:]), PAIRS_AT_ONCE)) + begin)
+        i, j = np.repeat(at[begin:end], count[begin:end]), ragged(first[begin:end], count[begin:end])
+        keep = (component[i] != component[j]) & ((x[i] == y[i]) | (block[i] != block[j]))
+        i, j = i[keep], j[keep]
+        total = n[i].astype(np.int64) + n[j]
+        most = (total - np.bitwise_count(sign[i] ^ sign[j]).sum(axis=1, dtype=np.int64)) // 2
+        keep = 100 * most >= 75 * (total - most)
+        i, j = i[keep], j[keep]
+        swap = component[i] > component[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        if len(i):
+            rows = pd.DataFrame({"a": ids[i], "b": ids[j], "ca": component[i], "cb": component[j], "na": n[i], "nb": n[j]})
+            yield pa.RecordBatch.from_pandas(rows.groupby(list(rows.columns), sort=False).size().reset_index(name="met"), preserve_index=False)
+        begin = end
