@@ -37,7 +37,7 @@ def scan_files(spark: SparkSession, path: str, root: str) -> DataFrame:
     return conform(leaves).unionByName(conform(dirs))
 
 
-def filegen(spark: SparkSession, dirwidth: list[int], numfiles: int, filesize: int, leaf_files: bool = False) -> DataFrame:
+def generate_tree(spark: SparkSession, dirwidth: list[int], numfiles: int, filesize: int, leaf_files: bool = False) -> DataFrame:
     """A generated tree: dirwidth[k] directories in each directory of level k, numfiles files in every directory (or in the deepest only).
 
     Rows come from one range and mixed-radix arithmetic, level by level.
@@ -63,6 +63,6 @@ def filegen(spark: SparkSession, dirwidth: list[int], numfiles: int, filesize: i
     return conform(out)
 
 
-def filegen_summary(m: DataFrame) -> DataFrame:
+def generated_summary(m: DataFrame) -> DataFrame:
     """One row: files, directories (the root aside), bytes."""
     return m.agg(F.count_if(F.col("kind") == "file").alias("files_created"), F.count_if((F.col("kind") == "dir") & (F.col("rel_path") != "")).alias("directories_created"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes_written"))

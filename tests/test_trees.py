@@ -9,7 +9,7 @@ from fileledger.functions.metadata import parse_preserve
 from fileledger.operators import plans, reports
 from fileledger.operators.compare import compare, compare_summary, format_diff
 from fileledger.operators.removal import rm_plan, rm_summary
-from fileledger.sources.manifests import filegen, filegen_summary, read_manifest, scan_files
+from fileledger.sources.manifests import generate_tree, generated_summary, read_manifest, scan_files
 from tests.conftest import FOO, manifest
 
 
@@ -212,9 +212,9 @@ def test_delete_golden(spark):
     "widths, files, size, leaf, want",
     [([2], 3, 100, False, (9, 2, 900)), ([2, 3], 4, 50, False, (36, 8, 1800)), ([2, 3], 4, 50, True, (24, 8, 1200)), ([2, 2, 2], 2, 10, False, (30, 14, 300)), ([3, 2], 0, 10, False, (0, 9, 0))],
 )
-def test_filegen(spark, widths, files, size, leaf, want):
-    m = filegen(spark, widths, files, size, leaf)
-    assert tuple(filegen_summary(m).first()) == want
+def test_generated_trees(spark, widths, files, size, leaf, want):
+    m = generate_tree(spark, widths, files, size, leaf)
+    assert tuple(generated_summary(m).first()) == want
     assert reports.validate_manifest(m).count() == 0
 
 
