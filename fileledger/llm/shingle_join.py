@@ -41,6 +41,7 @@ STAR_ROUNDS = 3
 SIGN_BYTES = 64
 TILE_ROWS = 8192
 PAIRS_AT_ONCE = 200_000
+COUNTS_HELD = 400_000
 BLOCK_DOCS = 64
 FILTER_BITS = 1 << 26
 _U = np.uint64
@@ -370,6 +371,7 @@ def _tile_pairs(t: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
+        found: list[pd.DataFrame] = []
         for b in batches:
             cols = [b.column(i).to_numpy() for i in range(7)]
             cols.append(np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint64).reshape(b.num_rows, -1))
@@ -385,9 +387,15 @@ def _tile_pairs(t: DataFrame, sets: DataFrame) -> DataFrame:
             key = tile * (1 << 32) + n
             at = np.arange(old, len(n))
             first = np.searchsorted(key, tile[at] * (1 << 32) + _needed(n[at].astype(np.int64)))
-            yield from _plausible_rows(cols, at, first)
+            found += _plausible_rows(cols, at, first)
+            if sum(map(len, found)) > COUNTS_HELD:
+                found = [_counted(found)]
+                if len(found[0]) > COUNTS_HELD // 2:
+                    yield pa.RecordBatch.from_pandas(found.pop(), preserve_index=False)
             last = np.flatnonzero(new)[-1]
             held = [c[last:] for c in cols]
+        if found:
+            yield pa.RecordBatch.from_pandas(_counted(found), preserve_index=False)
 
     p = dealt.repartition("shingle", "x", "y").sortWithinPartitions("shingle", "x", "y", "n", "id").mapInArrow(run, "a bigint, b bigint, ca bigint, cb bigint, na int, nb int, met bigint")
     p = p.groupBy("a", "b", "ca", "cb", "na", "nb").agg(F.sum("met").alias("met"))
@@ -395,7 +403,13 @@ def _tile_pairs(t: DataFrame, sets: DataFrame) -> DataFrame:
     return p.where("7 * (met + greatest(ceil(3 * na / 4), ceil(3 * nb / 4)) - 1) >= 3 * (na + nb)").select("a", "b", "ca", "cb")
 
 
-def _plausible_rows(cols: list[np.ndarray], at: np.ndarray, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _counted(parts: list[pd.DataFrame]) -> pd.DataFrame:
+    """Pairs of several tiles added up."""
+    rows = pd.concat(parts)
+    return rows.groupby([c for c in rows.columns if c != "met"], sort=False)["met"].sum().reset_index()
+
+
+def _plausible_rows(cols: list[np.ndarray], at: np.ndarray, first: np.ndarray) -> Iterator[pd.DataFrame]:
     """Pairs of each row at[k] with the rows first[k]..at[k]-1, counted, less those that components or signs rule out."""
     _, x, y, n, ids, component, block, sign = cols
     count = at - first
@@ -413,5 +427,5 @@ def _plausible_rows(cols: list[np.ndarray], at: np.ndarray, first: np.ndarray) -
         i, j = np.where(swap, j, i), np.where(swap, i, j)
         if len(i):
             rows = pd.DataFrame({"a": ids[i], "b": ids[j], "ca": component[i], "cb": component[j], "na": n[i], "nb": n[j]})
-            yield pa.RecordBatch.from_pandas(rows.groupby(list(rows.columns), sort=False).size().reset_index(name="met"), preserve_index=False)
+            yield rows.groupby(list(rows.columns), sort=False).size().reset_index(name="met")
         begin = end
