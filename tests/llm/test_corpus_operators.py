@@ -354,6 +354,40 @@ def test_mixing_rules(spark, documents, odd_texts):
     assert abs(expected / all_rows.n_tokens.sum() - source_mixing.Mix().fraction) < 0.01
 
 
+def test_raking_takes_the_largest_feasible_fraction():
+    tokens = np.array([800.0, 100.0, 80.0, 20.0])
+    cells = [("a", "en", "t0"), ("b", "en", "t0"), ("a", "es", "t0"), ("b", "es", "t0")]
+    fit = source_mixing.fit_mix(cells, tokens, source_mixing.Mix(fraction=0.9))
+    for k, by in enumerate((("a", "b"), ("en", "es"))):
+        have = np.array([sum(t for c, t in zip(cells, tokens) if c[k] == n) for n in by])
+        want = have**0.7 / (have**0.7).sum()
+        got = np.array([sum(t * q for c, t, q in zip(cells, tokens, fit.p) if c[k] == n) for n in by])
+        assert np.allclose(got / got.sum(), want, atol=2e-3)
+        assert fit.fraction <= (have / want).min() / 1000 + 1e-6
+    assert fit.residual <= source_mixing.MOST_OFF and (fit.p <= 1).all()
+
+
+def test_pipeline_mixing_reaches_its_shares(spark):
+    """Shares of expected and of sampled words, counted here, against tempered ones at the fraction the margins allow."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    p = {r.doc_id: r.probability for r in source_mixing.calibrated(docs, corpus_pipeline.MIX).collect()}
+    taken = {r.doc_id for r in corpus_pipeline.mixing(spark, docs, SF).select("doc_id").collect()}
+    rows = [(r.doc_id, r.source or "", r.lang or "", len((r.text or "").encode().split())) for r in docs.collect()]
+    total, bounds = sum(r[3] for r in rows), [corpus_pipeline.MIX.fraction]
+    for k in (1, 2):
+        have, expected, sampled = Counter(), Counter(), Counter()
+        for r in rows:
+            have[r[k]] += r[3]
+            expected[r[k]] += r[3] * p[r[0]]
+            sampled[r[k]] += r[3] * (r[0] in taken)
+        z = sum((v / total) ** 0.7 for v in have.values())
+        want = {n: (v / total) ** 0.7 / z for n, v in have.items()}
+        bounds += [have[n] / total / want[n] for n in have]
+        assert all(abs(expected[n] / expected.total() - w) < 1e-3 for n, w in want.items())
+        assert all(abs(sampled[n] / sampled.total() - w) < 0.012 for n, w in want.items())
+    assert 0.95 * min(bounds) < expected.total() / total < min(bounds) + 1e-3
+
+
 # ---- pipeline
 
 
