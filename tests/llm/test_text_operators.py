@@ -160,6 +160,19 @@ def test_judging(spark, labels, odd_texts):
     assert q[q.quality == 1].kept.mean() > 0.99 and q[q.quality == 0].kept.mean() < 0.3
 
 
+def test_judging_sees_every_statistic(spark, labels):
+    """Texts that pass the base rules and hold no symbol: repeated short lines, one-letter words, words run together."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice(["an", "er", "on", "the", "st", "re"]) for _ in range(rng.randint(1, 3)))
+    lines = "\n".join(x for _ in range(60) for x in (" ".join(word() for _ in range(8)) + ".", "Buy now."))
+    letters = " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200))
+    joined = " ".join("".join(word() for _ in range(8)) for _ in range(80))
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    df = docs.union(spark.createDataFrame([(-1, lines), (-2, letters), (-3, joined)], docs.schema))
+    got = quality_rules.judge(df, spark.read.parquet("/root/testdata/sf0.1/labels.parquet")).where("doc_id < 0").collect()
+    assert [(r.base_failed, r.kept) for r in got] == [(False, False)] * 3
+
+
 # ---- toxicity
 
 
