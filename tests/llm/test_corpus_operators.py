@@ -354,6 +354,22 @@ def test_mixing_rules(spark, documents, odd_texts):
     assert abs(expected / all_rows.n_tokens.sum() - source_mixing.Mix().fraction) < 0.01
 
 
+def test_topics(spark):
+    """Texts of one vocabulary share a topic, whatever their language; a topic column is taken as it is."""
+    rng = random.Random(8)
+    vocabulary = [["".join(rng.choice("abcdefghiklmnoprstu") for _ in range(7)) for _ in range(40)] for _ in range(8)]
+    rows = [(i, " ".join(rng.choice(vocabulary[i % 8]) for _ in range(60)), ("en", "de")[i // 8 % 2], "s") for i in range(480)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    found = {r.doc_id: r.topic for r in source_mixing.calibrated(docs).collect()}
+    most = [Counter(found[i] for i in range(k, 480, 8)).most_common(1)[0] for k in range(8)]
+    assert len({t for t, _ in most}) >= 7 and sum(n for _, n in most) > 0.9 * 480
+    named = docs.withColumn("topic", F.when(F.col("doc_id") < 240, F.concat(F.lit("subject"), F.col("doc_id") % 3)))
+    got = source_mixing.calibrated(named).collect()
+    assert all(r.topic == (f"subject{r.doc_id % 3}" if r.doc_id < 240 else "") for r in got)
+    taken = source_mixing.take(named)
+    assert taken.columns == named.columns and {r.doc_id for r in taken.collect()} == {r.doc_id for r in got if r.selected}
+
+
 def test_raking_takes_the_largest_feasible_fraction():
     tokens = np.array([800.0, 100.0, 80.0, 20.0])
     cells = [("a", "en", "t0"), ("b", "en", "t0"), ("a", "es", "t0"), ("b", "es", "t0")]
