@@ -354,6 +354,21 @@ def test_mixing_rules(spark, documents, odd_texts):
     assert abs(expected / all_rows.n_tokens.sum() - source_mixing.Mix().fraction) < 0.01
 
 
+def test_every_category_is_raked(spark):
+    """400 sources: the lightest have targets of their own, and a target for no tokens is an error."""
+    rows = [(i, "word " * (2 if i % 400 == 399 else 3), "en", f"s{i % 400}", "") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, topic string")
+    mix = source_mixing.Mix(fraction=0.1, targets={"source": {"s399": 0.005}})
+    got = source_mixing.calibrated(docs, mix).collect()
+    expected = Counter()
+    for r in got:
+        expected[r.source] += r.n_tokens * r.probability
+    assert len(expected) == 400 and abs(expected["s399"] / expected.total() - 0.005) < 1e-6
+    assert {r.doc_id for r in source_mixing.take(docs, mix).collect()} == {r.doc_id for r in got if r.selected}
+    with pytest.raises(ValueError, match="nowhere"):
+        source_mixing.calibrated(docs, source_mixing.Mix(targets={"source": {"nowhere": 0.5}}))
+
+
 def test_topics(spark):
     """Texts of one vocabulary share a topic, whatever their language; a topic column is taken as it is."""
     rng = random.Random(8)
