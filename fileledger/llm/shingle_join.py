@@ -1,16 +1,19 @@
 """Exact Jaccard join on word shingles, as components of the link graph.
 
-Texts become sets of hashed shingles.  Two sets with 100 * |x & y| >= 75 * |x | y|
-share an element among the first |x| - ceil(3/4 |x|) + 1 of each in any common
-order, so only such prefixes are shuffled.  The order puts shingles that many
-documents share last; they are found by counting over all documents, and any
-order is right, so a bound on that list costs no link.  Tiles of documents that
-share a prefix element are sorted by size and paired within the size band a link
-allows.  Pairs are checked by hashed bitmaps, whose bit counts bound the overlap
-from above, then by intersecting sorted arrays.
-
-Copies are not expanded into pairs: first every document is checked against one
-member of its tiles, then only pairs that lie in different components are.
+Texts become sets of hashed shingles, and equal sets one node.  Two sets with
+100 * |x & y| >= 75 * |x | y| share an element among the first
+|x| - ceil(3/4 |x|) + 1 of each in any common order, so only such prefixes are
+shuffled.  The order puts shingles that recur within tasks last, which keeps tiles
+small; any order is right, so neither how they were counted nor the bound on their
+list can cost a link.
+
+Nodes that share a prefix element form a tile.  First each node is compared with
+the likeliest leader of its tiles.  Then only tiles whose members still lie in
+different components go on: they are split by size bands a link can join, tiles of
+one leader are united where that lessens the work, hashed bitmaps bound every
+overlap from above, and members that no bound rules out are compared by
+intersecting sorted arrays.  A task joins its own findings as it goes and passes on
+members and at most one link for each, never pairs.
 
 Rules.  Null or wordless text: empty set, linked with nothing.  Equal sets link.
 Rows that repeat an id count as one document with the links of all of them.  A
@@ -21,11 +24,11 @@ gives an empty table.  Texts are read whole.  The id must be an integer column.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fileledger.llm.graph import components
@@ -33,19 +36,25 @@ from fileledger.llm.kernel import mix, ragged, shingles, slices, sorted_sets, sp
 from fileledger.llm.scratch import written
 
 SIZE = 5
+#: Shingles met this often, as far as tasks see, come last; HEAVY_MOST of them are broadcast.
 HEAVY_AT = 16
 HEAVY_MOST = 1 << 19
-BITMAP_BITS = (512, 16384)
+#: Rows of a batch of shingles that are counted together.
+COUNT_AT_ONCE = 1 << 20
+#: Tiles of shingles met more often than this are dealt into salted parts.
+SALT_ROWS = 4096
+COPY_SALTS = 32
+BITMAP_BITS = (512, 32768)
 LEADERS = 3
-STAR_ROUNDS = 3
-SIGN_BYTES = 64
-TILE_ROWS = 8192
-PAIRS_AT_ONCE = 200_000
-COUNTS_HELD = 400_000
-BLOCK_DOCS = 64
+#: Nodes of one leader that a task compares, and nodes and shingles of one block of a tile.
+HOME_DOCS = 512
+BLOCK_DOCS = 4096
+BLOCK_SHINGLES = 1 << 20
+PAIRS_AT_ONCE = 100_000
+#: Ratio of size bands; a little over 4/3, so that linked sets lie in one band or in neighbours.
+BAND = 1.34
 FILTER_BITS = 1 << 26
 _U = np.uint64
-_TOP = _U(1 << 63)
 
 
 def _needed(n):
@@ -71,101 +80,107 @@ def _set_keys(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _survey(docs: DataFrame) -> DataFrame:
-    """Rows (id, n, k1, k2, bits) of every document, and rows (null id, count, shingle) of shingles met twice in a batch."""
+    """Rows (id, n, k1, k2, bits) of every document, and rows (null id, count, shingle) of shingles met twice in COUNT_AT_ONCE."""
+    names = ["is_doc", "id", "n", "k1", "k2", "bits"]
+
+    def counted(seen: list[np.ndarray]) -> pa.RecordBatch:
+        all_seen = np.concatenate(seen) if seen else np.zeros(0, np.uint64)
+        all_seen.sort()
+        first = np.flatnonzero(np.append(True, all_seen[1:] != all_seen[:-1])) if len(all_seen) else np.zeros(0, np.int64)
+        count = np.diff(np.append(first, len(all_seen)))
+        shared, count = all_seen[first[count > 1]].astype(np.int64), count[count > 1]
+        none = pa.nulls(len(shared), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(shared), bool)), none, pa.array(count), pa.array(shared), none, pa.nulls(len(shared), pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["is_doc", "id", "n", "k1", "k2", "bits"]
+        seen, held = [], 0
         for b in batches:
-            ids, seen, n, k1, k2, bits = b.column(0), [], [], [], [], []
-            for _, values, bounds in text_sets(b.column(1)):
+            ids = b.column(0)
+            for first, values, bounds in text_sets(b.column(1)):
+                n, (k1, k2) = np.diff(bounds), _set_keys(values, bounds)
+                own = ids.slice(first, len(n))
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), bool)), own, *(pa.array(x.astype(np.int64)) for x in (n, k1, k2)), pa.array(bitmaps(values, bounds), pa.binary())], names=names)
                 seen.append(values)
-                n.append(np.diff(bounds))
-                a, c = _set_keys(values, bounds)
-                k1.append(a)
-                k2.append(c)
-                bits += bitmaps(values, bounds)
-            if not seen:
-                continue
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(ids), bool)), ids, *(pa.array(np.concatenate(x).astype(np.int64)) for x in (n, k1, k2)), pa.array(bits, pa.binary())], names=names)
-            shared, count = np.unique(np.concatenate(seen), return_counts=True)
-            shared, count = shared[count > 1].astype(np.int64), count[count > 1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(shared), bool)), pa.nulls(len(shared), pa.int64()), pa.array(count), pa.array(shared), pa.nulls(len(shared), pa.int64()), pa.nulls(len(shared), pa.binary())], names=names)
+                held += len(values)
+                if held > COUNT_AT_ONCE:
+                    yield counted(seen)
+                    seen, held = [], 0
+        yield counted(seen)
 
     return docs.mapInArrow(run, "is_doc boolean, id bigint, n bigint, k1 bigint, k2 bigint, bits binary")
 
 
 def _prefixes(docs: DataFrame, heavy) -> DataFrame:
-    """(shingle, id, n): the prefix of each set, of equal sets in a batch only the first's."""
+    """(shingle, salt, node, n): the prefix of each set, once for equal sets of a batch; salt is -1 where the tile is not dealt into parts."""
+    names = ["shingle", "salt", "node", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = heavy.value
+        last, parts = heavy.value
         for b in batches:
-            ids, known = b.column(0).to_numpy(zero_copy_only=False), set()
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for first, values, bounds in text_sets(b.column(1)):
+            known: set[tuple[int, int]] = set()
+            for _, values, bounds in text_sets(b.column(1)):
                 n = np.diff(bounds)
-                is_last = np.zeros(len(values), bool)
-                if len(last):
-                    at = np.searchsorted(last, values)
-                    is_last = last[np.minimum(at, len(last) - 1)] == values
-                values = values | (is_last.astype(np.uint64) << _U(63))
+                at = np.minimum(np.searchsorted(last, values), max(len(last) - 1, 0))
+                is_last = last[at] == values if len(last) else np.zeros(len(values), bool)
+                part = np.where(is_last, parts[at], 1) if len(last) else np.ones(len(values), np.int32)
                 owner = np.repeat(np.arange(len(n)), n)
-                values = values[np.lexsort((values, owner))]
                 k1, k2 = _set_keys(values, bounds)
+                order = np.lexsort((values, is_last, owner))
                 fresh = np.zeros(len(n), bool)
-                for i in range(len(n)):
-                    if n[i] and (key := (k1[i], k2[i])) not in known:
+                for i, key in enumerate(zip(k1.tolist(), k2.tolist())):
+                    if n[i] and key not in known:
                         known.add(key)
                         fresh[i] = True
                 take = np.where(fresh, n - _needed(n) + 1, 0)
-                out.append((values[ragged(bounds[:-1], take)].astype(np.int64), np.repeat(ids[first : first + len(n)], take), np.repeat(n, take).astype(np.int32)))
-                if sum(len(x[0]) for x in out) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["shingle", "id", "n"])
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["shingle", "id", "n"])
+                pick = order[ragged(bounds[:-1], take)]
+                node, part = np.repeat(k1, take), part[pick]
+                salt = np.where(part > 1, (mix(node) % part.astype(np.uint64)).astype(np.int32), -1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (values[pick].astype(np.int64), salt, node.astype(np.int64), np.repeat(n, take).astype(np.int32))], names=names)
 
-    return docs.mapInArrow(run, "shingle bigint, id bigint, n int")
+    return docs.mapInArrow(run, "shingle bigint, salt int, node bigint, n int")
 
 
 def _tiles(entries: DataFrame) -> DataFrame:
-    """(shingle, id, n, leader) of entries whose shingle another entry has too.
+    """(shingle, salt, node, n, leader) of entries whose shingle another node has too, each once.
 
-    Streams over rows sorted by shingle and size and holds one batch.  leader: the
+    Streams over rows sorted by tile and size and holds one batch.  leader: the
     smallest member of the tile, as far as the batch shows, that is not too small.
+    Members of salted tiles stay even where they are alone in their part.
     """
+    names = ["shingle", "salt", "node", "n", "leader"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in batches:
-            rows = [c.to_numpy() for c in b.columns]
-            if not len(rows[0]):
-                continue
-            if held is not None:
-                rows = [np.concatenate([h, r]) for h, r in zip(held[0], rows)]
-            if (out := _paired(rows, held is not None and held[1])) is not None:
-                yield out
-            s = rows[0]
-            held = [r[-1:] for r in rows], len(s) > 1 and s[-1] == s[-2]
-        if held is not None and held[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(r) for r in (*held[0], held[0][1])], names=["shingle", "id", "n", "leader"])
-
-    def _paired(rows, first_out: bool):
-        s, ids, n = rows
-        same = s[1:] == s[:-1]
-        keep = np.zeros(len(s), bool)
+    def paired(s, salt, node, n, first_shared: bool, hold: bool) -> pa.RecordBatch:
+        same = (s[1:] == s[:-1]) & (salt[1:] == salt[:-1])
+        keep = salt >= 0
         keep[1:] |= same
         keep[:-1] |= same
-        keep[-1] = False  # held over
+        keep[0] |= first_shared
+        if hold:
+            keep[-1] = False
         run_no = np.concatenate([[0], np.cumsum(~same)])
-        key = run_no * (1 << 32) + n
-        leader = ids[np.searchsorted(key, run_no * (1 << 32) + _needed(n.astype(np.int64)))]
+        leader = node[np.searchsorted(run_no * (1 << 32) + n, run_no * (1 << 32) + _needed(n.astype(np.int64)))]
         at = np.flatnonzero(keep)
-        if first_out and not keep[0]:
-            at = np.concatenate([[0], at])
-        return pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (s, ids, n, leader)], names=["shingle", "id", "n", "leader"]) if len(at) else None
+        return pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (s, salt, node, n, leader)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, shared = None, False
+        for b in batches:
+            rows = [b.column(c).to_numpy() for c in ("shingle", "salt", "node", "n")]
+            if held is not None:
+                rows = [np.concatenate([h, r]) for h, r in zip(held, rows)]
+            if not len(rows[0]):
+                continue
+            fresh = np.ones(len(rows[0]), bool)
+            fresh[1:] = np.logical_or.reduce([r[1:] != r[:-1] for r in rows])
+            rows = [r[fresh] for r in rows]
+            yield paired(*rows, shared, True)
+            if len(rows[0]) > 1:
+                shared = bool(rows[0][-1] == rows[0][-2] and rows[1][-1] == rows[1][-2])
+            held = [r[-1:] for r in rows]
+        if held is not None:
+            yield paired(*held, shared, False)
 
-    return entries.sortWithinPartitions("shingle", "n", "id").mapInArrow(run, "shingle bigint, id bigint, n int, leader bigint")
+    return entries.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "n", "node").mapInArrow(run, "shingle bigint, salt int, node bigint, n int, leader bigint")
 
 
 def bitmaps(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
@@ -175,24 +190,45 @@ def bitmaps(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     bitmap folds to half its size by xor of its halves.
     """
     n = np.diff(bounds)
-    width = np.clip(2 ** np.ceil(np.log2(np.maximum(2 * n, 1))), *BITMAP_BITS).astype(np.int64)
+    width = np.clip(2 ** np.ceil(np.log2(np.maximum(4 * n, 1))), *BITMAP_BITS).astype(np.int64)
     begin = np.concatenate([[0], np.cumsum(width)])
     at = np.repeat(begin[:-1], n) + (values & np.repeat(width - 1, n).astype(np.uint64)).astype(np.int64)
     packed = np.packbits((np.bincount(at, minlength=begin[-1]) & 1).astype(np.uint8)).tobytes()
     return [packed[s // 8 : e // 8] for s, e in zip(begin[:-1].tolist(), begin[1:].tolist())]
 
 
-def overlap_bound(n: int, m: int, x: bytes, y: bytes) -> int:
-    """The most members that sets of n and m members with these bitmaps can share."""
-    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    while len(a) > len(b):
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return min(n, m, (n + m - int(np.bitwise_count(a ^ b).sum())) // 2)
-
+def may_link(n: np.ndarray, bits: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether sets of n members with these bitmaps can link, for each i with j, as far as sizes and bitmaps tell.
 
-def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    Two sets share at most (n + m - differing bits) / 2 members.  Bitmaps are
+    compared in the width of the shorter one.
+    """
+    out = 4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])
+    width = np.array([len(x) for x in bits])
+    least = np.minimum(width[i], width[j])
+    for w in np.unique(least[out]).tolist():
+        pairs = np.flatnonzero(out & (least == w))
+        rows, place = np.unique(np.concatenate([i[pairs], j[pairs]]), return_inverse=True)
+        folded = np.empty((len(rows), w // 8), np.uint64)
+        for size in np.unique(width[rows]).tolist():
+            of = np.flatnonzero(width[rows] == size)
+            a = np.frombuffer(b"".join([bits[r] for r in rows[of].tolist()]), np.uint64).reshape(len(of), -1)
+            while a.shape[1] * 8 > w:
+                a = a[:, : a.shape[1] // 2] ^ a[:, a.shape[1] // 2 :]
+            folded[of] = a
+        left, right = place[: len(pairs)], place[len(pairs) :]
+        step = max(1, (1 << 22) // w)
+        for s in range(0, len(pairs), step):
+            k = pairs[s : s + step]
+            total = n[i[k]].astype(np.int64) + n[j[k]]
+            differ = np.bitwise_count(folded[left[s : s + step]] ^ folded[right[s : s + step]]).sum(axis=1, dtype=np.int64)
+            most = (total - differ) // 2
+            out[k] = 100 * most >= 75 * (total - most)
+    return out
+
+
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets link."""
     total = len(x) + len(y)
     if not len(x) or not len(y) or 4 * min(len(x), len(y)) < 3 * max(len(x), len(y)):
         return False
@@ -202,57 +238,20 @@ def _linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * common >= 75 * (total - common)
 
 
-def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) less those that size or bitmaps rule out; sets: (id, n, bits)."""
+def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) of nodes less those that size or bitmaps rule out."""
     names = pairs.columns
-    side = lambda k: sets.select(F.col("id").alias(k), F.col("n").alias(f"_n{k}"), F.col("bits").alias(f"_bits{k}"))
+    side = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"_n{k}"), F.col("bits").alias(f"_bits{k}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            last = [b.column(len(names) + k).to_pylist() for k in range(4)]
-            keep = [4 * min(n, m) >= 3 * max(n, m) and 100 * (most := overlap_bound(n, m, x, y)) >= 75 * (n + m - most) for n, x, m, y in zip(*last)]
-            yield pa.RecordBatch.from_arrays(b.columns[: len(names)], names=names).filter(pa.array(keep, pa.bool_()))
+            n = np.concatenate([b.column("_na").to_numpy(), b.column("_nb").to_numpy()])
+            at = np.arange(b.num_rows)
+            keep = may_link(n, b.column("_bitsa").to_pylist() + b.column("_bitsb").to_pylist(), at, at + b.num_rows)
+            yield pa.RecordBatch.from_arrays(b.columns[: len(names)], names=names).filter(pa.array(keep))
 
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    return joined.select(*names, "_na", "_bitsa", "_nb", "_bitsb").mapInArrow(run, pairs.schema)
-
-
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those (a, b) of a written table of pairs whose texts link.
-
-    Documents that share their least partner are dealt into blocks of about
-    BLOCK_DOCS, and pairs into tiles of two blocks.  A text is sent once to each tile
-    it has a pair in, not once per pair, and a task holds the sets of one tile.
-    """
-    ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("_other")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("_other")))
-    home = ends.groupBy("id").agg(F.min("_other").alias("_least")).select("id", F.least("id", "_least").alias("home"))
-    load = home.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).alias("parts"))
-    block = written(home.join(load, "home").select("id", F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")), "shingle-blocks")
-    at = lambda k: block.select(F.col("id").alias(k), F.col("block").alias(f"_{k}"))
-    p = pairs.select("a", "b").join(at("a"), "a").join(at("b"), "b").select("a", "b", F.least("_a", "_b").alias("x"), F.greatest("_a", "_b").alias("y"))
-    p = written(p, "shingle-tiled")
-    members = p.select("x", "y", F.col("a").alias("id")).unionByName(p.select("x", "y", F.col("b").alias("id"))).distinct()
-    texts = likely_in(docs, block.select("id")).join(members, "id").select("x", "y", F.lit(0).alias("role"), "id", F.lit(None).cast("bigint").alias("b"), "text")
-    rows = texts.unionByName(p.select("x", "y", F.lit(1).alias("role"), F.col("a").alias("id"), "b", F.lit(None).cast("string").alias("text")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, sets = None, {}
-        for batch in batches:
-            x, y, role, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            partner = batch.column(4).to_pylist()
-            out: set[tuple[int, int]] = set()
-            for first, values, bounds in text_sets(batch.column(5)):
-                for i in range(len(bounds) - 1):
-                    row = first + i
-                    if tile != (x[row], y[row]):
-                        tile, sets = (x[row], y[row]), {}
-                    if role[row] == 0:
-                        sets.setdefault(ids[row], []).append(values[bounds[i] : bounds[i + 1]].copy())
-                    elif any(_linked(v, w) for v in sets.get(ids[row], ()) for w in sets.get(partner[row], ())):
-                        out.add((ids[row], partner[row]))
-            yield pa.RecordBatch.from_arrays([pa.array([t[k] for t in sorted(out)], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    return rows.repartition("x", "y").sortWithinPartitions("x", "y", "role", "id").mapInArrow(run, "a bigint, b bigint").distinct()
+    return joined.select(*names, "_na", "_nb", "_bitsa", "_bitsb").mapInArrow(run, pairs.schema).distinct()
 
 
 def likely_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -277,155 +276,232 @@ def likely_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.withColumns({"_bucket": F.bitmap_bucket_number(bit), "_at": F.bitmap_bit_position(bit)}).mapInArrow(run, docs.schema)
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) for every row of docs."""
-    slim = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    survey = written(_survey(slim), "shingle-survey")
-    heavy_rows = survey.where("not is_doc").groupBy("k1").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_AT).orderBy(F.desc("n"), "k1").limit(HEAVY_MOST).select("k1").toPandas()
-    heavy = docs.sparkSession.sparkContext.broadcast(np.sort(heavy_rows["k1"].to_numpy().astype(np.uint64)))
-    sets = survey.where("is_doc").select("id", "n", "k1", "k2", "bits")
-
-    named = sets.where("n > 0 and id is not null")
-    groups = named.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    copies = written(named.join(groups, ["k1", "k2", "n"]).where("id <> rep").groupBy(F.col("id").alias("a")).agg(F.min("rep").alias("b")), "shingle-copies")
-
-    def to_first(df: DataFrame, name: str) -> DataFrame:
-        """Copies of a set stand for one document from here on: name becomes the first's id."""
-        return df.join(copies.select(F.col("a").alias(name), F.col("b").alias("_first")), name, "left").withColumn(name, F.coalesce("_first", name)).drop("_first")
-
-    known = slim.where("id is not null")
-    tiles = written(_tiles(_prefixes(known, heavy).repartition("shingle")), "shingle-tiles")
-    stars = to_first(to_first(tiles.groupBy("id", "leader").agg(F.count(F.lit(1)).alias("tiles")), "id"), "leader").where("id <> leader")
-    stars = stars.groupBy("id", "leader").agg(F.max("tiles").alias("tiles"))
-    nearest = Window.partitionBy("id").orderBy(F.desc("tiles"), "leader")
-    stars = stars.withColumn("_k", F.row_number().over(nearest)).where(F.col("_k") <= LEADERS).select(F.col("leader").alias("a"), F.col("id").alias("b"), "tiles")
-    signed = sets.where("id is not null").dropDuplicates(["id"])
-    best = plausible(stars, signed).groupBy("b").agg(F.max_by("a", F.struct("tiles", -F.col("a"))).alias("a")).select("a", "b")
-    links = [copies, written(verified(written(best, "shingle-pairs"), known), "shingle-links")]
-
-    found = components(links[0].unionByName(links[1])).select(F.col("node").alias("id"), "component")
-    t = to_first(_mixed(tiles.select("shingle", "id", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))), "id").distinct()
-    t = written(t, "shingle-mixed")
-    for every in (*(False for _ in range(STAR_ROUNDS)), True):
-        if not every and len(links) > 2 and links[-1].isEmpty():
-            continue
-        p = written(plausible(_tile_pairs(t, signed) if every else _star_pairs(t), signed), "shingle-pairs")
-        if p.isEmpty():
-            continue
-        links.append(written(verified(p.select("a", "b"), known), "shingle-links"))
-        if not every:
-            joined = components(p.join(links[-1], ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("_to"))
-            t = written(_mixed(t.join(joined, "component", "left").withColumn("component", F.coalesce("_to", "component")).drop("_to")), "shingle-mixed")
-    if len(links) > 2:
-        every_link = links[0]
-        for more in links[1:]:
-            every_link = every_link.unionByName(more)
-        found = components(every_link).withColumnRenamed("node", "id")
-    return sets.select("id", F.col("n").alias("n_shingles")).join(found, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+#: A tile is named by k, band and kind; x and y are the two blocks of its members that a task compares.
+_TILE = ["k", "band", "kind", "x", "y"]
 
 
-def _mixed(t: DataFrame) -> DataFrame:
-    """Rows of tiles whose members lie in more than one component."""
-    t = t.repartition("shingle")
-    mixed = t.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
-    return t.join(mixed.select("shingle"), "shingle", "left_semi").select("shingle", "id", "n", "component")
+def _dealt(members: DataFrame, parts: Column) -> DataFrame:
+    """members (k, band, kind, ..., rep) with block, x and y: each tile as all pairs of its blocks, `parts` (an aggregate) many."""
+    load = members.groupBy("k", "band", "kind").agg(parts.cast("int").alias("parts"))
+    mates = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(i, F.col("block")).alias("x"), F.greatest(i, F.col("block")).alias("y")))
+    dealt = members.join(load, ["k", "band", "kind"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    return dealt.withColumn("m", F.explode(mates)).select(*members.columns, "block", "m.x", "m.y")
 
 
-def _star_pairs(t: DataFrame) -> DataFrame:
-    """(a, b, ca, cb): for each component its best-met pair with the first component of its tiles."""
-    least = t.groupBy("shingle").agg(F.min(F.struct("component", "id")).alias("first")).select("shingle", F.col("first.component").alias("ca"), F.col("first.id").alias("a"))
-    p = t.join(least, "shingle").where("component <> ca").groupBy("component", "ca", "a").agg(F.count(F.lit(1)).alias("tiles"), F.min("id").alias("b"))
-    p = p.groupBy("component").agg(F.max_by(F.struct("a", "b", "ca"), F.struct("tiles", -F.col("a"))).alias("p"))
-    return p.select("p.a", "p.b", "p.ca", F.col("component").alias("cb"))
+def _alive(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those members (k, band, kind, low, n, rep, component) of tiles that may link with one of another component, by size and bitmaps."""
+    names = members.columns
+    rows = _dealt(members, F.ceil(F.count(F.lit(1)) / BLOCK_DOCS)).join(nodes.select("rep", "n", "bits"), ["rep", "n"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
 
-def _folded(sets: DataFrame) -> DataFrame:
-    """(id, sign): bitmaps folded to SIGN_BYTES, which none falls short of."""
+        def survivors(b: pa.RecordBatch) -> pa.RecordBatch:
+            n, component, block = (b.column(c).to_numpy() for c in ("n", "component", "block"))
+            low = b.column("low").to_numpy(zero_copy_only=False)
+            across = b.column("x").to_numpy() != b.column("y").to_numpy()
+            new = _starts(b)
+            tile = np.cumsum(new) - 1
+            at = np.arange(len(n))
+            first = np.searchsorted(tile * (1 << 32) + n, tile * (1 << 32) + _needed(n.astype(np.int64)))
+            keep, bits = np.zeros(len(n), bool), b.column("bits").to_pylist()
+            for i, j in _pairs(at, first):
+                ok = (component[i] != component[j]) & ~(low[i] & low[j]) & (~across[i] | (block[i] != block[j])) & ~(keep[i] & keep[j])
+                i, j = i[ok], j[ok]
+                ok = may_link(n, bits, i, j)
+                keep[i[ok]] = keep[j[ok]] = True
+            return b.select(names).filter(pa.array(keep))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for bits in b.column(1).to_pylist():
-                a = np.frombuffer(bits, np.uint8)
-                while len(a) > SIGN_BYTES:
-                    a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-                out.append(a.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "sign"])
+            if held is not None:
+                b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0] if b.num_rows else held
+            if not b.num_rows:
+                continue
+            cut = int(np.flatnonzero(_starts(b))[-1])
+            if cut:
+                yield survivors(b.slice(0, cut))
+            held = b.slice(cut)
+        if held is not None:
+            yield survivors(held)
 
-    return sets.select("id", "bits").mapInArrow(run, "id bigint, sign binary")
+    rows = rows.select(*names, "block", "x", "y", "bits").repartition(*_TILE).sortWithinPartitions(*_TILE, "n", "rep")
+    return rows.mapInArrow(run, members.schema).distinct()
 
 
-def _tile_pairs(t: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, ca, cb): all pairs of one tile in different components that size, signs and the number of shared prefix elements leave possible.
+def _starts(b: pa.RecordBatch) -> np.ndarray:
+    """Whether each row is the first of its tile."""
+    new = np.ones(b.num_rows, bool)
+    new[1:] = False
+    for c in _TILE:
+        x = b.column(c).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return new
 
-    Rows stream sorted by tile and size; each is held against the earlier rows of its
-    size band.  Tiles of more than TILE_ROWS are dealt into blocks, and every two
-    blocks are a tile of their own.
-    """
-    load = t.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("parts"))
-    block = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    mates = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))
-    dealt = t.join(load, "shingle").withColumn("block", block).join(_folded(sets), "id")
-    dealt = dealt.where("parts = 1").withColumn("m", F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"))).unionByName(dealt.where("parts > 1").withColumn("m", F.explode(mates)))
-    dealt = dealt.select("shingle", "m.x", "m.y", "n", "id", "component", "block", "sign")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        found: list[pd.DataFrame] = []
-        for b in batches:
-            cols = [b.column(i).to_numpy() for i in range(7)]
-            cols.append(np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint64).reshape(b.num_rows, -1))
-            old = 0 if held is None else len(held[0])
-            if held is not None:
-                cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
-            shingle, x, y, n = cols[:4]
-            if not len(n):
-                continue
-            new = np.ones(len(n), bool)
-            new[1:] = (shingle[1:] != shingle[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-            tile = np.cumsum(new) - 1
-            key = tile * (1 << 32) + n
-            at = np.arange(old, len(n))
-            first = np.searchsorted(key, tile[at] * (1 << 32) + _needed(n[at].astype(np.int64)))
-            found += _plausible_rows(cols, at, first)
-            if sum(map(len, found)) > COUNTS_HELD:
-                found = [_counted(found)]
-                if len(found[0]) > COUNTS_HELD // 2:
-                    yield pa.RecordBatch.from_pandas(found.pop(), preserve_index=False)
-            last = np.flatnonzero(new)[-1]
-            held = [c[last:] for c in cols]
-        if found:
-            yield pa.RecordBatch.from_pandas(_counted(found), preserve_index=False)
-
-    p = dealt.repartition("shingle", "x", "y").sortWithinPartitions("shingle", "x", "y", "n", "id").mapInArrow(run, "a bigint, b bigint, ca bigint, cb bigint, na int, nb int, met bigint")
-    p = p.groupBy("a", "b", "ca", "cb", "na", "nb").agg(F.sum("met").alias("met"))
-    # Beyond the shorter-reaching prefix lie at most 3/4 of that set: with too few prefix elements in common the overlap cannot suffice.
-    return p.where("7 * (met + greatest(ceil(3 * na / 4), ceil(3 * nb / 4)) - 1) >= 3 * (na + nb)").select("a", "b", "ca", "cb")
-
-
-def _counted(parts: list[pd.DataFrame]) -> pd.DataFrame:
-    """Pairs of several tiles added up."""
-    rows = pd.concat(parts)
-    return rows.groupby([c for c in rows.columns if c != "met"], sort=False)["met"].sum().reset_index()
-
-
-def _plausible_rows(cols: list[np.ndarray], at: np.ndarray, first: np.ndarray) -> Iterator[pd.DataFrame]:
-    """Pairs of each row at[k] with the rows first[k]..at[k]-1, counted, less those that components or signs rule out."""
-    _, x, y, n, ids, component, block, sign = cols
+def _pairs(at: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each at[k] with first[k]..at[k]-1, PAIRS_AT_ONCE or one row's at a time."""
     count = at - first
+    ends = np.cumsum(count)
     begin = 0
     while begin < len(at):
-        end = max(begin + 1, int(np.searchsorted(np.cumsum(count[begin:]), PAIRS_AT_ONCE)) + begin)
-        i, j = np.repeat(at[begin:end], count[begin:end]), ragged(first[begin:end], count[begin:end])
-        keep = (component[i] != component[j]) & ((x[i] == y[i]) | (block[i] != block[j]))
-        i, j = i[keep], j[keep]
-        total = n[i].astype(np.int64) + n[j]
-        most = (total - np.bitwise_count(sign[i] ^ sign[j]).sum(axis=1, dtype=np.int64)) // 2
-        keep = 100 * most >= 75 * (total - most)
-        i, j = i[keep], j[keep]
-        swap = component[i] > component[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        if len(i):
-            rows = pd.DataFrame({"a": ids[i], "b": ids[j], "ca": component[i], "cb": component[j], "na": n[i], "nb": n[j]})
-            yield rows.groupby(list(rows.columns), sort=False).size().reset_index(name="met")
+        done = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, done + PAIRS_AT_ONCE, side="right")))
+        yield np.repeat(at[begin:end], count[begin:end]), ragged(first[begin:end], count[begin:end])
         begin = end
+
+
+@dataclass
+class _Member:
+    values: np.ndarray
+    id: int
+    component: int
+    low: bool
+    block: int
+
+
+def _tile_links(members: list[_Member], across: bool) -> list[tuple[int, int]]:
+    """Links (a, b) between members of different components, enough to join all that link.
+
+    A member is first compared with the one that last linked, so a tile of copies
+    takes one comparison for each.
+    """
+    members = sorted(members, key=lambda m: len(m.values))
+    n = np.array([len(m.values) for m in members])
+    label = np.unique(np.array([m.component for m in members]), return_inverse=True)[1]
+    low, block = np.array([m.low for m in members]), np.array([m.block for m in members])
+    bounds = np.concatenate([[0], np.cumsum(n)])
+    bits = bitmaps(np.concatenate([m.values for m in members]), bounds) if len(members) > 3 else None
+    out: list[tuple[int, int]] = []
+    hub = 0
+
+    def meets(i: int, j: int) -> bool:
+        if members[i].id == members[j].id or not linked(members[i].values, members[j].values):
+            return False
+        out.append((members[i].id, members[j].id))
+        label[label == label[i]] = label[j]
+        return True
+
+    for i in range(1, len(members)):
+        allowed = ~(low[:i] & low[i])
+        if across:
+            allowed &= block[:i] != block[i]
+        if label[hub] != label[i] and allowed[hub]:
+            meets(i, hub)
+        while True:
+            first = int(np.searchsorted(n, _needed(int(n[i]))))
+            open_ = np.flatnonzero(allowed[first:i] & (label[first:i] != label[i])) + first
+            if len(open_) and bits is not None:
+                open_ = open_[may_link(n, bits, np.full(len(open_), i), open_)]
+            met = next((j for j in open_.tolist() if meets(i, j)), None)
+            if met is None:
+                break
+            hub = met
+    return out
+
+
+def _exact(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) of members (k, band, kind, x, y, block, low, rep, component) of tiles, by their texts; a task holds the sets of one tile."""
+    ids = written(members, "shingle-members")
+    texts = likely_in(docs, ids.select(F.col("rep").alias("id")).distinct())
+    rows = texts.join(ids, texts["id"] == ids["rep"]).select(*_TILE, "block", "low", "rep", "component", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, tile = None, []
+
+        def found(links: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([t[k] for t in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            keys = list(zip(*(b.column(c).to_pylist() for c in _TILE)))
+            block, low, rep, component = (b.column(c).to_pylist() for c in ("block", "low", "rep", "component"))
+            links: list[tuple[int, int]] = []
+            for first, values, bounds in text_sets(b.column(len(b.schema.names) - 1)):
+                for i in range(len(bounds) - 1):
+                    r = first + i
+                    if keys[r] != key:
+                        links += _tile_links(tile, key[3] != key[4]) if len(tile) > 1 else []
+                        key, tile = keys[r], []
+                    tile.append(_Member(values[bounds[i] : bounds[i + 1]].copy(), rep[r], component[r], low[r], block[r]))
+            yield found(links)
+        if len(tile) > 1:
+            yield found(_tile_links(tile, key[3] != key[4]))
+
+    return rows.repartition(*_TILE).sortWithinPartitions(*_TILE).mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _copies(sets: DataFrame) -> DataFrame:
+    """Links (a, b) of equal sets: to the least of a salted part of the group, and from there to the least of all."""
+    keys = ["k1", "k2", "n"]
+    named = sets.select("id", *keys, F.pmod(F.xxhash64("id"), F.lit(COPY_SALTS)).alias("salt"))
+    part = named.groupBy(*keys, "salt").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("rows"))
+    whole = part.groupBy(*keys).agg(F.min("b").alias("rep"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    inner = named.join(part.where("rows > 1"), [*keys, "salt"]).select(F.col("id").alias("a"), "b")
+    outer = part.join(whole, keys).select(F.col("b").alias("a"), F.col("rep").alias("b"))
+    return inner.unionByName(outer).where("a <> b").distinct()
+
+
+def _home_members(tiles: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Each node with its likeliest leader, as members of that leader's tile in parts of HOME_DOCS."""
+    stars = tiles.where("node <> leader").groupBy(F.col("node").alias("b"), F.col("leader").alias("a")).agg(F.count(F.lit(1)).alias("tiles"))
+    likeliest = Window.partitionBy("b").orderBy(F.desc("tiles"), "a")
+    stars = stars.withColumn("_k", F.row_number().over(likeliest)).where(F.col("_k") <= LEADERS).select("a", "b", "tiles")
+    best = _plausible(stars, nodes).groupBy("b").agg(F.max_by("a", F.struct("tiles", -F.col("a"))).alias("a"))
+    best = written(best.select("a", "b"), "shingle-homes")
+    load = best.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HOME_DOCS).cast("int").alias("parts"))
+    own = best.join(load, "a").select(F.col("a").alias("k"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("band"), F.col("b").alias("node"))
+    lead = load.select(F.col("a").alias("k"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("band"), F.col("a").alias("node"))
+    zero = F.lit(0)
+    return own.unionByName(lead).join(nodes.select("node", "rep"), "node").select("k", "band", zero.alias("kind"), zero.alias("x"), zero.alias("y"), zero.alias("block"), F.lit(False).alias("low"), "rep", F.col("rep").alias("component")).distinct()
+
+
+def _mixed_members(tiles: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """Members (k, band, kind, low, n, rep, component) of size-banded tiles whose members lie in more than one component.
+
+    Two nodes of a shingle's tile also meet in the tile of its least node, so tiles of
+    one leader are united where their union is not much more to compare than they are.
+    """
+    own = nodes.select("node", "rep").join(found, F.col("rep") == found["id"], "left").select("node", "rep", F.coalesce("component", "rep").alias("component"))
+    t = tiles.select("shingle", "salt", "node", "n").join(own, "node")
+    part = t.groupBy("shingle", "salt").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    mixed = part.groupBy("shingle").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least <> most").select("shingle")
+    mixed = part.select("shingle", "salt").join(mixed, "shingle")
+    t = written(t.join(mixed, ["shingle", "salt"]).select("shingle", "salt", "n", "rep", "component"), "shingle-mixed")
+
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))).cast("int")
+    t = t.withColumn("_b", F.explode(F.array(F.lit(0), F.lit(1)))).select("shingle", "salt", "n", "rep", "component", (band + F.col("_b")).alias("band"), (F.col("_b") == 1).alias("low"))
+    part = t.groupBy("shingle", "salt", "band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("low").alias("low"), F.min("rep").alias("leader"), F.count(F.lit(1)).alias("rows"))
+    whole = part.groupBy("shingle", "band").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min("low").alias("low"), F.min("leader").alias("leader"), F.sum("rows").alias("rows"))
+    whole = whole.where("least <> most and not low").select("shingle", "band", "leader", (F.col("rows").cast("double") * F.col("rows")).alias("work"))
+    keys = part.select("shingle", "salt", "band").join(whole, ["shingle", "band"])
+    t = written(t.join(keys.select("shingle", "salt", "band", "leader"), ["shingle", "salt", "band"]).select("shingle", "band", "leader", "low", "n", "rep", "component"), "shingle-banded")
+
+    united = t.select("leader", "band", "low", "n", "rep", "component").distinct()
+    work = united.groupBy("leader", "band").agg(F.count(F.lit(1)).cast("double").alias("rows")).join(whole.groupBy("leader", "band").agg(F.sum("work").alias("work")), ["leader", "band"])
+    unite = written(work.select("leader", "band", (F.col("rows") * F.col("rows") <= 4 * F.col("work")).alias("unite")), "shingle-unite")
+    one = united.join(unite.where("unite"), ["leader", "band"]).select(F.col("leader").alias("k"), "band", F.lit(0).alias("kind"), "low", "n", "rep", "component")
+    each = t.join(unite.where("not unite"), ["leader", "band"]).select(F.col("shingle").alias("k"), "band", F.lit(1).alias("kind"), "low", "n", "rep", "component")
+    return one.unionByName(each.distinct())
+
+
+def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) for every row of docs."""
+    slim = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    survey = written(_survey(slim), "shingle-survey")
+    met = survey.where("not is_doc").groupBy("k1").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_AT).orderBy(F.desc("n"), "k1").limit(HEAVY_MOST).orderBy("k1").toPandas()
+    parts = np.ceil(met["n"].to_numpy() / SALT_ROWS).astype(np.int32)
+    heavy = docs.sparkSession.sparkContext.broadcast((met["k1"].to_numpy().astype(np.uint64), parts))
+    sets = survey.where("is_doc").select("id", "n", "k1", "k2", "bits")
+
+    named, known = sets.where("n > 0 and id is not null"), slim.where("id is not null")
+    nodes = written(named.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.min("bits").alias("bits")).select(F.col("k1").alias("node"), "n", "rep", "bits"), "shingle-nodes")
+    copies = written(_copies(named), "shingle-copies")
+    tiles = written(_tiles(_prefixes(known, heavy)), "shingle-tiles")
+    links = copies.unionByName(written(_exact(_home_members(tiles, nodes), known), "shingle-links"))
+    found = components(links).select(F.col("node").alias("id"), "component")
+
+    members = written(_alive(_mixed_members(tiles, nodes, found), nodes), "shingle-alive")
+    if not members.isEmpty():
+        dealt = _dealt(members, F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_DOCS))).drop("n")
+        links = links.unionByName(written(_exact(dealt, known), "shingle-links"))
+        found = components(links).select(F.col("node").alias("id"), "component")
+    return sets.select("id", F.col("n").alias("n_shingles")).join(found, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))

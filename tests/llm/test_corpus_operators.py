@@ -153,9 +153,13 @@ def near_copies(rng):
     return out
 
 
-@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("seed", range(3))
 def test_links_against_brute_force(spark, seed, odd_texts, monkeypatch):
-    monkeypatch.setattr(shingle_join, "BLOCK_DOCS", 3)
+    if seed:
+        for name, value in {"BLOCK_DOCS": 3, "BLOCK_SHINGLES": 100, "HOME_DOCS": 2, "SALT_ROWS": 3, "HEAVY_AT": 2, "COUNT_AT_ONCE": 500 * seed}.items():
+            monkeypatch.setattr(shingle_join, name, value)
+    if seed == 2:
+        monkeypatch.setattr(shingle_join, "LEADERS", 0)  # all is left to the banded tiles
     rng = random.Random(seed)
     texts = near_copies(rng) + odd_texts + ["one two", "One TWO", "a b c d", "a b c d e"]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join.link_components(frame(spark, texts).repartition(3)).collect()}
@@ -163,12 +167,33 @@ def test_links_against_brute_force(spark, seed, odd_texts, monkeypatch):
 
 
 def test_bitmap_bounds_hold():
-    rng = np.random.default_rng(0)
+    rng, refused = np.random.default_rng(0), 0
     for _ in range(300):
         both = np.unique(rng.integers(0, 1 << 62, rng.integers(0, 900), dtype=np.uint64))
         x, y = np.sort(np.unique(np.concatenate([both, rng.integers(0, 1 << 62, rng.integers(1, 400), dtype=np.uint64)]))), np.sort(np.unique(np.concatenate([both, rng.integers(0, 1 << 62, rng.integers(1, 400), dtype=np.uint64)])))
-        a, b = (shingle_join.bitmaps(v, np.array([0, len(v)]))[0] for v in (x, y))
-        assert len(np.intersect1d(x, y)) <= shingle_join.overlap_bound(len(x), len(y), a, b)
+        bits = [shingle_join.bitmaps(v, np.array([0, len(v)]))[0] for v in (x, y)]
+        may = shingle_join.may_link(np.array([len(x), len(y)]), bits, np.array([0]), np.array([1]))[0]
+        common = len(np.intersect1d(x, y))
+        link = 100 * common >= 75 * (len(x) + len(y) - common)
+        assert shingle_join.linked(x, y) == link
+        assert may or not link
+        refused += not may
+    assert refused > 100
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ids_of_several_texts_keep_every_link(spark, seed):
+    """An id counts as one document with the links of all its texts, whatever the order of rows."""
+    rng = random.Random(seed)
+    rows, want = [], {}
+    for k in range(12):
+        base, other = words(rng, 60), words(rng, rng.choice([60, 62, 300]))
+        near, near_other = base + " tail", other + " tail"
+        rows += [(10 * k, base), (10 * k + 1, near), (10 * k + 1, other), (10 * k + 2, other if k % 2 else near_other), (10 * k + 3, words(rng, 40))]
+        want |= {10 * k: 10 * k, 10 * k + 1: 10 * k, 10 * k + 2: 10 * k, 10 * k + 3: 10 * k + 3}
+    rng.shuffle(rows)
+    got = {(r.doc_id, r.component_id) for r in shingle_join.link_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    assert got == set(want.items())
 
 
 def test_components_of_chains_and_stars(spark):
