@@ -35,6 +35,23 @@ def brute_removed(texts, window):
     return out
 
 
+def brute_passages(texts, window):
+    """(runs, words) of each text that lie in windows of words found in another text too."""
+    split = [quality_words(t) for t in texts]
+    owners = defaultdict(set)
+    for i, w in enumerate(split):
+        for p in range(len(w) - window + 1):
+            owners[tuple(w[p : p + window])].add(i)
+    out = []
+    for w in split:
+        met = np.zeros(len(w) + 1, bool)
+        for p in range(len(w) - window + 1):
+            if len(owners[tuple(w[p : p + window])]) > 1:
+                met[p : p + window] = True
+        out.append((int((met[:-1] & ~met[1:]).sum()), int(met.sum())))
+    return out
+
+
 def spliced(rng, n_texts, window):
     """Texts that share stretches of lengths around the window, at many offsets, with small edits."""
     pool = [words(rng, 300, 50) for _ in range(4)]
@@ -62,14 +79,23 @@ def test_substrings_against_brute_force(spark, seed, odd_texts, monkeypatch):
     texts += texts[:3]
     if seed:
         monkeypatch.setattr(substring_dedup, "WIDE_BUCKET", 2)  # buckets of three kinds go the way of the largest
-    got = {r[0]: (r[1], r[2], r[3], bytes(r[4])) for r in substring_dedup.remove_repeats(frame(spark, texts).repartition(3), window).collect()}
-    assert got == dict(enumerate(brute_removed(texts, window)))
+    got = {r[0]: (r[1], r[2], r[3], bytes(r[4]), r[5], r[6]) for r in substring_dedup.remove_repeats(frame(spark, texts).repartition(3), window, 12).collect()}
+    assert got == {i: (*a, *b) for i, (a, b) in enumerate(zip(brute_removed(texts, window), brute_passages(texts, 12)))}
+
+
+def test_each_text_of_an_id_is_cut_by_its_own_spans(spark):
+    rng = random.Random(4)
+    shared, rest = words(rng, 100, 10**9), [words(rng, 150, 10**9) for _ in range(3)]
+    rows = [(1, rest[0]), (1, shared + rest[1]), (2, rest[2] + shared), (2, None), (None, shared)]
+    for seed in range(2):
+        random.Random(seed).shuffle(rows)
+        got = Counter((r.doc_id, bytes(r.kept).decode()) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+        assert got == Counter({(1, rest[0]): 1, (1, rest[1]): 1, (2, rest[2]): 1, (2, ""): 1, (None, shared): 1})
 
 
 def test_repeated_windows_by_suffix_order():
     rng = random.Random(8)
-    window = 90
-    for _ in range(20):
+    for window in (90, 85, 91, 48, 37) * 4:
         bodies = [bytes(rng.choice(b"ab") for _ in range(4)) + b"x" * rng.randint(0, 2) + bytes(rng.choice(b"ab") for _ in range(2)) + b"y" * window for _ in range(rng.randint(1, 9))]
         anchors = np.array([b.index(b"y") for b in bodies])
         buckets, sure = np.zeros(len(bodies), np.int64), np.array([rng.random() < 0.2 for _ in bodies], np.int64)
@@ -94,7 +120,9 @@ def test_long_texts_repeat_across_pieces(spark):
 def test_substring_query(spark, documents):
     rows = documents.select("doc_id", "text").collect()
     want = {r.doc_id: w for r, w in zip(rows, brute_removed([r.text for r in rows], 400))}
+    passages = {r.doc_id: w for r, w in zip(rows, brute_passages([r.text for r in rows], substring_dedup.PASSAGE_WORDS))}
     for r in QUERIES["op2_substring_dedup"](spark, SF).collect():
+        assert (r.n_passages, r.n_passage_words) == passages[r.doc_id]
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (*want[r.doc_id][:3], hashlib.sha256(want[r.doc_id][3]).hexdigest())
     assert substring_dedup.remove_repeats(documents.limit(0)).count() == 0
 
