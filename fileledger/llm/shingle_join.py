@@ -44,7 +44,7 @@ COUNT_AT_ONCE = 1 << 20
 #: Tiles of shingles met more often than this are dealt into salted parts.
 SALT_ROWS = 4096
 COPY_SALTS = 32
-BITMAP_BITS = (512, 32768)
+BITMAP_BITS = (512, 16384)
 LEADERS = 3
 #: Nodes of one leader that a task compares, and nodes and shingles of one block of a tile.
 HOME_DOCS = 512
@@ -190,7 +190,7 @@ def bitmaps(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     bitmap folds to half its size by xor of its halves.
     """
     n = np.diff(bounds)
-    width = np.clip(2 ** np.ceil(np.log2(np.maximum(4 * n, 1))), *BITMAP_BITS).astype(np.int64)
+    width = np.clip(2 ** np.ceil(np.log2(np.maximum(2 * n, 1))), *BITMAP_BITS).astype(np.int64)
     begin = np.concatenate([[0], np.cumsum(width)])
     at = np.repeat(begin[:-1], n) + (values & np.repeat(width - 1, n).astype(np.uint64)).astype(np.int64)
     packed = np.packbits((np.bincount(at, minlength=begin[-1]) & 1).astype(np.uint8)).tobytes()
@@ -282,9 +282,9 @@ _TILE = ["k", "band", "kind", "x", "y"]
 
 def _dealt(members: DataFrame, parts: Column) -> DataFrame:
     """members (k, band, kind, ..., rep) with block, x and y: each tile as all pairs of its blocks, `parts` (an aggregate) many."""
-    load = members.groupBy("k", "band", "kind").agg(parts.cast("int").alias("parts"))
+    load = members.groupBy("k", "band", "kind").agg(parts.cast("int").alias("parts")).where("parts > 1")
     mates = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(i, F.col("block")).alias("x"), F.greatest(i, F.col("block")).alias("y")))
-    dealt = members.join(load, ["k", "band", "kind"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    dealt = members.join(load, ["k", "band", "kind"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     return dealt.withColumn("m", F.explode(mates)).select(*members.columns, "block", "m.x", "m.y")
 
 
@@ -454,6 +454,59 @@ def _home_members(tiles: DataFrame, nodes: DataFrame) -> DataFrame:
     return own.unionByName(lead).join(nodes.select("node", "rep"), "node").select("k", "band", zero.alias("kind"), zero.alias("x"), zero.alias("y"), zero.alias("block"), F.lit(False).alias("low"), "rep", F.col("rep").alias("component")).distinct()
 
 
+def _banded(t: DataFrame) -> DataFrame:
+    """(shingle, band, leader, rows, low, n, rep, component) of size-banded tiles of (shingle, n, rep, component) with members in more than one component.
+
+    Each node is in its own band and, as low, in the next one.  leader: the least
+    rep of the tile; rows: how many it has.  Streams over rows sorted by shingle and
+    holds one shingle's.
+    """
+    names = ["shingle", "band", "leader", "rows", "low", "n", "rep", "component"]
+
+    def found(shingle, n, rep, component) -> pa.RecordBatch:
+        own = np.floor(np.log(n) / np.log(BAND)).astype(np.int32)
+        twice = lambda x: np.concatenate([x, x])
+        low = np.arange(2 * len(n)) >= len(n)
+        band = np.concatenate([own, own + 1]).astype(np.int32)
+        order = np.lexsort((band, twice(shingle)))
+        cols = [x[order] for x in (twice(shingle), band, low, twice(n), twice(rep), twice(component))]
+        new = np.append(True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(order)))
+        least, most = np.minimum.reduceat(cols[5], begin), np.maximum.reduceat(cols[5], begin)
+        keep = np.repeat((least != most) & ~np.logical_and.reduceat(cols[2], begin), size)
+        leader, rows = np.repeat(np.minimum.reduceat(cols[4], begin), size), np.repeat(size, size)
+        s, band, low, n, rep, component = cols
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (s, band, leader, rows, low, n, rep, component)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            rows = [c.to_numpy() for c in b.columns]
+            if held is not None:
+                rows = [np.concatenate([h, r]) for h, r in zip(held, rows)]
+            if not len(rows[0]):
+                continue
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            if cut:
+                yield found(*(r[:cut] for r in rows))
+            held = [r[cut:] for r in rows]
+        if held is not None:
+            yield found(*held)
+
+    return t.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, "shingle bigint, band int, leader bigint, rows bigint, low boolean, n int, rep bigint, component bigint")
+
+
+def _banded_by_parts(t: DataFrame) -> DataFrame:
+    """The same for tiles that are dealt into salted parts, (shingle, salt, ...): aggregated by part first, so no tile is one task."""
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))).cast("int")
+    t = t.withColumn("_b", F.explode(F.array(F.lit(0), F.lit(1)))).select("shingle", "salt", "n", "rep", "component", (band + F.col("_b")).alias("band"), (F.col("_b") == 1).alias("low"))
+    part = t.groupBy("shingle", "salt", "band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("low").alias("all_low"), F.min("rep").alias("leader"), F.count(F.lit(1)).alias("rows"))
+    whole = part.groupBy("shingle", "band").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min("all_low").alias("all_low"), F.min("leader").alias("leader"), F.sum("rows").alias("rows"))
+    keys = part.select("shingle", "salt", "band").join(whole.where("least <> most and not all_low").select("shingle", "band", "leader", "rows"), ["shingle", "band"])
+    return t.join(keys, ["shingle", "salt", "band"]).select("shingle", "band", "leader", "rows", "low", "n", "rep", "component")
+
+
 def _mixed_members(tiles: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
     """Members (k, band, kind, low, n, rep, component) of size-banded tiles whose members lie in more than one component.
 
@@ -462,24 +515,16 @@ def _mixed_members(tiles: DataFrame, nodes: DataFrame, found: DataFrame) -> Data
     """
     own = nodes.select("node", "rep").join(found, F.col("rep") == found["id"], "left").select("node", "rep", F.coalesce("component", "rep").alias("component"))
     t = tiles.select("shingle", "salt", "node", "n").join(own, "node")
-    part = t.groupBy("shingle", "salt").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    mixed = part.groupBy("shingle").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least <> most").select("shingle")
-    mixed = part.select("shingle", "salt").join(mixed, "shingle")
-    t = written(t.join(mixed, ["shingle", "salt"]).select("shingle", "salt", "n", "rep", "component"), "shingle-mixed")
-
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))).cast("int")
-    t = t.withColumn("_b", F.explode(F.array(F.lit(0), F.lit(1)))).select("shingle", "salt", "n", "rep", "component", (band + F.col("_b")).alias("band"), (F.col("_b") == 1).alias("low"))
-    part = t.groupBy("shingle", "salt", "band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("low").alias("low"), F.min("rep").alias("leader"), F.count(F.lit(1)).alias("rows"))
-    whole = part.groupBy("shingle", "band").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min("low").alias("low"), F.min("leader").alias("leader"), F.sum("rows").alias("rows"))
-    whole = whole.where("least <> most and not low").select("shingle", "band", "leader", (F.col("rows").cast("double") * F.col("rows")).alias("work"))
-    keys = part.select("shingle", "salt", "band").join(whole, ["shingle", "band"])
-    t = written(t.join(keys.select("shingle", "salt", "band", "leader"), ["shingle", "salt", "band"]).select("shingle", "band", "leader", "low", "n", "rep", "component"), "shingle-banded")
-
-    united = t.select("leader", "band", "low", "n", "rep", "component").distinct()
-    work = united.groupBy("leader", "band").agg(F.count(F.lit(1)).cast("double").alias("rows")).join(whole.groupBy("leader", "band").agg(F.sum("work").alias("work")), ["leader", "band"])
-    unite = written(work.select("leader", "band", (F.col("rows") * F.col("rows") <= 4 * F.col("work")).alias("unite")), "shingle-unite")
-    one = united.join(unite.where("unite"), ["leader", "band"]).select(F.col("leader").alias("k"), "band", F.lit(0).alias("kind"), "low", "n", "rep", "component")
-    each = t.join(unite.where("not unite"), ["leader", "band"]).select(F.col("shingle").alias("k"), "band", F.lit(1).alias("kind"), "low", "n", "rep", "component")
+    t = _banded(t.where("salt < 0").select("shingle", "n", "rep", "component")).unionByName(_banded_by_parts(t.where("salt >= 0")))
+    t = written(t, "shingle-banded")
+    united = t.groupBy("leader", "band", "low", "n", "rep", "component").agg(F.sum("rows").alias("work"))
+    united = written(united, "shingle-united")
+    work = united.groupBy("leader", "band").agg(F.count(F.lit(1)).cast("double").alias("rows"), F.sum("work").cast("double").alias("work"))
+    apart = written(work.where("rows * rows > 4 * work").select("leader", "band"), "shingle-apart")
+    one = united.join(apart, ["leader", "band"], "left_anti").select(F.col("leader").alias("k"), "band", F.lit(0).alias("kind"), "low", "n", "rep", "component")
+    if apart.isEmpty():
+        return one
+    each = t.join(apart, ["leader", "band"], "left_semi").select(F.col("shingle").alias("k"), "band", F.lit(1).alias("kind"), "low", "n", "rep", "component")
     return one.unionByName(each.distinct())
 
 
