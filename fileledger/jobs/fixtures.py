@@ -128,15 +128,15 @@ PARENT = "CASE WHEN {p} = '' THEN NULL WHEN contains({p}, '/') THEN regexp_repla
 
 
 def _tree(leaves: str, name: str) -> str:
-    return f"""{name}_dirs AS (SELECT DISTINCT unnest({UP.format(p='rel_path')}) AS rel_path FROM {leaves}),
-{name} AS (SELECT {_LEAF} FROM {leaves} UNION ALL SELECT rel_path, {_DIR} FROM {name}_dirs)"""
+    return f"""{name}_dirs AS MATERIALIZED (SELECT DISTINCT unnest({UP.format(p='rel_path')}) AS rel_path FROM {leaves}),
+{name} AS MATERIALIZED (SELECT {_LEAF} FROM {leaves} UNION ALL SELECT rel_path, {_DIR} FROM {name}_dirs)"""
 
 
 ORDERS_SQL = """ord0 AS (
   SELECT o_orderkey AS k, o_custkey % 200 AS c, o_custkey, o_totalprice, epoch(o_orderdate)::BIGINT AS t,
     'p' || substr(o_orderpriority, 1, 1) || '/s' || o_orderstatus || '/c' || (o_custkey % 200) AS folder,
     CASE WHEN o_orderkey % 97 = 0 THEN 'other' WHEN o_orderkey % 19 = 0 THEN 'symlink' ELSE 'file' END AS kind FROM orders
-), ord AS (
+), ord AS MATERIALIZED (
   SELECT k, c, folder, folder || '/o' || k || '.dat' AS rel_path, kind, round(o_totalprice * 100)::BIGINT AS size,
     CASE kind WHEN 'file' THEN 32768 WHEN 'symlink' THEN 40960 ELSE 4096 END + CASE k % 3 WHEN 1 THEN 436 WHEN 2 THEN 493 ELSE 420 END + CASE WHEN k % 53 = 0 THEN 2048 ELSE 0 END AS mode,
     (1000 + o_custkey % 7)::BIGINT AS uid, (100 + o_custkey % 5)::BIGINT AS gid, t AS mtime_s,

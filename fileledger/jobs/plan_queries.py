@@ -41,20 +41,20 @@ def copy_plan(spark, sf_dir):
 
 @query(
     "copy_plan_strict",
-    f"""WITH {BOTH}, p0 AS (SELECT s.rel_path, s.kind, s.size, {_action('error')} AS action, d.kind AS dst_kind FROM src s LEFT JOIN dst d ON s.rel_path = d.rel_path),
-blocked AS (SELECT rel_path FROM p0 WHERE kind = 'dir' AND action = 'error'), below AS (SELECT DISTINCT x.rel_path FROM (SELECT rel_path, unnest({UP.format(p='rel_path')}) AS a FROM p0) x JOIN blocked b ON x.a = b.rel_path)
-SELECT rel_path, kind, size, action, dst_kind FROM p0 WHERE rel_path NOT IN (SELECT rel_path FROM below)""",
+    f"""WITH {BOTH}, p0 AS MATERIALIZED (SELECT s.rel_path, s.kind, s.size, {_action('error')} AS action, d.kind AS dst_kind FROM src s LEFT JOIN dst d ON s.rel_path = d.rel_path),
+blocked AS (SELECT rel_path FROM p0 WHERE kind = 'dir' AND action = 'error'), below AS MATERIALIZED (SELECT DISTINCT x.rel_path FROM (SELECT rel_path, unnest({UP.format(p='rel_path')}) AS a FROM p0) x JOIN blocked b ON x.a = b.rel_path)
+SELECT p.* FROM p0 p ANTI JOIN below b ON p.rel_path = b.rel_path""",
 )
 def copy_plan_strict(spark, sf_dir):
     return plans.copy_plan(src_manifest(spark, sf_dir), dst_manifest(spark, sf_dir), skip_specials=True).select("rel_path", "kind", "size", "action", "dst_kind")
 
 
-_COPY_FILTERED = f"""{SRC_SQL}, {DST_SQL}, dst_few AS (SELECT * FROM dst WHERE rel_path NOT LIKE 'p4%'), {_walk('src')}, p0 AS (
+_COPY_FILTERED = f"""{SRC_SQL}, {DST_SQL}, dst_few AS (SELECT * FROM dst WHERE rel_path NOT LIKE 'p4%'), {_walk('src')}, p0 AS MATERIALIZED (
   SELECT s.rel_path, s.kind, s.size, {_action('replace')} AS action, s.direct FROM src_w s LEFT JOIN dst_few d ON s.rel_path = d.rel_path WHERE s.walk = 'included'
   UNION ALL SELECT rel_path, kind, size, 'skip_filter', direct FROM src_w WHERE walk = 'skipped'),
 seeds AS (SELECT CASE WHEN kind = 'dir' THEN rel_path ELSE {PARENT.format(p='rel_path')} END AS f FROM p0 WHERE (kind <> 'dir' AND action IN ('copy', 'replace', 'symlink')) OR (kind = 'dir' AND action IN ('mkdir', 'replace') AND direct)),
-kept AS (SELECT DISTINCT unnest(list_append({UP.format(p='f')}, f)) AS d FROM seeds),
-plan AS (SELECT rel_path, kind, size, CASE WHEN kind = 'dir' AND action IN ('mkdir', 'replace') AND rel_path <> '' AND NOT direct AND rel_path NOT IN (SELECT d FROM kept WHERE d IS NOT NULL) THEN 'drop_empty_dir' ELSE action END AS action FROM p0)"""
+kept AS MATERIALIZED (SELECT DISTINCT unnest(list_append({UP.format(p='f')}, f)) AS d FROM seeds),
+plan AS (SELECT p.rel_path, kind, size, CASE WHEN kind = 'dir' AND action IN ('mkdir', 'replace') AND p.rel_path <> '' AND NOT direct AND k.d IS NULL THEN 'drop_empty_dir' ELSE action END AS action FROM p0 p LEFT JOIN kept k ON k.d = p.rel_path)"""
 
 
 @query("copy_plan_filtered", f"WITH {_COPY_FILTERED} SELECT * FROM plan")
@@ -65,9 +65,11 @@ def copy_plan_filtered(spark, sf_dir):
 
 @query(
     "copy_dry_run",
-    f"""WITH {BOTH} SELECT s.rel_path, s.kind, s.size, CASE s.kind WHEN 'dir' THEN CASE WHEN d.kind <> 'dir' THEN 'skip_existing' ELSE 'mkdir' END WHEN 'other' THEN 'skip_special'
+    f"""WITH {BOTH}, blocked AS (SELECT a.rel_path FROM src a JOIN dst b ON a.rel_path = b.rel_path WHERE a.kind = 'dir' AND b.kind <> 'dir'),
+below AS MATERIALIZED (SELECT DISTINCT x.rel_path FROM (SELECT rel_path, unnest({UP.format(p='rel_path')}) AS a FROM src) x JOIN blocked b ON x.a = b.rel_path)
+SELECT s.rel_path, s.kind, s.size, CASE s.kind WHEN 'dir' THEN CASE WHEN d.kind <> 'dir' THEN 'skip_existing' ELSE 'mkdir' END WHEN 'other' THEN 'skip_special'
   WHEN 'file' THEN CASE WHEN d.kind IS NULL THEN 'copy' ELSE 'unchanged' END ELSE CASE WHEN d.kind IS NULL THEN 'symlink' ELSE 'unchanged' END END AS action
-FROM src s LEFT JOIN dst d ON s.rel_path = d.rel_path WHERE NOT list_has_any({UP.format(p='s.rel_path')}, (SELECT list(a.rel_path) FROM src a JOIN dst b ON a.rel_path = b.rel_path WHERE a.kind = 'dir' AND b.kind <> 'dir'))""",
+FROM src s LEFT JOIN dst d ON s.rel_path = d.rel_path ANTI JOIN below x ON s.rel_path = x.rel_path""",
 )
 def copy_dry_run(spark, sf_dir):
     return plans.copy_plan(src_manifest(spark, sf_dir), dst_manifest(spark, sf_dir), ignore_existing=True, skip_specials=True, dry_run=True).select("rel_path", "kind", "size", "action")
@@ -95,35 +97,92 @@ def mirror_delete(spark, sf_dir):
     return plans.mirror_delete_plan(src_manifest(spark, sf_dir), dst_manifest(spark, sf_dir), FilterSettings.of(exclude=["x1*.log"])).drop("reason")
 
 
-_LINK = f"""{SRC_SQL}, {UPD_SQL}, j AS (SELECT coalesce(s.rel_path, d.rel_path) AS rel_path, s.kind AS sk, d.kind AS uk, s.size AS ss, d.size AS us,
+_LINK = f"""{SRC_SQL}, {UPD_SQL}, j AS MATERIALIZED (SELECT coalesce(s.rel_path, d.rel_path) AS rel_path, s.kind AS sk, d.kind AS uk, s.size AS ss, d.size AS us,
   CASE WHEN d.kind IS NULL THEN CASE s.kind WHEN 'dir' THEN 'mkdir' WHEN 'file' THEN 'hardlink' WHEN 'symlink' THEN 'symlink' ELSE 'skip_special' END
     WHEN s.kind = 'file' AND d.kind = 'file' AND s.size = d.size AND {_MT} THEN 'hardlink'
     ELSE CASE d.kind WHEN 'dir' THEN 'mkdir' WHEN 'file' THEN 'copy_from_update' WHEN 'symlink' THEN 'symlink' ELSE 'skip_special' END END AS action FROM src s FULL JOIN upd d ON s.rel_path = d.rel_path),
-swapped AS (SELECT rel_path FROM j WHERE sk <> uk), below AS (SELECT DISTINCT x.rel_path FROM (SELECT rel_path, unnest({UP.format(p='rel_path')}) AS a FROM j WHERE uk IS NULL) x JOIN swapped b ON x.a = b.rel_path),
+swapped AS (SELECT rel_path FROM j WHERE sk <> uk), below AS MATERIALIZED (SELECT DISTINCT x.rel_path FROM (SELECT rel_path, unnest({UP.format(p='rel_path')}) AS a FROM j WHERE uk IS NULL) x JOIN swapped b ON x.a = b.rel_path),
 plan AS (SELECT rel_path, CASE WHEN uk IS NOT NULL AND NOT (action = 'hardlink' AND sk IS NOT NULL) THEN uk ELSE sk END AS kind, CASE WHEN uk IS NOT NULL AND NOT (action = 'hardlink' AND sk IS NOT NULL) THEN us ELSE ss END AS size, action,
-  CASE WHEN uk IS NOT NULL AND NOT (action = 'hardlink' AND sk IS NOT NULL) THEN 'update' ELSE 'src' END AS origin FROM j WHERE rel_path NOT IN (SELECT rel_path FROM below))"""
+  CASE WHEN uk IS NOT NULL AND NOT (action = 'hardlink' AND sk IS NOT NULL) THEN 'update' ELSE 'src' END AS origin FROM j ANTI JOIN below b ON j.rel_path = b.rel_path)"""
 
 
 @query("link_plan", f"WITH {_LINK} SELECT * FROM plan")
 def link_plan(spark, sf_dir):
+    return _link_plan(spark, sf_dir).select("rel_path", "kind", "size", "action", "origin")
+
+
+def _link_plan(spark, sf_dir):
     return plans.link_plan(src_manifest(spark, sf_dir), update_manifest(spark, sf_dir), skip_specials=True)
 
 
 @query(
     "link_summary",
     f"""WITH {_LINK} SELECT count(*) FILTER (action = 'hardlink') AS hard_links_created, 0::BIGINT AS hard_links_unchanged, count(*) FILTER (action = 'copy_from_update') AS files_copied, coalesce(sum(size) FILTER (action = 'copy_from_update'), 0)::BIGINT AS bytes_copied,
-  count(*) FILTER (action = 'symlink') AS symlinks_created, count(*) FILTER (action = 'mkdir') AS directories_created, 0::BIGINT AS directories_unchanged, count(*) FILTER (action = 'skip_special') AS specials_skipped, 0::BIGINT AS errors FROM plan""",
+  0::BIGINT AS files_unchanged, count(*) FILTER (action = 'symlink') AS symlinks_created, 0::BIGINT AS symlinks_unchanged, count(*) FILTER (action = 'mkdir') AS directories_created, 0::BIGINT AS directories_unchanged, count(*) FILTER (action = 'skip_special') AS specials_skipped, 0::BIGINT AS errors,
+  0::BIGINT AS removed_files, 0::BIGINT AS removed_dirs, 0::BIGINT AS removed_symlinks, 0::BIGINT AS removed_bytes FROM plan""",
 )
 def link_summary(spark, sf_dir):
-    return plans.link_summary(link_plan(spark, sf_dir))
+    return plans.link_summary(_link_plan(spark, sf_dir))
+
+
+def _onto_sql(overwrite: bool) -> str:
+    """SQL of a link run onto the destination, in which paths that end in 1.dat are links of the source already."""
+    clash = "'replace'" if overwrite else "'error'"
+    act = f"""CASE WHEN d.kind IS NULL OR w.want IN ('skip_special') THEN CASE w.want WHEN 'dir' THEN 'mkdir' ELSE w.want END
+      WHEN w.want = 'dir' THEN CASE WHEN d.kind = 'dir' THEN 'reuse_dir' ELSE {clash} END
+      WHEN w.want = 'hardlink' THEN {"CASE WHEN d.kind = w.sk AND d.dev = w.dev AND d.ino = w.ino THEN 'link_unchanged' ELSE 'relink' END" if overwrite else "'error'"}
+      WHEN w.want = 'copy_from_update' THEN {"CASE WHEN d.kind = 'file' AND w.us = d.size AND w.ut = d.mtime_s AND (w.un = 0 OR d.mtime_ns = 0 OR w.un = d.mtime_ns) THEN 'unchanged' ELSE 'replace' END" if overwrite else "'error'"}
+      ELSE {"CASE WHEN d.kind = 'symlink' AND w.target IS NOT DISTINCT FROM d.link_target THEN 'unchanged' ELSE 'replace' END" if overwrite else "'error'"} END"""
+    out = "rel_path, kind, size, action, origin, dst_kind"
+    return f"""{SRC_SQL}, {UPD_SQL}, {DST_SQL}, onto AS MATERIALIZED (SELECT * REPLACE (CASE WHEN rel_path LIKE '%1.dat' THEN ino - 1000000000 ELSE ino END AS ino) FROM dst),
+w0 AS (SELECT coalesce(s.rel_path, d.rel_path) AS rel_path, s.kind AS sk, d.kind AS uk, s.size AS ss, d.size AS us, d.mtime_s AS ut, d.mtime_ns AS un, s.dev, s.ino, s.link_target AS st, d.link_target AS ult,
+  CASE WHEN d.kind IS NULL THEN CASE s.kind WHEN 'dir' THEN 'dir' WHEN 'file' THEN 'hardlink' WHEN 'symlink' THEN 'symlink' ELSE 'skip_special' END
+    WHEN s.kind = 'file' AND d.kind = 'file' AND s.size = d.size AND {_MT} THEN 'hardlink'
+    ELSE CASE d.kind WHEN 'dir' THEN 'dir' WHEN 'file' THEN 'copy_from_update' WHEN 'symlink' THEN 'symlink' ELSE 'skip_special' END END AS want FROM src s FULL JOIN upd d ON s.rel_path = d.rel_path),
+w AS MATERIALIZED (SELECT *, uk IS NOT NULL AND NOT (want = 'hardlink' AND sk IS NOT NULL) AS of_update, CASE WHEN of_update THEN ult ELSE st END AS target FROM w0),
+j AS MATERIALIZED (SELECT w.rel_path, CASE WHEN of_update THEN w.uk ELSE w.sk END AS kind, CASE WHEN of_update THEN w.us ELSE w.ss END AS size, {act} AS action, CASE WHEN of_update THEN 'update' ELSE 'src' END AS origin, d.kind AS dst_kind, d.size AS ds, w.want FROM w LEFT JOIN onto d ON w.rel_path = d.rel_path),
+stopped AS (SELECT rel_path FROM w WHERE sk = 'dir' AND uk <> 'dir' UNION SELECT rel_path FROM j WHERE want = 'dir' AND action = 'error'),
+below AS MATERIALIZED (SELECT DISTINCT x.rel_path FROM (SELECT rel_path, unnest({UP.format(p='rel_path')}) AS a FROM j) x JOIN stopped b ON x.a = b.rel_path),
+p0 AS MATERIALIZED (SELECT j.* FROM j ANTI JOIN below b ON j.rel_path = b.rel_path),
+gone AS (SELECT x.a AS rel_path, count(*) FILTER (x.kind IN ('file', 'other')) AS f, count(*) FILTER (x.kind = 'dir') AS dd, count(*) FILTER (x.kind = 'symlink') AS l, coalesce(sum(x.size) FILTER (x.kind IN ('file', 'other')), 0)::BIGINT AS b
+  FROM (SELECT kind, size, unnest(list_append({UP.format(p='rel_path')}, rel_path)) AS a FROM onto) x JOIN (SELECT rel_path FROM p0 WHERE action IN ('replace', 'relink')) r ON x.a = r.rel_path GROUP BY 1),
+plan AS (SELECT {out.replace("rel_path", "p.rel_path")}, coalesce(g.f, 0)::BIGINT AS removed_files, coalesce(g.dd, 0)::BIGINT AS removed_dirs, coalesce(g.l, 0)::BIGINT AS removed_symlinks, coalesce(g.b, 0)::BIGINT AS removed_bytes FROM p0 p LEFT JOIN gone g ON p.rel_path = g.rel_path)"""
+
+
+def _onto(spark, sf_dir):
+    linked = F.col("rel_path").like("%1.dat")
+    return dst_manifest(spark, sf_dir).withColumn("ino", F.col("ino") - F.when(linked, 1_000_000_000).otherwise(0))
+
+
+@query("link_plan_onto", f"WITH {_onto_sql(True)} SELECT * FROM plan")
+def link_plan_onto(spark, sf_dir):
+    return plans.link_plan(src_manifest(spark, sf_dir), update_manifest(spark, sf_dir), _onto(spark, sf_dir), overwrite=True, skip_specials=True)
+
+
+@query("link_plan_blocked", f"WITH {_onto_sql(False)} SELECT * FROM plan")
+def link_plan_blocked(spark, sf_dir):
+    """Without overwriting: what is there already fails, and directories that fail hide what is below them."""
+    return plans.link_plan(src_manifest(spark, sf_dir), update_manifest(spark, sf_dir), _onto(spark, sf_dir), skip_specials=True)
+
+
+@query(
+    "link_onto_summary",
+    f"""WITH {_onto_sql(True)} SELECT count(*) FILTER (action IN ('hardlink', 'relink')) AS hard_links_created, count(*) FILTER (action = 'link_unchanged') AS hard_links_unchanged,
+  count(*) FILTER (kind = 'file' AND (action = 'copy_from_update' OR action = 'replace' AND origin = 'update')) AS files_copied, coalesce(sum(size) FILTER (kind = 'file' AND (action = 'copy_from_update' OR action = 'replace' AND origin = 'update')), 0)::BIGINT AS bytes_copied,
+  count(*) FILTER (kind = 'file' AND action = 'unchanged') AS files_unchanged, count(*) FILTER (kind = 'symlink' AND action IN ('symlink', 'replace')) AS symlinks_created, count(*) FILTER (kind = 'symlink' AND action = 'unchanged') AS symlinks_unchanged,
+  count(*) FILTER (kind = 'dir' AND action IN ('mkdir', 'replace')) AS directories_created, count(*) FILTER (kind = 'dir' AND action = 'reuse_dir') AS directories_unchanged, count(*) FILTER (action = 'skip_special') AS specials_skipped, count(*) FILTER (action = 'error') AS errors,
+  sum(removed_files)::BIGINT AS removed_files, sum(removed_dirs)::BIGINT AS removed_dirs, sum(removed_symlinks)::BIGINT AS removed_symlinks, sum(removed_bytes)::BIGINT AS removed_bytes FROM plan""",
+)
+def link_onto_summary(spark, sf_dir):
+    return plans.link_summary(link_plan_onto(spark, sf_dir))
 
 
 @query(
     "link_exclusive",
-    f"""WITH {SRC_SQL}, {UPD_SQL}, j AS (SELECT coalesce(s.rel_path, d.rel_path) AS rel_path, s.kind AS sk, d.kind AS uk,
+    f"""WITH {SRC_SQL}, {UPD_SQL}, j AS MATERIALIZED (SELECT coalesce(s.rel_path, d.rel_path) AS rel_path, s.kind AS sk, d.kind AS uk,
   CASE WHEN d.kind IS NULL THEN 'none' WHEN s.kind = 'file' AND d.kind = 'file' AND s.size = d.size AND {_MT} THEN 'hardlink' ELSE CASE d.kind WHEN 'dir' THEN 'mkdir' WHEN 'file' THEN 'copy_from_update' WHEN 'symlink' THEN 'symlink' ELSE 'skip_special' END END AS action FROM src s FULL JOIN upd d ON s.rel_path = d.rel_path),
-swapped AS (SELECT rel_path FROM j WHERE sk <> uk), below AS (SELECT DISTINCT x.rel_path FROM (SELECT rel_path, unnest({UP.format(p='rel_path')}) AS a FROM j WHERE uk IS NULL) x JOIN swapped b ON x.a = b.rel_path)
-SELECT rel_path, action FROM j WHERE rel_path NOT IN (SELECT rel_path FROM below)""",
+swapped AS (SELECT rel_path FROM j WHERE sk <> uk), below AS MATERIALIZED (SELECT DISTINCT x.rel_path FROM (SELECT rel_path, unnest({UP.format(p='rel_path')}) AS a FROM j WHERE uk IS NULL) x JOIN swapped b ON x.a = b.rel_path)
+SELECT j.rel_path, j.action FROM j ANTI JOIN below b ON j.rel_path = b.rel_path""",
 )
 def link_exclusive(spark, sf_dir):
     return plans.link_plan(src_manifest(spark, sf_dir), update_manifest(spark, sf_dir), update_exclusive=True, skip_specials=True).select("rel_path", "action")
@@ -164,12 +223,34 @@ def already_linked(spark, sf_dir):
     return plans.already_linked(src_manifest(spark, sf_dir), update_manifest(spark, sf_dir))
 
 
-@query("copy_closure", "SELECT 0::BIGINT AS differences FROM (SELECT 1) WHERE TRUE")
+@query(
+    "copy_closure",
+    f"""WITH {SRC_SQL}, {DST_SQL}, s AS (SELECT * FROM src WHERE kind <> 'other'), replaced AS (SELECT s.rel_path FROM s JOIN dst d ON s.rel_path = d.rel_path WHERE s.kind = 'dir' AND d.kind <> 'dir' OR s.kind <> 'dir' AND d.kind = 'dir'),
+hidden AS (SELECT DISTINCT x.rel_path FROM (SELECT rel_path, unnest({UP.format(p='rel_path')}) AS a FROM dst) x JOIN replaced r ON x.a = r.rel_path)
+SELECT rel_path, kind, CASE WHEN kind = 'dir' THEN NULL ELSE size END AS size, link_target, origin FROM (
+  SELECT s.rel_path, s.kind, s.size, s.link_target, 'src' AS origin FROM s UNION ALL SELECT d.rel_path, d.kind, d.size, d.link_target, 'dst' FROM dst d ANTI JOIN s ON d.rel_path = s.rel_path ANTI JOIN hidden h ON d.rel_path = h.rel_path)""",
+)
 def copy_closure(spark, sf_dir):
-    """Differences that are left after a preserving copy is applied to the destination: none."""
+    """The destination after a preserving copy: every source entry, and what was only there and not replaced from above."""
     src, dst, keep = src_manifest(spark, sf_dir).where("kind <> 'other'"), dst_manifest(spark, sf_dir), parse_preserve("all")
     after = plans.apply_plan(src, dst, plans.copy_plan(src, dst, overwrite=True, preserve=keep), keep)
-    return compare(src, after).where("result in ('different', 'dst_missing')").agg(F.count(F.lit(1)).alias("differences"))
+    of_src = src.select("rel_path", F.lit("src").alias("_o"))
+    return after.join(of_src, "rel_path", "left").select("rel_path", "kind", F.when(F.col("kind") != "dir", F.col("size")).alias("size"), "link_target", F.coalesce("_o", F.lit("dst")).alias("origin"))
+
+
+@query(
+    "link_closure",
+    f"""WITH {_onto_sql(True)}, made AS (SELECT * FROM plan WHERE action NOT IN ('skip_special', 'none', 'error', 'unchanged')), hidden AS (SELECT DISTINCT x.rel_path FROM (SELECT rel_path, unnest({UP.format(p='rel_path')}) AS a FROM onto) x JOIN made m ON x.a = m.rel_path AND m.action IN ('replace', 'relink'))
+SELECT rel_path, kind, ino FROM (SELECT m.rel_path, m.kind, CASE WHEN m.action IN ('hardlink', 'relink', 'link_unchanged') THEN s.ino END AS ino FROM made m LEFT JOIN src s ON m.rel_path = s.rel_path
+  UNION ALL SELECT d.rel_path, d.kind, d.ino FROM onto d ANTI JOIN made m ON d.rel_path = m.rel_path ANTI JOIN hidden h ON d.rel_path = h.rel_path)""",
+)
+def link_closure(spark, sf_dir):
+    """The destination after a link run: links share the source's inode, copies have new ones (null here)."""
+    src, upd, dst, keep = src_manifest(spark, sf_dir), update_manifest(spark, sf_dir), _onto(spark, sf_dir), parse_preserve("all")
+    plan = link_plan_onto(spark, sf_dir)
+    after = plans.apply_link_plan(src, upd, dst, plan, keep)
+    shared = plan.select("rel_path", F.col("action").isin("hardlink", "relink", "link_unchanged").alias("_l"), F.col("action").isin("unchanged", "skip_special").alias("_k"))
+    return after.join(shared, "rel_path", "left").select("rel_path", "kind", F.when(F.col("_l").isNull() | F.col("_l") | F.col("_k"), F.col("ino")).alias("ino"))
 
 
 @query(

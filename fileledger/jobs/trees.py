@@ -25,7 +25,7 @@ _OK = f"(NOT {_EXC} AND ({_INC} OR {{d}}))"
 def _walk(t: str) -> str:
     """SQL of t with walk, dir-directly-matched and above (all directories above are entered)."""
     ok_dir = _OK.format(p="a", d="TRUE")
-    return f"""{t}_w AS (
+    return f"""{t}_w AS MATERIALIZED (
   SELECT *, CASE WHEN len(list_filter({UP.format(p='rel_path')}, lambda a: a <> '' AND NOT {ok_dir})) > 0 THEN 'pruned'
     WHEN rel_path = '' OR {_OK.format(p='rel_path', d="kind = 'dir'")} THEN 'included' ELSE 'skipped' END AS walk,
     {_INC.format(p='rel_path', d="kind = 'dir'")} AS direct FROM {t})"""
@@ -53,11 +53,11 @@ def age_filter(spark, sf_dir):
 
 _EQ = """CASE s.kind WHEN 'file' THEN s.mtime_s = d.mtime_s AND (s.mtime_ns = 0 OR d.mtime_ns = 0 OR s.mtime_ns = d.mtime_ns) AND s.size = d.size
   WHEN 'other' THEN TRUE ELSE s.mtime_s = d.mtime_s AND (s.mtime_ns = 0 OR d.mtime_ns = 0 OR s.mtime_ns = d.mtime_ns) END"""
-_DIFF_ALL = f"""j AS (
+_DIFF_ALL = f"""j AS MATERIALIZED (
   SELECT coalesce(s.rel_path, d.rel_path) AS rel_path, CASE WHEN d.rel_path IS NULL THEN 'dst_missing' WHEN s.rel_path IS NULL THEN 'src_missing' WHEN s.kind <> d.kind OR NOT ({_EQ}) THEN 'different' ELSE 'same' END AS result,
     s.kind AS src_kind, d.kind AS dst_kind, s.size AS src_size, d.size AS dst_size, CASE WHEN d.rel_path IS NULL THEN 'src' WHEN s.rel_path IS NULL THEN 'dst' ELSE 'both' END AS side
   FROM src s FULL JOIN dst d ON s.rel_path = d.rel_path), both_dirs AS (SELECT rel_path FROM j WHERE src_kind = 'dir' AND dst_kind = 'dir')"""
-_DIFF = f"""{_DIFF_ALL}, diff AS (SELECT * FROM j WHERE rel_path = '' OR {PARENT.format(p='rel_path')} IN (SELECT rel_path FROM both_dirs))"""
+_DIFF = f"""{_DIFF_ALL}, diff AS MATERIALIZED (SELECT j.* FROM j LEFT JOIN both_dirs b ON b.rel_path = {PARENT.format(p='j.rel_path')} WHERE j.rel_path = '' OR b.rel_path IS NOT NULL)"""
 
 
 @query("compare_trees", f"WITH {SRC_SQL}, {DST_SQL}, {_DIFF} SELECT * FROM diff")
@@ -65,12 +65,12 @@ def compare_trees(spark, sf_dir):
     return cmp.compare(src_manifest(spark, sf_dir), dst_manifest(spark, sf_dir))
 
 
-_FILTERED_DIFF = f"""{_walk('src')}, {_walk('dst')}, l AS (SELECT * FROM src_w WHERE walk = 'included'), j AS (
+_FILTERED_DIFF = f"""{_walk('src')}, {_walk('dst')}, l AS (SELECT * FROM src_w WHERE walk = 'included'), j AS MATERIALIZED (
   SELECT coalesce(s.rel_path, d.rel_path) AS rel_path, CASE WHEN d.rel_path IS NULL THEN 'dst_missing' WHEN s.rel_path IS NULL THEN CASE d.walk WHEN 'included' THEN 'src_missing' WHEN 'skipped' THEN 'skipped' END WHEN s.kind <> d.kind OR NOT ({_EQ}) THEN 'different' ELSE 'same' END AS result,
     s.kind AS src_kind, d.kind AS dst_kind, s.size AS src_size, d.size AS dst_size, CASE WHEN d.rel_path IS NULL THEN 'src' WHEN s.rel_path IS NULL THEN 'dst' ELSE 'both' END AS side
   FROM l s FULL JOIN dst_w d ON s.rel_path = d.rel_path), both_dirs AS (SELECT rel_path FROM j WHERE src_kind = 'dir' AND dst_kind = 'dir'),
   rows AS (SELECT * FROM j WHERE result IS NOT NULL UNION ALL SELECT rel_path, 'skipped', kind, NULL, size, NULL, 'src' FROM src_w WHERE walk = 'skipped'),
-  diff AS (SELECT * FROM rows WHERE rel_path = '' OR {PARENT.format(p='rel_path')} IN (SELECT rel_path FROM both_dirs))"""
+  diff AS MATERIALIZED (SELECT r.* FROM rows r LEFT JOIN both_dirs b ON b.rel_path = {PARENT.format(p='r.rel_path')} WHERE r.rel_path = '' OR b.rel_path IS NOT NULL)"""
 
 
 @query("compare_filtered", f"WITH {SRC_SQL}, {DST_SQL}, {_FILTERED_DIFF} SELECT * FROM diff")
@@ -81,8 +81,8 @@ def compare_filtered(spark, sf_dir):
 @query(
     "compare_expanded",
     f"""WITH {SRC_SQL}, {DST_SQL}, {_DIFF_ALL}, blocked AS (SELECT rel_path FROM j WHERE side = 'both' AND src_kind <> dst_kind),
-below AS (SELECT DISTINCT x.rel_path FROM (SELECT rel_path, unnest({UP.format(p='rel_path')}) AS a FROM j) x JOIN blocked b ON x.a = b.rel_path)
-SELECT * FROM j WHERE rel_path NOT IN (SELECT rel_path FROM below)""",
+below AS MATERIALIZED (SELECT DISTINCT x.rel_path FROM (SELECT rel_path, unnest({UP.format(p='rel_path')}) AS a FROM j) x JOIN blocked b ON x.a = b.rel_path)
+SELECT j.* FROM j ANTI JOIN below b ON j.rel_path = b.rel_path""",
 )
 def compare_expanded(spark, sf_dir):
     return cmp.compare(src_manifest(spark, sf_dir), dst_manifest(spark, sf_dir), expand_missing=True)
@@ -91,8 +91,8 @@ def compare_expanded(spark, sf_dir):
 @query(
     "compare_exit_early",
     f"""WITH {SRC_SQL}, {DST_SQL}, dst2 AS (SELECT * REPLACE (CASE WHEN kind = 'dir' AND regexp_matches(rel_path, '/c1[0-9]$') THEN mtime_s + 1 ELSE mtime_s END AS mtime_s) FROM dst), {_DIFF.replace("JOIN dst d", "JOIN dst2 d")},
-odd AS (SELECT rel_path FROM j WHERE result = 'different' AND src_kind = 'dir'), below AS (SELECT DISTINCT x.rel_path FROM (SELECT rel_path, unnest({UP.format(p='rel_path')}) AS a FROM diff) x JOIN odd b ON x.a = b.rel_path)
-SELECT * FROM diff WHERE rel_path NOT IN (SELECT rel_path FROM below)""",
+odd AS (SELECT rel_path FROM j WHERE result = 'different' AND src_kind = 'dir'), below AS MATERIALIZED (SELECT DISTINCT x.rel_path FROM (SELECT rel_path, unnest({UP.format(p='rel_path')}) AS a FROM diff) x JOIN odd b ON x.a = b.rel_path)
+SELECT d.* FROM diff d ANTI JOIN below b ON d.rel_path = b.rel_path""",
 )
 def compare_exit_early(spark, sf_dir):
     touched = (F.col("kind") == "dir") & F.col("rel_path").rlike("/c1[0-9]$")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fileledger.functions.filters import FilterSettings, apply_filter
 from fileledger.functions.metadata import DEFAULT_COMPARE, equal_by_kind, parse_compare
-from fileledger.functions.paths import ancestors, escape_path, join_path, parent
+from fileledger.functions.paths import escape_path, join_path, parent, self_and_ancestors
 
 COMPARED = ("kind", "size", "mode", "uid", "gid", "mtime_s", "mtime_ns", "ctime_s", "ctime_ns")
 RESULTS = ("same", "different", "src_missing", "dst_missing")
@@ -27,47 +27,67 @@ def compare(src: DataFrame, dst: DataFrame, compare: str | dict = DEFAULT_COMPAR
     some ancestor differs in kind.  With exit_early nothing below a differing
     directory is reported, and a missing one reports itself alone.
 
-    One full outer join on the path; the sets that block subtrees are joined by the
-    ancestors of the rows and hold directories only.
+    The rows of both trees meet in one full outer join on the path.  What decides
+    whether a row is reported comes from smaller joins of directories.
     """
     settings = parse_compare(compare) if isinstance(compare, str) else compare
+    filtered = not (filter is None or filter.empty)
     s, d = apply_filter(src, filter), apply_filter(dst, filter)
     left = _side(s.where("walk = 'included'"), "s_").withColumn("s_in", F.lit(True))
     right = _side(d, "d_", "walk").withColumn("d_in", F.lit(True))
-    j = left.join(right, "rel_path", "full")
-    both = F.col("s_in").isNotNull() & F.col("d_in").isNotNull()
-    kinds_differ = F.col("s_kind") != F.col("d_kind")
-    result = F.when(both & (kinds_differ | ~equal_by_kind(settings, F.col("s_kind"), "s_", "d_")), "different").when(both, "same").when(F.col("s_in").isNotNull(), "dst_missing").when(F.col("d_walk") == "included", "src_missing").when(F.col("d_walk") == "skipped", "skipped")
-    side = F.when(both, "both").when(F.col("s_in").isNotNull(), "src").otherwise("dst")
-    rows = j.select("rel_path", result.alias("result"), F.col("s_kind").alias("src_kind"), F.col("d_kind").alias("dst_kind"), F.col("s_size").alias("src_size"), F.col("d_size").alias("dst_size"), side.alias("side")).where(F.col("result").isNotNull())
-    skipped = s.where("walk = 'skipped'").select("rel_path", F.lit("skipped").alias("result"), F.col("kind").alias("src_kind"), F.lit(None).cast("string").alias("dst_kind"), F.col("size").alias("src_size"), F.lit(None).cast("bigint").alias("dst_size"), F.lit("src").alias("side"))
-    everything = rows.unionByName(skipped).withColumn("_parent", parent("rel_path"))
+    rows = _verdicts(left.join(right, "rel_path", "full"), settings)
+    if filtered:
+        none = lambda t, n: F.lit(None).cast(t).alias(n)
+        rows = rows.unionByName(s.where("walk = 'skipped'").select("rel_path", F.lit("skipped").alias("result"), F.col("kind").alias("src_kind"), none("string", "dst_kind"), F.col("size").alias("src_size"), none("bigint", "dst_size"), F.lit("src").alias("side")))
 
-    paired = rows.where("side = 'both'")
+    s_dirs, d_dirs = left.where("s_kind = 'dir'"), right.where("d_kind = 'dir'")
     if expand_missing:
-        blocked = paired.where("src_kind <> dst_kind").select("rel_path")
+        swapped = s_dirs.join(right.where("d_kind <> 'dir'"), "rel_path").unionByName(left.where("s_kind <> 'dir'").join(d_dirs, "rel_path")).select("rel_path")
         if exit_early:
-            blocked = blocked.unionByName(rows.where("result = 'different' or result in ('src_missing', 'dst_missing') and coalesce(src_kind, dst_kind) = 'dir'").select("rel_path"))
-        out = without_below(everything, blocked)
-    else:
-        both_dirs = paired.where("src_kind = 'dir' and dst_kind = 'dir'").select(F.col("rel_path").alias("_parent"))
-        out = everything.join(both_dirs, "_parent", "left_semi").unionByName(everything.where("_parent is null"))
-        if exit_early:
-            out = without_below(out, paired.where("result = 'different' and src_kind = 'dir'").select("rel_path"))
-    return out.drop("_parent")
+            met = _verdicts(s_dirs.join(d_dirs, "rel_path", "full"), settings)
+            swapped = swapped.unionByName(met.where("result in ('different', 'src_missing', 'dst_missing')").select("rel_path"))
+        folders = s_dirs.select("rel_path").unionByName(d_dirs.select("rel_path"))
+        return without_below(rows, swapped, folders)
+    both = s_dirs.join(d_dirs, "rel_path")
+    if exit_early:
+        met = _verdicts(both, settings)
+        odd = met.where("result = 'different'").select("rel_path")
+        both = without_below(met.join(odd, "rel_path", "left_anti"), odd)
+    # The root's parent is written '/', which is no path.
+    inside = both.select(F.col("rel_path").alias("_in")).unionByName(src.sparkSession.range(1).select(F.lit("/").alias("_in")))
+    return rows.withColumn("_in", F.coalesce(parent("rel_path"), F.lit("/"))).join(inside, "_in", "left_semi").drop("_in")
+
+
+def _verdicts(j: DataFrame, settings: dict) -> DataFrame:
+    """Reported columns of joined sides s_ (included rows) and d_ (with walk); rows that neither side reports are left out."""
+    both = F.col("s_in").isNotNull() & F.col("d_in").isNotNull()
+    differ = (F.col("s_kind") != F.col("d_kind")) | ~equal_by_kind(settings, F.col("s_kind"), "s_", "d_")
+    result = F.when(both & differ, "different").when(both, "same").when(F.col("s_in").isNotNull(), "dst_missing").when(F.col("d_walk") == "included", "src_missing").when(F.col("d_walk") == "skipped", "skipped")
+    side = F.when(both, "both").when(F.col("s_in").isNotNull(), "src").otherwise("dst")
+    return j.select("rel_path", result.alias("result"), F.col("s_kind").alias("src_kind"), F.col("d_kind").alias("dst_kind"), F.col("s_size").alias("src_size"), F.col("d_size").alias("dst_size"), side.alias("side")).where(F.col("result").isNotNull())
 
 
-def without_below(rows: DataFrame, blocked: DataFrame) -> DataFrame:
-    """rows without those that have a strict ancestor among blocked.
+def _folders_below(rows: DataFrame, tops: DataFrame, folders: DataFrame | None) -> DataFrame:
+    """(_in): the folders that hold rows and lie at or below one of tops.
 
-    The ancestors of directories that hold rows are exploded once per directory, not
-    once per row.
+    folders: paths that include every parent of rows, where they are known more
+    cheaply than from rows.  Ancestors are made once for each folder, not for each row.
     """
-    above = F.when(F.col("rel_path") == "", F.lit(None)).otherwise(parent("rel_path"))
-    r = rows.withColumn("_in", above)
-    folders = r.select("_in").where("_in is not null").distinct()
-    hit = folders.select("_in", F.explode(F.concat(ancestors("_in"), F.array("_in"))).alias("_up")).join(blocked.select(F.col("rel_path").alias("_up")).distinct(), "_up", "left_semi").select("_in").distinct()
-    return r.join(hit, "_in", "left_anti").drop("_in")
+    held = folders.select(F.col("rel_path").alias("_in")).distinct() if folders is not None else rows.select(parent("rel_path").alias("_in")).where("_in is not null").distinct()
+    up = held.select("_in", F.explode(self_and_ancestors("_in")).alias("_up"))
+    return up.join(tops.select(F.col("rel_path").alias("_up")).distinct(), "_up", "left_semi").select("_in").distinct()
+
+
+def without_below(rows: DataFrame, blocked: DataFrame, folders: DataFrame | None = None) -> DataFrame:
+    """rows without those that have a strict ancestor among blocked."""
+    return rows.withColumn("_in", parent("rel_path")).join(_folders_below(rows, blocked, folders), "_in", "left_anti").drop("_in")
+
+
+def at_or_below(rows: DataFrame, tops: DataFrame, folders: DataFrame | None = None) -> DataFrame:
+    """rows that are among tops or below one, each once."""
+    below = _folders_below(rows, tops, folders).withColumn("_below", F.lit(True))
+    own = tops.select("rel_path").distinct().withColumn("_own", F.lit(True))
+    return rows.withColumn("_in", parent("rel_path")).join(below, "_in", "left").join(own, "rel_path", "left").where("_below or _own").drop("_in", "_below", "_own")
 
 
 def compare_summary(diff: DataFrame) -> DataFrame:

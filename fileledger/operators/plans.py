@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from fileledger.functions.filters import FilterSettings, apply_filter, directly_matches, is_included
 from fileledger.functions.metadata import Preserve, dest_is_newer, metadata_equal, parse_metadata_cmp, project_preserved, skip_unchanged
 from fileledger.functions.paths import ancestors, parent, self_and_ancestors
-from fileledger.operators.compare import COMPARED, without_below
+from fileledger.operators.compare import COMPARED, at_or_below, without_below
 from fileledger.operators.removal import marked_above, rm_plan
 from fileledger.schema import MANIFEST_SCHEMA, conform
+from fileledger.sources.scratch import written
 
 CREATES = ("copy", "replace", "symlink", "touch_link", "hardlink", "copy_from_update")
 
@@ -19,11 +20,26 @@ def _prefixed(m: DataFrame, prefix: str, *more: str) -> DataFrame:
     return m.select("rel_path", *(F.col(c).alias(f"{prefix}{c}") for c in (*COMPARED, "link_target", *more)))
 
 
-def _removed_below(dst: DataFrame, replaced: DataFrame) -> DataFrame:
-    """(rel_path, removed counts): everything of dst at or below each replaced path."""
-    rows = dst.select("kind", "size", F.explode(self_and_ancestors("rel_path")).alias("_top")).join(replaced.select(F.col("rel_path").alias("_top")).distinct(), "_top")
+REMOVED = ("removed_files", "removed_dirs", "removed_symlinks", "removed_bytes")
+
+
+def _with_removed(plan: DataFrame, dst: DataFrame | None, gone: Column, d_kind: str, d_size: str) -> DataFrame:
+    """plan with counts of what goes where `gone` holds: the destination's entry (kind and size in the named columns) and all below it.
+
+    What lies below is added up by directory of dst before ancestors are made, and
+    only replaced directories read those sums.
+    """
+    kind = F.col(d_kind)
+    leaf = {"removed_files": kind.isin("file", "other").cast("bigint"), "removed_dirs": F.lit(0), "removed_symlinks": (kind == "symlink").cast("bigint"), "removed_bytes": F.when(kind.isin("file", "other"), F.col(d_size)).otherwise(0)}
+    if dst is None:
+        return plan.withColumns({c: F.when(gone, F.coalesce(leaf[c], F.lit(0))).otherwise(0).cast("bigint") for c in REMOVED})
+    is_dir = F.col("kind") == "dir"
     count = lambda *ks: F.count_if(F.col("kind").isin(*ks))
-    return rows.groupBy("_top").agg(count("file", "other").alias("removed_files"), count("dir").alias("removed_dirs"), count("symlink").alias("removed_symlinks"), F.coalesce(F.sum(F.when(F.col("kind").isin("file", "other"), F.col("size"))), F.lit(0)).alias("removed_bytes")).withColumnRenamed("_top", "rel_path")
+    sums = dst.groupBy(F.when(is_dir, F.col("rel_path")).otherwise(parent("rel_path")).alias("_f")).agg(count("file", "other").alias("removed_files"), count("dir").alias("removed_dirs"), count("symlink").alias("removed_symlinks"), F.sum(F.when(F.col("kind").isin("file", "other"), F.col("size"))).alias("removed_bytes"))
+    sums = sums.where("_f is not null").select(F.explode(self_and_ancestors("_f")).alias("rel_path"), *REMOVED).groupBy("rel_path").agg(*(F.sum(c).alias(f"_{c}") for c in REMOVED))
+    replaced_dir = gone & (kind == "dir")
+    j = plan.join(sums.select(F.col("rel_path").alias("_top"), *(f"_{c}" for c in REMOVED)), (F.col("rel_path") == F.col("_top")) & replaced_dir, "left")
+    return j.withColumns({c: F.when(replaced_dir, F.coalesce(f"_{c}", F.lit(0))).when(gone, F.coalesce(leaf[c], F.lit(0))).otherwise(0).cast("bigint") for c in REMOVED}).drop("_top", *(f"_{c}" for c in REMOVED))
 
 
 def copy_plan(src: DataFrame, dst: DataFrame, overwrite: bool = False, overwrite_compare: str = "size,mtime", keep_newer: bool = False, ignore_existing: bool = False, skip_specials: bool = False, filter: FilterSettings | None = None, preserve: Preserve = Preserve(), dry_run: bool = False) -> DataFrame:
@@ -58,16 +74,18 @@ def copy_plan(src: DataFrame, dst: DataFrame, overwrite: bool = False, overwrite
             .when(kind == "symlink", F.when(~there, "symlink").otherwise(for_link))
             .otherwise(F.lit("skip_special" if skip_specials else "error"))
         )
-    p = live.select("rel_path", kind.alias("kind"), F.col("s_size").alias("size"), action.alias("action"), d_kind.alias("dst_kind"), F.lit(None).cast("string").alias("reason"))
-    skipped = s.where("walk = 'skipped'").select("rel_path", "kind", "size", F.lit("skip_filter").alias("action"), F.lit(None).cast("string").alias("dst_kind"), "reason")
-    blocked = p.where("kind = 'dir' and action in ('skip_existing', 'error')").select("rel_path")
-    p = without_below(p.unionByName(skipped), blocked)
+    p = live.select("rel_path", kind.alias("kind"), F.col("s_size").alias("size"), action.alias("action"), d_kind.alias("dst_kind"), F.col("d_size").alias("_d_size"), F.lit(None).cast("string").alias("reason"))
+    if not settings.empty:
+        p = p.unionByName(s.where("walk = 'skipped'").select("rel_path", "kind", "size", F.lit("skip_filter").alias("action"), F.lit(None).cast("string").alias("dst_kind"), F.lit(None).cast("bigint").alias("_d_size"), "reason"))
+    # Only where a directory cannot take the place of what is there does anything go unvisited.
+    if ignore_existing or not (overwrite or dry_run):
+        folders = s.where("walk = 'included' and kind = 'dir'").select("rel_path")
+        p = without_below(p, folders.join(dst.where("kind <> 'dir'"), "rel_path", "left_semi"), folders)
     if settings.include:
         p = cleanup_empty_dirs(p, settings)
-    removed = _removed_below(dst, p.where("action = 'replace'"))
-    p = p.join(removed, "rel_path", "left")
-    zero = {c: F.when(F.col("action") == "replace", F.coalesce(c, F.lit(0))).otherwise(F.when((F.col("action") == "touch_link") & F.lit(c == "removed_symlinks"), 1).otherwise(0)).cast("bigint") for c in ("removed_files", "removed_dirs", "removed_symlinks", "removed_bytes")}
-    return p.withColumns(zero).select("rel_path", "kind", "size", "action", "dst_kind", *zero, "reason")
+    replaces = overwrite and not ignore_existing and not dry_run
+    p = _with_removed(p, dst if replaces else None, F.col("action").isin("replace", "touch_link"), "dst_kind", "_d_size")
+    return p.select("rel_path", "kind", "size", "action", "dst_kind", *REMOVED, "reason")
 
 
 def cleanup_empty_dirs(plan: DataFrame, settings: FilterSettings) -> DataFrame:
@@ -116,11 +134,9 @@ def delete_plan(kept: DataFrame, shared_dirs: DataFrame, dst: DataFrame, filter:
         exempt = errors.select(F.explode(ancestors("rel_path")).alias("_in")).unionByName(errors.select(F.col("rel_path").alias("_in"))).distinct()
         dirs = dirs.join(exempt, "_in", "left_anti")
     tops = d.join(dirs, "_in", "left_semi").join(kept.select("rel_path"), "rel_path", "left_anti")
-    tops = tops.where(is_included(settings, F.col("rel_path"), F.col("kind") == "dir")).select("rel_path", "kind")
-    folders = tops.where("kind = 'dir'").select(F.col("rel_path").alias("_top"))
-    below = dst.select("*", F.explode(ancestors("rel_path")).alias("_top")).join(folders, "_top", "left_semi").drop("_top").dropDuplicates(["rel_path"])
-    rows = dst.join(tops.select("rel_path"), "rel_path", "left_semi").unionByName(below).dropDuplicates(["rel_path"])
-    return rm_plan(rows, settings)
+    tops = tops.where(is_included(settings, F.col("rel_path"), F.col("kind") == "dir")).select("rel_path")
+    # What goes is read several times below, and is mostly small beside the trees it comes from.
+    return rm_plan(written(at_or_below(dst, tops, dst.where("kind = 'dir'")), "delete-rows"), settings)
 
 
 def mirror_delete_plan(src: DataFrame, dst: DataFrame, filter: FilterSettings | None = None, delete_excluded: bool = False, errors: DataFrame | None = None) -> DataFrame:
@@ -130,10 +146,11 @@ def mirror_delete_plan(src: DataFrame, dst: DataFrame, filter: FilterSettings |
 
 
 def link_plan(src: DataFrame, update: DataFrame | None = None, dst: DataFrame | None = None, update_compare: str = "size,mtime", update_exclusive: bool = False, overwrite: bool = False, filter: FilterSettings | None = None, skip_specials: bool = False) -> DataFrame:
-    """(rel_path, kind, size, action, origin): hardlink, link_unchanged, relink, copy_from_update, symlink, mkdir, reuse_dir, unchanged, replace, skip_special, none or error.
+    """(rel_path, kind, size, action, origin, dst_kind, removed counters): hardlink, link_unchanged, relink, copy_from_update, symlink, mkdir, reuse_dir, unchanged, replace, skip_special, none or error.
 
     One join of the three trees on the path.  Entries of the source below one whose
-    kind differs in the update are not visited.
+    kind differs in the update are not visited, nor is anything below a directory
+    that fails because the destination has something else in its place.
     """
     attributes = parse_metadata_cmp(update_compare)
     s = _prefixed(apply_filter(src, filter).where("walk = 'included'"), "s_", "dev", "ino")
@@ -167,19 +184,40 @@ def link_plan(src: DataFrame, update: DataFrame | None = None, dst: DataFrame |
     recopy = F.when(F.lit(overwrite) & (dk == "file") & metadata_equal(parse_metadata_cmp("size,mtime"), "u_", "d_"), "unchanged").otherwise(clash)
     resym = F.when(F.lit(overwrite) & (dk == "symlink") & target.eqNullSafe(F.col("d_link_target")), "unchanged").otherwise(clash)
     action = F.when(w == "dir", F.when(dk.isNull(), "mkdir").when(dk == "dir", "reuse_dir").otherwise(clash)).when(dk.isNull() | w.isin("none", "skip_special", "error"), w).when(w == "hardlink", relink).when(w == "copy_from_update", recopy).otherwise(resym)
-    rows = j.select("rel_path", kind.alias("kind"), size.alias("size"), action.alias("action"), F.col("_origin").alias("origin"), (sk.isNotNull() & uk.isNotNull() & (sk != uk)).alias("_swap"), uk.alias("_uk"))
-    swapped = rows.where("_swap").select("rel_path")
-    keep = rows.where("_uk is not null")
-    rest = without_below(rows.where("_uk is null"), swapped)
-    return keep.unionByName(rest).drop("_swap", "_uk")
+    rows = j.select("rel_path", kind.alias("kind"), size.alias("size"), action.alias("action"), F.col("_origin").alias("origin"), dk.alias("dst_kind"), F.col("d_size").alias("_d_size"))
+    s_dirs, u_dirs = s.where("s_kind = 'dir'").select("rel_path"), u.where("u_kind = 'dir'").select("rel_path")
+    folders, blocked = s_dirs.unionByName(u_dirs), None
+    if update is not None:
+        blocked = s_dirs.join(u.where("u_kind <> 'dir'"), "rel_path", "left_semi")
+    if dst is not None and not overwrite:
+        made = u_dirs if update_exclusive and update is not None else folders
+        failed = made.join(d.where("d_kind <> 'dir'"), "rel_path", "left_semi")
+        blocked = failed if blocked is None else blocked.unionByName(failed)
+    if blocked is not None:
+        rows = without_below(rows, blocked, folders)
+    rows = _with_removed(rows, dst if overwrite else None, F.col("action").isin("replace", "relink"), "dst_kind", "_d_size")
+    return rows.drop("_d_size")
 
 
 def link_summary(plan: DataFrame) -> DataFrame:
-    """One row: hard links, links unchanged, and the copy counters of the rest."""
+    """One row: hard links, links unchanged, the copy counters of the rest, and what was removed to make room."""
     a, k = F.col("action"), F.col("kind")
     writes = (k == "file") & (a == "copy_from_update") | ((k == "file") & (a == "replace") & (F.col("origin") == "update"))
-    n = F.count_if
-    return plan.agg(n(a.isin("hardlink", "relink")).alias("hard_links_created"), n(a == "link_unchanged").alias("hard_links_unchanged"), n(writes).alias("files_copied"), F.coalesce(F.sum(F.when(writes, F.col("size"))), F.lit(0)).alias("bytes_copied"), n((k == "symlink") & a.isin("symlink", "replace")).alias("symlinks_created"), n((k == "dir") & a.isin("mkdir", "replace")).alias("directories_created"), n((k == "dir") & (a == "reuse_dir")).alias("directories_unchanged"), n(a == "skip_special").alias("specials_skipped"), n(a == "error").alias("errors"))
+    n, total = F.count_if, lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return plan.agg(
+        n(a.isin("hardlink", "relink")).alias("hard_links_created"),
+        n(a == "link_unchanged").alias("hard_links_unchanged"),
+        n(writes).alias("files_copied"),
+        total(F.when(writes, F.col("size"))).alias("bytes_copied"),
+        n((k == "file") & (a == "unchanged")).alias("files_unchanged"),
+        n((k == "symlink") & a.isin("symlink", "replace")).alias("symlinks_created"),
+        n((k == "symlink") & (a == "unchanged")).alias("symlinks_unchanged"),
+        n((k == "dir") & a.isin("mkdir", "replace")).alias("directories_created"),
+        n((k == "dir") & (a == "reuse_dir")).alias("directories_unchanged"),
+        n(a == "skip_special").alias("specials_skipped"),
+        n(a == "error").alias("errors"),
+        *(total(F.col(c)).alias(c) for c in REMOVED),
+    )
 
 
 def link_delete_plan(src: DataFrame, update: DataFrame | None, dst: DataFrame, update_exclusive: bool = False, filter: FilterSettings | None = None, delete_excluded: bool = False) -> DataFrame:
@@ -233,9 +271,31 @@ def apply_plan(src: DataFrame, dst: DataFrame, plan: DataFrame, preserve: Preser
     acts = plan.select("rel_path", "action")
     made = acts.where(F.col("action").isin("copy", "replace", "symlink", "touch_link", "mkdir", "reuse_dir"))
     new = project_preserved(conform(src), preserve, uid, gid, now_s).join(made.select("rel_path"), "rel_path", "left_semi")
-    gone = acts.where("action = 'replace'").select("rel_path")
-    stays = without_below(conform(dst), gone).join(made.select("rel_path"), "rel_path", "left_anti")
-    return stays.select(*(f.name for f in MANIFEST_SCHEMA.fields)).unionByName(new.select(*(f.name for f in MANIFEST_SCHEMA.fields)))
+    return _placed(dst, new, made.select("rel_path"), acts.where("action = 'replace'"))
+
+
+def _placed(dst: DataFrame, new: DataFrame, made: DataFrame, gone: DataFrame) -> DataFrame:
+    """dst with new in the place of made, and nothing below gone."""
+    names = [f.name for f in MANIFEST_SCHEMA.fields]
+    stays = without_below(conform(dst), gone.select("rel_path")).join(made, "rel_path", "left_anti")
+    return stays.select(*names).unionByName(new.select(*names))
+
+
+def apply_link_plan(src: DataFrame, update: DataFrame | None, dst: DataFrame, plan: DataFrame, preserve: Preserve = Preserve(), uid: int = 0, gid: int = 0, now_s: int = 0) -> DataFrame:
+    """The destination's manifest after a link run: a hard link is the source's row, inode and all; the rest is copied."""
+    acts = plan.select("rel_path", "action", "origin")
+    links = acts.where(F.col("action").isin("hardlink", "relink", "link_unchanged"))
+    made = acts.where(F.col("action").isin("copy_from_update", "symlink", "replace", "mkdir", "reuse_dir"))
+    new = conform(src).join(links.select("rel_path"), "rel_path", "left_semi")
+    for side, tree in (("src", src), ("update", update)):
+        if tree is not None:
+            new = new.unionByName(project_preserved(conform(tree), preserve, uid, gid, now_s).join(made.where(F.col("origin") == side).select("rel_path"), "rel_path", "left_semi").select(*new.columns))
+    return _placed(dst, new, links.select("rel_path").unionByName(made.select("rel_path")), acts.where("action in ('replace', 'relink')"))
+
+
+def apply_removals(m: DataFrame, plan: DataFrame) -> DataFrame:
+    """The manifest after an rm, mirror or link delete plan."""
+    return m.join(plan.where("action = 'remove'").select("rel_path"), "rel_path", "left_anti")
 
 
 def acl_audit(src: DataFrame, dst: DataFrame, preserve: Preserve) -> DataFrame:

@@ -23,24 +23,20 @@ def rm_plan(m: DataFrame, filter: FilterSettings | None = None, modified_before=
     conditions hold, nothing below it stays, and it and every directory below it has
     something removed in it or matches itself.  A dry run only asks that nothing
     below was skipped.
+
+    Rows are added up by folder once; from there on only directories are joined.
     """
     settings = filter or FilterSettings()
     aged = modified_before is not None or created_before is not None
     age = time_filter(modified_before, created_before, now_s) if aged else F.lit("matched")
     path, is_dir = F.col("rel_path"), F.col("kind") == "dir"
     r = apply_filter(m, settings).select("rel_path", "kind", "size", "walk", "reason", age.alias("_age"), directly_matches(settings, path, is_dir).alias("_match"))
-    live = F.col("walk") == "included"
-    ok = F.col("_age") == "matched"
-    seeds = r.where(live & F.when(is_dir, F.col("_match")).otherwise(ok))
-    seeded = marked_above(seeds).withColumn("_seeded", F.lit(True))
-    r = r.join(seeded, "rel_path", "left").withColumn("_seeded", F.coalesce("_seeded", F.lit(False)))
-    skips = (F.col("walk") == "skipped") | (live & ~ok & (~is_dir | F.lit(True)))
-    if dry_run:
-        blockers = r.where(skips)
-    else:
-        blockers = r.where((F.col("walk") != "included") | (live & ~ok) | (live & is_dir & ~F.col("_seeded")))
-    stays = marked_above(blockers).withColumn("_stays", F.lit(True))
-    r = r.join(stays, "rel_path", "left").withColumn("_stays", F.coalesce("_stays", F.lit(False)))
+    live, ok = F.col("walk") == "included", F.col("_age") == "matched"
+    seed = live & F.when(is_dir, F.col("_match")).otherwise(ok)
+    stay = (F.col("walk") == "skipped") | (live & ~ok) if dry_run else ~live | ~ok
+    marks = _directory_marks(r.select("rel_path", is_dir.alias("is_dir"), seed.alias("seed"), stay.alias("stay"), live.alias("live")), not dry_run)
+    files, dirs = r.where(~is_dir), r.where(is_dir).join(marks, "rel_path", "left")
+    r = files.withColumns({"_seeded": F.lit(False), "_stays": F.lit(False)}).unionByName(dirs.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("_seeded", "_stays")}))
     gone = F.when(is_dir, ~F.col("_stays") & ok & F.col("_seeded")).otherwise(ok)
     # A real run asks whether a directory was only passed through before it asks its age.
     passed = is_dir & ~F.col("_match") & ~F.col("_seeded") if not dry_run else F.lit(False)
@@ -49,6 +45,21 @@ def rm_plan(m: DataFrame, filter: FilterSettings | None = None, modified_before=
     return r.select("rel_path", "kind", "size", action.alias("action"), why.alias("reason"))
 
 
+def _directory_marks(r: DataFrame, unseeded_stay: bool) -> DataFrame:
+    """(rel_path, _seeded, _stays) of directories, from rows (rel_path, is_dir, seed, stay, live): whether a seed, and something that stays, is at or below them."""
+    own = F.col("is_dir")
+    sums = r.groupBy(F.when(own, F.col("rel_path")).otherwise(parent("rel_path")).alias("_f")).agg(F.max("seed").alias("seed"), F.max("stay").alias("stay"), F.max(own & F.col("live")).alias("live"))
+    up = sums.where("_f is not null").select("_f", F.explode(self_and_ancestors("_f")).alias("rel_path"), "seed", "stay", "live")
+    marks = up.groupBy("rel_path").agg(F.max("seed").alias("_seeded"), F.max("stay").alias("_stays"), F.max(F.col("live") & (F.col("_f") == F.col("rel_path"))).alias("_live"))
+    if not unseeded_stay:
+        return marks.drop("_live")
+    row = lambda path, seeded, stays: F.struct(path.alias("rel_path"), seeded.alias("_seeded"), stays.alias("_stays"))
+    own_row = F.array(row(F.col("rel_path"), F.col("_seeded"), F.col("_stays")))
+    above = F.transform(self_and_ancestors("rel_path"), lambda a: row(a, F.lit(False), F.lit(True)))
+    told = marks.select(F.explode(F.when(F.col("_live") & ~F.col("_seeded"), F.concat(own_row, above)).otherwise(own_row)).alias("r")).select("r.*")
+    return told.groupBy("rel_path").agg(F.max("_seeded").alias("_seeded"), F.max("_stays").alias("_stays"))
+
+
 def rm_summary(plan: DataFrame) -> DataFrame:
     """One row: removed and skipped counts by kind (other counts as file), bytes of removed files."""
     kind = F.when(F.col("kind") == "other", "file").otherwise(F.col("kind"))
