@@ -9,8 +9,8 @@ blocks are sorted as one that is known to repeat.  Where different blocks remain
 in a bucket (at the edges of shared passages) their bytes are gathered and their
 suffixes are sorted: blocks are laid out with anchors on multiples of 7, suffixes
 at cover positions (0, 1 and 3 modulo 7) are ranked once, by doubling, before the
-others, and every suffix is then compared by 8 bytes, the rank of its next cover
-position and the last 8 bytes, so a tie of any length costs no more.  Buckets of
+others, and every suffix is then compared by its first bytes, the ranks of two cover
+positions and its last bytes, so a tie of any length costs no more.  Buckets of
 very many different blocks are split by the windows' digests instead.
 
 The same sort finds passages: runs of more than 50 words that also stand in
@@ -45,6 +45,8 @@ COVER_PERIOD = 7
 COVER = (0, 1, 3)
 #: Steps from a position (modulo the period) to the next cover position.
 COVER_STEP = np.array([next(k for k in range(COVER_PERIOD) if (c + k) % COVER_PERIOD in COVER) for c in range(COVER_PERIOD)])
+#: Steps back from a position to the cover position before it.
+COVER_BACK = np.array([next(k for k in range(COVER_PERIOD) if (c - k) % COVER_PERIOD in COVER) for c in range(COVER_PERIOD)])
 WIDE_BUCKET = 4096
 SORT_BYTES = 1 << 20
 BLOCKS_AT_ONCE = 100_000
@@ -190,65 +192,78 @@ def merged(ids: np.ndarray, h: np.ndarray, s: np.ndarray, e: np.ndarray) -> tupl
     return ids[first], h[first], s[first], reach[np.append(first[1:], len(s)) - 1]
 
 
-def _words_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each position as a number of the same order."""
-    out = np.zeros(len(at), np.uint64)
-    for k in range(8):
-        out = (out << _U(8)) | data[at + k].astype(np.uint64)
+def _packed(text: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
+    """The n symbols (bytes or 4-byte numbers) from each position, as numbers of 8 bytes in the same order."""
+    width = text.dtype.itemsize
+    out = []
+    for begin in range(0, n, 8 // width):
+        key = np.zeros(len(at), np.uint64)
+        for k in range(begin, min(n, begin + 8 // width)):
+            key = (key << _U(8 * width)) | text[at + k].astype(np.uint64)
+        out.append(key)
+    return out
+
+
+def _dense(x: np.ndarray) -> np.ndarray:
+    """Rank of each number among the different ones."""
+    order = np.argsort(x)
+    s = x[order]
+    out = np.empty(len(x), np.int64)
+    out[order] = np.cumsum(np.append(np.zeros(min(1, len(x)), bool), s[1:] != s[:-1]))
     return out
 
 
 def _ranks(*keys: np.ndarray) -> np.ndarray:
-    """Dense ranks of rows by keys, the first most significant."""
-    order = np.lexsort(keys[::-1])
-    step = np.zeros(len(order), np.int64)
-    for k in keys:
-        step[1:] |= k[order[1:]] != k[order[:-1]]
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(step)
+    """Dense ranks of rows by keys, the first most significant: one sort of plain numbers for each key."""
+    out = _dense(keys[0])
+    for k in keys[1:]:
+        k = _dense(k) if k.dtype == np.uint64 else k - k.min(initial=0)
+        out = _dense(out * (k.max(initial=0) + 1) + k)
     return out
 
 
 def _cover_ranks(text: np.ndarray, length: int) -> np.ndarray:
-    """Rank, among cover positions, of the `length` bytes (a multiple of the period) from each; -1 elsewhere."""
-    limit = len(text) - length - 8
+    """Rank, among cover positions, of the `length` symbols (a multiple of the period) from each; -1 elsewhere."""
+    limit = len(text) - length - COVER_PERIOD
     at = np.arange(limit)
     at = at[np.isin(at % COVER_PERIOD, COVER)]
     rank = np.full(len(text), -1, np.int64)
-    rank[at] = _ranks(_words_at(text, at) >> _U(8))
+    rank[at] = _ranks(*_packed(text, at, COVER_PERIOD))
     have = COVER_PERIOD
     while have < length:
         step = min(have, length - have)
-        other = rank[at + step]
-        rank[at] = _ranks(rank[at], other)
+        rank[at] = _ranks(rank[at], rank[at + step])
         have += step
     return rank
 
 
-def repeated_windows(bodies: list[bytes], anchors: np.ndarray, buckets: np.ndarray, sure: np.ndarray, window: int, owner: np.ndarray | None = None, step: int = 1) -> list[np.ndarray]:
-    """For each block, the window starts (in the block) whose bytes also start at another place of the bucket, or in a block known to repeat.
+def repeated_windows(bodies: list[bytes], anchors: np.ndarray, buckets: np.ndarray, sure: np.ndarray, window: int, owner: np.ndarray | None = None, width: int = 1) -> list[np.ndarray]:
+    """For each block, the window starts (in the block) whose symbols also start at another place of the bucket, or in a block known to repeat.
 
-    With owners, only places of blocks of other owners count.  All in bytes; windows
-    start at multiples of step.
+    With owners, only places of blocks of other owners count.  Symbols are of 1 or 4
+    bytes; positions count symbols.
     """
-    period, padding = COVER_PERIOD, window + 16
-    sizes = np.array([len(x) for x in bodies])
+    period, of = COVER_PERIOD, np.dtype(np.uint8 if width == 1 else np.uint32)
+    sizes = np.array([len(x) // width for x in bodies])
     place, end = np.zeros(len(bodies), np.int64), 0
     for i, (n, a) in enumerate(zip(sizes.tolist(), anchors.tolist())):
         place[i] = end + (-(end + a)) % period
         end = place[i] + n
-    text = np.zeros(end + padding, np.uint8)
+    text = np.zeros(end + window + 2 * period, of)
     for x, p, n in zip(bodies, place.tolist(), sizes.tolist()):
-        text[p : p + n] = np.frombuffer(x, np.uint8)
-    cover = (window - 8) // period * period
+        text[p : p + n] = np.frombuffer(x, of)
+    near = int(COVER_STEP.max())
+    cover = (window - near) // period * period
     rank = _cover_ranks(text, cover)
-    count = (sizes - window) // step + 1
+    count = sizes - window + 1
     block = np.repeat(np.arange(len(bodies)), count)
-    starts = ragged(np.zeros(len(bodies), np.int64), count) * step
+    starts = ragged(np.zeros(len(bodies), np.int64), count)
     at = place[block] + starts
     offset = starts - anchors[block]
-    ends = [_words_at(text, at + window - 8)] + ([_words_at(text, at + window - 16)] if cover < window - 8 else [])
-    group = _ranks(buckets[block], offset, _words_at(text, at), rank[at + COVER_STEP[at % period]], *ends)
+    # A window is its first symbols, the cover ranks that start first and last in it, and its last symbols.
+    late = at + window - cover
+    late -= COVER_BACK[late % period]
+    group = _ranks(buckets[block], offset, rank[at + COVER_STEP[at % period]], rank[late], *_packed(text, at, near), *_packed(text, at + window - near, near))
     if owner is None:
         again = np.bincount(group)[group] > 1
     else:
@@ -268,9 +283,9 @@ def _resolved(blocks: DataFrame, kinds: list[Unit]) -> DataFrame:
         unit = kinds[rows[0][0]]
         buckets = np.unique(np.array([r[1] for r in rows]), return_inverse=True)[1]
         owner = np.array([r[2] for r in rows]) if unit.number else None
-        hits = repeated_windows([r[7] for r in rows], np.array([r[5] for r in rows]) * unit.width, buckets, np.array([r[6] for r in rows], np.int64), unit.window * unit.width, owner, unit.width)
+        hits = repeated_windows([r[7] for r in rows], np.array([r[5] for r in rows]), buckets, np.array([r[6] for r in rows], np.int64), unit.window, owner, unit.width)
         n = np.array([len(x) for x in hits])
-        starts = np.concatenate(hits) // unit.width + np.repeat(np.array([r[4] for r in rows]), n)
+        starts = np.concatenate(hits) + np.repeat(np.array([r[4] for r in rows]), n)
         i, h, s, e = merged(np.repeat(np.array([r[2] for r in rows]), n), np.repeat(np.array([r[3] for r in rows]), n), starts, starts + unit.window)
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(i), unit.number, np.int32)), pa.array(i, pa.int64()), pa.array(h, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["unit", "id", "h", "s", "e"])
 
