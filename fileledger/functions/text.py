@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-OPERATIONS = ("stat", "read-link", "open-create", "mkdir", "unlink", "rmdir", "hard-link", "symlink", "chmod")
-
-
 def format_mode(mode: Column) -> Column:
     return F.lpad(F.conv(mode.bitwiseAND(0o7777).cast("string"), 10, 8), 4, "0")
 
@@ -17,10 +14,6 @@ def format_micros(us: Column) -> Column:
     return F.when(us.isNull(), "—").when(us < 1000, F.concat(us.cast("string"), F.lit("µs"))).when(us < 1_000_000, F.concat(F.format_number(us / 1e3, 1), F.lit("ms"))).otherwise(F.concat(F.format_number(us / 1e6, 2), F.lit("s")))
 
 
-def format_ratio(r: Column) -> Column:
-    return F.when(r.isNull(), "—").otherwise(F.concat(F.format_number(r, 2), F.lit("x")))
-
-
 def human_bytes(n: Column) -> Column:
     """1023 B, 1.50 KiB, ...; binary units."""
     out = F.concat(n.cast("string"), F.lit(" B"))

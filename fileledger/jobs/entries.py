@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from fileledger.jobs import plan_queries, stream_queries, telemetry_queries, trees  # noqa: E402, F401
+from fileledger.jobs import plan_queries, source_queries, stream_queries, telemetry_queries, trees  # noqa: E402, F401

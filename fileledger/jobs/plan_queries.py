@@ -49,6 +49,14 @@ def copy_plan_strict(spark, sf_dir):
     return plans.copy_plan(src_manifest(spark, sf_dir), dst_manifest(spark, sf_dir), skip_specials=True).select("rel_path", "kind", "size", "action", "dst_kind")
 
 
+_NEWER = "(d.kind = 'file' AND (d.mtime_s > s.mtime_s OR (d.mtime_s = s.mtime_s AND d.mtime_ns > s.mtime_ns)))"
+
+
+@query("copy_plan_keep_newer", f"WITH {BOTH} SELECT s.rel_path, CASE WHEN s.kind = 'file' AND d.kind IS NOT NULL AND {_NEWER} THEN 'unchanged' ELSE {_action('replace')} END AS action FROM src s LEFT JOIN dst d ON s.rel_path = d.rel_path")
+def copy_plan_keep_newer(spark, sf_dir):
+    return plans.copy_plan(src_manifest(spark, sf_dir), dst_manifest(spark, sf_dir), overwrite=True, keep_newer=True, skip_specials=True).select("rel_path", "action")
+
+
 _COPY_FILTERED = f"""{SRC_SQL}, {DST_SQL}, dst_few AS (SELECT * FROM dst WHERE rel_path NOT LIKE 'p4%'), {_walk('src')}, p0 AS MATERIALIZED (
   SELECT s.rel_path, s.kind, s.size, {_action('replace')} AS action, s.direct FROM src_w s LEFT JOIN dst_few d ON s.rel_path = d.rel_path WHERE s.walk = 'included'
   UNION ALL SELECT rel_path, kind, size, 'skip_filter', direct FROM src_w WHERE walk = 'skipped'),
@@ -97,6 +105,21 @@ def mirror_delete(spark, sf_dir):
     return plans.mirror_delete_plan(src_manifest(spark, sf_dir), dst_manifest(spark, sf_dir), FilterSettings.of(exclude=["x1*.log"])).drop("reason")
 
 
+@query(
+    "mirror_delete_errors",
+    f"""WITH {BOTH}, failed AS (SELECT rel_path FROM src WHERE kind = 'file' AND regexp_matches(rel_path, '/o[0-9]*55[.]dat$')), exempt AS MATERIALIZED (SELECT DISTINCT unnest(list_append({UP.format(p='rel_path')}, rel_path)) AS d FROM failed),
+shared AS (SELECT s.rel_path FROM src s JOIN dst e ON s.rel_path = e.rel_path ANTI JOIN exempt x ON s.rel_path = x.d WHERE s.kind = 'dir' AND e.kind = 'dir'),
+tops AS MATERIALIZED (SELECT d.* FROM dst d JOIN shared h ON {PARENT.format(p='d.rel_path')} = h.rel_path ANTI JOIN src s ON d.rel_path = s.rel_path),
+below AS (SELECT DISTINCT x.rel_path, x.kind, x.size FROM (SELECT rel_path, kind, size, unnest(list_append({UP.format(p='rel_path')}, rel_path)) AS a FROM dst) x JOIN tops t ON x.a = t.rel_path)
+SELECT rel_path, kind, size, 'remove' AS action FROM below""",
+)
+def mirror_delete_errors(spark, sf_dir):
+    """Directories with an error at or below them keep what they have."""
+    src = src_manifest(spark, sf_dir)
+    failed = src.where("kind = 'file' and rel_path rlike '/o[0-9]*55[.]dat$'")
+    return plans.mirror_delete_plan(src, dst_manifest(spark, sf_dir), errors=failed).drop("reason")
+
+
 _LINK = f"""{SRC_SQL}, {UPD_SQL}, j AS MATERIALIZED (SELECT coalesce(s.rel_path, d.rel_path) AS rel_path, s.kind AS sk, d.kind AS uk, s.size AS ss, d.size AS us,
   CASE WHEN d.kind IS NULL THEN CASE s.kind WHEN 'dir' THEN 'mkdir' WHEN 'file' THEN 'hardlink' WHEN 'symlink' THEN 'symlink' ELSE 'skip_special' END
     WHEN s.kind = 'file' AND d.kind = 'file' AND s.size = d.size AND {_MT} THEN 'hardlink'
@@ -207,6 +230,14 @@ def transfer_candidates(spark, sf_dir):
     return plans.transfer_candidates(src_manifest(spark, sf_dir), dst_manifest(spark, sf_dir), max_entries=9)
 
 
+@query(
+    "transfer_newer",
+    f"""WITH {BOTH} SELECT s.rel_path, s.size, NOT coalesce(d.kind = 'file' AND s.size = d.size AND {_MT}, FALSE) AND NOT coalesce({_NEWER}, FALSE) AS send FROM src s LEFT JOIN dst d ON s.rel_path = d.rel_path WHERE s.kind = 'file'""",
+)
+def transfer_newer(spark, sf_dir):
+    return plans.transfer_candidates(src_manifest(spark, sf_dir), dst_manifest(spark, sf_dir), keep_newer=True)
+
+
 @query("failed_ancestors", f"WITH {SRC_SQL}, failed AS (SELECT rel_path FROM src WHERE kind = 'dir' AND regexp_matches(rel_path, '/c[0-9]7$')) SELECT rel_path, kind FROM src WHERE rel_path NOT IN (SELECT rel_path FROM failed) AND NOT list_has_any({UP.format(p='rel_path')}, (SELECT list(rel_path) FROM failed))")
 def failed_ancestors(spark, sf_dir):
     m = src_manifest(spark, sf_dir)
@@ -318,13 +349,17 @@ def error_digest(spark, sf_dir):
 
 @query(
     "run_summaries",
-    f"""WITH {SAMPLES_SQL}, g AS (SELECT run AS run_id, side, count(*) FILTER (op = 'open-create') AS files_copied, count(*) FILTER (op = 'unlink') AS files_skipped FROM samples GROUP BY 1, 2), s AS (SELECT run_id, sum(files_skipped)::BIGINT AS files_skipped FROM g GROUP BY 1), d AS (SELECT run_id, sum(files_copied)::BIGINT AS files_copied FROM g GROUP BY 1)
-SELECT s.run_id, files_copied, files_skipped FROM s JOIN d ON s.run_id = d.run_id""",
+    f"""WITH {SAMPLES_SQL}, s AS (SELECT run AS run_id, count(*) FILTER (op = 'unlink') AS files_skipped FROM samples WHERE side = 'source' GROUP BY 1), d AS (SELECT run AS run_id, count(*) FILTER (op = 'open-create') AS files_copied FROM samples WHERE side = 'destination' GROUP BY 1)
+SELECT s.run_id, files_copied, files_skipped FROM s JOIN d ON s.run_id[2:]::INT // 2 = d.run_id[2:]::INT // 2""",
 )
 def run_summaries(spark, sf_dir):
-    s = samples(spark, sf_dir).withColumnRenamed("run", "run_id")
-    side = s.groupBy("run_id").agg(F.count_if(F.col("op") == "open-create").alias("files_copied"), F.count_if(F.col("op") == "unlink").alias("files_skipped"))
-    return plans.merge_run_summaries(side, side)
+    """Runs have samples of one side; the destination's of runs 2k + 1 is met with the source's of runs 2k."""
+    s = samples(spark, sf_dir)
+    pair = F.floor(F.substring("run", 2, 9).cast("int") / 2)
+    side = lambda of: s.where(F.col("side") == of).groupBy(pair.alias("pair")).agg(F.min("run").alias("run"), F.count_if(F.col("op") == "open-create").alias("files_copied"), F.count_if(F.col("op") == "unlink").alias("files_skipped"))
+    source = side("source")
+    merged = plans.merge_run_summaries(source.drop("run"), side("destination").drop("run"), key="pair")
+    return merged.join(source.select("pair", F.col("run").alias("run_id")), "pair").select("run_id", "files_copied", "files_skipped")
 
 
 @query(

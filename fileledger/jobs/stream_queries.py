@@ -4,34 +4,96 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fileledger.functions.paths import parent
 from fileledger.jobs.entries import query
-from fileledger.jobs.fixtures import DST_SQL, SAMPLES_SQL, SRC_SQL, dst_manifest, sample_columns, src_manifest
-from fileledger.jobs.telemetry_queries import _BUCKET
+from fileledger.jobs.fixtures import DST_SQL, PARENT, SAMPLES_SQL, SRC_SQL, UP, dst_manifest, sample_columns, samples, src_manifest
+from fileledger.jobs.plan_queries import _action
+from fileledger.jobs.telemetry_queries import _BUCKET, _PROGRESS, REPLAY_SQL
 from fileledger.jobs.trees import _EQ
+from fileledger.operators.telemetry import progress_snapshots
 from fileledger.sources.scratch import new_path
 from fileledger.streaming import telemetry, trees
 
 
 @query(
     "stream_histogram",
-    f"WITH {SAMPLES_SQL}, h AS (SELECT run, side, op, time_bucket(INTERVAL 1 HOUR, ts) AS tick, ({_BUCKET.format(v='latency_us')})::BIGINT AS bucket_low, count(*) AS count FROM samples GROUP BY ALL) SELECT * FROM h WHERE tick < (SELECT time_bucket(INTERVAL 1 HOUR, max(ts)) FROM samples)",
+    f"WITH {SAMPLES_SQL} SELECT run, side, op, time_bucket(INTERVAL 1 HOUR, ts) AS tick, ({_BUCKET.format(v='latency_us')})::BIGINT AS bucket_low, count(*) AS count FROM samples GROUP BY ALL",
 )
 def stream_histogram(spark, sf_dir):
-    """Hours that the watermark has closed: all but the newest."""
+    """Every hour, the newest as far as it has come."""
     s = telemetry.file_stream(spark, sf_dir, "events").select(*sample_columns())
-    return telemetry.drain(telemetry.histogram_snapshots(s, "1 hour", "0 seconds"), "stream-histogram")
+    return telemetry.drain(telemetry.histogram_snapshots(s, "1 hour", "0 seconds"), "stream-histogram", rest=telemetry.histogram_rest)
 
 
-@query("stream_compare", f"WITH {SRC_SQL}, {DST_SQL} SELECT s.rel_path, CASE WHEN d.kind IS NULL THEN 'dst_missing' WHEN s.kind = d.kind AND {_EQ} THEN 'same' ELSE 'different' END AS result FROM src s LEFT JOIN dst d ON s.rel_path = d.rel_path")
-def stream_compare(spark, sf_dir):
-    """The source's manifest as a change feed against the destination's."""
+@query(
+    "stream_sliding",
+    f"""WITH {SAMPLES_SQL}, w AS (SELECT run, side, op, time_bucket(INTERVAL 1 HOUR, ts) + to_hours(h) AS tick, ({_BUCKET.format(v='latency_us')})::BIGINT AS bucket_low FROM samples, (VALUES (1), (2), (3)) t(h)) SELECT *, count(*) AS count FROM w GROUP BY ALL""",
+)
+def stream_sliding(spark, sf_dir):
+    """Windows of three hours at every hour."""
+    s = telemetry.file_stream(spark, sf_dir, "events").select(*sample_columns())
+    return telemetry.drain(telemetry.sliding_windows(s, "3 hours", "1 hour", "0 seconds"), "stream-sliding", rest=telemetry.sliding_rest)
+
+
+def _changes(spark, sf_dir):
+    """The source's manifest as a change feed."""
     path = new_path(spark, "changes")
     src_manifest(spark, sf_dir).write.parquet(path)
-    changes = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    return telemetry.drain(trees.incremental_compare(changes, dst_manifest(spark, sf_dir)), "stream-compare")
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+
+
+@query("stream_compare", f"WITH {SRC_SQL}, {DST_SQL} SELECT s.rel_path, CASE WHEN d.kind IS NULL THEN 'dst_missing' WHEN s.kind = d.kind AND {_EQ} THEN 'same' ELSE 'different' END AS result FROM src s LEFT JOIN dst d ON s.rel_path = d.rel_path")
+def stream_compare(spark, sf_dir):
+    """A change feed against the destination's manifest."""
+    return telemetry.drain(trees.incremental_compare(_changes(spark, sf_dir), dst_manifest(spark, sf_dir)), "stream-compare")
+
 
+@query("stream_copy_plan", f"WITH {SRC_SQL}, {DST_SQL} SELECT s.rel_path, s.kind, s.size, {_action('replace')} AS action, d.kind AS dst_kind FROM src s LEFT JOIN dst d ON s.rel_path = d.rel_path")
+def stream_copy_plan(spark, sf_dir):
+    plan = trees.incremental_copy_plan(_changes(spark, sf_dir), dst_manifest(spark, sf_dir), overwrite=True, skip_specials=True)
+    return telemetry.drain(plan, "stream-copy-plan")
 
-@query("stream_controller")
+
+@query("stream_controller", REPLAY_SQL)
 def stream_controller(spark, sf_dir):
     s = telemetry.file_stream(spark, sf_dir, "events").select(*sample_columns()).select("run", "side", "op", F.floor(F.unix_micros("ts") / 10_000).alias("at_us"), "latency_us")
-    return telemetry.drain(telemetry.control(s), "stream-controller")
+    return telemetry.drain(telemetry.control(s), "stream-controller", rest=telemetry.control_rest)
+
+
+@query(
+    "stream_rates",
+    f"""WITH {SAMPLES_SQL}, {_PROGRESS}, p AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS gap FROM prog WINDOW w AS (PARTITION BY run, side ORDER BY ts))
+SELECT run, side, ts, coalesce((ops_finished - lag(ops_finished) OVER w) / gap, 0)::DOUBLE AS ops_finished_rate, coalesce((bytes_copied - lag(bytes_copied) OVER w) / gap, 0)::DOUBLE AS bytes_copied_rate FROM p WINDOW w AS (PARTITION BY run, side ORDER BY ts)""",
+)
+def stream_rates(spark, sf_dir):
+    path = new_path(spark, "progress")
+    progress_snapshots(samples(spark, sf_dir)).write.parquet(path)
+    s = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    return telemetry.drain(telemetry.progress_rates(s), "stream-rates")
+
+
+@query(
+    "stream_completion",
+    f"""WITH {SRC_SQL}, dirs AS (SELECT rel_path, rel_path NOT LIKE '%/c9' AS announced, rel_path LIKE '%/c8' AS failed FROM src WHERE kind = 'dir'), expected AS (SELECT {PARENT.format(p='rel_path')} AS f, count(*) AS n, count(*) FILTER (mtime_ns % 100 <> 1) AS p FROM src WHERE rel_path <> '' GROUP BY 1),
+t AS MATERIALIZED (SELECT d.rel_path, coalesce(e.n, 0) AS n, coalesce(e.p, 0) AS p FROM dirs d LEFT JOIN expected e ON d.rel_path = e.f WHERE NOT failed AND announced),
+open_ AS MATERIALIZED (SELECT DISTINCT unnest(list_append({UP.format(p='rel_path')}, rel_path)) AS d FROM t WHERE p < n) SELECT t.rel_path, p::BIGINT AS processed, o.d IS NULL AS complete FROM t LEFT JOIN open_ o ON o.d = t.rel_path""",
+)
+def stream_completion(spark, sf_dir):
+    """Announcements, failures and finished children as a stream of several batches, the first of which comes twice."""
+    m = src_manifest(spark, sf_dir).select("rel_path", "kind", F.coalesce("mtime_ns", F.lit(0)).alias("mtime_ns"))
+    event = lambda rows, dir_, name, expected=F.lit(None): rows.select(F.lit("r").alias("run"), dir_.alias("dir"), F.lit(name).alias("event"), expected.cast("bigint").alias("expected"))
+    n = m.where("rel_path <> ''").groupBy(parent("rel_path").alias("dir")).agg(F.count(F.lit(1)).alias("n"))
+    dirs = m.where("kind = 'dir'").join(n, F.col("rel_path") == F.col("dir"), "left")
+    told = event(dirs.where("rel_path not like '%/c9'"), F.col("rel_path"), "announce", F.coalesce("n", F.lit(0)))
+    told = told.unionByName(event(dirs.where("rel_path like '%/c8'"), F.col("rel_path"), "failed")).unionByName(event(m.where("rel_path <> '' and mtime_ns % 100 <> 1"), parent("rel_path"), "child"))
+    path, folder = new_path(spark, "completion-events"), new_path(spark, "completion")
+    told.repartition(3).write.parquet(path)
+    s = spark.readStream.schema(told.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    tracker = trees.CompletionTracker("r", folder)
+
+    def add(batch, batch_id: int) -> None:
+        for _ in range(1 if batch_id else 2):
+            tracker.add(batch, batch_id)
+
+    s.writeStream.foreachBatch(add).option("checkpointLocation", new_path(spark, "completion-log")).trigger(availableNow=True).start().awaitTermination()
+    return tracker.status(spark)

@@ -42,16 +42,9 @@ def _with_removed(plan: DataFrame, dst: DataFrame | None, gone: Column, d_kind:
     return j.withColumns({c: F.when(replaced_dir, F.coalesce(f"_{c}", F.lit(0))).when(gone, F.coalesce(leaf[c], F.lit(0))).otherwise(0).cast("bigint") for c in REMOVED}).drop("_top", *(f"_{c}" for c in REMOVED))
 
 
-def copy_plan(src: DataFrame, dst: DataFrame, overwrite: bool = False, overwrite_compare: str = "size,mtime", keep_newer: bool = False, ignore_existing: bool = False, skip_specials: bool = False, filter: FilterSettings | None = None, preserve: Preserve = Preserve(), dry_run: bool = False) -> DataFrame:
-    """(rel_path, kind, size, action, dst_kind, removed_files, removed_dirs, removed_symlinks, removed_bytes, reason) of every visited source entry.
-
-    Entries below a directory that is skipped or fails are not visited.  Directories
-    made for a filtered copy in which nothing ends up are drop_empty_dir.
-    """
-    attributes = parse_metadata_cmp(overwrite_compare)
-    settings = filter or FilterSettings()
-    s = apply_filter(src, settings)
-    live = _prefixed(s.where("walk = 'included'"), "s_").join(_prefixed(dst, "d_"), "rel_path", "left")
+def copy_actions(src: DataFrame, dst: DataFrame, overwrite: bool = False, overwrite_compare: str = "size,mtime", keep_newer: bool = False, ignore_existing: bool = False, skip_specials: bool = False, preserve: Preserve = Preserve(), dry_run: bool = False) -> DataFrame:
+    """(rel_path, kind, size, action, dst_kind, _d_size) of source entries, each by itself: one left join on the path, no set of other rows."""
+    live = _prefixed(src, "s_").join(_prefixed(dst, "d_"), "rel_path", "left")
     kind, there, d_kind = F.col("s_kind"), F.col("d_kind").isNotNull(), F.col("d_kind")
     links = preserve.symlink
     if dry_run:
@@ -60,7 +53,7 @@ def copy_plan(src: DataFrame, dst: DataFrame, overwrite: bool = False, overwrite
             F.when((kind == "dir") & F.lit(ignore_existing) & there & (d_kind != "dir"), "skip_existing").when(kind == "dir", "mkdir").when(kind == "other", F.lit("skip_special" if skip_specials else "error")).when(kind == "file", F.coalesce(leaf, F.lit("copy"))).otherwise(F.coalesce(leaf, F.lit("symlink")))
         )
     else:
-        equal = metadata_equal(attributes, "s_", "d_")
+        equal = metadata_equal(parse_metadata_cmp(overwrite_compare), "s_", "d_")
         clash = "skip_existing" if ignore_existing else "replace" if overwrite else "error"
         same_file = (d_kind == "file") & (equal | (dest_is_newer("s_", "d_") if keep_newer else F.lit(False)))
         same_link = (d_kind == "symlink") & F.col("s_link_target").eqNullSafe(F.col("d_link_target"))
@@ -74,9 +67,21 @@ def copy_plan(src: DataFrame, dst: DataFrame, overwrite: bool = False, overwrite
             .when(kind == "symlink", F.when(~there, "symlink").otherwise(for_link))
             .otherwise(F.lit("skip_special" if skip_specials else "error"))
         )
-    p = live.select("rel_path", kind.alias("kind"), F.col("s_size").alias("size"), action.alias("action"), d_kind.alias("dst_kind"), F.col("d_size").alias("_d_size"), F.lit(None).cast("string").alias("reason"))
+    return live.select("rel_path", kind.alias("kind"), F.col("s_size").alias("size"), action.alias("action"), d_kind.alias("dst_kind"), F.col("d_size").alias("_d_size"))
+
+
+def copy_plan(src: DataFrame, dst: DataFrame, overwrite: bool = False, overwrite_compare: str = "size,mtime", keep_newer: bool = False, ignore_existing: bool = False, skip_specials: bool = False, filter: FilterSettings | None = None, preserve: Preserve = Preserve(), dry_run: bool = False) -> DataFrame:
+    """(rel_path, kind, size, action, dst_kind, removed_files, removed_dirs, removed_symlinks, removed_bytes, reason) of every visited source entry.
+
+    Entries below a directory that is skipped or fails are not visited.  Directories
+    made for a filtered copy in which nothing ends up are drop_empty_dir.
+    """
+    settings = filter or FilterSettings()
+    s = apply_filter(src, settings)
+    none = F.lit(None).cast("string")
+    p = copy_actions(s.where("walk = 'included'"), dst, overwrite, overwrite_compare, keep_newer, ignore_existing, skip_specials, preserve, dry_run).withColumn("reason", none)
     if not settings.empty:
-        p = p.unionByName(s.where("walk = 'skipped'").select("rel_path", "kind", "size", F.lit("skip_filter").alias("action"), F.lit(None).cast("string").alias("dst_kind"), F.lit(None).cast("bigint").alias("_d_size"), "reason"))
+        p = p.unionByName(s.where("walk = 'skipped'").select("rel_path", "kind", "size", F.lit("skip_filter").alias("action"), none.alias("dst_kind"), F.lit(None).cast("bigint").alias("_d_size"), "reason"))
     # Only where a directory cannot take the place of what is there does anything go unvisited.
     if ignore_existing or not (overwrite or dry_run):
         folders = s.where("walk = 'included' and kind = 'dir'").select("rel_path")

@@ -97,10 +97,13 @@ def directory_completion(dirs: DataFrame, children: DataFrame) -> DataFrame:
     been processed, and every tracked directory below it is complete; what lies at
     or below a failed directory is untracked.
     """
-    tracked = exclude_failed(dirs, dirs.where("failed").select("rel_path"))
     done = children.groupBy(parent("rel_path").alias("rel_path")).agg(F.count(F.lit(1)).alias("processed"))
-    t = tracked.join(done, "rel_path", "left").withColumn("processed", F.coalesce("processed", F.lit(0)))
+    return completion(dirs.join(done, "rel_path", "left").withColumn("processed", F.coalesce("processed", F.lit(0)))).drop("announced")
+
+
+def completion(dirs: DataFrame) -> DataFrame:
+    """The same from dirs that carry how many of their children are processed: (rel_path, announced, processed, complete)."""
+    t = exclude_failed(dirs, dirs.where("failed").select("rel_path"))
     open_ = t.where(~(F.col("announced") & (F.col("processed") >= F.col("expected")))).select("rel_path")
     above = open_.select(F.explode(self_and_ancestors("rel_path")).alias("rel_path")).distinct().withColumn("_open", F.lit(True))
-    return t.join(above, "rel_path", "left").select("rel_path", "processed", F.col("_open").isNull().alias("complete"))
-
+    return t.join(above, "rel_path", "left").select("rel_path", "announced", "processed", F.col("_open").isNull().alias("complete"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fileledger.operators.controller import RatioConfig, Ratio, SCHEMA
@@ -81,16 +82,64 @@ def progress_rates(progress: DataFrame, counters=("ops_finished", "bytes_copied"
     return progress.groupBy("run", "side").applyInPandasWithState(step, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there now, to a table in the shared folder, and reads that."""
+def control_rest(left: DataFrame, tick_us: int = 1_000_000, cfg: RatioConfig = RatioConfig()) -> DataFrame:
+    """The rows of ticks that no later sample has shown to have passed, from what open_state tells of a stream of control."""
+    names = ["run", "side", "op", "tick", "baseline_us", "current_us", "cwnd"]
+
+    def last(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for run, side, op, cwnd, fresh, tick, times, values in f.itertuples(index=False):
+                c = Ratio(cfg)
+                c.cwnd, c.fresh = cwnd, fresh
+                c.held.extend(zip(times, values))
+                rows.append((run, side, op, tick, *c.tick(tick)))
+            yield pd.DataFrame(rows, columns=names).astype({"baseline_us": "Int64", "current_us": "Int64", "tick": "int64", "cwnd": "int64"})
+
+    state = left.select("run", "side", "op", *(F.col(f"groupState.{c}").alias(c) for c in ("cwnd", "fresh", "tick", "times", "vals")))
+    return state.where("tick is not null").mapInPandas(last, SCHEMA)
+
+
+def open_state(spark: SparkSession, log: str) -> DataFrame:
+    """Keys and values that a stream of one stateful operator still holds, read from its checkpoint."""
+    return spark.read.format("statestore").load(log).select("key.*", "value.*")
+
+
+def histogram_rest(left: DataFrame) -> DataFrame:
+    """Rows of intervals that the watermark has not closed, from what open_state tells of a stream of histogram_snapshots."""
+    return _open_buckets(left, "start")
+
+
+def sliding_rest(left: DataFrame) -> DataFrame:
+    """The same of sliding_windows."""
+    return _open_buckets(left, "end")
+
+
+def _open_buckets(left: DataFrame, edge: str) -> DataFrame:
+    """Keys are run, side, op, a window and a bucket in some order; the only value is the count."""
+    window = next(f.name for f in left.schema.fields if isinstance(f.dataType, T.StructType))
+    bucket, count = (n for n in left.columns if n not in ("run", "side", "op", window))
+    return left.select("run", "side", "op", F.col(f"`{window}`.{edge}").alias("tick"), F.col(f"`{bucket}`").alias("bucket_low"), F.col(f"`{count}`").alias("count"))
+
+
+def drain(stream: DataFrame, name: str, mode: str = "append", rest: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Runs a stream over all that is there now, to a table in the shared folder, and reads that.
+
+    rest: makes the rows of what the stream still holds open at its end, so that the
+    newest interval or tick is not missing.
+    """
     spark = stream.sparkSession
     path, log = new_path(spark, name), new_path(spark, f"{name}-log")
     schema = stream.schema
     stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    return out.unionByName(rest(open_state(spark, log)).select(*out.columns)) if rest else out
 
 
-def file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of a folder as a file stream."""
+def file_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | None = None) -> DataFrame:
+    """A table of a folder as a file stream; files_per_batch bounds what a micro-batch, and so one of its groups, holds."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    r = spark.readStream.schema(schema)
+    if files_per_batch:
+        r = r.option("maxFilesPerTrigger", files_per_batch)
+    return r.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)

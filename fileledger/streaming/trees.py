@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fileledger.functions.metadata import DEFAULT_COMPARE, equal_by_kind, parse_compare
 from fileledger.operators.compare import COMPARED
-from fileledger.operators.reports import directory_completion
-from fileledger.sources.scratch import new_path
+from fileledger.operators.plans import copy_actions
+from fileledger.operators.reports import completion
 
 
 def incremental_compare(changes: DataFrame, dst: DataFrame, compare: str = DEFAULT_COMPARE) -> DataFrame:
@@ -19,33 +19,37 @@ def incremental_compare(changes: DataFrame, dst: DataFrame, compare: str = DEFAU
     return j.select("rel_path", F.when(F.col("d_kind").isNull(), "dst_missing").when(equal, "same").otherwise("different").alias("result"))
 
 
+def incremental_copy_plan(changes: DataFrame, dst: DataFrame, **options) -> DataFrame:
+    """(rel_path, kind, size, action, dst_kind) of changed source entries against a static destination.
+
+    options as of copy_plan.  The table of decisions is row-local; what lies below
+    an entry that fails, and what a replaced directory takes with it, needs the whole
+    tree and is left to copy_plan.
+    """
+    return copy_actions(changes, dst, **options).select("rel_path", "kind", "size", "action", "dst_kind")
+
+
 class CompletionTracker:
     """Directory completion over batches of events (run, dir, event, expected): announce, child, failed.
 
-    Each batch is added up by directory before it joins the table of earlier sums,
-    and completion is recomputed from the sums, so no state key holds a whole run.
+    Each batch is added up by directory and written under its id, so a batch that is
+    replayed counts once, and a tracker made anew on the same folder goes on where
+    the last one stopped.  Completion is computed from the sums of all batches.
     Events for directories that were never announced, or below failed ones, count
     for nothing in the result.
     """
 
-    def __init__(self, run: str):
-        self.run, self.sums = run, None
+    def __init__(self, run: str, folder: str):
+        self.run, self.folder = run, folder.rstrip("/")
 
-    def add(self, batch: DataFrame, _: int = 0) -> None:
+    def add(self, batch: DataFrame, batch_id: int) -> None:
         b = batch.where(F.col("run") == self.run)
         s = b.groupBy("dir").agg(F.max(F.when(F.col("event") == "announce", F.col("expected"))).alias("expected"), F.count_if(F.col("event") == "child").alias("done"), F.coalesce(F.bool_or(F.col("event") == "failed"), F.lit(False)).alias("failed"))
-        if self.sums is not None:
-            old = batch.sparkSession.read.parquet(self.sums)
-            s = s.unionByName(old).groupBy("dir").agg(F.max("expected").alias("expected"), F.sum("done").alias("done"), F.bool_or("failed").alias("failed"))
-        path = new_path(batch.sparkSession, "completion")
-        s.write.parquet(path)
-        self.sums = path
-
-    def status(self, spark) -> DataFrame:
+        s.write.mode("overwrite").parquet(f"{self.folder}/batch={batch_id}")
+
+    def status(self, spark: SparkSession) -> DataFrame:
         """(rel_path, processed, complete) of announced directories."""
-        s = spark.read.parquet(self.sums)
-        dirs = s.select(F.col("dir").alias("rel_path"), F.col("expected").isNotNull().alias("announced"), F.coalesce("expected", F.lit(0)).alias("expected"), "failed")
-        children = s.where("done > 0").select(F.explode(F.transform(F.sequence(F.lit(1), F.col("done")), lambda i: F.when(F.col("dir") == "", F.concat(F.lit("#"), i.cast("string"))).otherwise(F.concat("dir", F.lit("/#"), i.cast("string"))))).alias("rel_path"))
-        dirs = dirs.where("announced or failed")
-        known = dirs.where("announced").select("rel_path")
-        return directory_completion(dirs, children).join(known, "rel_path", "left_semi")
+        s = spark.read.schema("dir string, expected bigint, done bigint, failed boolean").parquet(f"{self.folder}/batch=*")
+        s = s.groupBy(F.col("dir").alias("rel_path")).agg(F.max("expected").alias("expected"), F.sum("done").alias("processed"), F.bool_or("failed").alias("failed"))
+        dirs = s.where("expected is not null or failed").select("rel_path", F.col("expected").isNotNull().alias("announced"), F.coalesce("expected", F.lit(0)).alias("expected"), "failed", "processed")
+        return completion(dirs).where("announced").drop("announced")
