@@ -26,10 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fileledger.llm.kernel import slices, text_column
-from fileledger.llm.scratch import written
+from fileledger.sources.scratch import written
 
 BUCKETS = 1 << 14
-LANGUAGES_MOST = 64
+#: More labelled languages than this are an error; none is ever left out.  A language takes 64 KB of the broadcast table.
+LANGUAGES_MOST = 4096
+SALTS = 16
 #: A text speaks with at most this many independent trigrams.
 TEXT_WEIGHT = 40.0
 SMOOTHING = 20.0
@@ -84,13 +86,15 @@ def count_trigrams(labelled: DataFrame, text_col: str, lang_col: str) -> DataFra
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages (the LANGUAGES_MOST with most trigrams) and log likelihoods, language by bucket; bounded whatever the input."""
+    """All labelled languages that have a trigram, and log likelihoods, language by bucket; as large as there are languages, whatever the input."""
     counts = written(count_trigrams(labelled, text_col, lang_col), "language-counts")
-    langs = sorted(r[0] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES_MOST).collect())
+    langs = sorted(r[0] for r in counts.select("lang").distinct().limit(LANGUAGES_MOST + 1).collect())
+    if len(langs) > LANGUAGES_MOST:
+        raise ValueError(f"more than {LANGUAGES_MOST} languages are labelled")
     table = np.ones((len(langs), BUCKETS))
-    rows = counts.where(F.col("lang").isin(langs)).toPandas() if langs else None
-    if rows is not None and len(rows):
-        table[rows["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(), rows["bucket"].to_numpy()] += rows["n"].to_numpy()
+    at = {x: i for i, x in enumerate(langs)}
+    for lang, bucket, n in counts.groupBy("lang").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n")).toLocalIterator():  # BUCKETS at most each
+        table[at[lang], bucket] += n
     return langs, np.log(table / table.sum(axis=1, keepdims=True))
 
 
@@ -128,14 +132,15 @@ def text_posteriors(rows: DataFrame, langs: list[str], table: np.ndarray) -> Dat
     return rows.mapInArrow(run, ", ".join([*(f"`{k}` {t}" for k, t in rows.select(*kept).dtypes), "p_text array<double>"]))
 
 
-def _sums(e: DataFrame, n: int, *by: str) -> DataFrame:
-    """Summed posteriors by the given columns; partial sums go before the shuffle, so a hot host is no single group."""
-    sums = [F.sum(F.col("p_text")[i]).alias(f"s{i}") for i in range(n)]
-    return e.groupBy(*by).agg(*sums).select(*by, F.array(*(f"s{i}" for i in range(n))).alias("sums"))
+def _sums(e: DataFrame, n: int, by: list[str]) -> DataFrame:
+    """(by, _salt, sums): summed posteriors by the given columns, once for each salt of e that has rows.
 
-
-def _each(n: int, f) -> Column:
-    return F.array(*(f(i) for i in range(n)))
+    Partial sums go before the shuffle, and the parts of a group meet their sum by
+    salt, so a hot host is no single task.
+    """
+    part = e.groupBy(*by, "_salt").agg(*(F.sum(F.col("p_text")[i]).alias(f"s{i}") for i in range(n)))
+    whole = part.groupBy(*by).agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(n))).select(*by, F.array(*(f"s{i}" for i in range(n))).alias("sums"))
+    return part.select(*by, "_salt").join(whole, by)
 
 
 def fuse(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
@@ -144,30 +149,34 @@ def fuse(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     if not langs:
         return rows.select(*keys, F.lit("und").alias("lang"), F.lit(0.0).alias("confidence"), F.lit("und").alias("text_lang"))
     n = len(langs)
-    e = written(text_posteriors(rows, langs, table), "language-evidence")
-    total = _sums(e, n)
-    e = e.crossJoin(F.broadcast(total.select(F.col("sums").alias("all_sums"))))  # one row
+    e = written(text_posteriors(rows, langs, table).withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS))), "language-evidence")
+    total = e.agg(F.array(*(F.sum(F.col("p_text")[i]) for i in range(n))).alias("all_sums"))
     for name, by in (("declared", ["declared"]), ("suffix", ["suffix"]), ("host", ["host", "domain"]), ("domain", ["domain"])):
-        e = e.join(_sums(e.select(*by, "p_text"), n, *by).withColumnRenamed("sums", f"{name}_sums"), by)
-    own = F.col("p_text")
-    whole = F.aggregate("all_sums", F.lit(0.0), lambda a, x: a + x)
-    less = lambda name, i: F.greatest(F.col(f"{name}_sums")[i] - own[i], F.lit(0.0))
-    count = lambda name: F.greatest(F.aggregate(f"{name}_sums", F.lit(0.0), lambda a, x: a + x) - 1, F.lit(0.0))
-    e = e.withColumn("prior", _each(n, lambda i: (F.col("all_sums")[i] + 1) / (whole + n)))
-    e = e.withColumn("by_domain", _each(n, lambda i: (less("domain", i) + SMOOTHING * F.col("prior")[i]) / (count("domain") + SMOOTHING)))
-    e = e.withColumn("by_host", _each(n, lambda i: (less("host", i) + SMOOTHING * F.col("by_domain")[i]) / (count("host") + SMOOTHING)))
-
-    def speaks(name: str, i: int) -> Column:
-        """P(value | language) against P(value): how far the value speaks for the language."""
-        share = (less(name, i) + SMOOTHING * F.col("prior")[i]) / (count(name) + SMOOTHING)
-        return F.when(F.col(name) == "", F.lit(1.0)).otherwise(F.greatest(share / F.col("prior")[i], F.lit(FLOOR)))
-
-    e = e.withColumn("score", _each(n, lambda i: F.log(F.greatest(own[i], F.lit(1e-12))) + F.log(F.greatest(F.col("by_host")[i], F.lit(FLOOR))) + F.log(speaks("declared", i)) + F.log(speaks("suffix", i))))
+        e = e.join(_sums(e.select(*by, "_salt", "p_text"), n, by).withColumnRenamed("sums", f"{name}_sums"), [*by, "_salt"])
+    e = e.crossJoin(F.broadcast(total))  # one row
+    plus = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    # Sums and counts without the row's own share.
+    less = lambda name: F.zip_with(f"{name}_sums", "p_text", lambda s, p: F.greatest(s - p, F.lit(0.0)))
+    count = lambda name: F.greatest(plus(f"{name}_sums") - 1, F.lit(0.0))
+    smoothed = lambda name, towards: F.zip_with(less(name), towards, lambda s, t: (s + SMOOTHING * t) / (count(name) + SMOOTHING))
+    e = e.withColumn("prior", F.transform("all_sums", lambda s: (s + 1) / (plus("all_sums") + n)))
+    e = e.withColumn("by_domain", smoothed("domain", "prior"))
+    e = e.withColumn("by_host", smoothed("host", "by_domain"))
+
+    def speaks(name: str) -> Column:
+        """log of P(value | language) against P(value): how far the value speaks for each language."""
+        ratio = F.zip_with(smoothed(name, "prior"), "prior", lambda share, p: F.log(F.greatest(share / p, F.lit(FLOOR))))
+        return F.when(F.col(name) == "", F.transform("prior", lambda _: F.lit(0.0))).otherwise(ratio)
+
+    score = F.zip_with("p_text", "by_host", lambda p, h: F.log(F.greatest(p, F.lit(1e-12))) + F.log(F.greatest(h, F.lit(FLOOR))))
+    for name in ("declared", "suffix"):
+        score = F.zip_with(score, speaks(name), lambda a, b: a + b)
+    e = e.withColumn("score", score)
     best = F.array_max("score")
-    norm = F.aggregate(F.transform("score", lambda s: F.exp(s - best)), F.lit(0.0), lambda a, x: a + x)
+    norm = plus(F.transform("score", lambda s: F.exp(s - best)))
     names = F.array(*map(F.lit, langs))
     first = lambda c: F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))
-    return e.select(*keys, first(F.col("score")).alias("lang"), F.round(1 / norm, 6).alias("confidence"), first(own).alias("text_lang"))
+    return e.select(*keys, first(F.col("score")).alias("lang"), F.round(1 / norm, 6).alias("confidence"), first(F.col("p_text")).alias("text_lang"))
 
 
 def page_rows(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:

@@ -510,3 +510,15 @@ def test_stages_keep_columns_and_survive_odd_tables(spark, odd_texts):
         assert out.columns == df.columns and out.count() <= df.count(), name
         assert stage(spark, df.limit(0), SF).count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, df.limit(0), SF).count() == 0
+
+
+def test_stages_judge_rows_without_id_and_keep_one_of_repeats(spark):
+    rng = random.Random(6)
+    good, other = words(rng, 120, 10**9), words(rng, 120, 10**9)
+    rows = [(None, "short"), (None, good), (1, good), (1, good), (2, good + " more"), (3, other), (3, "x y")]
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    stages = dict(corpus_pipeline.STAGES)
+    judged = stages["quality_rules"](spark, df, SF)
+    assert Counter((r.doc_id, r.text) for r in judged.collect()) == Counter(x for x in rows if x[1] not in ("short", "x y"))
+    once = stages["near_duplicates"](spark, df, SF)
+    assert Counter((r.doc_id, r.text) for r in once.collect()) == Counter([(None, "short"), (None, good), (1, good), (3, other), (3, "x y")])

@@ -255,3 +255,55 @@ def test_evidence_decides_where_text_is_silent(spark, odd_texts):
     assert odd.count() == len(odd_texts) and odd.where("lang is null").count() == 0
     none = language_id.fuse(language_id.document_rows(frame(spark, ["a"]).select("doc_id", "text", "source")).drop("source"), *language_id.fit(docs.limit(0)))
     assert none.first().lang == "und"
+
+
+def brute_fusion(rows, langs, like):
+    """rows (key, text, declared, suffix, host, domain) -> language and confidence, one row at a time."""
+    n = len(langs)
+    texts = []
+    for _, text, *_ in rows:
+        b = text.encode().lower().replace(b"\n", b" ")
+        grams = [b[i : i + 3] for i in range(len(b) - 2)]
+        plain = lambda c: c >= 128 or 97 <= c <= 122 or c == 32
+        grams = [g for g in grams if all(map(plain, g)) and any(c > 32 for c in g)]
+        bucket = [int(language_id._trigrams(next(iter(slices(pa.array([g.decode("latin-1")]).cast(pa.binary()).view(pa.string())))))[0][0]) if max(g) < 128 else None for g in grams]
+        assert None not in bucket  # plain letters only in this test
+        score = np.array([sum(like[k, x] for x in bucket) for k in range(n)]) * min(len(bucket), language_id.TEXT_WEIGHT) / max(len(bucket), 1)
+        p = np.exp(score - score.max())
+        texts.append(p / p.sum())
+    sums = {}
+    for (_, _, declared, suffix, host, domain), p in zip(rows, texts):
+        for key in (("all",), ("declared", declared), ("suffix", suffix), ("host", host, domain), ("domain", domain)):
+            sums[key] = sums.get(key, 0) + p
+    prior = (sums["all",] + 1) / (sums["all",].sum() + n)
+    out = {}
+    for (key, _, declared, suffix, host, domain), p in zip(rows, texts):
+        smooth = lambda k, towards: (np.maximum(sums[k] - p, 0) + language_id.SMOOTHING * towards) / (max(sums[k].sum() - 1, 0) + language_id.SMOOTHING)  # noqa: B023, E731
+        by_host = smooth(("host", host, domain), smooth(("domain", domain), prior))
+        score = np.log(np.maximum(p, 1e-12)) + np.log(np.maximum(by_host, language_id.FLOOR))
+        for k in (("declared", declared), ("suffix", suffix)):
+            if k[1]:
+                score = score + np.log(np.maximum(smooth(k, prior) / prior, language_id.FLOOR))
+        w = np.exp(score - score.max())
+        out[key] = (langs[int(score.argmax())], round(float(1 / w.sum()), 6), langs[int(p.argmax())])
+    return out
+
+
+def test_fusion_against_brute_force(spark):
+    rng = random.Random(12)
+    letters = {f"l{k:02d}": "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 9)) for k in range(70)}
+    text = lambda lang, n: " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randint(2, 7))) for _ in range(n))
+    train = [(text(x, 60), x) for x in letters for _ in range(2)]
+    langs, like = language_id.fit(spark.createDataFrame(train, "text string, lang string"))
+    assert langs == sorted(letters)
+    rows = []
+    for i in range(120):
+        lang = rng.choice(langs)
+        host = rng.choice(["a.x.org", "b.x.org", "c.y.de", ""])
+        rows.append((i, text(lang, rng.choice([0, 1, 3, 30])), rng.choice(["", lang, "zz"]), rng.choice(["", "de", "org"]), host, host[2:]))
+    df = spark.createDataFrame([(r[0], r[1], False, *r[2:]) for r in rows], "doc_id bigint, text string, is_markup boolean, declared string, suffix string, host string, domain string")
+    got = {r.doc_id: (r.lang, r.confidence, r.text_lang) for r in language_id.fuse(df, langs, like.astype(np.float32)).collect()}
+    want = brute_fusion(rows, langs, like.astype(np.float32))
+    for key, (lang, confidence, text_lang) in want.items():
+        assert got[key][0] == lang and abs(got[key][1] - confidence) < 1e-4, (key, got[key], want[key])
+        assert got[key][2] == text_lang or not rows[key][1]
