@@ -9,22 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fileledger.llm import packing, quality_rules, secret_scan, shingle_join, source_mixing
-from fileledger.llm.scratch import new_path
+from fileledger.sources.scratch import new_path, written
 
+#: A column of the quality stage that no table has.
+TEXT_HASH = "_text_hash_of_row"
 #: Share of the tokens that mixing keeps.
 MIX = source_mixing.Mix(fraction=0.9)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep.  Rows without an id are kept by what their text says."""
-    judged = quality_rules.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, judged.where("not kept"))
+    """Documents that the rules keep.  Each row is judged by its own text, also where ids are null or repeat."""
+    rows = docs.withColumn(TEXT_HASH, F.xxhash64("text"))
+    judged = quality_rules.judge(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), also=[TEXT_HASH])
+    gone = judged.where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col(TEXT_HASH).alias("_gone_hash")).distinct()
+    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col(TEXT_HASH) == F.col("_gone_hash")), "left_anti").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of the smallest id."""
-    found = shingle_join.link_components(docs)
-    return _without(docs, found.where("component_id <> doc_id"))
+    """One document of each group of near-duplicates: the one of the smallest id.  Of rows that repeat an id and its text one stays; rows without an id all stay."""
+    found = shingle_join.link_components(docs).where("doc_id is not null")
+    ids = found.groupBy("doc_id").agg((F.min("component_id") < F.col("doc_id")).alias("gone"), (F.count(F.lit(1)) > 1).alias("several")).where("gone or several")
+    ids = written(ids, "pipeline-ids")
+    once = docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+    return once.unionByName(docs.join(ids.where("not gone"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,11 +61,6 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL: str | None = None
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs less those whose id is among the dropped; nulls stay."""
-    return docs.join(dropped.select(F.col("doc_id")).distinct(), "doc_id", "left_anti").select(*docs.columns)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir, each written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
