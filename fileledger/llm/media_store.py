@@ -23,7 +23,7 @@ import time
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,6 +40,8 @@ ARCHIVE_BYTES = 64 << 20
 RANGE_BYTES = 8 << 20
 BATCH_BYTES = 4 << 20
 ATTEMPTS = 4
+#: Partitions that are planned at most, whatever the bytes.
+MOST_RANGES = 100_000
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -78,6 +80,12 @@ def decode_image(media: bytes) -> tuple[bytes, int]:
     return lines[:, 1:].tobytes(), length
 
 
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI and the path in it; the schemes by which Spark names object stores are understood too."""
+    scheme, colon, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + colon + rest)
+
+
 class _Stream(io.RawIOBase):
     """What zipfile writes to: a pyarrow output stream that only goes forward."""
 
@@ -97,7 +105,7 @@ def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     """Writes every row's image to archives under folder and the manifest of those archives; returns the number of archives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
         stream = archive = name = None
         n = 0
@@ -168,24 +176,26 @@ class ArchiveReader(DataSourceReader):
         self.attempts = int(options.get("attempts", ATTEMPTS))
 
     def partitions(self) -> list[ByteRange]:
-        """Ranges of the archives in the manifest; their directories are left to the tasks."""
+        """Ranges of the archives in the manifest, longer ones where there would be more than MOST_RANGES; the archives' directories are left to the tasks."""
         import pyarrow.parquet as pq
 
-        fs, root = pafs.FileSystem.from_uri(self.folder)
+        fs, root = filesystem(self.folder)
         found = [f.path for f in fs.get_file_info(pafs.FileSelector(f"{root}/manifest")) if f.base_name.endswith(".parquet")]
         listed = [r for f in sorted(found) for r in pq.read_table(f, filesystem=fs).to_pylist()]
-        return [ByteRange(f"{root}/{r['archive']}", r["bytes"], s, min(s + self.range_bytes, r["bytes"])) for r in sorted(listed, key=lambda r: r["archive"]) for s in range(0, r["bytes"], self.range_bytes)] or [ByteRange("", 0, 0, 0)]
+        step = max(self.range_bytes, -(-sum(r["bytes"] for r in listed) // MOST_RANGES))
+        return [ByteRange(f"{root}/{r['archive']}", r["bytes"], s, min(s + step, r["bytes"])) for r in sorted(listed, key=lambda r: r["archive"]) for s in range(0, r["bytes"], step)] or [ByteRange("", 0, 0, 0)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         if not partition.archive:
             return
-        fs, _ = pafs.FileSystem.from_uri(self.folder)
         rows: list[tuple] = []
         size = 0
-        with fs.open_input_file(partition.archive) as file:
-            members = [i for i in zipfile.ZipFile(_Ranged(file, partition.size)).infolist() if partition.start <= i.header_offset < partition.end]
-            for info in members:
-                media, tries = self.member(fs, partition.archive, file, info)
+        with _Archive(filesystem(self.folder)[0], partition.archive, self.attempts) as archive:
+            listed = archive.tried(lambda file: zipfile.ZipFile(_Ranged(file, partition.size)).infolist(), "directory")[0]
+            for info in listed:
+                if not partition.start <= info.header_offset < partition.end:
+                    continue
+                media, tries = archive.tried(lambda file: _member(file, info), f"member {info.filename} at {info.header_offset}")  # noqa: B023
                 rows.append((partition.archive.rpartition("/")[2], info.filename, info.header_offset, media, tries))
                 size += len(media)
                 if size >= BATCH_BYTES:
@@ -194,26 +204,51 @@ class ArchiveReader(DataSourceReader):
         if rows:
             yield _batch(rows)
 
-    def member(self, fs, path: str, file, info: zipfile.ZipInfo) -> tuple[bytes, int]:
-        """The member's bytes by its offset, checked, and the number of tries; a new try opens the archive anew."""
+
+class _Archive:
+    """An open archive of which each read is tried by itself; a failed one opens the archive anew, and later reads keep that handle."""
+
+    def __init__(self, fs: pafs.FileSystem, path: str, attempts: int):
+        self.fs, self.path, self.attempts, self.file = fs, path, attempts, None
+
+    def __enter__(self) -> _Archive:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+            self.file = None
+
+    def tried(self, read: Callable, what: str) -> tuple:
+        """What read(file) gives, and the number of tries."""
         for k in range(1, self.attempts + 1):
             try:
-                head = file.read_at(30, info.header_offset)
-                if head[:4] != b"PK\x03\x04":
-                    raise OSError("no member at this offset")
-                names, extra = struct.unpack("<HH", head[26:30])
-                media = file.read_at(info.compress_size, info.header_offset + 30 + names + extra)
-                if len(media) != info.file_size or zlib.crc32(media) != info.CRC:
-                    raise OSError("checksum differs")
-                return media, k
-            except OSError as e:
+                if self.file is None:
+                    self.file = self.fs.open_input_file(self.path)
+                return read(self.file), k
+            except (OSError, zipfile.BadZipFile) as e:
+                self.close()
                 if k == self.attempts:
-                    raise OSError(f"{path}, member {info.filename} at {info.header_offset}: {e}") from e
+                    raise OSError(f"{self.path}, {what}: {e}") from e
                 time.sleep(0.05 * 2**k)
-                file = fs.open_input_file(path)
         raise AssertionError
 
 
+def _member(file, info: zipfile.ZipInfo) -> bytes:
+    """A member's bytes by its offset, checked."""
+    head = file.read_at(30, info.header_offset)
+    if head[:4] != b"PK\x03\x04":
+        raise OSError("no member at this offset")
+    names, extra = struct.unpack("<HH", head[26:30])
+    media = file.read_at(info.compress_size, info.header_offset + 30 + names + extra)
+    if len(media) != info.file_size or zlib.crc32(media) != info.CRC:
+        raise OSError("checksum differs")
+    return media
+
+
 _FIELDS = [("archive", pa.string()), ("member", pa.string()), ("offset", pa.int64()), ("media", pa.binary()), ("tries", pa.int32())]
 
 
@@ -235,9 +270,10 @@ class MediaArchives(DataSource):
         return ArchiveReader(self.options)
 
 
-def load(spark: SparkSession, folder: str) -> DataFrame:
+def load(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """Members of the archives under folder; options: rangeBytes, attempts."""
     spark.dataSource.register(MediaArchives)
-    return spark.read.format("media_archives").load(folder)
+    return spark.read.format("media_archives").options(**options).load(folder)
 
 
 def feature_of(payload: bytes) -> str:
@@ -267,9 +303,9 @@ def features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return media.select("member", "media").mapInArrow(run, f"`{id_col}` bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row stored in the shared folder and read back through the data source."""
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Every row stored in the shared folder and read back through the data source (options as of load)."""
     spark = docs.sparkSession
     folder = new_path(spark, "media")
     store(docs, folder, id_col, text_col)
-    return features(load(spark, folder), id_col)
+    return features(load(spark, folder, **options), id_col)

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fileledger.llm.kernel import Slice, ragged, slices, split_words
@@ -33,7 +33,8 @@ WINDOW, STRIDE = 32, 16
 WORDS, WORD_DIM, TRIGRAMS, CHAR_DIM = 1 << 15, 12, 1 << 12, 8
 HIDDEN, ATTENTION = 8, 8
 EPOCHS, LEAST_STEPS, BATCH, RATE = 3, 150, 128, 0.02
-SAMPLE_POSITIVE, SAMPLE_NEGATIVE, SAMPLE_BYTES = 1500, 3000, 200_000
+#: Labelled rows of each kind that are fitted, the bytes of one, and the bytes of all.
+SAMPLE_POSITIVE, SAMPLE_NEGATIVE, SAMPLE_BYTES, SAMPLE_TOTAL = 1500, 3000, 200_000, 32 << 20
 THRESHOLD = 0.3
 #: Share of documents, and least number, that must have a word for it to have an embedding of its own; pull of word shares to their mean.
 MET_SHARE, MET_LEAST, PRIOR = 0.004, 3, 20.0
@@ -295,7 +296,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     by_hash = F.xxhash64("_id")
     sample = known.where("_y = 1").orderBy(by_hash, "_id").limit(SAMPLE_POSITIVE).unionByName(known.where("_y <> 1").orderBy(by_hash, "_id").limit(SAMPLE_NEGATIVE))
     texts = docs.where(F.octet_length(text_col) <= SAMPLE_BYTES).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")  # at most SAMPLE_POSITIVE + SAMPLE_NEGATIVE ids
-    rows = texts.dropDuplicates(["_id"]).toPandas().sort_values("_id")
+    # Of an id's several texts the one of least hash; then no more rows, in order of the hash of ids, than fit in SAMPLE_TOTAL bytes.
+    one = texts.groupBy("_id", "_y").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
+    so_far = F.sum(F.octet_length("_text")).over(Window.orderBy(by_hash, "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = one.withColumn("_bytes", so_far).where(F.col("_bytes") <= SAMPLE_TOTAL).select("_id", "_text", "_y").toPandas().sort_values("_id")
     return train(rows["_text"].tolist(), (rows["_y"] == 1).to_numpy())
 
 

@@ -333,36 +333,43 @@ def test_ranges_and_retries(spark, tmp_path):
         assert sorted(x for p in parts for b in r.read(p) for x in b.column("offset").to_pylist()) == sorted({x for p in parts for b in r.read(p) for x in b.column("offset").to_pylist()})
         assert sum(b.num_rows for p in parts for b in r.read(p)) == 30
 
+    import zipfile
+
+    path = parts[0].archive
+    infos = zipfile.ZipFile(path).infolist()
+
     class Flaky:
-        """Fails the first reads of one offset."""
+        """A file whose handle number `opened` fails at offsets until enough handles have been tried."""
 
-        def __init__(self, real):
-            self.real, self.left = real, 2
+        def __init__(self, real, bad):
+            self.real, self.bad = real, bad
 
         def read_at(self, n, at):
-            if self.left and at == self.bad:
-                self.left -= 1
+            if self.bad.get(at, 0):
+                self.bad[at] -= 1
                 raise OSError("gone")
             return self.real.read_at(n, at)
 
-    import pyarrow.fs as pafs
-    import zipfile
-
-    fs, _ = pafs.FileSystem.from_uri(folder)
-    path = parts[0].archive
-    info = zipfile.ZipFile(path).infolist()[3]
-    flaky = Flaky(fs.open_input_file(path))
-    flaky.bad = info.header_offset
+        def close(self):
+            self.real.close()
 
     class Store:
-        def open_input_file(self, _):
-            return flaky
-
-    media, tries = r.member(Store(), path, flaky, info)
-    assert tries == 3 and media == zipfile.ZipFile(path).read(info)
-    flaky.left = 99
-    with pytest.raises(OSError, match=info.filename):
-        r.member(Store(), path, flaky, info)
+        def __init__(self, bad):
+            self.bad, self.opened = bad, 0
+
+        def open_input_file(self, p):
+            self.opened += 1
+            return Flaky(media_store.filesystem(folder)[0].open_input_file(p), self.bad)
+
+    store = Store({infos[3].header_offset: 2})
+    with media_store._Archive(store, path, 4) as archive:
+        got = [archive.tried(lambda f: media_store._member(f, i), i.filename) for i in infos]  # noqa: B023
+    assert [t for _, t in got] == [3 if i is infos[3] else 1 for i in infos]
+    assert [m for m, _ in got] == [zipfile.ZipFile(path).read(i) for i in infos]
+    assert store.opened == 3  # the handle that served again goes on serving
+    with media_store._Archive(Store({infos[3].header_offset: 99}), path, 2) as archive, pytest.raises(OSError, match=infos[3].filename):
+        archive.tried(lambda f: media_store._member(f, infos[3]), infos[3].filename)
+    assert media_store.filesystem("file:///tmp/x")[1] == "/tmp/x"
 
 
 # ---- mixing

@@ -307,3 +307,46 @@ def test_fusion_against_brute_force(spark):
     for key, (lang, confidence, text_lang) in want.items():
         assert got[key][0] == lang and abs(got[key][1] - confidence) < 1e-4, (key, got[key], want[key])
         assert got[key][2] == text_lang or not rows[key][1]
+
+
+def plain_score(model, text):
+    """The score of one text, window by window and step by step, without any of the operator's kernels but the hash of a word."""
+    piece = next(iter(slices(pa.array([text]))))
+    s = toxicity.windows_of(piece)
+    p, h, best = model.network.p, toxicity.HIDDEN, None
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    found = re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+", text.translate({c: c + 32 for c in range(65, 91)}))
+    starts = range(0, max(1, len(found) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE) if found else []
+    index = {}
+    for row in s.windows:
+        index |= {int(k): None for k in row if k >= 0}
+    assert len(index) == len(set(found)) and len(s.windows) == len(starts)
+    vector = {k: np.concatenate([p["word"][s.bucket[k]], p["char"][s.trigrams[s.by_word[k] : s.by_word[k + 1]]].mean(axis=0)]) for k in index}
+    for row, start in zip(s.windows, starts):
+        start = min(start, max(0, len(found) - toxicity.WINDOW))
+        words_here = found[start : start + toxicity.WINDOW]
+        assert sum(k >= 0 for k in row) == len(words_here)
+        xs = [vector[int(k)] for k in row if k >= 0]
+        states = []
+        for way in "fb":
+            state, out = np.zeros(h), []
+            for x in xs if way == "f" else xs[::-1]:
+                g, hu = x @ p[f"w{way}"] + p[f"b{way}"], state @ p[f"u{way}"]
+                z, r = sig(g[:h] + hu[:h]), sig(g[h : 2 * h] + hu[h : 2 * h])
+                state = z * state + (1 - z) * np.tanh(g[2 * h :] + r * hu[2 * h :])
+                out.append(state)
+            states.append(out if way == "f" else out[::-1])
+        hidden = np.array([np.concatenate(pair) for pair in zip(*states)])
+        energy = np.tanh(hidden @ p["wa"]) @ p["va"]
+        weight = np.exp(energy - energy.max())
+        logit = float((weight / weight.sum()) @ hidden @ p["wo"] + p["bo"][0])
+        best = logit if best is None else max(best, logit)
+    return model.empty if best is None else float(sig(model.slope * best + model.offset))
+
+
+def test_scores_against_a_plain_reading(spark, documents, labels):
+    model = toxicity.fit(documents, labels)
+    texts = [r.text for r in documents.where("text is not null").orderBy("doc_id").limit(25).collect()] + ["", "one", "Ünï cödé " * 40, "same " * 33]
+    got = np.concatenate([model.scores(q) for q in slices(pa.array(texts))])
+    for text, score in zip(texts, got):
+        assert abs(plain_score(model, text) - score) < 1e-4
