@@ -109,14 +109,15 @@ def parse_pattern(text: str) -> Pattern:
 
 @dataclass(frozen=True)
 class FilterSettings:
-    """Ordered patterns; excludes are asked first."""
+    """Ordered patterns; excludes are asked first.  root_name: the base name by which the tree's root is asked too; without it the root is entered."""
 
     include: tuple[Pattern, ...] = ()
     exclude: tuple[Pattern, ...] = field(default=())
+    root_name: str | None = None
 
     @classmethod
-    def of(cls, include=(), exclude=()) -> FilterSettings:
-        return cls(tuple(map(parse_pattern, include)), tuple(map(parse_pattern, exclude)))
+    def of(cls, include=(), exclude=(), root_name: str | None = None) -> FilterSettings:
+        return cls(tuple(map(parse_pattern, include)), tuple(map(parse_pattern, exclude)), root_name)
 
     @classmethod
     def from_text(cls, text: str) -> FilterSettings:
@@ -224,10 +225,16 @@ def apply_filter(m: DataFrame, settings: FilterSettings | None) -> DataFrame:
     path, is_dir = F.col("rel_path"), F.col("kind") == "dir"
     above = F.filter(ancestors(path), lambda a: a != "")
     pruned = F.exists(above, lambda a: ~is_included(settings, a, F.lit(True)))
-    verdict = F.when(path == "", F.struct(F.lit("included").alias("status"), F.lit(None).cast("string").alias("pattern"))).otherwise(filter_result(settings, path, is_dir))
+    root = F.lit("included")
+    if settings.root_name is not None:
+        entered = {kind: root_included(settings, settings.root_name, kind) for kind in ("dir", "file")}
+        if not entered["dir"]:
+            pruned = path != ""
+        root = F.when(is_dir, F.lit("included" if entered["dir"] else "root")).otherwise(F.lit("included" if entered["file"] else "root"))
+    verdict = F.when(path == "", F.struct(root.alias("status"), F.lit(None).cast("string").alias("pattern"))).otherwise(filter_result(settings, path, is_dir))
     out = m.withColumns({"_pruned": pruned, "_verdict": verdict})
     walk = F.when(F.col("_pruned"), "pruned").when(F.col("_verdict.status") == "included", "included").otherwise("skipped")
-    reason = F.when(walk == "skipped", F.coalesce("_verdict.pattern", F.lit("no include matches")))
+    reason = F.when(walk == "skipped", F.coalesce("_verdict.pattern", F.when(path == "", "the root's name").otherwise("no include matches")))
     return out.withColumns({"walk": walk, "reason": reason}).drop("_pruned", "_verdict")
 
 

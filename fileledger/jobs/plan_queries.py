@@ -323,6 +323,19 @@ def resolve_destinations(spark, sf_dir):
     return reports.resolve_destinations(table(spark, sf_dir, "customer").select(F.floor(k / 3).alias("job"), F.concat(F.lit("/s/"), k.cast("string")).alias("src"), dst.alias("dst")))
 
 
+@query(
+    "resolve_onto_existing",
+    """SELECT c_custkey AS job, '/s/' || c_custkey AS src, CASE WHEN c_custkey % 3 = 0 THEN '/d/' ELSE '/d/' || c_nationkey END AS dst, CASE WHEN c_custkey % 3 = 0 THEN '/d/' || c_custkey ELSE '/d/' || c_nationkey END AS resolved,
+  CASE WHEN c_custkey % 3 <> 0 AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) THEN 'destination exists' END AS problem FROM customer""",
+)
+def resolve_onto_existing(spark, sf_dir):
+    """Single sources onto destinations of which those of one region are there already."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey").cast("string")
+    jobs = table(spark, sf_dir, "customer").select(k.alias("job"), F.concat(F.lit("/s/"), k.cast("string")).alias("src"), F.when(k % 3 == 0, "/d/").otherwise(F.concat(F.lit("/d/"), n)).alias("dst"))
+    there = table(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.concat(F.lit("/d/"), F.col("n_nationkey").cast("string")).alias("path"))
+    return reports.resolve_destinations(jobs, there)
+
+
 @query(
     "acl_audit",
     f"""WITH {SRC_SQL}, heirs AS (SELECT rel_path FROM src WHERE kind = 'dir' AND rel_path LIKE '%/c5')
@@ -347,6 +360,16 @@ def error_digest(spark, sf_dir):
     return reports.error_digest(errors(spark, sf_dir), 5).withColumn("causes", F.array_join("causes", ";"))
 
 
+@query(
+    "error_messages",
+    """WITH e AS (SELECT 'r' || (user_id % 4) AS run, event_id AS seq, 'cause ' || (user_id % 30) AS root_cause FROM events WHERE event_type = 'error'),
+c AS (SELECT run, root_cause, min(seq) AS first, count(*) AS n FROM e GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY first) AS k FROM c)
+SELECT run, 'multiple errors occurred:' || string_agg(chr(10) || '- ' || root_cause, '' ORDER BY first) FILTER (k <= 3) || CASE WHEN sum(n) FILTER (k > 3) > 0 THEN chr(10) || '(' || sum(n) FILTER (k > 3) || ' additional errors suppressed)' ELSE '' END AS message FROM k GROUP BY run""",
+)
+def error_messages(spark, sf_dir):
+    return reports.error_messages(reports.error_digest(errors(spark, sf_dir), 3))
+
+
 @query(
     "run_summaries",
     f"""WITH {SAMPLES_SQL}, s AS (SELECT run AS run_id, count(*) FILTER (op = 'unlink') AS files_skipped FROM samples WHERE side = 'source' GROUP BY 1), d AS (SELECT run AS run_id, count(*) FILTER (op = 'open-create') AS files_copied FROM samples WHERE side = 'destination' GROUP BY 1)

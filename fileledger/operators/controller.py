@@ -74,7 +74,13 @@ class Fixed:
         return None, None, self.cwnd
 
 
-CONTROLLERS = {"ratio": Ratio, "fixed": Fixed}
+class Unlimited(Fixed):
+    def tick(self, now: int) -> tuple[None, None, None]:
+        return None, None, None
+
+
+#: A policy is anything with sample(at, latency) and tick(now) -> (baseline, current, cwnd); null cwnd: no limit.
+CONTROLLERS = {"ratio": Ratio, "fixed": Fixed, "unlimited": Unlimited}
 SCHEMA = "run string, side string, op string, tick bigint, baseline_us bigint, current_us bigint, cwnd bigint"
 
 
@@ -107,7 +113,7 @@ def replay_controller(samples: DataFrame, tick_us: int = 1_000_000, cfg: RatioCo
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=names).astype({"baseline_us": "Int64", "current_us": "Int64", "tick": "int64", "cwnd": "int64"})
+    return pd.DataFrame(rows, columns=names).astype({"baseline_us": "Int64", "current_us": "Int64", "tick": "int64", "cwnd": "Int64"})
 
 
 def ratio_signal(samples: DataFrame, tick_us: int = 1_000_000, cfg: RatioConfig = RatioConfig()) -> DataFrame:

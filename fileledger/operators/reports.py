@@ -60,13 +60,17 @@ def throttle_estimate(plan: DataFrame, ops_per_s: float = 0, iops_per_s: float =
     return t.withColumn("seconds", seconds)
 
 
-def resolve_destinations(jobs: DataFrame) -> DataFrame:
+def resolve_destinations(jobs: DataFrame, existing: DataFrame | None = None, overwrite: bool = False, delete: bool = False, ignore_existing: bool = False) -> DataFrame:
     """jobs (job, src, dst) -> (job, src, dst, resolved, problem).
 
     A slash at the end copies into the destination under the source's name; a job of
     several sources needs it; destinations that end in . or .. are rejected, and so
-    are two sources that resolve to one destination.
+    are two sources that resolve to one destination.  A mirror (delete) takes one
+    source.  existing (path): a single source onto one of these needs overwrite,
+    delete or a slash.
     """
+    if delete and ignore_existing:
+        raise ValueError("a mirror replaces what differs, so it cannot leave what exists")
     into = F.col("dst").endswith("/")
     base = name(F.regexp_replace("src", "(?<=.)/+$", ""))
     resolved = F.when(into, F.concat(F.regexp_replace("dst", "/+$", ""), F.lit("/"), base)).otherwise(F.col("dst"))
@@ -74,8 +78,13 @@ def resolve_destinations(jobs: DataFrame) -> DataFrame:
     j = jobs.withColumn("resolved", resolved).join(several, "job")
     same = j.groupBy("job", "resolved").agg((F.count(F.lit(1)) > 1).alias("_same"))
     last = name(F.regexp_replace("dst", "(?<=.)/+$", ""))
-    problem = F.when(last.isin(".", ".."), "destination ends in a dot step").when(F.col("_several") & ~F.col("dst").endswith("/"), "several sources need a slash at the end").when(F.col("_same"), "two sources have this destination")
-    return j.join(same, ["job", "resolved"]).select("job", "src", "dst", "resolved", problem.alias("problem"))
+    problem = F.when(last.isin(".", ".."), "destination ends in a dot step").when(F.lit(delete) & F.col("_several"), "a mirror takes a single source").when(F.col("_several") & ~F.col("dst").endswith("/"), "several sources need a slash at the end").when(F.col("_same"), "two sources have this destination")
+    j = j.join(same, ["job", "resolved"])
+    if existing is not None and not (overwrite or delete):
+        there = existing.select(F.col("path").alias("resolved"), F.lit(True).alias("_there")).distinct()
+        j = j.join(there, "resolved", "left")
+        problem = problem.when(F.col("_there") & ~F.col("_several") & ~F.col("dst").endswith("/"), "destination exists")
+    return j.select("job", "src", "dst", "resolved", problem.alias("problem"))
 
 
 def error_digest(errors: DataFrame, max_unique: int = 20) -> DataFrame:
@@ -90,6 +99,18 @@ def error_digest(errors: DataFrame, max_unique: int = 20) -> DataFrame:
     return c.groupBy("run").agg(causes.alias("causes"), F.sum("_n").alias("total"), F.coalesce(F.sum(F.when(~kept, F.col("_n"))), F.lit(0)).alias("suppressed"))
 
 
+# The lines of a message that several errors make.
+SEVERAL_ERRORS, EACH_ERROR, MORE_ERRORS = "multiple errors occurred:", "\n- %s", "\n(%d additional errors suppressed)"
+
+
+def error_messages(digest: DataFrame) -> DataFrame:
+    """(run, message) of an error_digest: the only cause there is, or a list of those kept and how many errors more."""
+    each = F.aggregate("causes", F.lit(""), lambda text, c: F.concat(text, F.lit(EACH_ERROR.partition("%")[0]), c))
+    more = F.when(F.col("suppressed") > 0, F.format_string(MORE_ERRORS, "suppressed")).otherwise("")
+    alone = (F.size("causes") <= 1) & (F.col("suppressed") == 0)
+    return digest.select("run", F.when(alone, F.element_at("causes", 1)).otherwise(F.concat(F.lit(SEVERAL_ERRORS), each, more)).alias("message"))
+
+
 def directory_completion(dirs: DataFrame, children: DataFrame) -> DataFrame:
     """dirs (rel_path, announced, expected, failed), children (rel_path of processed entries) -> (rel_path, processed, complete).
 

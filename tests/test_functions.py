@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from fileledger.functions import filters, metadata, paths, text
 from fileledger.operators.permissions import chmod_plan
 from fileledger.operators.telemetry import hdr_bucket, hdr_highest_equivalent
-from tests.conftest import manifest
+from tests.conftest import FOO, manifest
 
 
 @pytest.mark.parametrize(
@@ -102,3 +102,14 @@ def test_buckets(spark):
     for v, b, top in spark.createDataFrame([(v,) for v in values], "v bigint").select("v", hdr_bucket(F.col("v")).alias("b")).select("v", "b", hdr_highest_equivalent(F.col("b"))).collect():
         c = min(max(v, 1), 3_600_000_000)
         assert b <= c <= top and top - b < max(1, c / 1000)
+
+
+def test_roots_are_asked_by_their_base_name(spark):
+    m = manifest(spark, FOO)
+    walk = lambda **k: {r.rel_path: r.walk for r in filters.apply_filter(m, filters.FilterSettings.of(**k)).collect()}
+    out = walk(exclude=["foo*/", "x"], root_name="foo1")
+    assert out.pop("") == "skipped" and set(out.values()) == {"pruned"}
+    assert walk(exclude=["foo*/", "x"], root_name="bar")["0.txt"] == "included"
+    # Anchored and path patterns do not ask the root; a root directory is entered for what includes may find in it.
+    assert walk(exclude=["/foo1", "foo1/bar"], root_name="foo1")[""] == "included"
+    assert walk(include=["*.txt"], root_name="foo1")["0.txt"] == "included"

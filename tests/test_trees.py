@@ -237,3 +237,25 @@ def test_plan_sink_orders_steps(spark, tmp_path):
 def test_empty_manifests(spark):
     none = manifest(spark, {"x": {}}).limit(0)
     assert compare(none, none).count() == 0 and rm_plan(none).count() == 0 and plans.copy_plan(none, none).count() == 0 and plans.link_plan(none).count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_trees_meet_once(spark):
+    """Rows of both trees are joined once; what else is joined holds directories."""
+    src, dst = manifest(spark, FOO), manifest(spark, FOO)
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(compare(src, dst))
+        assert plan.count("FullOuter") == 1 and plan.count("SortMergeJoin") == 3
+        plan = plan_of(rm_plan(src, FilterSettings.of(include=["*.txt"])))
+        assert plan.count("SortMergeJoin") == 1
+        assert plan_of(plans.copy_plan(src, dst)).count("LeftOuter") == 1
+        assert plan_of(plans.copy_plan(src, dst, overwrite=True)).count("SortMergeJoin") == 2
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
