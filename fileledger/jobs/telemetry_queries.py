@@ -9,6 +9,8 @@ from fileledger.jobs.entries import query
 from fileledger.jobs.fixtures import PARENT, SAMPLES_SQL, SRC_SQL, samples, src_manifest
 from fileledger.functions.paths import ancestors, depth, escape_path, join_path, name, parent
 from fileledger.operators import controller, telemetry
+from fileledger.sources import logs
+from fileledger.sources.scratch import new_path
 
 _BUCKET = "CASE WHEN least(greatest({v}, 1), 3600000000) < 2048 THEN least(greatest({v}, 1), 3600000000) ELSE (least({v}, 3600000000) >> (length(bin(least({v}, 3600000000))) - 11)) << (length(bin(least({v}, 3600000000))) - 11) END"
 _HIST = f"{SAMPLES_SQL}, hist AS (SELECT run, side, op, time_bucket(INTERVAL 1 HOUR, ts) AS tick, ({_BUCKET.format(v='latency_us')})::BIGINT AS bucket_low, count(*) AS count FROM samples GROUP BY ALL)"
@@ -22,6 +24,27 @@ def latency_histogram(spark, sf_dir):
     return telemetry.latency_histogram(samples(spark, sf_dir), "1 hour")
 
 
+def _logs(spark, sf_dir):
+    """The hours and snapshots of every run as binary logs in the shared folder, read back; runs by the names of their logs."""
+    folder, s = new_path(spark, "telemetry-logs"), samples(spark, sf_dir)
+    p = telemetry.progress_snapshots(s).groupBy("run", "ts").agg(*(F.sum(c).alias(c) for c in telemetry.COUNTERS))
+    p = p.select("run", "ts", F.to_json(F.struct(*telemetry.COUNTERS)).alias("json"))
+    logs.write_histogram_logs(telemetry.latency_histogram(s, "1 hour"), p, folder, b"LOGS 2\n")
+    run = F.regexp_extract("run", "([^/]*)[.]log$", 1)
+    return [d.withColumn("run", run) for d in logs.read_histogram_logs(spark, f"{folder}/*.log", b"LOGS 2\n")[1:]]
+
+
+@query("histogram_logs", f"WITH {_HIST} SELECT * FROM hist")
+def histogram_logs(spark, sf_dir):
+    return _logs(spark, sf_dir)[0]
+
+
+@query("progress_logs", f"WITH {SAMPLES_SQL}, {_PROGRESS} SELECT run, ts, sum(ops_finished)::BIGINT AS ops_finished, sum(bytes_copied)::BIGINT AS bytes_copied FROM prog GROUP BY 1, 2")
+def progress_logs(spark, sf_dir):
+    p = _logs(spark, sf_dir)[1]
+    return p.select("run", "ts", telemetry.progress_from_json(F.col("json")).alias("c")).select("run", "ts", "c.ops_finished", "c.bytes_copied")
+
+
 @query("histogram_window", f"WITH {_HIST} SELECT run, side, op, bucket_low, sum(count)::BIGINT AS count FROM hist WHERE tick BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-10' GROUP BY ALL")
 def histogram_window(spark, sf_dir):
     at = lambda s: F.lit(s).cast("timestamp")

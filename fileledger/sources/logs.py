@@ -1,7 +1,8 @@
 """Binary telemetry logs: a magic line, a JSON header, then framed histogram and progress records.
 
 One log is one row of a binary file scan, so logs decode in parallel; records of a
-log end at a truncated tail without an error.
+log end at a truncated tail without an error.  Logs are written one to a run, by
+the task that has the run's records in order.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +66,66 @@ def decode_histogram(blob: bytes) -> list[tuple[int, int]]:
     return out
 
 
+def _to_leb(value: int) -> bytes:
+    """A number zig-zag encoded as LEB128 of at most nine bytes."""
+    n = (value << 1) ^ (value >> 63)
+    out = bytearray()
+    while len(out) < 8 and n > 0x7F:
+        out.append(n & 0x7F | 0x80)
+        n >>= 7
+    out.append(n)
+    return bytes(out)
+
+
+def encode_histogram(buckets: list[tuple[int, int]], highest: int = 3_600_000_000) -> bytes:
+    """The uncompressed version 2 histogram, of three figures and from 1 up, of (lowest value of the bucket, count) in order of value."""
+    body, at = bytearray(), 0
+    for low, count in buckets:
+        shift = max(0, low.bit_length() - 11)
+        index = low if not shift else ((shift + 1) << 10) + (low >> shift) - 1024
+        if index > at:
+            body += _to_leb(at - index)
+        body += _to_leb(count)
+        at = index + 1
+    return struct.pack(">iiiiqqd", COOKIE | 0x10, len(body), 0, 3, 1, highest, 1.0) + bytes(body)
+
+
+def write_histogram_logs(buckets: DataFrame, progress: DataFrame, folder: str, magic: bytes) -> None:
+    """Writes folder/<run>.log of buckets (run, tick, side, op, bucket_low, count) and progress (run, ts, json), in order of time.
+
+    A run is written as its records stream by, and a task that is run again writes
+    the same file.
+    """
+    h = buckets.groupBy("run", F.unix_micros("tick").alias("at"), "side", "op").agg(F.sum("count").alias("n"), F.array_sort(F.collect_list(F.struct("bucket_low", "count"))).alias("buckets"))  # as many as a histogram has buckets
+    none = F.lit(None)
+    rows = h.select("run", "at", F.lit(0).alias("kind"), "side", "op", "n", F.transform("buckets", lambda b: b["bucket_low"]).alias("lows"), F.transform("buckets", lambda b: b["count"]).alias("counts"), none.cast("string").alias("json"))
+    p = progress.select("run", F.unix_micros("ts").alias("at"), F.lit(1).alias("kind"), none.cast("string").alias("side"), none.cast("string").alias("op"), none.cast("bigint").alias("n"), none.cast("array<bigint>").alias("lows"), none.cast("array<bigint>").alias("counts"), "json")
+    header = json.dumps({"format_version": FORMAT_VERSION}).encode()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        name, out, done = None, None, []
+        for b in batches:
+            for r in b.itertuples(index=False):
+                if r.run != name:
+                    if out is not None:
+                        out.close()
+                    name, out = r.run, fs.open_output_stream(f"{root}/{r.run}.log")
+                    done.append(name)
+                    out.write(magic + struct.pack("<I", len(header)) + header)
+                if r.kind == 0:
+                    body = struct.pack("<BQBBQ", 0, r.at, SIDES.index(r.side), OPERATIONS.index(r.op), int(r.n)) + encode_histogram([(int(x), int(c)) for x, c in zip(r.lows, r.counts)])
+                else:
+                    body = struct.pack("<BQ", 1, r.at) + r.json.encode()
+                out.write(struct.pack("<I", len(body)) + body)
+        if out is not None:
+            out.close()
+        yield pd.DataFrame({"run": done})
+
+    rows.unionByName(p).repartition("run").sortWithinPartitions("run", "at", "kind", "side", "op").mapInPandas(run, "run string").count()
+
+
 def decode_log(data: bytes, magic: bytes) -> tuple[str, list[tuple]]:
     """The header's JSON and records (unix_micros, kind, side, op, samples, buckets, json)."""
     if data[: len(magic)] != magic:

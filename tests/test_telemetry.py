@@ -5,7 +5,7 @@ import struct
 import pytest
 
 from fileledger.operators.controller import Ratio, RatioConfig, chunk_manifest, replay_controller
-from fileledger.sources.logs import COOKIE, decode_histogram, read_histogram_logs
+from fileledger.sources.logs import COOKIE, decode_histogram, encode_histogram, read_histogram_logs
 from fileledger.streaming.telemetry import control, control_rest, drain, progress_rates
 from fileledger.streaming.trees import CompletionTracker
 from tests.conftest import manifest
@@ -39,6 +39,13 @@ def test_histogram_blob():
     assert decode_histogram(encode({5: 3, 2047: 1, 2048: 2, 2049: 7, 3072: 1 << 40})) == [(5, 3), (2047, 1), (2048, 2), (2050, 7), (4096, 1 << 40)]
 
 
+def test_histograms_round_trip():
+    rng = random.Random(1)
+    for _ in range(200):
+        counts = {rng.choice([0, 1, 5, 1023, 1024, 2047, 2048, 4096 + 2 * rng.randrange(1000), (1024 + rng.randrange(1024)) << rng.randrange(20)]): rng.choice([1, 63, 64, 8192, 1 << 40, (1 << 62) + 5]) for _ in range(rng.randint(0, 9))}
+        assert dict(decode_histogram(encode_histogram(sorted(counts.items())))) == {(k >> s) << s if (s := max(0, k.bit_length() - 11)) else k: n for k, n in counts.items()}
+
+
 def test_logs(spark, tmp_path):
     magic = b"SOME-LOG\n"
     header = json.dumps({"format_version": 2, "later": 1}).encode()
