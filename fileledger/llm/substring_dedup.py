@@ -214,26 +214,41 @@ def _dense(x: np.ndarray) -> np.ndarray:
 
 
 def _ranks(*keys: np.ndarray) -> np.ndarray:
-    """Dense ranks of rows by keys, the first most significant: one sort of plain numbers for each key."""
-    out = _dense(keys[0])
-    for k in keys[1:]:
-        k = _dense(k) if k.dtype == np.uint64 else k - k.min(initial=0)
-        out = _dense(out * (k.max(initial=0) + 1) + k)
-    return out
-
-
-def _cover_ranks(text: np.ndarray, length: int) -> np.ndarray:
-    """Rank, among cover positions, of the `length` symbols (a multiple of the period) from each; -1 elsewhere."""
-    limit = len(text) - length - COVER_PERIOD
-    at = np.arange(limit)
+    """Dense ranks of rows by keys, the first most significant.  Keys are put together as digits of one number and sorted when the next would not fit."""
+    out, span = np.zeros(len(keys[0]), np.int64), 1
+    for k in keys:
+        k = _dense(k) if k.dtype == np.uint64 and k.max(initial=0) >= 1 << 62 else k.astype(np.int64) - int(k.min(initial=0))
+        size = int(k.max(initial=0)) + 1
+        if span * size >= 1 << 62:
+            out = _dense(out)
+            span = int(out.max(initial=0)) + 1
+            if span * size >= 1 << 62:
+                k = _dense(k)
+                size = int(k.max(initial=0)) + 1
+        out, span = out * size + k, span * size
+    return _dense(out)
+
+
+def _cover_ranks(text: np.ndarray, length: int, place: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Rank of the `length` symbols (a multiple of the period) from cover positions, at least up to reach symbols behind each place; -1 elsewhere.
+
+    Ranks of 7 symbols become those of 21, 63, ... by putting three together; the
+    shorter ones are made only as far as the longer ones look.
+    """
+    steps = [COVER_PERIOD]
+    while steps[-1] < length:
+        steps.append(min(3 * steps[-1], length))
+    at = np.arange(int(place[0]), len(text) - COVER_PERIOD)
     at = at[np.isin(at % COVER_PERIOD, COVER)]
-    rank = np.full(len(text), -1, np.int64)
-    rank[at] = _ranks(*_packed(text, at, COVER_PERIOD))
-    have = COVER_PERIOD
-    while have < length:
-        step = min(have, length - have)
-        rank[at] = _ranks(rank[at], rank[at + step])
-        have += step
+    left = np.repeat(place + reach, np.diff(np.searchsorted(at, np.append(place, len(text))))) - at
+    look = length - np.array(steps)
+    rank = np.full(len(text) + length, -1, np.int64)
+    for have, done, beyond in zip(steps, [0, *steps], look.tolist()):
+        here = at[left + beyond > 0]
+        if not done:
+            rank[here] = _ranks(*_packed(text, here, COVER_PERIOD))
+        else:
+            rank[here] = _ranks(rank[here], rank[here + min(done, have - done)], rank[here + have - done])
     return rank
 
 
@@ -249,13 +264,13 @@ def repeated_windows(bodies: list[bytes], anchors: np.ndarray, buckets: np.ndarr
     for i, (n, a) in enumerate(zip(sizes.tolist(), anchors.tolist())):
         place[i] = end + (-(end + a)) % period
         end = place[i] + n
-    text = np.zeros(end + window + 2 * period, of)
+    text = np.zeros(end + 2 * period, of)
     for x, p, n in zip(bodies, place.tolist(), sizes.tolist()):
         text[p : p + n] = np.frombuffer(x, of)
     near = int(COVER_STEP.max())
     cover = (window - near) // period * period
-    rank = _cover_ranks(text, cover)
     count = sizes - window + 1
+    rank = _cover_ranks(text, cover, place, count + window - cover)
     block = np.repeat(np.arange(len(bodies)), count)
     starts = ragged(np.zeros(len(bodies), np.int64), count)
     at = place[block] + starts
