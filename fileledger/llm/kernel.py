@@ -125,6 +125,20 @@ def substring_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold_
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def sliding_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """substring_hashes of the `width` bytes from each position."""
+    n = len(data) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    up, down = _power_tables(len(data))
+    prefix = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=prefix[1:])
+    h = prefix[width:] - prefix[:-width]
+    h *= down[:n]
+    h += _U(width)
+    return mix(h)
+
+
 def shingles(words: Words, n_docs: int, size: int, short_whole: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of `size` consecutive words and the document of each, repeats included.
 

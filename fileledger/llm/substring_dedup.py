@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fileledger.llm.kernel import Slice, byte_view, mix, ragged, slices, split_words, substring_hashes, text_column
+from fileledger.llm.kernel import Slice, byte_view, mix, ragged, sliding_hashes, slices, split_words, text_column
 from fileledger.sources.scratch import written
 
 PIECE = 1 << 20
@@ -67,8 +67,7 @@ class Unit:
     def symbols(self, piece: Slice, anchors: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         """Bytes of the symbols, bounds by document in symbols, and (with anchors) the hash of the anchor that starts at each symbol."""
         if self.number == 0:
-            at = np.arange(max(0, len(piece.data) - self.anchor + 1))
-            return piece.data, piece.bounds, substring_hashes(piece.data, at, at + self.anchor) if anchors else None
+            return piece.data, piece.bounds, sliding_hashes(piece.data, self.anchor) if anchors else None
         words, h = split_words(piece), None
         if anchors:
             h = np.zeros(max(0, len(words.hash) - self.anchor + 1), np.uint64)
@@ -96,19 +95,21 @@ def blocks_of(h: np.ndarray, bounds: np.ndarray, unit: Unit) -> tuple[np.ndarray
     empty = np.zeros(0, np.int64)
     if bounds[-1] < unit.window:
         return empty, empty, empty, empty, empty.astype(np.uint64)
-    least = _sliding_least((h & ~_U(PIECE * 2 - 1)) | np.arange(len(h)).astype(np.uint64), unit.window - unit.anchor + 1)
+    least = _sliding_least((h & ~_U(PIECE * 2 - 1)) | np.arange(len(h), dtype=np.uint64), unit.window - unit.anchor + 1)
     count = np.maximum(np.diff(bounds) - unit.window + 1, 0)
-    starts = ragged(bounds[:-1], count)
-    if not len(starts):
-        return empty, empty, empty, empty, empty.astype(np.uint64)
-    anchor = (least[starts] & _U(PIECE * 2 - 1)).astype(np.int64)
-    new = np.ones(len(starts), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
-    new[np.cumsum(count)[:-1][count[1:] > 0] if len(count) > 1 else []] = True
+    full = count > 0
+    step = np.zeros(len(least) + 1, np.int8)
+    step[bounds[:-1][full]] = 1
+    step[bounds[:-1][full] + count[full]] = -1
+    inside = np.cumsum(step[:-1], dtype=np.int8).astype(bool)
+    least &= _U(PIECE * 2 - 1)
+    new = inside.copy()
+    new[1:] &= (least[1:] != least[:-1]) | ~inside[:-1]
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(starts)) - 1
-    doc = np.searchsorted(bounds, starts[first], side="right") - 1
-    return doc, starts[first], starts[last], anchor[first], h[anchor[first]]
+    doc = np.searchsorted(bounds, first, side="right") - 1
+    last = np.minimum(np.append(first[1:], len(least)), bounds[doc] + count[doc]) - 1
+    anchor = least[first].astype(np.int64)
+    return doc, first, last, anchor, h[anchor]
 
 
 def _pieces(data: np.ndarray, bounds: np.ndarray, h: np.ndarray, unit: Unit) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
