@@ -36,8 +36,7 @@ GRID_CUT = 16.0
 GRID_GAP = 48
 GRID_STEP = 16
 BLOCK_TOKENS = 1 << 18
-CACHE_MOST = 1 << 20
-SLICE = 4 << 20
+CACHE_MOST = 1 << 19
 #: The pre-tokenisation pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -74,7 +73,11 @@ class ByteEncoder:
         for token, i in ranks.items():
             self.lengths[i] = len(token)
             self.ends_sentence[i] = re.search(rb"[.!?\n]", token) is not None
-        self.known: dict[int, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Stretches met, as sorted hashes, and where in the flat array of ids those of each begin and how many they are."""
+        self.keys, self.at, self.n, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
     def encode(self, piece: Slice) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the documents of a slice and their bounds."""
@@ -88,37 +91,42 @@ class ByteEncoder:
         start = np.flatnonzero(cut[: len(data)])
         end = np.append(start[1:], len(data))
         of, first, which = np.unique(substring_hashes(data, start, end), return_index=True, return_inverse=True)
-        keys, known = of.tolist(), self.known
-        missing = [i for i, k in enumerate(keys) if k not in known]
-        if missing:
-            if len(known) + len(missing) > CACHE_MOST:
-                known.clear()
-                missing = list(range(len(keys)))
-            self._learn([keys[i] for i in missing], data, start[first[missing]], end[first[missing]])
-        values = [known[k] for k in keys]
-        n = np.array([len(v) for v in values], np.int64) // 4
-        flat = np.frombuffer(b"".join(values), np.uint32)
-        ids = flat[ragged((np.cumsum(n) - n)[which], n[which])]
-        before = np.concatenate([[0], np.cumsum(n[which])])
+        if len(self.keys) + len(of) > CACHE_MOST:
+            self.forget()
+        place = np.searchsorted(self.keys, of)
+        new = np.ones(len(of), bool)
+        if len(self.keys):
+            new = self.keys[np.minimum(place, len(self.keys) - 1)] != of
+        if new.any():
+            ids, n = self._ids(data, start[first[new]], end[first[new]])
+            keys, at = np.concatenate([self.keys, of[new]]), np.concatenate([self.at, len(self.flat) + np.cumsum(n) - n])
+            order = np.argsort(keys)
+            self.keys, self.at, self.n = keys[order], at[order], np.concatenate([self.n, n.astype(np.int32)])[order]
+            self.flat = np.concatenate([self.flat, ids])
+            place = np.searchsorted(self.keys, of)
+        n = self.n[place][which].astype(np.int64)
+        ids = self.flat[ragged(self.at[place][which], n)]
+        before = np.concatenate([[0], np.cumsum(n)])
         return ids, before[np.searchsorted(start, bounds)]
 
-    def _learn(self, keys: list[int], data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        joined_keys, joined = [], []
-        for k, s, e in zip(keys, start.tolist(), end.tolist()):
-            chunk = data[s:e].tobytes()
-            if chunk[:1] == b" " and not any(x in chunk for x in self.special):
-                joined_keys.append(k)
-                joined.append(chunk)
-            else:
-                ids = self.full.encode(chunk.decode(), add_special_tokens=False).ids
-                self.known[k] = np.array(ids, np.uint32).tobytes()
-        if joined:
-            ids = np.array(self.core.encode_ordinary(b"".join(joined).decode()), np.uint32)
-            reach = np.concatenate([[0], np.cumsum(self.lengths[ids])])
-            at = np.searchsorted(reach, np.concatenate([[0], np.cumsum([len(c) for c in joined])]))
-            raw = ids.tobytes()
-            for k, s, e in zip(joined_keys, at[:-1].tolist(), at[1:].tolist()):
-                self.known[k] = raw[4 * s : 4 * e]
+    def _ids(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of stretches of data, one after another, and how many each has."""
+        size = end - start
+        plain = data[start] == 32
+        text = data[ragged(start, size)].tobytes()
+        if any(x in text for x in self.special):
+            plain &= np.array([not any(x in data[s:e].tobytes() for x in self.special) for s, e in zip(start.tolist(), end.tolist())])
+        n = np.zeros(len(start), np.int64)
+        ids = np.array(self.core.encode_ordinary(data[ragged(start[plain], size[plain])].tobytes().decode()), np.uint32)
+        reach = np.concatenate([[0], np.cumsum(self.lengths[ids])])
+        n[plain] = np.diff(np.searchsorted(reach, np.concatenate([[0], np.cumsum(size[plain])])))
+        others = [self.full.encode(data[s:e].tobytes().decode(), add_special_tokens=False).ids for s, e in zip(start[~plain].tolist(), end[~plain].tolist())]
+        n[~plain] = [len(x) for x in others]
+        out = np.empty(int(n.sum()), np.uint32)
+        of_plain = np.repeat(plain, n)
+        out[of_plain] = ids
+        out[~of_plain] = [i for x in others for i in x]
+        return out, n
 
 
 def choose_cuts(position: list[int], penalty: list[float], limit: int) -> list[int]:
@@ -235,7 +243,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
         for b in batches:
             keys = b.column(0).to_pylist()
-            for piece in slices(b.column(1), SLICE):
+            for piece in slices(b.column(1)):
                 ids, bounds = encoder.encode(piece)
                 n = np.diff(bounds)
                 # the closing id stands after each document's own

@@ -284,6 +284,18 @@ def test_packing_blocks(spark, documents, monkeypatch):
     assert check_pack(packing.pack_documents(df, TOKENIZER).collect(), texts) < 0.02
 
 
+def test_encoding_with_a_short_memory(monkeypatch, odd_texts):
+    rng = random.Random(9)
+    special = sorted(t.content for t in Tokenizer.from_file(TOKENIZER).get_added_tokens_decoder().values())
+    texts = [words(rng, 80, 60) for _ in range(30)] + [f"a {x} b {x}c  d" for x in special] + [t for t in odd_texts if t and len(t) < 10_000]
+    monkeypatch.setattr(packing, "CACHE_MOST", 40)
+    encoder, full = packing.ByteEncoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    for piece in slices(pa.array(texts), 600):
+        ids, bounds = encoder.encode(piece)
+        for i in range(len(piece)):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == full.encode(texts[piece.first + i], add_special_tokens=False).ids
+
+
 def test_cuts_are_best():
     rng = random.Random(4)
     for _ in range(200):
