@@ -151,30 +151,40 @@ def _any(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
+def _by_name(pattern: Pattern) -> bool:
+    """Whether a pattern asks for base names: a whole path that it matches has only one component."""
+    return not pattern.anchored and not pattern.is_path
+
+
+def _regex(pattern: Pattern) -> str:
+    return f"(?s:{glob_regex(pattern.glob)})"
+
+
 def matches(pattern: Pattern, path: Column, is_dir: Column) -> Column:
-    """Anchored: the full path; else the full path or, for a pattern without a slash, the base name."""
-    if re.search(r"[*?\[{\\]", pattern.glob):
-        regex = f"^(?s:{glob_regex(pattern.glob)})$"
-        hit = path.rlike(regex)
-        if not pattern.anchored and not pattern.is_path:
-            hit = hit | name(path).rlike(regex)
-    else:
-        hit = path == pattern.glob
-        if not pattern.anchored and not pattern.is_path:
-            hit = hit | (name(path) == pattern.glob)
+    """Anchored, or with a slash inside: the full path; else the base name."""
+    of = name(path) if _by_name(pattern) else path
+    hit = of.rlike(f"^{_regex(pattern)}$") if re.search(r"[*?\[{\\]", pattern.glob) else of == pattern.glob
     return hit & is_dir if pattern.dir_only else hit
 
 
+def excluded_above(settings: FilterSettings, path: Column) -> Column:
+    """Whether an exclude matches a directory above the path: one search of the path for each pattern, followed by a slash."""
+    return _any([path.rlike(f"{'(?:^|/)' if _by_name(p) else '^'}{_regex(p)}/") for p in settings.exclude])
+
+
+def enters_all(settings: FilterSettings) -> bool:
+    """Whether some include may match anywhere, so that no directory is left out for what includes ask."""
+    return any(_by_name(p) or not p.literal_prefix for p in settings.include)
+
+
 def could_contain(settings: FilterSettings, path: Column) -> Column:
     """Whether a directory may hold something that an include matches."""
+    if enters_all(settings):
+        return F.lit(True)
     out = []
-    for p in settings.include:
-        prefix = p.literal_prefix
-        if not p.anchored and not p.is_path or not prefix:
-            out.append(F.lit(True))
-        else:
-            up = [prefix.rsplit("/", k)[0] for k in range(prefix.count("/") + 1)]
-            out.append(path.isin("", *up) | path.startswith(prefix + "/"))
+    for prefix in (p.literal_prefix for p in settings.include):
+        up = [prefix.rsplit("/", k)[0] for k in range(prefix.count("/") + 1)]
+        out.append(path.isin("", *up) | path.startswith(prefix + "/"))
     return _any(out)
 
 
@@ -223,8 +233,10 @@ def apply_filter(m: DataFrame, settings: FilterSettings | None) -> DataFrame:
     if settings is None or settings.empty:
         return m.withColumns({"walk": F.lit("included"), "reason": F.lit(None).cast("string")})
     path, is_dir = F.col("rel_path"), F.col("kind") == "dir"
-    above = F.filter(ancestors(path), lambda a: a != "")
-    pruned = F.exists(above, lambda a: ~is_included(settings, a, F.lit(True)))
+    pruned = excluded_above(settings, path)
+    if settings.include and not enters_all(settings):
+        left_out = lambda a: (a != "") & ~(directly_matches(settings, a, F.lit(True)) | could_contain(settings, a))
+        pruned = pruned | F.exists(ancestors(path), left_out)
     root = F.lit("included")
     if settings.root_name is not None:
         entered = {kind: root_included(settings, settings.root_name, kind) for kind in ("dir", "file")}

@@ -113,3 +113,18 @@ def test_roots_are_asked_by_their_base_name(spark):
     # Anchored and path patterns do not ask the root; a root directory is entered for what includes may find in it.
     assert walk(exclude=["/foo1", "foo1/bar"], root_name="foo1")[""] == "included"
     assert walk(include=["*.txt"], root_name="foo1")["0.txt"] == "included"
+
+
+def test_pruning_agrees_with_asking_every_ancestor(spark):
+    """Whether a walk reaches a path, from the path alone and from the verdicts of the directories above it one by one."""
+    leaves = ["a/b/c.txt", "a/bb/x.log", "b/a/c.txt", "b/x[1]/c.txt", "deep/er/a/b/z", "n\nl/a b/c", "a.b/c/d.e", "bar/a/a/a/q"]
+    m = manifest(spark, {p: {} for p in leaves})
+    kinds = {r.rel_path: r.kind for r in m.collect()}
+    for include, exclude in [((), ("a",)), ((), ("/a/", "b?")), ((), ("**/a/b",)), ((), ("*.b/", "x\\[1\\]")), ((), ("**",)), ((), ("{er,bb}", "n*")), (("a/**", "/b/a/"), ()), (("deep/er/a/",), ("z",)), (("*.txt", "a/b/**"), ("a/bb",)), (("**/q",), ("a/a",))]:
+        settings = filters.FilterSettings.of(include, exclude)
+        verdict = {r.rel_path: r.ok for r in m.select("rel_path", filters.is_included(settings, F.col("rel_path"), F.col("kind") == "dir").alias("ok")).collect()}
+        want = {}
+        for p, kind in kinds.items():
+            up = ["/".join(p.split("/")[:k]) for k in range(1, p.count("/") + 1)]
+            want[p] = "pruned" if p and not all(verdict[a] for a in up) else "included" if not p or verdict[p] else "skipped"
+        assert {r.rel_path: r.walk for r in filters.apply_filter(m, settings).collect()} == want, (include, exclude)
