@@ -426,6 +426,15 @@ def test_mixing_rules(spark, documents, odd_texts):
     assert abs(expected / all_rows.n_tokens.sum() - source_mixing.Mix().fraction) < 0.01
 
 
+def test_joined_probabilities_take_the_same_rows(spark, documents, monkeypatch):
+    docs = documents.withColumn("probability", F.lit("x"))  # a clashing name
+    mix = source_mixing.Mix(0.5)
+    few = Counter(map(tuple, source_mixing.take(docs.drop("probability"), mix).collect()))
+    monkeypatch.setattr(source_mixing, "BROADCAST_CELLS", 0)
+    assert Counter(map(tuple, source_mixing.take(docs.drop("probability"), mix).collect())) == few
+    assert Counter(tuple(r)[:-1] for r in source_mixing.take(docs, mix).collect()) == few
+
+
 def test_every_category_is_raked(spark):
     """400 sources: the lightest have targets of their own, and a target for no tokens is an error."""
     rows = [(i, "word " * (2 if i % 400 == 399 else 3), "en", f"s{i % 400}", "") for i in range(4000)]
