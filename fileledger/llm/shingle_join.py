@@ -48,7 +48,7 @@ BITMAP_BITS = (512, 16384)
 LEADERS = 3
 #: Nodes of one leader that a task compares, and nodes and shingles of one block of a tile.
 HOME_DOCS = 512
-BLOCK_DOCS = 4096
+BLOCK_DOCS = 512
 BLOCK_SHINGLES = 1 << 20
 PAIRS_AT_ONCE = 100_000
 #: Ratio of size bands; a little over 4/3, so that linked sets lie in one band or in neighbours.
