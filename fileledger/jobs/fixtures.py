@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,10 +28,13 @@ def kept(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     @functools.wraps(make)
     def read(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, sf_dir, make.__name__)
-        if key not in _kept:
-            path = new_path(spark, make.__name__)
-            make(spark, sf_dir).write.parquet(path)
-            _kept[key] = path
+        if key in _kept:
+            try:
+                return spark.read.schema(MANIFEST_SCHEMA).parquet(_kept[key])
+            except AnalysisException:  # the shared folder has been emptied
+                pass
+        _kept[key] = new_path(spark, make.__name__)
+        make(spark, sf_dir).write.parquet(_kept[key])
         return spark.read.schema(MANIFEST_SCHEMA).parquet(_kept[key])
 
     return read

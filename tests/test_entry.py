@@ -35,3 +35,17 @@ def test_every_oracle_has_its_query():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_derived_manifests_outlive_an_emptied_folder(spark):
+    import shutil
+
+    from fileledger.jobs import fixtures
+
+    sf = "/root/testdata/sf0.001"
+    n = fixtures.update_manifest(spark, sf).count()
+    path = fixtures._kept[spark.sparkContext.applicationId, sf, "update_manifest"]
+    assert fixtures.update_manifest(spark, sf).count() == n
+    assert fixtures._kept[spark.sparkContext.applicationId, sf, "update_manifest"] == path
+    shutil.rmtree(path.removeprefix("file://"))
+    assert fixtures.update_manifest(spark, sf).count() == n
