@@ -105,6 +105,12 @@ def mirror_delete(spark, sf_dir):
     return plans.mirror_delete_plan(src_manifest(spark, sf_dir), dst_manifest(spark, sf_dir), FilterSettings.of(exclude=["x1*.log"])).drop("reason")
 
 
+@query("mirror_closure", f"WITH {_DELETE} SELECT d.rel_path, d.kind FROM dst d ANTI JOIN (SELECT rel_path FROM plan WHERE action = 'remove') p ON d.rel_path = p.rel_path")
+def mirror_closure(spark, sf_dir):
+    """What a mirror's delete pass leaves of the destination."""
+    return plans.apply_removals(dst_manifest(spark, sf_dir), mirror_delete(spark, sf_dir)).select("rel_path", "kind")
+
+
 @query(
     "mirror_delete_errors",
     f"""WITH {BOTH}, failed AS (SELECT rel_path FROM src WHERE kind = 'file' AND regexp_matches(rel_path, '/o[0-9]*55[.]dat$')), exempt AS MATERIALIZED (SELECT DISTINCT unnest(list_append({UP.format(p='rel_path')}, rel_path)) AS d FROM failed),

@@ -9,7 +9,7 @@ from fileledger.functions.metadata import iops_tokens, masked_mode, parse_preser
 from fileledger.jobs.entries import query
 from fileledger.jobs.fixtures import DST_SQL, PARENT, SRC_SQL, UP, dst_manifest, src_manifest
 from fileledger.operators import compare as cmp
-from fileledger.operators.permissions import chmod_plan, chmod_summary
+from fileledger.operators.permissions import apply_permissions, chmod_plan, chmod_summary
 from fileledger.operators.removal import rm_plan, rm_summary
 from fileledger.operators.rollup import directory_rollup, top_k
 
@@ -209,6 +209,17 @@ def chmod_plan_query(spark, sf_dir):
     return p.select("rel_path", "kind", "action", "chown_uid", "chown_gid", F.col("chmod").cast("int").alias("chmod"))
 
 
+@query(
+    "chmod_closure",
+    f"""WITH {_CHMOD} SELECT s.rel_path, coalesce(p.chown_uid, s.uid)::BIGINT AS uid, coalesce(p.chown_gid, s.gid)::BIGINT AS gid, CASE WHEN p.chmod IS NOT NULL THEN (s.mode & ~4095) | p.chmod WHEN (p.chown_uid IS NOT NULL OR p.chown_gid IS NOT NULL) AND s.kind IN ('file', 'other') THEN s.mode & ~3072 ELSE s.mode END::INT AS mode
+FROM src s JOIN plan p ON s.rel_path = p.rel_path""",
+)
+def chmod_closure(spark, sf_dir):
+    """The source's manifest after the chmod plan."""
+    m = src_manifest(spark, sf_dir)
+    return apply_permissions(m, chmod_plan_query(spark, sf_dir)).select("rel_path", "uid", "gid", "mode")
+
+
 _CHMOD_SUM = ", ".join(f"count(*) FILTER (action {a} AND CASE kind WHEN 'other' THEN 'file' ELSE kind END = '{k}') AS {n}_{w}" for w, a in (("changed", "= 'change'"), ("unchanged", "= 'unchanged'"), ("skipped", "= 'skip_filter'")) for k, n in (("file", "files"), ("dir", "directories"), ("symlink", "symlinks")))
 
 

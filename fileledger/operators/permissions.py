@@ -62,6 +62,15 @@ def chmod_plan(m: DataFrame, mode: str | None = None, owner: str | None = None,
     return r.select("rel_path", "kind", "action", F.when(on, F.col("_pre")).alias("pre_chmod"), F.when(on, F.col("_uid")).alias("chown_uid"), F.when(on, F.col("_gid")).alias("chown_gid"), F.when(on, F.col("_chmod")).alias("chmod"), F.when(on, change).alias("change"), why.alias("reason"), F.when(on & live, seq).alias("seq"))
 
 
+def apply_permissions(m: DataFrame, plan: DataFrame) -> DataFrame:
+    """The manifest after a chmod plan: new owners, and modes where one is set; without, a chown alone clears set-id bits of what is no directory."""
+    acts = plan.where("action = 'change'").select("rel_path", "chown_uid", "chown_gid", "chmod")
+    chown = F.col("chown_uid").isNotNull() | F.col("chown_gid").isNotNull()
+    cleared = F.when(chown & F.col("kind").isin("file", "other"), F.col("mode").bitwiseAND(~SET_IDS)).otherwise(F.col("mode"))
+    mode = F.when(F.col("chmod").isNotNull(), F.col("mode").bitwiseAND(~0o7777).bitwiseOR(F.col("chmod"))).otherwise(cleared)
+    return m.join(acts, "rel_path", "left").withColumns({"mode": mode.cast("int"), "uid": F.coalesce("chown_uid", "uid"), "gid": F.coalesce("chown_gid", "gid")}).select(*m.columns)
+
+
 def chmod_summary(plan: DataFrame) -> DataFrame:
     """One row: changed, unchanged and skipped counts by kind (other counts as file)."""
     kind = F.when(F.col("kind") == "other", "file").otherwise(F.col("kind"))
