@@ -34,7 +34,7 @@ WORDS, WORD_DIM, TRIGRAMS, CHAR_DIM = 1 << 15, 12, 1 << 12, 8
 HIDDEN, ATTENTION = 8, 8
 EPOCHS, LEAST_STEPS, BATCH, RATE = 3, 150, 128, 0.02
 #: Labelled rows of each kind that are fitted, the bytes of one, and the bytes of all.
-SAMPLE_POSITIVE, SAMPLE_NEGATIVE, SAMPLE_BYTES, SAMPLE_TOTAL = 1500, 3000, 200_000, 32 << 20
+SAMPLE_POSITIVE, SAMPLE_NEGATIVE, SAMPLE_BYTES, SAMPLE_TOTAL = 1500, 3000, 200_000, 16 << 20
 THRESHOLD = 0.3
 #: Share of documents, and least number, that must have a word for it to have an embedding of its own; pull of word shares to their mean.
 MET_SHARE, MET_LEAST, PRIOR = 0.004, 3, 20.0
@@ -82,6 +82,18 @@ def windows_of(piece: Slice) -> WindowSet:
     return WindowSet((words.hash[first] >> np.uint64(20)).astype(np.int64) % WORDS, tri, np.concatenate([[0], np.cumsum(n)]), windows, doc)
 
 
+def windows_of_all(texts: list[str]) -> WindowSet:
+    """The windows of all texts, made slice by slice; a word met in several slices stands several times among the distinct ones."""
+    parts, words, grams = [], 0, 0
+    for piece in slices(pa.array(texts, pa.large_string())):
+        s = windows_of(piece)
+        parts.append((s.bucket, s.trigrams.astype(np.int32), s.by_word[:-1] + grams, np.where(s.windows >= 0, s.windows + np.int32(words), np.int32(-1)), s.doc + piece.first))
+        words += len(s.bucket)
+        grams += len(s.trigrams)
+    bucket, trigrams, by_word, windows, doc = (np.concatenate(x) for x in zip(*parts))
+    return WindowSet(bucket, trigrams, np.append(by_word, grams), windows, doc)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -234,8 +246,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 9) -> Model | None:
     if not len(labels) or labels.min() == labels.max():
         return None
     rng = np.random.default_rng(seed)
-    column = pa.array(texts, pa.large_string())
-    s = windows_of(next(slices(column, 1 << 62)))
+    s = windows_of_all(texts)
     aside = rng.random(len(labels)) < 0.2
     for y in (0, 1):
         if aside[labels == y].all() or not aside[labels == y].any():
