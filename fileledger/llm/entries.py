@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fileledger.llm import chat_format, language_id, media_store, packing, quality_rules, secret_scan, shingle_join, source_mixing, substring_dedup, toxicity
+from fileledger.llm import chat_format, language_id, media_store, packing, quality_rules, secret_scan, shingle_join, source_mixing, substring_dedup, target_resampling, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,6 +105,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.calibrated(table(spark, sf_dir, "documents"))
 
 
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = target_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_substring_dedup": op2_substring_dedup,
@@ -116,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_toxicity": op9_toxicity,
     "op10_source_mixing": op10_source_mixing,
+    "op13_target_resampling": op13_target_resampling,
 }
 
-ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL, "op4_shingle_join": OP4_SQL}
+ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL, "op4_shingle_join": OP4_SQL, "op13_target_resampling": target_resampling.SQL}
