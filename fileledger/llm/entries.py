@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fileledger.llm import chat_format, language_id, media_store, packing, quality_rules, secret_scan, shingle_join, source_mixing, substring_dedup, target_resampling, toxicity
+from fileledger.llm import chat_format, heap_clustering, language_id, media_store, packing, passage_quality, quality_rules, secret_scan, shingle_join, source_mixing, substring_dedup, target_resampling, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,6 +105,14 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.calibrated(table(spark, sf_dir, "documents"))
 
 
+def op11_passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_heap_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heap_clustering.cluster_vectors(table(spark, sf_dir, "embeddings")).rows
+
+
 def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = target_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")
@@ -121,6 +129,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_toxicity": op9_toxicity,
     "op10_source_mixing": op10_source_mixing,
+    "op11_passage_quality": op11_passage_quality,
+    "op12_heap_clustering": op12_heap_clustering,
     "op13_target_resampling": op13_target_resampling,
 }
 
