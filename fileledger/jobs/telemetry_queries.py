@@ -136,8 +136,8 @@ def sliding_percentiles(spark, sf_dir):
 REPLAY_SQL = f"""WITH RECURSIVE {SAMPLES_SQL}, s AS (SELECT run, side, op, epoch_us(ts) // 10000 AS at_us, greatest(1, latency_us) AS v FROM samples), t AS (SELECT DISTINCT run, side, op, (ceil(at_us / 1000000) * 1000000)::BIGINT AS tick FROM s),
 l AS (SELECT t.*, list_sort(list(v)) AS a, list_sort(list(v) FILTER (at_us >= tick - 1000000)) AS b FROM t JOIN s ON t.run = s.run AND t.side = s.side AND t.op = s.op AND s.at_us <= t.tick AND s.at_us >= t.tick - 10000000 GROUP BY ALL),
 p AS MATERIALIZED (SELECT run, side, op, tick, a[(least(floor(len(a) * 0.1) + 1, len(a)))::INT] AS baseline_us, b[(least(floor(len(b) * 0.5) + 1, len(b)))::INT] AS current_us, row_number() OVER (PARTITION BY run, side, op ORDER BY tick) AS k FROM l),
-q AS MATERIALIZED (SELECT *, CASE WHEN current_us / baseline_us < 1.3 THEN 1 WHEN current_us / baseline_us >= 2.0 THEN -1 ELSE 0 END AS step FROM p),
-c AS (SELECT *, least(4096, greatest(1, 20 + step))::BIGINT AS cwnd FROM q WHERE k = 1 UNION ALL SELECT q.*, least(4096, greatest(1, c.cwnd + q.step))::BIGINT FROM c JOIN q ON q.run = c.run AND q.side = c.side AND q.op = c.op AND q.k = c.k + 1)
+q AS MATERIALIZED (SELECT *, CASE WHEN current_us / baseline_us < 1.3 THEN 1 WHEN current_us / baseline_us > 1.8 THEN -1 ELSE 0 END AS step FROM p),
+c AS (SELECT *, least(4096, greatest(1, 1 + step))::BIGINT AS cwnd FROM q WHERE k = 1 UNION ALL SELECT q.*, least(4096, greatest(1, c.cwnd + q.step))::BIGINT FROM c JOIN q ON q.run = c.run AND q.side = c.side AND q.op = c.op AND q.k = c.k + 1)
 SELECT run, side, op, tick, baseline_us, current_us, cwnd FROM c"""
 
 

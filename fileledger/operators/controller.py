@@ -1,21 +1,21 @@
-"""Replay of the concurrency controller: sliding percentiles and a clamped window, folded in time order.
+"""The concurrency controller: sliding percentiles, and a window of requests that they grow and shrink.
 
-Each clamp depends on the one before, so this is no window sum.  Samples of one run,
-side and operation arrive sorted and are folded as a stream; only those of the long
-window are held.
+In batch both are DataFrame expressions over chunks of time (`signal_chunks`,
+`replay_controller`); `Ratio` is the same policy one sample at a time, for streams.
 """
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fileledger.functions.paths import name, parent
+from fileledger.sources.scratch import written
 
 
 @dataclass(frozen=True)
@@ -26,21 +26,35 @@ class RatioConfig:
     short_p: float = 0.50
     most_samples: int = 4096
     grow_below: float = 1.3
-    shrink_above: float = 2.0
-    start: int = 20
+    shrink_above: float = 1.8
+    grow_by: int = 1
+    shrink_by: int = 1
+    start: int = 1
     least: int = 1
     most: int = 4096
 
+    @property
+    def low(self) -> int:
+        return max(1, self.least)
+
+    @property
+    def high(self) -> int:
+        return max(1, self.most)
+
+    @property
+    def first(self) -> int:
+        return min(self.high, max(self.low, self.start))
+
 
 def nearest_rank(ordered: list[int], p: float) -> int | None:
     return ordered[min(int(len(ordered) * p), len(ordered) - 1)] if ordered else None
 
 
 class Ratio:
-    """Grows the window by one while current latency is near the baseline, shrinks it by one when far above."""
+    """Grows the window while current latency is near the baseline, shrinks it when far above."""
 
     def __init__(self, cfg: RatioConfig):
-        self.cfg, self.cwnd = cfg, cfg.start
+        self.cfg, self.cwnd = cfg, cfg.first
         self.held: deque[tuple[int, int]] = deque()
         self.fresh = False
 
@@ -57,82 +71,138 @@ class Ratio:
         current = nearest_rank(sorted(v for t, v in self.held if t >= now - self.cfg.short_us), self.cfg.short_p)
         if self.fresh and baseline and current:
             ratio = current / baseline
-            step = 1 if ratio < self.cfg.grow_below else -1 if ratio >= self.cfg.shrink_above else 0
-            self.cwnd = min(self.cfg.most, max(self.cfg.least, self.cwnd + step))
+            step = self.cfg.grow_by if ratio < self.cfg.grow_below else -self.cfg.shrink_by if ratio > self.cfg.shrink_above else 0
+            self.cwnd = min(self.cfg.high, max(self.cfg.low, self.cwnd + step))
         self.fresh = False
         return baseline, current, self.cwnd
 
 
-class Fixed:
-    def __init__(self, cfg: RatioConfig):
-        self.cwnd = cfg.start
+SCHEMA = "run string, side string, op string, tick bigint, baseline_us bigint, current_us bigint, cwnd bigint"
 
-    def sample(self, at: int, latency: int) -> None:
-        pass
 
-    def tick(self, now: int) -> tuple[None, None, int]:
-        return None, None, self.cwnd
+UNIT = ["run", "side", "op"]
+# Arrays of this module are never empty and are read by inline_outer: for inline, the planner asks first whether an array is empty, and so makes it twice.
+#: Ticks of a chunk: what one row of the signal holds, together with at most most_samples of each tick.
+CHUNK_TICKS = 512
+#: Chunks whose totals meet in one row of the scan over chunks.
+GROUP_CHUNKS = 1024
 
 
-class Unlimited(Fixed):
-    def tick(self, now: int) -> tuple[None, None, None]:
-        return None, None, None
+def dealt_samples(samples: DataFrame, tick_us: int, cfg: RatioConfig) -> DataFrame:
+    """(run, side, op, at_us, v, due, chunk, own): samples by their tick's chunk, and once more (own: false) in the next chunk if that one's first ticks still see them.
 
+    Chunks are much longer than the long window, so few samples are dealt twice, and none is copied by tick.
+    """
+    span = -(-max(CHUNK_TICKS * tick_us, 2 * cfg.long_us) // tick_us) * tick_us
+    at, due = F.col("at_us").cast("bigint"), F.col("due")
+    s = samples.where("at_us is not null and latency_us is not null")
+    s = s.select(*UNIT, at.alias("at_us"), F.greatest(F.lit(1), F.col("latency_us")).cast("bigint").alias("v"), (at + F.pmod(-at, F.lit(tick_us))).alias("due"))
+    s = s.withColumn("chunk", F.call_function("div", due - 1 - F.pmod(due - 1, F.lit(span)), F.lit(span)))
+    here, later = F.struct("chunk", F.lit(True).alias("own")), F.struct((F.col("chunk") + 1).alias("chunk"), F.lit(False).alias("own"))
+    seen_later = F.col("at_us") >= (F.col("chunk") + 1) * span + tick_us - cfg.long_us
+    return s.select(*UNIT, "at_us", "v", "due", F.explode(F.when(seen_later, F.array(here, later)).otherwise(F.array(here))).alias("in")).select(*UNIT, "at_us", "v", "due", "in.*")
 
-#: A policy is anything with sample(at, latency) and tick(now) -> (baseline, current, cwnd); null cwnd: no limit.
-CONTROLLERS = {"ratio": Ratio, "fixed": Fixed, "unlimited": Unlimited}
-SCHEMA = "run string, side string, op string, tick bigint, baseline_us bigint, current_us bigint, cwnd bigint"
 
+def signal_chunks(samples: DataFrame, tick_us: int, cfg: RatioConfig) -> DataFrame:
+    """(run, side, op, chunk, ticks): the percentiles of each tick that had samples, by stretches of time.
+
+    Within a chunk rows are numbered in order of time; a tick's windows are then slices
+    between two counts, of which the newest most_samples are read.
+    """
+    s = dealt_samples(samples, tick_us, cfg).repartition(*UNIT, "chunk")  # everything below works within a chunk
+    due = F.col("due")
+
+    # Of one tick's samples only the newest most_samples can ever count; the newest of all stands for the tick itself.
+    newest = Window.partitionBy(*UNIT, "chunk", "due").orderBy(F.desc("at_us"), F.desc("v"))
+    s = s.withColumn("k", F.row_number().over(newest)).where(F.col("k") <= cfg.most_samples)
+    sample, tick = F.struct(F.col("at_us").alias("at"), F.col("v")), F.struct(due.alias("at"), F.lit(None).cast("bigint").alias("v"))
+    s = s.select(*UNIT, "chunk", F.explode(F.when(F.col("own") & (F.col("k") == 1), F.array(sample, tick)).otherwise(F.array(sample))).alias("e")).select(*UNIT, "chunk", "e.*")
+    by_time = Window.partitionBy(*UNIT, "chunk").orderBy("at")
+    until = lambda back: F.count("v").over(by_time.rangeBetween(Window.unboundedPreceding, back))
+    s = s.select(*UNIT, "chunk", "at", "v", until(0).alias("end"), until(-cfg.long_us - 1).alias("long"), until(-cfg.short_us - 1).alias("short"))
+    rows = s.groupBy(*UNIT, "chunk").agg(
+        F.sort_array(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("at", "v")))).alias("samples"),
+        F.sort_array(F.collect_list(F.when(F.col("v").isNull(), F.struct(F.col("at").alias("tick"), "end", "long", "short")))).alias("ticks"),
+    )
+
+    def rank(t: Column, first: Column, p: float) -> Column:
+        first = F.greatest(first, t["end"] - cfg.most_samples)
+        n = t["end"] - first
+        values = F.sort_array(F.transform(F.slice("samples", (first + 1).cast("int"), n.cast("int")), lambda x: x["v"]))
+        return F.when(n > 0, F.element_at(values, F.least(F.floor(n * p) + 1, n).cast("int")))
+
+    read = F.transform("ticks", lambda t: F.struct(t["tick"].alias("tick"), rank(t, t["long"], cfg.long_p).alias("baseline_us"), rank(t, t["short"], cfg.short_p).alias("current_us")))
+    return rows.where(F.size("ticks") > 0).select(*UNIT, "chunk", read.alias("ticks"))
 
-def replay_controller(samples: DataFrame, tick_us: int = 1_000_000, cfg: RatioConfig = RatioConfig(), controller: str = "ratio") -> DataFrame:
-    """(run, side, op, tick, baseline_us, current_us, cwnd) at every tick that had samples since the one before.
 
-    samples: run, side, op, at_us, latency_us.  A tick sees the samples up to its time.
+def ratio_signal(samples: DataFrame, tick_us: int = 1_000_000, cfg: RatioConfig = RatioConfig()) -> DataFrame:
+    """(run, side, op, tick, baseline_us, current_us): percentiles of the long and the short window at every tick that had samples.
+
+    samples: run, side, op, at_us, latency_us.  A tick sees the samples up to its time, of
+    those the newest most_samples; a sample without a time or a latency is none.
     """
-    make = CONTROLLERS[controller]
-    names = ["run", "side", "op", "tick", "baseline_us", "current_us", "cwnd"]
+    return signal_chunks(samples, tick_us, cfg).select(*UNIT, F.inline_outer("ticks"))
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = tick = state = None
-        for b in batches:
-            rows = []
-            for run, side, op, at, latency in b.itertuples(index=False):
-                due = -(-at // tick_us) * tick_us
-                if tick is not None and (key != (run, side, op) or due != tick):
-                    rows.append((*key, tick, *state.tick(tick)))
-                if key != (run, side, op):
-                    key, state = (run, side, op), make(cfg)
-                tick = due
-                state.sample(at, latency)
-            yield _frame(rows, names)
-        if tick is not None:
-            yield _frame([(*key, tick, *state.tick(tick))], names)
 
-    rows = samples.select("run", "side", "op", "at_us", "latency_us").where("at_us is not null and latency_us is not null")
-    return rows.repartition("run", "side", "op").sortWithinPartitions("run", "side", "op", "at_us", "latency_us").mapInPandas(fold, SCHEMA)
+def _clamped(x: Column, low: Column, high: Column) -> Column:
+    return F.least(high, F.greatest(low, x))
 
 
-def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=names).astype({"baseline_us": "Int64", "current_us": "Int64", "tick": "int64", "cwnd": "Int64"})
+def _step(t: Column, cfg: RatioConfig) -> Column:
+    """By how much a tick moves the window."""
+    ratio = t["current_us"] / t["baseline_us"]
+    return F.when(ratio < cfg.grow_below, cfg.grow_by).when(ratio > cfg.shrink_above, -cfg.shrink_by).otherwise(0).cast("bigint")
 
 
-def ratio_signal(samples: DataFrame, tick_us: int = 1_000_000, cfg: RatioConfig = RatioConfig()) -> DataFrame:
-    """(run, side, op, tick, baseline_us, current_us): the percentiles alone, as joins and windows.
+def _through(f: Column, x: Column) -> Column:
+    """f of x, of a clamped step (d, low, high)."""
+    return _clamped(x + f["d"], f["low"], f["high"])
+
+
+def _composed(steps: Column, of: Callable[[Column], Column], cfg: RatioConfig) -> Column:
+    """One clamped step that does what all steps of an array do one after the other."""
+    low, high = F.lit(cfg.low).cast("bigint"), F.lit(cfg.high).cast("bigint")
+    start = F.struct(F.lit(0).cast("bigint").alias("d"), low.alias("low"), high.alias("high"))
+    return F.aggregate(steps, start, lambda f, e: F.struct((f["d"] + of(e)["d"]).alias("d"), _through(of(e), f["low"]).alias("low"), _through(of(e), f["high"]).alias("high")))
+
+
+def _scanned(entries: Column, x: Column, through: Callable[[Column, Column], Column], row: Callable[[Column, Column, Column], Column], kind: str) -> Column:
+    """row(entry, x before, x after) of every entry of an array, x carried through all of them."""
+    start = F.struct(x.alias("x"), F.array().cast(f"array<{kind}>").alias("out"))
+    return F.aggregate(entries, start, lambda a, e: F.struct(through(e, a["x"]).alias("x"), F.concat(a["out"], F.array(row(e, a["x"], through(e, a["x"])))).alias("out")))["out"]
+
+
+def replay_controller(samples: DataFrame, tick_us: int = 1_000_000, cfg: RatioConfig = RatioConfig(), controller: str = "ratio") -> DataFrame:
+    """(run, side, op, tick, baseline_us, current_us, cwnd) at every tick that had samples since the one before.
 
-    Each sample is copied to the ticks whose long window holds it; of those the
-    newest most_samples by arrival count.
+    samples: run, side, op, at_us, latency_us.  A tick's step depends on its percentiles
+    alone, and a step is min(high, max(low, x + d)).  Such functions composed are such a
+    function again, so the fold over time is a scan: steps are composed by chunk of ticks,
+    chunks by group of chunks, groups in order of time; then the windows at which groups, chunks and
+    ticks begin follow from the top down.  No unit is one task.
     """
-    s = samples.select("run", "side", "op", "at_us", F.greatest(F.lit(1), "latency_us").alias("v"))
-    key = ["run", "side", "op"]
-    ticks = s.select(*key, (F.ceil(F.col("at_us") / tick_us) * tick_us).alias("tick")).distinct()
-    slot = cfg.long_us
-    left = ticks.withColumn("_slot", F.explode(F.array(F.floor(F.col("tick") / slot), F.floor(F.col("tick") / slot) - 1)))
-    j = left.join(s.withColumn("_slot", F.floor(F.col("at_us") / slot)), [*key, "_slot"]).where(f"at_us <= tick and at_us >= tick - {cfg.long_us}")
-    newest = Window.partitionBy(*key, "tick").orderBy(F.desc("at_us"), F.desc("v"))
-    j = j.withColumn("_k", F.row_number().over(newest)).where(F.col("_k") <= cfg.most_samples)
-    lists = j.groupBy(*key, "tick").agg(F.sort_array(F.collect_list("v")).alias("_long"), F.sort_array(F.collect_list(F.when(F.col("at_us") >= F.col("tick") - cfg.short_us, F.col("v")))).alias("_short"))  # most_samples values at most
-    pick = lambda c, p: F.when(F.size(c) > 0, F.element_at(c, F.least(F.floor(F.size(c) * p) + 1, F.size(c)).cast("int")))
-    return lists.select(*key, "tick", pick("_long", cfg.long_p).alias("baseline_us"), pick("_short", cfg.short_p).alias("current_us"))
+    if controller != "ratio":
+        cwnd = {"fixed": cfg.first, "unlimited": None}[controller]
+        ticks = samples.where("at_us is not null and latency_us is not null").select(*UNIT, (F.col("at_us") + F.pmod(-F.col("at_us"), F.lit(tick_us))).cast("bigint").alias("tick")).distinct()
+        return ticks.select(*UNIT, "tick", *(F.lit(v).cast("bigint").alias(c) for c, v in (("baseline_us", None), ("current_us", None), ("cwnd", cwnd))))
+    low, high = F.lit(cfg.low).cast("bigint"), F.lit(cfg.high).cast("bigint")
+    step = lambda t: {"d": _step(t, cfg), "low": low, "high": high}
+    whole = lambda e: e["f"]
+    chunks = written(signal_chunks(samples, tick_us, cfg), "controller-ticks")
+
+    part = F.call_function("div", F.col("chunk") - F.pmod("chunk", F.lit(GROUP_CHUNKS)), F.lit(GROUP_CHUNKS)).alias("part")
+    totals = chunks.select(*UNIT, part, F.struct("chunk", _composed(F.col("ticks"), step, cfg).alias("f")).alias("e"))
+    parts = written(totals.groupBy(*UNIT, "part").agg(F.sort_array(F.collect_list("e")).alias("es")), "controller-parts")
+    units = parts.select(*UNIT, F.struct("part", _composed(F.col("es"), whole, cfg).alias("f")).alias("e")).groupBy(*UNIT).agg(F.sort_array(F.collect_list("e")).alias("es"))
+
+    begins = lambda name: (lambda e, before, after: F.struct(e[name].alias(name), before.alias("x")))
+    enter = lambda e, x: _through(e["f"], x)
+    at_parts = units.select(*UNIT, F.inline_outer(_scanned(F.col("es"), F.lit(cfg.first).cast("bigint"), enter, begins("part"), "struct<part: bigint, x: bigint>")))
+    at_chunks = parts.join(at_parts, [*UNIT, "part"]).select(*UNIT, F.inline_outer(_scanned(F.col("es"), F.col("x"), enter, begins("chunk"), "struct<chunk: bigint, x: bigint>")))
+    move = lambda t, x: _through(step(t), x)
+    given = lambda t, before, after: F.struct(t["tick"].alias("tick"), t["baseline_us"].alias("baseline_us"), t["current_us"].alias("current_us"), after.alias("cwnd"))
+    kind = "struct<tick: bigint, baseline_us: bigint, current_us: bigint, cwnd: bigint>"
+    return chunks.join(at_chunks, [*UNIT, "chunk"]).select(*UNIT, F.inline_outer(_scanned(F.col("ticks"), F.col("x"), move, given, kind)))
 
 
 def chunk_manifest(m: DataFrame, budget: int = 4 << 20, overhead: int = 64) -> DataFrame:

@@ -4,7 +4,8 @@ import struct
 
 import pytest
 
-from fileledger.operators.controller import Ratio, RatioConfig, chunk_manifest, replay_controller
+from fileledger.operators import controller
+from fileledger.operators.controller import Ratio, RatioConfig, chunk_manifest, ratio_signal, replay_controller
 from fileledger.sources.logs import COOKIE, decode_histogram, encode_histogram, read_histogram_logs
 from fileledger.streaming.telemetry import control, control_rest, drain, progress_rates
 from fileledger.streaming.trees import CompletionTracker
@@ -62,13 +63,26 @@ def test_logs(spark, tmp_path):
         headers.collect()
 
 
-@pytest.mark.parametrize("current, want", [(500, 21), (600, 21), (650, 20), (750, 20), (900, 20), (1000, 19), (2500, 19), (450, 21)])
-def test_window_steps(current, want):
-    c = Ratio(RatioConfig(long_us=100_000_000, short_us=10))
-    for i in range(100):
-        c.sample(i, 500)
-    c.sample(1000, current)
+def test_defaults_of_the_controller():
+    cfg = RatioConfig()
+    assert (cfg.start, cfg.least, cfg.most, cfg.grow_below, cfg.shrink_above, cfg.grow_by, cfg.shrink_by) == (1, 1, 4096, 1.3, 1.8, 1, 1)
+    assert (cfg.long_us, cfg.short_us, cfg.long_p, cfg.short_p, cfg.most_samples) == (10_000_000, 1_000_000, 0.1, 0.5, 4096)
+    assert (RatioConfig(start=0).first, RatioConfig(start=9, most=5).first, RatioConfig(start=0, least=0, most=0).first) == (1, 5, 1)
+
+
+# Ratios of 1.8 and below hold, 1.81 and above shrink.
+@pytest.mark.parametrize("current, want", [(500, 21), (600, 21), (645, 21), (650, 20), (750, 20), (900, 20), (905, 19), (950, 19), (999, 19), (1000, 19), (2500, 19), (450, 21)])
+def test_window_steps(spark, current, want):
+    cfg = RatioConfig(long_us=100_000_000, short_us=10, start=20)
+    samples = [(i, 500) for i in range(100)] + [(1000, current)]
+    c = Ratio(cfg)
+    for x in samples:
+        c.sample(*x)
     assert c.tick(1000)[2] == want
+    if current in (900, 905, 600):
+        df = spark.createDataFrame([("r", "s", "o", *x) for x in samples], "run string, side string, op string, at_us bigint, latency_us bigint")
+        rows = {r.tick: r.cwnd for r in replay_controller(df, tick_us=500, cfg=cfg).collect()}
+        assert rows[1000] - rows[500] == want - 20
 
 
 def random_samples(seed, n=400):
@@ -85,14 +99,14 @@ def brute_replay(samples, tick_us, cfg):
     out = []
     for run in sorted({s[0] for s in samples}):
         mine = sorted((s[3], s[4]) for s in samples if s[0] == run)
-        cwnd = cfg.start
+        cwnd = min(max(1, cfg.most), max(1, cfg.least, cfg.start))
         for tick in sorted({-(-t // tick_us) * tick_us for t, _ in mine}):
             seen = [x for x in mine if x[0] <= tick][-cfg.most_samples :]
             rank = lambda v, p: sorted(v)[min(int(len(v) * p), len(v) - 1)] if v else None
             base = rank([v for t, v in seen if t >= tick - cfg.long_us], cfg.long_p)
             cur = rank([v for t, v in seen if t >= tick - cfg.short_us], cfg.short_p)
             if base and cur:
-                cwnd = max(cfg.least, min(cfg.most, cwnd + (1 if cur / base < cfg.grow_below else -1 if cur / base >= cfg.shrink_above else 0)))
+                cwnd = max(cfg.least, min(cfg.most, cwnd + (cfg.grow_by if cur / base < 1.3 else -cfg.shrink_by if cur / base > 1.8 else 0)))
             out.append((run, tick, base, cur, cwnd))
     return sorted(out)
 
@@ -112,6 +126,42 @@ def test_replay_and_stream_against_brute_force(spark, tmp_path):
     assert pick(drain(control(spark.readStream.schema(schema).parquet(str(tmp_path / "s")), cfg=cfg), "control", rest=rest)) == want
 
 
+@pytest.mark.parametrize("seed, tick_us, cfg, chunk, group", [
+    (1, 1_000_000, RatioConfig(most=6), 4, 2),
+    (2, 50_000, RatioConfig(most=9, least=3, most_samples=7), 16, 3),
+    (3, 700_000, RatioConfig(long_us=3_000_000, short_us=250_000, start=50, grow_by=2, shrink_by=3), 512, 1024),
+    (4, 50_000, RatioConfig(long_us=10_000_000, short_us=1_000_000, most=4, most_samples=30), 1, 1),
+])
+def test_replay_as_a_scan(spark, monkeypatch, seed, tick_us, cfg, chunk, group):
+    monkeypatch.setattr(controller, "CHUNK_TICKS", chunk)
+    monkeypatch.setattr(controller, "GROUP_CHUNKS", group)
+    rng = random.Random(seed)
+    rows, at = [], -50_000_000
+    for _ in range(600):
+        at += rng.choice([0, 1, 10_000, 50_000, 400_000, 1_000_000, 30_000_000 if rng.random() < 0.1 else 7])
+        rows.append((f"r{rng.randint(0, 1)}", "source", "stat", at, int(rng.choice([100, 150, 400]) * rng.uniform(0.8, 1.3)) * rng.randint(0, 3)))
+    df = spark.createDataFrame(rows + [("r0", "source", "stat", None, 5), ("r1", "source", "stat", 5, None)], "run string, side string, op string, at_us bigint, latency_us bigint")
+    got = sorted((r.run, r.tick, r.baseline_us, r.current_us, r.cwnd) for r in replay_controller(df, tick_us, cfg).collect())
+    assert got == brute_replay([(*r[:4], max(1, r[4])) for r in rows], tick_us, cfg)
+    assert len({g[4] for g in got}) > 2
+    assert replay_controller(df.limit(0), tick_us, cfg).count() == 0
+
+
+def test_no_sample_is_copied_by_tick(spark):
+    """At 50 ms ticks a sample is in 200 windows; it is dealt to two chunks at most, and few are."""
+    df = spark.range(20_000).selectExpr("cast(id % 1 as string) as run", "cast(id % 1 as string) as side", "cast(id % 1 as string) as op", "id * 7919 as at_us", "id % 100 as latency_us")
+    share = 10_000_000 / (controller.CHUNK_TICKS * 50_000)
+    assert 20_000 <= controller.dealt_samples(df, 50_000, RatioConfig()).count() <= 20_000 * (1 + share) + 1300
+    plan = ratio_signal(df, 50_000)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Python" not in plan and "InPandas" not in plan
+
+
+def test_fixed_controllers(spark):
+    df = spark.createDataFrame([("r", "s", "o", 5, 10), ("r", "s", "o", 6, 10)], "run string, side string, op string, at_us bigint, latency_us bigint")
+    assert [(r.tick, r.cwnd) for r in replay_controller(df, 10, RatioConfig(start=7), "fixed").collect()] == [(10, 7)]
+    assert [(r.tick, r.cwnd) for r in replay_controller(df, 10, controller="unlimited").collect()] == [(10, None)]
+
+
 def test_stream_rates(spark, tmp_path):
     rows = [("r", "source", "2024-01-01 00:00:00", 0, 0), ("r", "source", "2024-01-01 00:00:10", 50, 100), ("r", "source", "2024-01-01 00:00:10", 60, 100)]
     spark.createDataFrame(rows, "run string, side string, ts string, ops_finished bigint, bytes_copied bigint").selectExpr("run", "side", "cast(ts as timestamp) ts", "ops_finished", "bytes_copied").coalesce(1).write.parquet(str(tmp_path / "p"))
