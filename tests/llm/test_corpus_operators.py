@@ -466,26 +466,83 @@ def test_topics(spark):
     assert taken.columns == named.columns and {r.doc_id for r in taken.collect()} == {r.doc_id for r in got if r.selected}
 
 
-def test_raking_takes_the_largest_feasible_fraction():
+def filled(share, have, wanted):
+    """Water-filling in plain steps: the category shortest of its share is made whole, one at a time."""
+    whole = {}
+    while True:
+        rest = {k: v for k, v in share.items() if k not in whole}
+        left = wanted - sum(whole.values())
+        want = {k: v / sum(rest.values()) * left for k, v in rest.items()}
+        short = max((k for k in want if want[k] > have[k] * (1 + 1e-12)), key=lambda k: want[k] / have[k], default=None)
+        if short is None:
+            return whole | want
+        whole[short] = have[short]
+
+
+def test_rare_categories_are_taken_whole():
     tokens = np.array([800.0, 100.0, 80.0, 20.0])
     cells = [("a", "en", "t0"), ("b", "en", "t0"), ("a", "es", "t0"), ("b", "es", "t0")]
     fit = source_mixing.fit_mix(cells, tokens, source_mixing.Mix(fraction=0.9))
+    assert np.allclose(fit.p, [0.875, 1, 1, 1], atol=1e-4) and abs(fit.fraction - 0.9) < 1e-4
     for k, by in enumerate((("a", "b"), ("en", "es"))):
-        have = np.array([sum(t for c, t in zip(cells, tokens) if c[k] == n) for n in by])
-        want = have**0.7 / (have**0.7).sum()
-        got = np.array([sum(t * q for c, t, q in zip(cells, tokens, fit.p) if c[k] == n) for n in by])
-        assert np.allclose(got / got.sum(), want, atol=2e-3)
-        assert fit.fraction <= (have / want).min() / 1000 + 1e-6
-    assert fit.residual <= source_mixing.MOST_OFF and (fit.p <= 1).all()
+        have = {n: sum(t for c, t in zip(cells, tokens) if c[k] == n) for n in by}
+        share = {n: have[n] ** 0.7 / sum(v**0.7 for v in have.values()) for n in by}
+        aim = filled(share, have, 900)
+        for margin, name, n, asked, aimed, reached in fit.shares:
+            if name in by:
+                assert (n, asked, aimed) == (have[name], pytest.approx(share[name]), pytest.approx(aim[name] / 900))
+                assert reached == pytest.approx(aimed, abs=1e-4)
+
+
+@pytest.mark.parametrize("tokens", [10**6, 10**9, 10**12])
+def test_one_token_of_a_rare_language_does_not_shrink_the_mix(tokens):
+    fit = source_mixing.fit_mix([("a", "en", "t"), ("b", "en", "t"), ("a", "xx", "t")], np.array([tokens, tokens / 3, 1.0]), source_mixing.Mix(fraction=0.9))
+    assert abs(fit.fraction - 0.9) < 1e-3 and fit.p[2] > 0.999
+
+
+def test_water_filling_against_plain_steps():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n = int(rng.integers(1, 9))
+        have = rng.exponential(size=n) ** 3 * 1000 + 1e-3
+        share = (have / have.sum()) ** rng.uniform(0, 1)
+        share /= share.sum()
+        f = rng.uniform(0.05, 1)
+        got = source_mixing._reachable(share, have, f * have.sum()) * f * have.sum()
+        want = filled(dict(enumerate(share)), dict(enumerate(have)), f * have.sum())
+        assert np.allclose(got, [want[k] for k in range(n)], rtol=1e-6)
+
+
+def test_shares_as_rows(spark):
+    rows = [(i, "word " * 10, "en" if i % 50 else "xx", "ab"[i % 2], "t") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, topic string")
+    found = {(r.margin, r.category): r for r in source_mixing.shares(source_mixing.measure(docs), source_mixing.Mix(fraction=0.9)).collect()}
+    assert set(found) == {("source", "a"), ("source", "b"), ("lang", "en"), ("lang", "xx"), ("topic", "t")}
+    xx = found["lang", "xx"]
+    assert xx.n_tokens == 200 and xx.asked > 0.06 and xx.aimed == pytest.approx(200 / 9000) and xx.reached == pytest.approx(xx.aimed, rel=1e-3)
+
+
+def test_rows_without_id_are_drawn_by_their_texts(spark):
+    docs = spark.createDataFrame([(None, f"text {i}", "en", "a", "t") for i in range(2000)] + [(None, "same", "en", "a", "t")] * 2, "doc_id bigint, text string, lang string, source string, topic string")
+    taken = source_mixing.take(docs, source_mixing.Mix(fraction=0.5))
+    assert 900 < taken.count() < 1100 and taken.where("text = 'same'").count() in (0, 2)
+    assert source_mixing.calibrated(docs, source_mixing.Mix(fraction=0.5)).where("selected").count() == taken.count()
+
+
+def test_mixing_of_empty_texts(spark):
+    docs = spark.createDataFrame([(i, t, "en", None) for i, t in enumerate(("", None, " \n") * 50)], "doc_id bigint, text string, lang string, source string")
+    rows = source_mixing.calibrated(docs, source_mixing.Mix(fraction=0.6)).collect()
+    assert {(r.probability, r.n_tokens) for r in rows} == {(0.6, 0)} and 60 < sum(r.selected for r in rows) < 120
 
 
 def test_pipeline_mixing_reaches_its_shares(spark):
-    """Shares of expected and of sampled words, counted here, against tempered ones at the fraction the margins allow."""
+    """Shares of expected and of sampled words, counted here, against tempered ones of which rare categories are whole."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     p = {r.doc_id: r.probability for r in source_mixing.calibrated(docs, corpus_pipeline.MIX).collect()}
     taken = {r.doc_id for r in corpus_pipeline.mixing(spark, docs, SF).select("doc_id").collect()}
     rows = [(r.doc_id, r.source or "", r.lang or "", len((r.text or "").encode().split())) for r in docs.collect()]
-    total, bounds = sum(r[3] for r in rows), [corpus_pipeline.MIX.fraction]
+    total = sum(r[3] for r in rows)
+    wanted = corpus_pipeline.MIX.fraction * total
     for k in (1, 2):
         have, expected, sampled = Counter(), Counter(), Counter()
         for r in rows:
@@ -493,11 +550,10 @@ def test_pipeline_mixing_reaches_its_shares(spark):
             expected[r[k]] += r[3] * p[r[0]]
             sampled[r[k]] += r[3] * (r[0] in taken)
         z = sum((v / total) ** 0.7 for v in have.values())
-        want = {n: (v / total) ** 0.7 / z for n, v in have.items()}
-        bounds += [have[n] / total / want[n] for n in have]
-        assert all(abs(expected[n] / expected.total() - w) < 1e-3 for n, w in want.items())
-        assert all(abs(sampled[n] / sampled.total() - w) < 0.012 for n, w in want.items())
-    assert 0.95 * min(bounds) < expected.total() / total < min(bounds) + 1e-3
+        want = filled({n: (v / total) ** 0.7 / z for n, v in have.items()}, have, wanted)
+        assert all(abs(expected[n] - w) < 0.005 * wanted for n, w in want.items())
+        assert all(abs(sampled[n] - w) < 0.012 * wanted for n, w in want.items())
+    assert abs(expected.total() / total - corpus_pipeline.MIX.fraction) < 0.005
 
 
 # ---- pipeline
