@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import pyarrow.fs as pafs
 from pyspark.sql import functions as F
 
 from fileledger.functions.paths import parent
 from fileledger.jobs.entries import query
 from fileledger.jobs.fixtures import DST_SQL, PARENT, SAMPLES_SQL, SRC_SQL, UP, dst_manifest, sample_columns, samples, src_manifest
 from fileledger.jobs.plan_queries import _action
-from fileledger.jobs.telemetry_queries import _BUCKET, _PROGRESS, REPLAY_SQL
+from fileledger.jobs.telemetry_queries import _BUCKET, _HIST, _MAGIC, _PROGRESS, _RUN, REPLAY_SQL, _write_logs
 from fileledger.jobs.trees import _EQ
 from fileledger.operators.telemetry import progress_snapshots
+from fileledger.sources import logs
 from fileledger.sources.scratch import new_path
 from fileledger.streaming import telemetry, trees
 
@@ -60,6 +62,36 @@ def stream_controller(spark, sf_dir):
     return telemetry.drain(telemetry.control(s), "stream-controller", rest=telemetry.control_rest)
 
 
+def _copy_logs(spark, folder: str, to: str, share: float) -> None:
+    """The logs of a folder with their indexes as far as their writer had come at that share of their bytes, which may be within a record."""
+
+    def run(batches):
+        (fs, a), (_, b) = pafs.FileSystem.from_uri(folder), pafs.FileSystem.from_uri(to)
+        fs.create_dir(b, recursive=True)
+        for names in batches:
+            for n in names["name"]:
+                with fs.open_input_file(f"{a}/{n}") as source, fs.open_output_stream(f"{b}/{n}") as target:
+                    left = int(source.size() * share) if n.endswith(".log") else source.size()
+                    while left:
+                        left -= target.write(source.read(min(left, 1 << 20)))
+            yield names
+
+    fs, root = pafs.FileSystem.from_uri(folder)
+    names = [(f.base_name,) for f in fs.get_file_info(pafs.FileSelector(root)) if not f.base_name.startswith(".")]
+    spark.createDataFrame(names, "name string").repartition(len(names)).mapInPandas(run, "name string").count()
+
+
+@query("stream_logs", f"WITH {_HIST} SELECT * FROM hist")
+def stream_logs(spark, sf_dir):
+    """Logs that are tailed while they are written: the stream runs when they are cut off at a third, then goes on from its checkpoint when they are whole."""
+    folder, growing, out, log = _write_logs(spark, sf_dir), *(new_path(spark, n) for n in ("growing-logs", "stream-logs", "stream-logs-log"))
+    for share in (1 / 3, 1.0):
+        _copy_logs(spark, folder, growing, share)
+        records = logs.tail_log_records(spark, growing, _MAGIC)
+        records.writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+    return logs.log_buckets(spark.read.schema(records.schema).parquet(out)).withColumn("run", _RUN)
+
+
 @query(
     "stream_rates",
     f"""WITH {SAMPLES_SQL}, {_PROGRESS}, p AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS gap FROM prog WINDOW w AS (PARTITION BY run, side ORDER BY ts))

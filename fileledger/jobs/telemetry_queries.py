@@ -24,24 +24,32 @@ def latency_histogram(spark, sf_dir):
     return telemetry.latency_histogram(samples(spark, sf_dir), "1 hour")
 
 
-def _logs(spark, sf_dir):
-    """The hours and snapshots of every run as binary logs in the shared folder, read back; runs by the names of their logs."""
+_MAGIC = b"LOGS 2\n"
+_RUN = F.regexp_extract("run", "([^/]*)[.]log$", 1)
+
+
+def _write_logs(spark, sf_dir) -> str:
+    """The folder of the hours and snapshots of every run as binary logs."""
     folder, s = new_path(spark, "telemetry-logs"), samples(spark, sf_dir)
     p = telemetry.progress_snapshots(s).groupBy("run", "ts").agg(*(F.sum(c).alias(c) for c in telemetry.COUNTERS))
     p = p.select("run", "ts", F.to_json(F.struct(*telemetry.COUNTERS)).alias("json"))
-    logs.write_histogram_logs(telemetry.latency_histogram(s, "1 hour"), p, folder, b"LOGS 2\n")
-    run = F.regexp_extract("run", "([^/]*)[.]log$", 1)
-    return [d.withColumn("run", run) for d in logs.read_histogram_logs(spark, f"{folder}/*.log", b"LOGS 2\n")[1:]]
+    logs.write_histogram_logs(telemetry.latency_histogram(s, "1 hour"), p, folder, _MAGIC)
+    return folder
+
+
+def _logs(spark, sf_dir):
+    """All records of the logs, read in ranges much shorter than a log; runs by the names of their logs."""
+    return logs.read_log_records(spark, f"{_write_logs(spark, sf_dir)}/*.log", _MAGIC, rangeBytes=1 << 16)
 
 
 @query("histogram_logs", f"WITH {_HIST} SELECT * FROM hist")
 def histogram_logs(spark, sf_dir):
-    return _logs(spark, sf_dir)[0]
+    return logs.log_buckets(_logs(spark, sf_dir)).withColumn("run", _RUN)
 
 
 @query("progress_logs", f"WITH {SAMPLES_SQL}, {_PROGRESS} SELECT run, ts, sum(ops_finished)::BIGINT AS ops_finished, sum(bytes_copied)::BIGINT AS bytes_copied FROM prog GROUP BY 1, 2")
 def progress_logs(spark, sf_dir):
-    p = _logs(spark, sf_dir)[1]
+    p = logs.log_progress(_logs(spark, sf_dir)).withColumn("run", _RUN)
     return p.select("run", "ts", telemetry.progress_from_json(F.col("json")).alias("c")).select("run", "ts", "c.ops_finished", "c.bytes_copied")
 
 

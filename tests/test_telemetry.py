@@ -2,10 +2,12 @@ import json
 import random
 import struct
 
+import pyarrow.fs as pafs
 import pytest
 
 from fileledger.operators import controller
 from fileledger.operators.controller import Ratio, RatioConfig, chunk_manifest, ratio_signal, replay_controller
+from fileledger.sources import logs
 from fileledger.sources.logs import COOKIE, decode_histogram, encode_histogram, read_histogram_logs
 from fileledger.streaming.telemetry import control, control_rest, drain, progress_rates
 from fileledger.streaming.trees import CompletionTracker
@@ -47,20 +49,84 @@ def test_histograms_round_trip():
         assert dict(decode_histogram(encode_histogram(sorted(counts.items())))) == {(k >> s) << s if (s := max(0, k.bit_length() - 11)) else k: n for k, n in counts.items()}
 
 
+MAGIC = b"SOME-LOG\n"
+HEADER = json.dumps({"format_version": 2, "later": 1}).encode()
+
+
+def framed(body):
+    return struct.pack("<I", len(body)) + body
+
+
 def test_logs(spark, tmp_path):
-    magic = b"SOME-LOG\n"
-    header = json.dumps({"format_version": 2, "later": 1}).encode()
     h = b"\0" + struct.pack("<QBBQ", 1_000_000, 1, 8, 4) + encode({10: 4})
     p = b"\1" + struct.pack("<Q", 2_000_000) + b'{"ops_started": 1}'
-    frame = lambda b: struct.pack("<I", len(b)) + b
-    (tmp_path / "one").write_bytes(magic + frame(header) + frame(h) + frame(p) + frame(h)[:-3])
-    headers, buckets, progress = read_histogram_logs(spark, str(tmp_path), magic)
-    assert json.loads(headers.first().header)["later"] == 1
+    head = MAGIC + framed(HEADER)
+    (tmp_path / "one").write_bytes(head + framed(h) + framed(p) + framed(h)[:-3])
+    (tmp_path / "two").write_bytes(head + framed(p) + framed(b"\0short") + framed(p))  # too short a record ends a log
+    headers, buckets, progress = read_histogram_logs(spark, f"file://{tmp_path}", MAGIC)
+    assert json.loads(headers.first().header)["later"] == 1 and headers.count() == 2
     assert [(r.side, r.op, r.bucket_low, r["count"]) for r in buckets.collect()] == [("destination", "open-create", 10, 4)]
-    assert [r.json for r in progress.collect()] == ['{"ops_started": 1}']
-    (tmp_path / "one").write_bytes(b"OTHER-LOG\n")
-    with pytest.raises(Exception, match="bad magic"):
-        headers.collect()
+    assert [r.json for r in progress.collect()] == ['{"ops_started": 1}'] * 2
+    for bad, why in ((b"OTHER-LOG\n", "bad magic"), (MAGIC + framed(HEADER)[:9], "ends too early"), (MAGIC + struct.pack("<I", 1 << 21), "header of"), (MAGIC + framed(b'{"format_version": 3}'), "format version"), (head + struct.pack("<I", 1 << 21), "record of"), (head + framed(b"\2" + bytes(8)), "record kind"), (head + framed(b"\0" + struct.pack("<QBBQ", 1, 2, 0, 0) + encode({})), "unknown side")):
+        (tmp_path / "one").write_bytes(bad)
+        with pytest.raises(Exception, match=why):
+            logs.read_log_records(spark, f"file://{tmp_path}/on*", MAGIC).collect()
+    assert logs.read_log_records(spark, f"file://{tmp_path}/nothing*", MAGIC).count() == 0
+
+
+def random_log(rng, n, longest=3000):
+    bodies = [b"\1" + struct.pack("<Q", i) + b'{"x": "%s"}' % (b"y" * rng.randrange(longest)) for i in range(n)]
+    return MAGIC + framed(HEADER) + b"".join(map(framed, bodies)), bodies
+
+
+def write_indexed(path, data, bodies):
+    out = logs._LogWriter(pafs.LocalFileSystem(), str(path), MAGIC + framed(HEADER))
+    for b in bodies:
+        out.write(b)
+    out.close()
+    assert path.read_bytes() == data
+
+
+@pytest.mark.parametrize("indexed", [True, False])
+def test_ranges_of_a_log_give_every_record_once(tmp_path, monkeypatch, indexed):
+    monkeypatch.setattr(logs, "INDEX_BYTES", 4096)
+    monkeypatch.setattr(logs, "READ_BYTES", 1000)
+    rng = random.Random(3)
+    data, bodies = random_log(rng, 200)
+    write_indexed(tmp_path / "a.log", data, bodies)
+    whole = list(logs.read_range(pafs.LocalFileSystem(), logs.LogRange(str(tmp_path / "a.log"), 0, len(data), False), MAGIC))
+    assert len(whole) == 201 and [json.loads(r[-1])["x"] for r in whole[1:]] == [json.loads(b[9:])["x"] for b in bodies]
+    for _ in range(30):
+        cuts = sorted({0, len(data), *(rng.randrange(len(data)) for _ in range(rng.randrange(12)))})
+        got = [r for a, b in zip(cuts, cuts[1:]) for r in logs.read_range(pafs.LocalFileSystem(), logs.LogRange(str(tmp_path / "a.log"), a, b, indexed, True), MAGIC)]
+        assert got == whole
+
+
+def test_many_ranges_in_spark(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(logs, "INDEX_BYTES", 1 << 20)
+    data, bodies = random_log(random.Random(5), 3000)
+    write_indexed(tmp_path / "a.log", data, bodies)
+    records = logs.read_log_records(spark, f"file://{tmp_path}", MAGIC, rangeBytes=100_000)
+    assert records.rdd.getNumPartitions() == -(-len(data) // 100_000)
+    assert sorted(json.loads(r.json)["x"] for r in logs.log_progress(records).collect()) == sorted(json.loads(b[9:])["x"] for b in bodies)
+
+
+def test_logs_are_tailed(spark, tmp_path):
+    """Three steps of two logs, cut within the header, within a record, and whole; a third log comes last."""
+    rng = random.Random(4)
+    (tmp_path / "logs").mkdir()
+    made = {n: random_log(rng, 40)[0] for n in ("a", "b", "c")}
+    out = str(tmp_path / "out")
+    counts = []
+    for names, share in (("ab", 0.0001), ("ab", 0.37), ("ab", 0.37), ("abc", 1)):
+        for n in names:
+            (tmp_path / "logs" / n).write_bytes(made[n][: max(15, int(len(made[n]) * share))])
+        stream = logs.tail_log_records(spark, f"file://{tmp_path}/logs", MAGIC)
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+        counts.append(spark.read.schema(stream.schema).parquet(out).count())
+    assert counts[0] == 0 and 0 < counts[1] == counts[2] < counts[3] == 3 * 41
+    got = sorted(map(tuple, spark.read.schema(stream.schema).parquet(out).drop("buckets").collect()), key=str)
+    assert got == sorted(map(tuple, logs.read_log_records(spark, f"file://{tmp_path}/logs", MAGIC).drop("buckets").collect()), key=str)
 
 
 def test_defaults_of_the_controller():
