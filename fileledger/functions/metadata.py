@@ -88,6 +88,15 @@ def iops_tokens(size: Column, chunk: int) -> Column:
     return F.lit(None).cast("bigint") if chunk == 0 else F.floor((F.greatest(F.lit(1), size) - 1) / chunk).cast("bigint") + 1
 
 
+#: Tokens that a file may cost at most to be throttled.
+MOST_TOKENS = (1 << 32) - 1
+
+
+def tokens_beyond(tokens: Column) -> Column:
+    """Whether a file costs more tokens than can be taken at once: the chunk is too small for it."""
+    return F.coalesce(tokens > MOST_TOKENS, F.lit(False))
+
+
 @dataclass(frozen=True)
 class PreserveKind:
     uid: bool = False

@@ -65,3 +65,17 @@ def escape_path_bytes(raw):
         return "".join(f"\\x{ord(c) - 0xDC00:02x}" if 0xDC80 <= ord(c) <= 0xDCFF else c for c in text)
 
     return pd.Series([one(b) for b in raw])
+
+
+@F.pandas_udf(T.BinaryType())
+def unescape_path_bytes(escaped):
+    """The bytes that escape_path_bytes wrote: \\xHH is a byte, two backslashes are one; any other backslash stands for itself."""
+    import re
+
+    import pandas as pd
+
+    def one(text):
+        plain = lambda m: b"\\" if m[0] == b"\\\\" else bytes([int(m[1], 16)])
+        return None if text is None else re.sub(rb"\\\\|\\x([0-9a-f]{2})", plain, text.encode())
+
+    return pd.Series([one(t) for t in escaped])

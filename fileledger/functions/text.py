@@ -9,9 +9,27 @@ def format_mode(mode: Column) -> Column:
     return F.lpad(F.conv(mode.bitwiseAND(0o7777).cast("string"), 10, 8), 4, "0")
 
 
+
+def _tenths(x: Column, unit: str) -> Column:
+    """x with one decimal, the even one of two that are as near, and no marks between thousands."""
+    return F.concat(F.call_function("format_number", x, F.lit("0.0")), F.lit(unit))
+
+
 def format_micros(us: Column) -> Column:
-    """850µs, 12.3ms, 4.56s; a dash for null."""
-    return F.when(us.isNull(), "—").when(us < 1000, F.concat(us.cast("string"), F.lit("µs"))).when(us < 1_000_000, F.concat(F.format_number(us / 1e3, 1), F.lit("ms"))).otherwise(F.concat(F.format_number(us / 1e6, 2), F.lit("s")))
+    """850µs, 12.3ms, 4.6s; a dash for null."""
+    return F.when(us.isNull(), "—").when(us < 1000, F.concat(us.cast("string"), F.lit("µs"))).when(us < 1_000_000, _tenths(us / 1e3, "ms")).otherwise(_tenths(us / 1e6, "s"))
+
+
+def format_nanos(ns: Column) -> Column:
+    """850ns, 1.7µs, 33.5ms, 4.6s; a dash for null or 0, which stand for unset."""
+    unset = ns.isNull() | (ns == 0)
+    return F.when(unset, "—").when(ns < 1000, F.concat(ns.cast("string"), F.lit("ns"))).when(ns < 1_000_000, _tenths(ns / 1e3, "µs")).when(ns < 1_000_000_000, _tenths(ns / 1e6, "ms")).otherwise(_tenths(ns / 1e9, "s"))
+
+
+def format_ratio(current: Column, baseline: Column) -> Column:
+    """1.8×; a dash where either is unset (null or 0)."""
+    unset = current.isNull() | baseline.isNull() | (current == 0) | (baseline == 0)
+    return F.when(unset, "—").otherwise(_tenths(current / baseline, "×"))
 
 
 def human_bytes(n: Column) -> Column:

@@ -312,7 +312,7 @@ def dry_run_report(spark, sf_dir):
     return reports.format_plan(p, "explain", "/s", "/d")
 
 
-@query("throttle_estimate", f"WITH {_COPY}, t AS (SELECT count(*) FILTER (action <> 'unchanged' AND action <> 'skip_special') AS ops, coalesce(sum(1 + (greatest(1, size) - 1) // 1048576) FILTER (kind = 'file' AND action IN ('copy', 'replace')), 0)::BIGINT AS tokens FROM plan) SELECT ops, tokens, greatest(ops / 100.0, tokens / 250.0)::DOUBLE AS seconds FROM t")
+@query("throttle_estimate", f"WITH {_COPY}, t AS (SELECT count(*) FILTER (action <> 'unchanged' AND action <> 'skip_special') AS ops, coalesce(sum(1 + (greatest(1, size) - 1) // 1048576) FILTER (kind = 'file' AND action IN ('copy', 'replace')), 0)::BIGINT AS tokens FROM plan) SELECT ops, tokens, 0::BIGINT AS files_beyond, greatest(ops / 100.0, tokens / 250.0)::DOUBLE AS seconds FROM t")
 def throttle_estimate(spark, sf_dir):
     return reports.throttle_estimate(copy_plan(spark, sf_dir), 100.0, 250.0, 1 << 20)
 

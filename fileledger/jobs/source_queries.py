@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from fileledger.functions.paths import escape_path, unescape_path
+from fileledger.functions.paths import escape_path, escape_path_bytes, unescape_path, unescape_path_bytes
 from fileledger.functions.text import format_micros
 from fileledger.jobs.entries import query
 from fileledger.jobs.fixtures import SAMPLES_SQL, SRC_SQL, samples, src_manifest, table
@@ -80,9 +80,23 @@ def escaped_paths(spark, sf_dir):
     return c.select("c_custkey", escaped.alias("escaped"), unescape_path(escaped).alias("plain"))
 
 
+@query(
+    "escaped_bytes",
+    """WITH p AS (SELECT c_custkey, replace(c_name, '#', chr(92)) AS a, 128 + c_custkey % 128 AS b, c_mktsegment || 'é' AS c FROM customer)
+SELECT c_custkey, replace(a, chr(92), chr(92) || chr(92)) || chr(92) || 'x' || lower(lpad(hex(b), 2, '0')) || c AS escaped, hex(encode(a)) || lpad(hex(b), 2, '0') || hex(encode(c)) AS plain FROM p""",
+)
+def escaped_bytes(spark, sf_dir):
+    """Paths that are no UTF-8 (one byte of 128 or more before an ASCII letter), escaped and made bytes again."""
+    c = table(spark, sf_dir, "customer")
+    byte = F.unhex(F.hex(F.lit(128) + F.col("c_custkey") % 128))
+    raw = F.concat(F.encode(F.replace("c_name", F.lit("#"), F.lit("\\")), "UTF-8"), byte, F.encode(F.concat("c_mktsegment", F.lit("é")), "UTF-8"))
+    escaped = c.select("c_custkey", escape_path_bytes(raw).alias("escaped"))
+    return escaped.withColumn("plain", F.hex(unescape_path_bytes("escaped")))
+
+
 @query(
     "latency_labels",
-    f"""WITH {SAMPLES_SQL} SELECT latency_us, count(*) AS n, CASE WHEN latency_us < 1000 THEN latency_us || 'µs' WHEN latency_us < 1000000 THEN printf('%.1f', latency_us / 1e3) || 'ms' ELSE printf('%.2f', latency_us / 1e6) || 's' END AS label FROM samples GROUP BY 1""",
+    f"""WITH {SAMPLES_SQL} SELECT latency_us, count(*) AS n, CASE WHEN latency_us < 1000 THEN latency_us || 'µs' WHEN latency_us < 1000000 THEN printf('%.1f', latency_us / 1e3) || 'ms' ELSE printf('%.1f', latency_us / 1e6) || 's' END AS label FROM samples GROUP BY 1""",
 )
 def latency_labels(spark, sf_dir):
     return samples(spark, sf_dir).groupBy("latency_us").agg(F.count(F.lit(1)).alias("n")).withColumn("label", format_micros(F.col("latency_us")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fileledger.functions.text import format_micros, format_mode, human_bytes, unit_label
+from fileledger.functions.text import format_mode, format_nanos, format_ratio, human_bytes, unit_label
 from fileledger.jobs.entries import query
 from fileledger.jobs.fixtures import PARENT, SAMPLES_SQL, SRC_SQL, samples, src_manifest
 from fileledger.functions.paths import ancestors, depth, escape_path, join_path, name, parent
@@ -74,15 +74,25 @@ def exact_percentile(spark, sf_dir):
     return telemetry.select_percentile(samples(spark, sf_dir), 0.9)
 
 
-@query(
-    "band_panel",
-    f"""WITH {_HIST}, b AS (SELECT run, side, op, length(bin(bucket_low)) - 1 AS band, sum(count)::BIGINT AS c FROM hist GROUP BY ALL), t AS (SELECT run, side, op, max(c) AS top, arg_max(band, c * 100 + band) AS peak, min(band) AS low, max(band) AS high FROM b GROUP BY ALL),
-f AS (SELECT *, CASE WHEN high - low + 1 <= 8 THEN low ELSE least(greatest(peak - 4, low), high - 7) END AS first FROM t) SELECT b.run, b.side, b.op, band, c AS count, (c * 24 // top)::BIGINT AS bar FROM b JOIN f USING (run, side, op) WHERE band >= first AND band < first + 8""",
-)
+def _panel_sql(hist: str) -> str:
+    return f"""b AS (SELECT run, side, op, length(bin(bucket_low)) - 1 AS band, sum(count)::BIGINT AS c FROM {hist} GROUP BY ALL),
+i AS (SELECT *, row_number() OVER (PARTITION BY run, side, op ORDER BY band) - 1 AS i, row_number() OVER (PARTITION BY run, side, op ORDER BY c DESC, band DESC) AS best, count(*) OVER (PARTITION BY run, side, op) AS n, max(c) OVER (PARTITION BY run, side, op) AS top FROM b),
+f AS (SELECT run, side, op, least(greatest(i - 4, 0) + 8, n) AS stop FROM i WHERE best = 1)
+SELECT i.run, i.side, i.op, band, c AS count, (c * 24 // top)::BIGINT AS bar FROM i JOIN f ON i.run = f.run AND i.side = f.side AND i.op = f.op WHERE i < stop AND i >= stop - 8"""
+
+
+@query("band_panel", f"WITH {_HIST}, {_panel_sql('hist')}")
 def band_panel(spark, sf_dir):
     return telemetry.band_panel(telemetry.latency_histogram(samples(spark, sf_dir)))
 
 
+@query("band_panel_gaps", f"WITH {_HIST}, few AS (SELECT * FROM hist WHERE (length(bin(bucket_low)) - 1) % 2 = 0 OR bucket_low > 200000), {_panel_sql('few')}")
+def band_panel_gaps(spark, sf_dir):
+    """Panels of histograms that have empty bands between full ones, which do not count among the eight."""
+    hist = telemetry.latency_histogram(samples(spark, sf_dir))
+    return telemetry.band_panel(hist.where(((F.length(F.bin("bucket_low")) - 1) % 2 == 0) | (F.col("bucket_low") > 200_000)))
+
+
 @query("run_stats", f"WITH {SAMPLES_SQL} SELECT run, count(*) AS samples, avg(latency_us) AS mean_us, count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) AS throughput FROM samples GROUP BY run")
 def run_stats(spark, sf_dir):
     return telemetry.run_stats(samples(spark, sf_dir))
@@ -154,6 +164,20 @@ def controller_replay(spark, sf_dir):
     return controller.replay_controller(_timed(spark, sf_dir))
 
 
+_LABEL = "CASE WHEN {us} IS NULL THEN '—' WHEN {us} < 1000 THEN format('{{:.1f}}', {us} / 1e0) || 'µs' WHEN {us} < 1000000 THEN format('{{:.1f}}', {us} / 1e3) || 'ms' ELSE format('{{:.1f}}', {us} / 1e6) || 's' END"
+
+
+@query(
+    "controller_labels",
+    REPLAY_SQL.replace("SELECT run, side, op, tick, baseline_us, current_us, cwnd FROM c", f"SELECT run, side, op, tick, {_LABEL.format(us='baseline_us')} AS base, {_LABEL.format(us='current_us')} AS curr, CASE WHEN baseline_us IS NULL OR current_us IS NULL THEN '—' ELSE format('{{:.1f}}', current_us / baseline_us) || '×' END AS ratio FROM c"),
+)
+def controller_labels(spark, sf_dir):
+    """The controller's statistics as a status line shows them."""
+    ns = lambda c: F.col(c) * 1000
+    c = controller_replay(spark, sf_dir)
+    return c.select("run", "side", "op", "tick", format_nanos(ns("baseline_us")).alias("base"), format_nanos(ns("current_us")).alias("curr"), format_ratio(ns("current_us"), ns("baseline_us")).alias("ratio"))
+
+
 @query(
     "manifest_chunks",
     f"""WITH RECURSIVE {SRC_SQL}, e AS (SELECT rel_path, {PARENT.format(p='rel_path')} AS parent, octet_length(encode(regexp_extract(rel_path, '[^/]*$'))) + 64 AS cost, row_number() OVER (PARTITION BY {PARENT.format(p='rel_path')} ORDER BY rel_path) AS k FROM src WHERE rel_path <> ''),

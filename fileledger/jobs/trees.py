@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fileledger.functions.filters import FilterSettings, apply_filter, time_filter
-from fileledger.functions.metadata import iops_tokens, masked_mode, parse_preserve, project_preserved
+from fileledger.functions.metadata import iops_tokens, masked_mode, parse_preserve, project_preserved, tokens_beyond
 from fileledger.jobs.entries import query
 from fileledger.jobs.fixtures import DST_SQL, PARENT, SRC_SQL, UP, dst_manifest, src_manifest
 from fileledger.operators import compare as cmp
@@ -237,6 +237,7 @@ def preserve_projection(spark, sf_dir):
     return project_preserved(src_manifest(spark, sf_dir), parse_preserve("f:uid,time,0750 d:gid l:time"), uid=12, gid=34, now_s=NOW).select("rel_path", "uid", "gid", "mtime_s", "mode")
 
 
-@query("io_tokens", f"WITH {SRC_SQL} SELECT rel_path, (1 + (greatest(1, size) - 1) // 65536)::BIGINT AS tokens, mode & 4095 AS perm FROM src WHERE kind = 'file'")
+@query("io_tokens", f"WITH {SRC_SQL} SELECT rel_path, (1 + (greatest(1, size) - 1) // 65536)::BIGINT AS tokens, mode & 4095 AS perm, (1 + greatest(1, size * 1000) - 1)::BIGINT AS small_chunk, greatest(1, size * 1000) > 4294967295 AS beyond FROM src WHERE kind = 'file'")
 def io_tokens(spark, sf_dir):
-    return src_manifest(spark, sf_dir).where("kind = 'file'").select("rel_path", iops_tokens(F.col("size"), 65536).alias("tokens"), masked_mode(F.col("mode")).alias("perm"))
+    small = iops_tokens(F.col("size") * 1000, 1)
+    return src_manifest(spark, sf_dir).where("kind = 'file'").select("rel_path", iops_tokens(F.col("size"), 65536).alias("tokens"), masked_mode(F.col("mode")).alias("perm"), small.alias("small_chunk"), tokens_beyond(small).alias("beyond"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fileledger.functions.metadata import iops_tokens
+from fileledger.functions.metadata import iops_tokens, tokens_beyond
 from fileledger.functions.paths import depth, escape_path, join_path, name, parent, self_and_ancestors
 from fileledger.operators.plans import exclude_failed
 from fileledger.schema import KINDS
@@ -44,18 +44,19 @@ def write_plan(plan: DataFrame, path: str, order: str = "pre", files: int | None
     if order not in ("pre", "post"):
         raise ValueError(f"unknown order {order!r}")
     p = plan.withColumns({"_depth": depth("rel_path") * (1 if order == "pre" else -1), "_in": F.coalesce(parent("rel_path"), F.lit(""))})
-    keys = ["_depth", "_in"]
+    keys = ["_depth", "_in", "rel_path"]  # the path too, so that a directory of many entries is many ranges
     p = p.repartitionByRange(files, *keys) if files else p.repartitionByRange(*keys)
-    p.sortWithinPartitions("action", *keys, "rel_path").drop("_in").withColumnRenamed("_depth", "step").write.partitionBy("action").parquet(path)
+    p.sortWithinPartitions("action", *keys).drop("_in").withColumnRenamed("_depth", "step").write.partitionBy("action").parquet(path)
 
 
 def throttle_estimate(plan: DataFrame, ops_per_s: float = 0, iops_per_s: float = 0, chunk: int = 0) -> DataFrame:
-    """One row: operations, IO tokens of written files, seconds at the given caps (0: no cap)."""
+    """One row: operations, IO tokens of written files, files that cost more tokens than can be taken at once (which are not throttled and not in the sum), seconds at the given caps (0: no cap)."""
     if iops_per_s and not chunk:
         raise ValueError("an IO cap needs a chunk size")
     acts = ~F.col("action").isin("unchanged", "none", "pruned", "keep", "traverse") & ~F.col("action").startswith("skip_")
     writes = acts & (F.col("kind") == "file") & F.col("action").isin("copy", "replace", "copy_from_update")
-    t = plan.agg(F.count_if(acts).alias("ops"), F.coalesce(F.sum(F.when(writes, iops_tokens(F.col("size"), chunk))), F.lit(0)).cast("bigint").alias("tokens"))
+    cost = iops_tokens(F.col("size"), chunk)
+    t = plan.agg(F.count_if(acts).alias("ops"), F.coalesce(F.sum(F.when(writes & ~tokens_beyond(cost), cost)), F.lit(0)).cast("bigint").alias("tokens"), F.count_if(writes & tokens_beyond(cost)).alias("files_beyond"))
     seconds = F.greatest(F.col("ops") / ops_per_s if ops_per_s else F.lit(0.0), F.col("tokens") / iops_per_s if iops_per_s else F.lit(0.0))
     return t.withColumn("seconds", seconds)
 
@@ -87,16 +88,30 @@ def resolve_destinations(jobs: DataFrame, existing: DataFrame | None = None, ove
     return j.select("job", "src", "dst", "resolved", problem.alias("problem"))
 
 
+#: Buckets of causes a kept cause, by which the first causes are bounded before they are told apart.
+CAUSE_BUCKETS = 64
+
+
 def error_digest(errors: DataFrame, max_unique: int = 20) -> DataFrame:
     """(run, causes, total, suppressed): the first max_unique distinct causes in order of first appearance, all errors, and errors after the cap was full whose cause is not kept.
 
-    Causes are counted before they are ranked, so a run's hot cause is one row.
+    Causes may be as many as errors, so they are not ranked.  The first error of each of
+    CAUSE_BUCKETS * max_unique buckets of causes comes first: where that many buckets have one, the
+    last cause to keep has appeared by the max_unique-th of them.  Only causes up to
+    then are told apart, and what is not kept is the total less what is.
     """
-    c = errors.groupBy("run", "root_cause").agg(F.min("seq").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    c = c.withColumn("_k", F.row_number().over(Window.partitionBy("run").orderBy("_first")))
-    kept = F.col("_k") <= max_unique
-    causes = F.transform(F.array_sort(F.collect_list(F.when(kept, F.struct("_first", "root_cause")))), lambda x: x["root_cause"])
-    return c.groupBy("run").agg(causes.alias("causes"), F.sum("_n").alias("total"), F.coalesce(F.sum(F.when(~kept, F.col("_n"))), F.lit(0)).alias("suppressed"))
+    run, cause, seq = F.col("run"), F.col("root_cause"), F.col("seq")
+    bucket = F.pmod(F.xxhash64("root_cause"), F.lit(CAUSE_BUCKETS * max_unique))
+    first = errors.groupBy("run", bucket.alias("_b")).agg(F.min("seq").alias("_first")).groupBy("run").agg(F.sort_array(F.collect_list("_first")).alias("_firsts"))
+    until = first.select(run.alias("_run"), F.try_element_at("_firsts", F.lit(max_unique)).alias("_until"))
+    early = errors.join(until, run.eqNullSafe(F.col("_run"))).where(F.col("_until").isNull() | (seq <= F.col("_until")))
+    early = early.groupBy("run", "root_cause").agg(F.min("seq").alias("_first"))
+    causes = early.groupBy("run").agg(F.slice(F.array_sort(F.collect_list(F.struct("_first", "root_cause"))), 1, max_unique).alias("_kept"))
+    kept = causes.select(run.alias("_run"), F.explode("_kept").alias("_k")).select("_run", F.col("_k.root_cause").alias("_cause"))
+    held = errors.join(kept, run.eqNullSafe(F.col("_run")) & cause.eqNullSafe(F.col("_cause")), "left_semi").groupBy(run.alias("_run")).agg(F.count(F.lit(1)).alias("_held"))
+    total = errors.groupBy(run.alias("_all")).agg(F.count(F.lit(1)).alias("total"))
+    j = causes.join(held, run.eqNullSafe(F.col("_run"))).join(total, run.eqNullSafe(F.col("_all")))
+    return j.select("run", F.transform("_kept", lambda x: x["root_cause"]).alias("causes"), "total", (F.col("total") - F.col("_held")).alias("suppressed"))
 
 
 # The lines of a message that several errors make.

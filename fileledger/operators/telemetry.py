@@ -64,15 +64,15 @@ def select_percentile(samples: DataFrame, p: float, keys=("run", "side", "op"),
 
 
 def band_panel(buckets: DataFrame, keys=("run", "side", "op")) -> DataFrame:
-    """(keys, band, count, bar): counts by power of two, at most eight bands around the fullest (the last of equals)."""
+    """(keys, band, count, bar): counts by power of two; of the bands that have any, the eight around the fullest (the last of equals)."""
     band = (F.length(F.bin("bucket_low")) - 1).cast("bigint")
-    b = buckets.groupBy(*keys, band.alias("band")).agg(F.sum("count").alias("count"))
-    top = b.groupBy(*keys).agg(F.max(F.struct("count", "band")).alias("_top"), F.min("band").alias("_low"), F.max("band").alias("_high"))
-    j = b.join(top, list(keys))
-    span = F.col("_high") - F.col("_low") + 1
-    first = F.when(span <= BANDS_SHOWN, F.col("_low")).otherwise(F.least(F.greatest(F.col("_top.band") - BAND_HALF, F.col("_low")), F.col("_high") - BANDS_SHOWN + 1))
-    shown = (F.col("band") >= first) & (F.col("band") < first + BANDS_SHOWN)
-    return j.where(shown).select(*keys, "band", "count", F.floor(F.col("count") * BAR_WIDTH / F.col("_top.count")).cast("bigint").alias("bar"))
+    b = buckets.where("count > 0").groupBy(*keys, band.alias("band")).agg(F.sum("count").alias("count"))
+    w = Window.partitionBy(*keys)  # as many rows as a count has bits
+    b = b.withColumns({"_i": F.row_number().over(w.orderBy("band")) - 1, "_n": F.count(F.lit(1)).over(w), "_top": F.max(F.struct("count", "band")).over(w)})
+    b = b.withColumn("_mode", F.max(F.when(F.col("band") == F.col("_top.band"), F.col("_i"))).over(w))
+    end = F.least(F.greatest(F.col("_mode") - BAND_HALF, F.lit(0)) + BANDS_SHOWN, F.col("_n"))
+    shown = (F.col("_i") < end) & (F.col("_i") >= end - BANDS_SHOWN)
+    return b.where(shown).select(*keys, "band", "count", F.call_function("div", F.col("count") * BAR_WIDTH, F.col("_top.count")).alias("bar"))
 
 
 def run_stats(samples: DataFrame) -> DataFrame:
