@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+
 import pyarrow.fs as pafs
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fileledger.functions.paths import parent
@@ -56,6 +59,30 @@ def stream_copy_plan(spark, sf_dir):
     return telemetry.drain(plan, "stream-copy-plan")
 
 
+@query(
+    "stream_manifest",
+    f"""WITH {SRC_SQL} SELECT rel_path, kind, CASE WHEN kind = 'file' AND size % 3 = 2 THEN size + 5 ELSE size END::BIGINT AS size FROM src WHERE kind <> 'file' OR size % 3 <> 1 OR size % 5 = 0""",
+)
+def stream_manifest(spark, sf_dir):
+    """The manifest that a feed of creations, updates, deletions, creations anew and changes that come too late leaves, in any order; the first batch comes twice."""
+    m, part, size = src_manifest(spark, sf_dir), F.col("size") % 3, F.col("size")
+    change = lambda rows, seq, size=size, deleted=False: rows.withColumns({"size": size, "seq": F.lit(seq).cast("bigint"), "deleted": F.lit(deleted)})
+    files = m.where("kind = 'file'")
+    feed = [change(m, 1, F.when(F.col("kind") == "file", size + 5).otherwise(size)), change(files.where(part == 2), 0, size - 1), change(files.where(part == 0), 3), change(files.where(part == 1), 2, size, True), change(files.where((part == 1) & (size % 5 == 0)), 4)]
+    path = new_path(spark, "manifest-feed")
+    told = functools.reduce(DataFrame.unionByName, feed)
+    told.repartition(3).write.parquet(path)
+    kept = trees.ManifestTable(new_path(spark, "kept-manifest"), buckets=16)
+
+    def add(batch, batch_id: int) -> None:
+        for _ in range(1 if batch_id else 2):
+            kept.add(batch, batch_id)
+
+    s = spark.readStream.schema(told.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    s.writeStream.foreachBatch(add).option("checkpointLocation", new_path(spark, "manifest-feed-log")).trigger(availableNow=True).start().awaitTermination()
+    return kept.current(spark).select("rel_path", "kind", "size")
+
+
 @query("stream_controller", REPLAY_SQL)
 def stream_controller(spark, sf_dir):
     s = telemetry.file_stream(spark, sf_dir, "events").select(*sample_columns()).select("run", "side", "op", F.floor(F.unix_micros("ts") / 10_000).alias("at_us"), "latency_us")

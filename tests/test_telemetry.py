@@ -10,7 +10,6 @@ from fileledger.operators.controller import Ratio, RatioConfig, chunk_manifest,
 from fileledger.sources import logs
 from fileledger.sources.logs import COOKIE, decode_histogram, encode_histogram, read_histogram_logs
 from fileledger.streaming.telemetry import control, control_rest, drain, progress_rates
-from fileledger.streaming.trees import CompletionTracker
 from tests.conftest import manifest
 
 
@@ -235,17 +234,6 @@ def test_stream_rates(spark, tmp_path):
     assert sorted(r.ops_finished_rate for r in drain(progress_rates(s), "rates").collect()) == [0.0, 0.0, 5.0]
 
 
-def test_completion_over_batches(spark, tmp_path):
-    t = CompletionTracker("r", f"file://{tmp_path}/c")
-    batch = lambda *rows: spark.createDataFrame([("r", *r) for r in rows], "run string, dir string, event string, expected bigint")
-    for _ in range(2):  # a replayed batch counts once
-        t.add(batch(("", "announce", 1), ("a", "announce", 2), ("a", "child", None)), 0)
-    assert {r.rel_path: r.complete for r in t.status(spark).collect()} == {"": False, "a": False}
-    t = CompletionTracker("r", f"file://{tmp_path}/c")  # a restart goes on from the folder
-    t.add(batch(("a", "child", None), ("", "child", None), ("ghost", "child", None)), 1)
-    assert {r.rel_path: r.complete for r in t.status(spark).collect()} == {"": True, "a": True}
-
-
 def test_chunks(spark):
     m = manifest(spark, {f"d/{'n' * k}": {} for k in (1, 2, 3, 300)})
     got = {len(r.rel_path) - 2: r.chunk for r in chunk_manifest(m.where("rel_path like 'd/%'"), budget=140).collect()}
