@@ -5,14 +5,14 @@ Patterns are parsed on the driver and become literals; no data is needed for it.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fileledger.functions.paths import ancestors, name
+from fileledger.functions.paths import ancestors, depth, name
 
 NS = 1_000_000_000
 SECOND_UNITS = {"ns": 1, "us": 1_000, "ms": 1_000_000, "s": NS, "sec": NS, "m": 60 * NS, "min": 60 * NS, "h": 3600 * NS, "hr": 3600 * NS, "d": 86400 * NS, "day": 86400 * NS, "w": 7 * 86400 * NS, "week": 7 * 86400 * NS, "M": 2_630_016 * NS, "month": 2_630_016 * NS, "y": 31_557_600 * NS, "year": 31_557_600 * NS}
@@ -148,7 +148,11 @@ class FilterSettings:
 
 
 def _any(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+    """An OR as a balanced tree: as a chain, a thousand of them are too deep for the planner."""
+    if len(conditions) < 2:
+        return conditions[0] if conditions else F.lit(False)
+    half = len(conditions) // 2
+    return _any(conditions[:half]) | _any(conditions[half:])
 
 
 def _by_name(pattern: Pattern) -> bool:
@@ -167,9 +171,97 @@ def matches(pattern: Pattern, path: Column, is_dir: Column) -> Column:
     return hit & is_dir if pattern.dir_only else hit
 
 
+#: Patterns that need a regular expression are searched this many at a time.
+ALTERNATIVES = 64
+
+
+def _literal(text: str) -> bool:
+    return not re.search(r"[*?\[{\\]", text)
+
+
+class _Matcher:
+    """All patterns of a list as one question: what is literal is looked up in sets, by base name, its end or beginning, whole path, or first components; the rest is searched by alternations of regular expressions."""
+
+    def __init__(self, patterns: tuple[Pattern, ...]):
+        self.patterns = patterns
+        #: Literals and the first pattern of each, by what is looked up, its length, and whether only directories count.
+        self.sets: dict[tuple[str, int, bool], dict[str, int]] = {}
+        self.rest: dict[tuple[bool, bool], list[int]] = {}
+        for i, p in enumerate(patterns):
+            for what, n, text in self._lookup(p):
+                self.sets.setdefault((what, n, p.dir_only), {}).setdefault(text, i)
+                break
+            else:
+                self.rest.setdefault((_by_name(p), p.dir_only), []).append(i)
+
+    @staticmethod
+    def _lookup(p: Pattern) -> list[tuple[str, int, str]]:
+        g = p.glob
+        if _literal(g):
+            return [("name" if _by_name(p) else "path", 0, g)]
+        if _by_name(p) and len(g) > 1 and g[0] == "*" and _literal(g[1:]):
+            return [("end", len(g) - 1, g[1:])]
+        if _by_name(p) and len(g) > 1 and g[-1] == "*" and _literal(g[:-1]):
+            return [("begin", len(g) - 1, g[:-1])]
+        if g.endswith("/**") and _literal(g[:-3]):
+            return [("under", g.count("/"), g[:-3])]
+        return []
+
+    @staticmethod
+    def _key(what: str, n: int, path: Column, base: Column) -> Column:
+        if what in ("name", "path"):
+            return base if what == "name" else path
+        if what in ("end", "begin"):
+            return F.right(base, F.lit(n)) if what == "end" else F.left(base, F.lit(n))
+        return F.when(depth(path) > n, F.substring_index(path, "/", n))
+
+    def _tests(self, path: Column, is_dir: Column) -> list[tuple[Column, Column]]:
+        """(whether, first pattern) of each set and each alternation that may hold."""
+        base, out = name(path), []
+        only = lambda hit, dir_only: hit & is_dir if dir_only else hit
+        for (what, n, dir_only), texts in self.sets.items():
+            key = self._key(what, n, path, base)
+            out.append((only(F.coalesce(key.isin(*texts), F.lit(False)), dir_only), F.element_at(F.from_json(F.lit(json.dumps(texts)), "map<string, int>"), key)))
+        for (by_name, dir_only), indices in self.rest.items():
+            of = base if by_name else path
+            for k in range(0, len(indices), ALTERNATIVES):
+                some = indices[k : k + ALTERNATIVES]
+                each = [_regex(self.patterns[i]) for i in some]
+                first = F.coalesce(*(F.when(of.rlike(f"^{r}$"), i) for r, i in zip(each, some)))
+                out.append((only(of.rlike(f"^(?:{'|'.join(each)})$"), dir_only), first))
+        return out
+
+    def asked(self, path: Column, is_dir: Column) -> tuple[Column, Column]:
+        """Whether a pattern matches, and the text of the first one that does, which is null where none does."""
+        none, tests = F.lit(None).cast("int"), self._tests(path, is_dir)
+        index = F.least(none, none, *(F.when(t, i) for t, i in tests))
+        return _any([t for t, _ in tests]), F.element_at(F.from_json(F.lit(json.dumps([p.text for p in self.patterns])), "array<string>"), index + 1)
+
+    def hit(self, path: Column, is_dir: Column) -> Column:
+        return self.asked(path, is_dir)[0]
+
+    def above(self, path: Column) -> Column:
+        """Whether a directory above the path is matched."""
+        out, folders = [], F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1)
+        for (what, n, _), texts in self.sets.items():
+            if what in ("name", "end", "begin"):
+                out.append(F.exists(folders, lambda x: self._key(what, n, x, x).isin(*texts)))  # noqa: B023
+                continue
+            by_depth: dict[int, list[str]] = {}
+            for t in texts:
+                by_depth.setdefault(t.count("/") + 1, []).append(t)
+            # A literal path is above what lies below it; what a/** matches is above that only from two components further.
+            out += [(depth(path) > d + (what == "under")) & F.substring_index(path, "/", d).isin(*some) for d, some in by_depth.items()]
+        for (by_name, _), indices in self.rest.items():
+            for k in range(0, len(indices), ALTERNATIVES):
+                each = "|".join(_regex(self.patterns[i]) for i in indices[k : k + ALTERNATIVES])
+                out.append(path.rlike(f"{'(?:^|/)' if by_name else '^'}(?:{each})/"))
+        return _any(out)
+
+
 def excluded_above(settings: FilterSettings, path: Column) -> Column:
-    """Whether an exclude matches a directory above the path: one search of the path for each pattern, followed by a slash."""
-    return _any([path.rlike(f"{'(?:^|/)' if _by_name(p) else '^'}{_regex(p)}/") for p in settings.exclude])
+    """Whether an exclude matches a directory above the path."""
+    return _Matcher(settings.exclude).above(path)
 
 
 def enters_all(settings: FilterSettings) -> bool:
@@ -181,37 +273,35 @@ def could_contain(settings: FilterSettings, path: Column) -> Column:
     """Whether a directory may hold something that an include matches."""
     if enters_all(settings):
         return F.lit(True)
-    out = []
-    for prefix in (p.literal_prefix for p in settings.include):
-        up = [prefix.rsplit("/", k)[0] for k in range(prefix.count("/") + 1)]
-        out.append(path.isin("", *up) | path.startswith(prefix + "/"))
-    return _any(out)
+    prefixes = {p.literal_prefix for p in settings.include}
+    up = {prefix.rsplit("/", k)[0] for prefix in prefixes for k in range(prefix.count("/") + 1)}
+    by_depth: dict[int, list[str]] = {}
+    for prefix in sorted(prefixes):
+        by_depth.setdefault(prefix.count("/") + 1, []).append(prefix)
+    below = [(depth(path) > d) & F.substring_index(path, "/", d).isin(*some) for d, some in by_depth.items()]
+    return _any([path.isin("", *sorted(up)), *below])
 
 
 def directly_matches(settings: FilterSettings, path: Column, is_dir: Column) -> Column:
     """True without includes; else whether an include matches the entry itself."""
-    return _any([matches(p, path, is_dir) for p in settings.include]) if settings.include else F.lit(True)
+    return _Matcher(settings.include).hit(path, is_dir) if settings.include else F.lit(True)
 
 
 def filter_result(settings: FilterSettings, path: Column, is_dir: Column) -> Column:
     """struct(status, pattern): included, excluded_by_default or excluded_by_pattern with the first pattern that matched."""
-    out = None
-    row = lambda status, pattern=None: F.struct(F.lit(status).alias("status"), F.lit(pattern).cast("string").alias("pattern"))
-    for p in settings.exclude:
-        hit = matches(p, path, is_dir)
-        out = F.when(hit, row("excluded_by_pattern", p.text)) if out is None else out.when(hit, row("excluded_by_pattern", p.text))
-    if settings.include:
-        hit = directly_matches(settings, path, is_dir) | (is_dir & could_contain(settings, path))
-        out = F.when(hit, row("included")) if out is None else out.when(hit, row("included"))
-        return out.otherwise(row("excluded_by_default"))
-    return row("included") if out is None else out.otherwise(row("included"))
+    row = lambda status, pattern=F.lit(None).cast("string"): F.struct(F.lit(status).alias("status"), pattern.alias("pattern"))
+    hit = directly_matches(settings, path, is_dir) | (is_dir & could_contain(settings, path))
+    out = F.when(hit, row("included")).otherwise(row("excluded_by_default")) if settings.include else row("included")
+    if settings.exclude:
+        hit, first = _Matcher(settings.exclude).asked(path, is_dir)
+        out = F.when(hit, row("excluded_by_pattern", first)).otherwise(out)
+    return out
 
 
 def is_included(settings: FilterSettings, path: Column, is_dir: Column) -> Column:
     if settings.empty:
         return F.lit(True)
-    excluded = _any([matches(p, path, is_dir) for p in settings.exclude])
-    return ~excluded & (directly_matches(settings, path, is_dir) | (is_dir & could_contain(settings, path)))
+    return ~_Matcher(settings.exclude).hit(path, is_dir) & (directly_matches(settings, path, is_dir) | (is_dir & could_contain(settings, path)))
 
 
 def root_included(settings: FilterSettings, root_name: str, kind: str = "dir") -> bool:
