@@ -11,18 +11,17 @@ from pyspark.sql import functions as F
 from fileledger.llm import packing, quality_rules, secret_scan, shingle_join, source_mixing
 from fileledger.sources.scratch import new_path, written
 
-#: A column of the quality stage that no table has.
-TEXT_HASH = "_text_hash_of_row"
 #: Share of the tokens that mixing keeps.
 MIX = source_mixing.Mix(fraction=0.9)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep.  Each row is judged by its own text, also where ids are null or repeat."""
-    rows = docs.withColumn(TEXT_HASH, F.xxhash64("text"))
-    judged = quality_rules.judge(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), also=[TEXT_HASH])
-    gone = judged.where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col(TEXT_HASH).alias("_gone_hash")).distinct()
-    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col(TEXT_HASH) == F.col("_gone_hash")), "left_anti").select(*docs.columns)
+    text_hash = "_text_hash" + "_" * max(map(len, docs.columns))  # longer than any column, so it clashes with none
+    rows = docs.withColumn(text_hash, F.xxhash64("text"))
+    judged = quality_rules.judge(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), also=[text_hash])
+    gone = judged.where("not kept").select(F.col("doc_id").alias(f"{text_hash}_id"), F.col(text_hash).alias(f"{text_hash}_of")).distinct()
+    return rows.join(gone, F.col("doc_id").eqNullSafe(gone[f"{text_hash}_id"]) & (rows[text_hash] == gone[f"{text_hash}_of"]), "left_anti").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
