@@ -2,13 +2,13 @@
 
 A text is a row of words (ASCII punctuation and space separate them).  A word's
 input is a hashed word embedding beside the mean of hashed character trigram
-embeddings.  Every window of WINDOW words, one each STRIDE words, is read in both
-directions, pooled by attention and scored; a document's score is a calibrated
-function of its highest window.
+embeddings.  Windows of WINDOW words that overlap by half (one each STRIDE words) are read
+in both directions, pooled by attention and scored; a document's score is a calibrated
+function of its highest window.  A window at every word would cost WINDOW states a word and
+direction in place of two.
 
-Labels come from rows outside the held-out fold only, and are a bounded sample:
-SAMPLE_POSITIVE and SAMPLE_NEGATIVE rows, the smallest by hash of the id, of texts
-up to SAMPLE_BYTES.  Label, language, source and id are no inputs of a score.
+Labels come from rows outside the held-out fold only, and are a bounded sample (BOUNDS).
+An id with several labels is toxic if one says so.  Label, language, source and id are no inputs of a score.
 
 Rules.  Null text counts as empty; texts without a word get the share of toxic
 rows in the sample, at most 0.29; whole texts are scored whatever their length;
@@ -24,17 +24,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fileledger.llm.kernel import Slice, ragged, slices, split_words
+from fileledger.llm.labelled import SampleBounds, held_out, labelled_sample
 
 WINDOW, STRIDE = 32, 16
 WORDS, WORD_DIM, TRIGRAMS, CHAR_DIM = 1 << 15, 12, 1 << 12, 8
 HIDDEN, ATTENTION = 8, 8
 EPOCHS, LEAST_STEPS, BATCH, RATE = 3, 150, 128, 0.02
-#: Labelled rows of each kind that are fitted, the bytes of one, and the bytes of all.
-SAMPLE_POSITIVE, SAMPLE_NEGATIVE, SAMPLE_BYTES, SAMPLE_TOTAL = 1500, 3000, 200_000, 16 << 20
+BOUNDS = SampleBounds(positive=1500, negative=3000, text_bytes=200_000, total_bytes=16 << 20)
 THRESHOLD = 0.3
 #: Share of documents, and least number, that must have a word for it to have an embedding of its own; pull of word shares to their mean.
 MET_SHARE, MET_LEAST, PRIOR = 0.004, 3, 20.0
@@ -43,10 +43,6 @@ _SEPARATORS = np.zeros(256, bool)
 _SEPARATORS[[b for b in range(128) if not chr(b).isalnum()]] = True
 
 
-def held_out(id_column: Column) -> Column:
-    return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 4 == 2, F.lit(False))
-
-
 @dataclass
 class WindowSet:
     """Distinct words of a slice (word bucket, trigram buckets by word) and windows of indices into them, -1 where a text ends."""
@@ -303,15 +299,7 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
-    known = labels.where(~held_out(F.col(id_col)) & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).dropDuplicates(["_id"])
-    by_hash = F.xxhash64("_id")
-    sample = known.where("_y = 1").orderBy(by_hash, "_id").limit(SAMPLE_POSITIVE).unionByName(known.where("_y <> 1").orderBy(by_hash, "_id").limit(SAMPLE_NEGATIVE))
-    texts = docs.where(F.octet_length(text_col) <= SAMPLE_BYTES).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")  # at most SAMPLE_POSITIVE + SAMPLE_NEGATIVE ids
-    # Of an id's several texts the one of least hash; then no more rows, in order of the hash of ids, than fit in SAMPLE_TOTAL bytes.
-    one = texts.groupBy("_id", "_y").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
-    so_far = F.sum(F.octet_length("_text")).over(Window.orderBy(by_hash, "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = one.withColumn("_bytes", so_far).where(F.col("_bytes") <= SAMPLE_TOTAL).select("_id", "_text", "_y").toPandas().sort_values("_id")
-    return train(rows["_text"].tolist(), (rows["_y"] == 1).to_numpy())
+    return train(*labelled_sample(docs, labels, label_col, BOUNDS, id_col, text_col, highest=True))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:

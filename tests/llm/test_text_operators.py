@@ -350,3 +350,15 @@ def test_scores_against_a_plain_reading(spark, documents, labels):
     got = np.concatenate([model.scores(q) for q in slices(pa.array(texts))])
     for text, score in zip(texts, got):
         assert abs(plain_score(model, text) - score) < 1e-4
+
+
+def test_toxic_labels_that_differ_and_repeat(spark):
+    """One toxic label of several decides, and a repeated one counts once."""
+    rng = random.Random(11)
+    docs = frame(spark, [words(rng, 60, 300) + (" vile" * 3 if i % 4 == 0 else "") for i in range(200)])
+    once = [(i, int(i % 4 == 0)) for i in range(200)]
+    schema = "doc_id bigint, toxic int"
+    plain = spark.createDataFrame(once, schema)
+    twice = spark.createDataFrame(once + [(i, 0) for i in range(0, 200, 4)] + once[:40] + [(None, 1)], schema)
+    a, b = ({r.doc_id: r.score for r in toxicity.score_toxicity(docs, labels).collect()} for labels in (plain, twice))
+    assert a == b and len(a) == 200
