@@ -40,7 +40,7 @@ ARCHIVE_BYTES = 64 << 20
 RANGE_BYTES = 8 << 20
 BATCH_BYTES = 4 << 20
 ATTEMPTS = 4
-#: Partitions that are planned at most, whatever the bytes.
+#: Partitions that are planned at most, whatever the bytes and however many archives.
 MOST_RANGES = 100_000
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -136,13 +136,20 @@ def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
 
 
 @dataclass
-class ByteRange(InputPartition):
+class ByteRange:
     archive: str
     size: int
     start: int
     end: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges of archives that one task reads, one after the other."""
+
+    parts: list[ByteRange]
+
+
 class _Ranged(io.RawIOBase):
     """A seekable view of a file for zipfile's directory reader."""
 
@@ -175,19 +182,31 @@ class ArchiveReader(DataSourceReader):
         self.range_bytes = int(options.get("rangeBytes", RANGE_BYTES))
         self.attempts = int(options.get("attempts", ATTEMPTS))
 
-    def partitions(self) -> list[ByteRange]:
-        """Ranges of the archives in the manifest, longer ones where there would be more than MOST_RANGES; the archives' directories are left to the tasks."""
+    def partitions(self) -> list[Ranges]:
+        """Ranges of the archives in the manifest; where there would be more than MOST_RANGES, longer ones, and those of small archives together.  The archives' directories are left to the tasks."""
         import pyarrow.parquet as pq
 
         fs, root = filesystem(self.folder)
         found = [f.path for f in fs.get_file_info(pafs.FileSelector(f"{root}/manifest")) if f.base_name.endswith(".parquet")]
         listed = [r for f in sorted(found) for r in pq.read_table(f, filesystem=fs).to_pylist()]
-        step = max(self.range_bytes, -(-sum(r["bytes"] for r in listed) // MOST_RANGES))
-        return [ByteRange(f"{root}/{r['archive']}", r["bytes"], s, min(s + step, r["bytes"])) for r in sorted(listed, key=lambda r: r["archive"]) for s in range(0, r["bytes"], step)] or [ByteRange("", 0, 0, 0)]
+        # Two neighbours together are more than a step, so with steps of twice the share there are no more than MOST_RANGES.
+        step = max(self.range_bytes, -(-2 * sum(r["bytes"] for r in listed) // MOST_RANGES))
+        out, held = [Ranges([])], 0
+        for r in sorted(listed, key=lambda r: r["archive"]):
+            for s in range(0, r["bytes"], step):
+                part = ByteRange(f"{root}/{r['archive']}", r["bytes"], s, min(s + step, r["bytes"]))
+                if held and held + part.end - s > step:
+                    out.append(Ranges([]))
+                    held = 0
+                out[-1].parts.append(part)
+                held += part.end - s
+        return out
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for part in partition.parts:
+            yield from self._read(part)
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        if not partition.archive:
-            return
+    def _read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
         with _Archive(filesystem(self.folder)[0], partition.archive, self.attempts) as archive:

@@ -9,7 +9,7 @@ that of cost(i) + position(i) over a sliding window, which a monotone queue keep
 
 Rules.  A null text is empty and has only the closing id.  Long documents are cut
 into as many pieces as they need.  Rows that repeat an id are packed as they come.
-An empty table gives an empty table.  Extra columns are not read.  Partitions are
+A null id is carried as it is.  An empty table gives an empty table.  Extra columns are not read.  Partitions are
 packed independently, without a shuffle; the last tokens of each go into
 sequences of a power of two, which need no padding.
 """

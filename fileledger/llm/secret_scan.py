@@ -2,7 +2,7 @@
 
 Rules.  Null text counts as empty, an empty text has no spans, whole texts are
 read whatever their length, repeated rows are scanned each on its own, an empty
-table gives an empty table.  Positions are code points, ends exclusive.
+table gives an empty table, a null id is carried as it is.  Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations

@@ -441,13 +441,13 @@ def _copies(sets: DataFrame) -> DataFrame:
 
 
 def _home_members(tiles: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Each node with its likeliest leader, as members of that leader's tile in parts of HOME_DOCS."""
+    """Each node with its likeliest leader, as members of that leader's tile in parts of HOME_DOCS nodes or BLOCK_SHINGLES shingles."""
     stars = tiles.where("node <> leader").groupBy(F.col("node").alias("b"), F.col("leader").alias("a")).agg(F.count(F.lit(1)).alias("tiles"))
     likeliest = Window.partitionBy("b").orderBy(F.desc("tiles"), "a")
     stars = stars.withColumn("_k", F.row_number().over(likeliest)).where(F.col("_k") <= LEADERS).select("a", "b", "tiles")
     best = _plausible(stars, nodes).groupBy("b").agg(F.max_by("a", F.struct("tiles", -F.col("a"))).alias("a"))
-    best = written(best.select("a", "b"), "shingle-homes")
-    load = best.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HOME_DOCS).cast("int").alias("parts"))
+    best = written(best.join(nodes.select(F.col("node").alias("b"), "n"), "b").select("a", "b", "n"), "shingle-homes")
+    load = best.groupBy("a").agg(F.ceil(F.greatest(F.count(F.lit(1)) / HOME_DOCS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
     own = best.join(load, "a").select(F.col("a").alias("k"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("band"), F.col("b").alias("node"))
     lead = load.select(F.col("a").alias("k"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("band"), F.col("a").alias("node"))
     zero = F.lit(0)

@@ -341,13 +341,13 @@ def test_ranges_and_retries(spark, tmp_path):
     for size in (500, 4000, 1 << 30):
         r = media_store.ArchiveReader({"path": folder, "rangeBytes": str(size)})
         parts = r.partitions()
-        assert len(parts) == max(1, -(-parts[0].size // size))
+        assert len(parts) == max(1, -(-parts[0].parts[0].size // size))
         assert sorted(x for p in parts for b in r.read(p) for x in b.column("offset").to_pylist()) == sorted({x for p in parts for b in r.read(p) for x in b.column("offset").to_pylist()})
         assert sum(b.num_rows for p in parts for b in r.read(p)) == 30
 
     import zipfile
 
-    path = parts[0].archive
+    path = parts[0].parts[0].archive
     infos = zipfile.ZipFile(path).infolist()
 
     class Flaky:
@@ -596,6 +596,31 @@ def test_stages_keep_columns_and_survive_odd_tables(spark, odd_texts):
     assert corpus_pipeline.STAGES[-1][1](spark, df.limit(0), SF).count() == 0
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    rows = [(i, "some words " * 30 if i else "short", "en", "a", 1, f"mine{i}", "p") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, _text_hash_of_row string, `_text_hash` string")
+    kept = dict(corpus_pipeline.STAGES)["quality_rules"](spark, df, SF)
+    assert kept.columns == df.columns and {(r.doc_id, r._text_hash_of_row) for r in kept.collect()} <= {(i, f"mine{i}") for i in range(3)}
+
+
+def test_few_ranges_of_many_archives(monkeypatch, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    (tmp_path / "manifest").mkdir()
+    rng = random.Random(2)
+    sizes = [rng.choice((10, 300, 5000)) for _ in range(500)]
+    pq.write_table(pa.table({"archive": [f"a{i:04}" for i in range(500)], "bytes": sizes}), tmp_path / "manifest" / "m.parquet")
+    monkeypatch.setattr(media_store, "MOST_RANGES", 40)
+    parts = media_store.ArchiveReader({"path": f"file://{tmp_path}", "rangeBytes": "100"}).partitions()
+    assert len(parts) <= 40
+    by = Counter()
+    for p in parts:
+        for r in p.parts:
+            by[r.archive.rpartition("/")[2]] += r.end - r.start
+    assert by == {f"a{i:04}": n for i, n in enumerate(sizes)}
+
+
 def test_stages_judge_rows_without_id_and_keep_one_of_repeats(spark):
     rng = random.Random(6)
     good, other = words(rng, 120, 10**9), words(rng, 120, 10**9)
