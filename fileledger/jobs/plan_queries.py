@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import functions as F
 
 from fileledger.functions.filters import FilterSettings
@@ -12,6 +14,7 @@ from fileledger.jobs.fixtures import DST_SQL, PARENT, SAMPLES_SQL, SRC_SQL, UP,
 from fileledger.jobs.trees import FILTER, _walk
 from fileledger.operators import plans, reports
 from fileledger.operators.compare import compare
+from fileledger.operators.policy import Rule
 from fileledger.operators.rollup import directory_rollup
 
 BOTH = f"{SRC_SQL}, {DST_SQL}"
@@ -342,20 +345,46 @@ def resolve_onto_existing(spark, sf_dir):
     return reports.resolve_destinations(jobs, there)
 
 
+def _acl(*entries: tuple[int, int, int]):
+    """A list's blob: version 2, then tag, permissions and id of each entry."""
+    return F.lit(bytearray(struct.pack("<I", 2) + b"".join(struct.pack("<HHI", *e) for e in entries)))
+
+
+_NOBODY = 0xFFFFFFFF  # the id of entries that name no one
+_RWX = "CASE WHEN {b} & 4 > 0 THEN 'r' ELSE '-' END || CASE WHEN {b} & 2 > 0 THEN 'w' ELSE '-' END || CASE WHEN {b} & 1 > 0 THEN 'x' ELSE '-' END"
+
+
 @query(
     "acl_audit",
-    f"""WITH {SRC_SQL}, heirs AS (SELECT rel_path FROM src WHERE kind = 'dir' AND rel_path LIKE '%/c5')
-SELECT rel_path, CASE WHEN kind = 'file' AND uid = 1002 THEN 'source ACL is dropped' ELSE 'inherits a default ACL' END AS problem FROM src WHERE kind IN ('file', 'dir') AND ((kind = 'file' AND uid = 1002) OR {PARENT.format(p='rel_path')} IN (SELECT rel_path FROM heirs))""",
+    f"""WITH {SRC_SQL}, f AS (SELECT rel_path, (mode >> 3) & 7 AS g, mode & 7 AS o, uid = 1002 AS own, {PARENT.format(p='rel_path')} LIKE '%/c5' AS heir FROM src WHERE kind = 'file'),
+r AS (SELECT rel_path, own, unnest([{{'p': 'user:65534', 'b': CASE WHEN own THEN 0 ELSE o END, 'n': CASE WHEN heir THEN g ELSE o END}}, {{'p': 'group', 'b': CASE WHEN own THEN 0 ELSE g END, 'n': CASE WHEN heir THEN g & 5 ELSE g END}}, {{'p': 'other', 'b': CASE WHEN own THEN 5 ELSE o END, 'n': o}}]) AS r FROM f WHERE own OR heir)
+SELECT rel_path, r.p AS principal, {_RWX.format(b='r.b')} AS before, {_RWX.format(b='r.n')} AS after, CASE WHEN own THEN 'source ACL is dropped' ELSE 'inherits a default ACL' END AS problem FROM r WHERE r.n & (7 - r.b) <> 0""",
 )
 def acl_audit(spark, sf_dir):
+    """Files of one owner shut out a user; directories of one name let that user in by default."""
     m = src_manifest(spark, sf_dir)
     acl = lambda access, default: F.struct(F.lit(True).alias("captured"), access.alias("access"), default.alias("default"))
-    blob, none = F.lit("x").cast("binary"), F.lit(None).cast("binary")
-    src = m.withColumn("acl", acl(F.when((F.col("kind") == "file") & (F.col("uid") == 1002), blob), none))
-    dst = m.withColumn("acl", acl(none, F.when((F.col("kind") == "dir") & F.col("rel_path").like("%/c5"), blob)))
+    shut = _acl((1, 7, _NOBODY), (2, 0, 65534), (4, 0, _NOBODY), (16, 5, _NOBODY), (32, 5, _NOBODY))
+    open_ = _acl((1, 7, _NOBODY), (2, 7, 65534), (4, 5, _NOBODY), (16, 7, _NOBODY), (32, 5, _NOBODY))
+    none = F.lit(None).cast("binary")
+    src = m.withColumn("acl", acl(F.when((F.col("kind") == "file") & (F.col("uid") == 1002), shut), none))
+    dst = m.withColumn("acl", acl(none, F.when((F.col("kind") == "dir") & F.col("rel_path").like("%/c5"), open_)))
     return plans.acl_audit(src, dst, parse_preserve("all"))
 
 
+_LARGE = "action = 'replace' AND dst_kind = 'file' AND size > 20000000"
+
+
+@query(
+    "copy_plan_policy",
+    f"""WITH {_COPY} SELECT rel_path, kind, size, CASE WHEN {_LARGE} THEN 'keep_large' ELSE action END AS action, dst_kind, CASE WHEN {_LARGE} THEN 0 ELSE removed_files END::BIGINT AS removed_files, removed_dirs, removed_symlinks, CASE WHEN {_LARGE} THEN 0 ELSE removed_bytes END::BIGINT AS removed_bytes, CASE WHEN {_LARGE} THEN 'large files stay' END AS reason FROM plan""",
+)
+def copy_plan_policy(spark, sf_dir):
+    """The copy plan with a rule of the user's: a large file that is there is not replaced."""
+    rule = Rule("large files stay", "dst_kind = 'file' and size > 20000000", "keep_large", of=("replace",))
+    return plans.copy_plan(src_manifest(spark, sf_dir), dst_manifest(spark, sf_dir), overwrite=True, skip_specials=True, policy=(rule,))
+
+
 @query(
     "error_digest",
     """WITH e AS (SELECT 'r' || (user_id % 4) AS run, event_id AS seq, 'cause ' || (user_id % 30) AS root_cause FROM events WHERE event_type = 'error'),

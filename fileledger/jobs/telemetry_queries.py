@@ -8,7 +8,7 @@ from fileledger.functions.text import format_mode, format_nanos, format_ratio, h
 from fileledger.jobs.entries import query
 from fileledger.jobs.fixtures import PARENT, SAMPLES_SQL, SRC_SQL, samples, src_manifest
 from fileledger.functions.paths import ancestors, depth, escape_path, join_path, name, parent
-from fileledger.operators import controller, telemetry
+from fileledger.operators import chunks, controller, telemetry
 from fileledger.sources import logs
 from fileledger.sources.scratch import new_path
 
@@ -185,7 +185,7 @@ c AS (SELECT rel_path, parent, k, 0::BIGINT AS chunk, cost AS used FROM e WHERE
 SELECT rel_path, parent, chunk FROM c""",
 )
 def manifest_chunks(spark, sf_dir):
-    return controller.chunk_manifest(src_manifest(spark, sf_dir), budget=200)
+    return chunks.chunk_manifest(src_manifest(spark, sf_dir), budget=200)
 
 
 @query(

@@ -12,6 +12,8 @@ from fileledger.operators import compare as cmp
 from fileledger.operators.permissions import apply_permissions, chmod_plan, chmod_summary
 from fileledger.operators.removal import rm_plan, rm_summary
 from fileledger.operators.rollup import directory_rollup, top_k
+from fileledger.sources.scratch import new_path
+from fileledger.sources.stored import store_manifest, stored_manifest
 
 NOW = 900_000_000
 FILTER = FilterSettings.of(include=["p1/**", "*5.dat", "p3/sO/"], exclude=["c1?/", "/p2/sF", "*7.dat"])
@@ -65,6 +67,17 @@ def compare_trees(spark, sf_dir):
     return cmp.compare(src_manifest(spark, sf_dir), dst_manifest(spark, sf_dir))
 
 
+@query("stored_compare", f"WITH {SRC_SQL}, {DST_SQL}, {_DIFF} SELECT * FROM diff")
+def stored_compare(spark, sf_dir):
+    """The same of manifests that are kept bucketed and sorted by path, and opened by where they lie."""
+    kept = []
+    for make in (src_manifest, dst_manifest):
+        path = new_path(spark, "stored-manifest")
+        store_manifest(make(spark, sf_dir), path, 16)
+        kept.append(stored_manifest(spark, path, 16))
+    return cmp.compare(*kept)
+
+
 _FILTERED_DIFF = f"""{_walk('src')}, {_walk('dst')}, l AS (SELECT * FROM src_w WHERE walk = 'included'), j AS MATERIALIZED (
   SELECT coalesce(s.rel_path, d.rel_path) AS rel_path, CASE WHEN d.rel_path IS NULL THEN 'dst_missing' WHEN s.rel_path IS NULL THEN CASE d.walk WHEN 'included' THEN 'src_missing' WHEN 'skipped' THEN 'skipped' END WHEN s.kind <> d.kind OR NOT ({_EQ}) THEN 'different' ELSE 'same' END AS result,
     s.kind AS src_kind, d.kind AS dst_kind, s.size AS src_size, d.size AS dst_size, CASE WHEN d.rel_path IS NULL THEN 'src' WHEN s.rel_path IS NULL THEN 'dst' ELSE 'both' END AS side

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fileledger.functions.acls import ENTRIES, OTHER, OWNING_GROUP, acl_entries, named, principal_text, rights, rights_text
 from fileledger.functions.filters import FilterSettings, apply_filter, directly_matches, is_included
-from fileledger.functions.metadata import Preserve, dest_is_newer, metadata_equal, parse_metadata_cmp, project_preserved, skip_unchanged
-from fileledger.functions.paths import ancestors, parent, self_and_ancestors
+from fileledger.functions.metadata import Preserve, dest_is_newer, masked_mode, metadata_equal, parse_metadata_cmp, project_preserved, skip_unchanged
+from fileledger.functions.paths import ancestors, depth, parent, self_and_ancestors
 from fileledger.operators.compare import COMPARED, at_or_below, without_below
+from fileledger.operators.policy import Policy, decide, left_out
 from fileledger.operators.removal import marked_above, rm_plan
 from fileledger.schema import MANIFEST_SCHEMA, conform
 from fileledger.sources.scratch import written
@@ -70,22 +72,27 @@ def copy_actions(src: DataFrame, dst: DataFrame, overwrite: bool = False, overwr
     return live.select("rel_path", kind.alias("kind"), F.col("s_size").alias("size"), action.alias("action"), d_kind.alias("dst_kind"), F.col("d_size").alias("_d_size"))
 
 
-def copy_plan(src: DataFrame, dst: DataFrame, overwrite: bool = False, overwrite_compare: str = "size,mtime", keep_newer: bool = False, ignore_existing: bool = False, skip_specials: bool = False, filter: FilterSettings | None = None, preserve: Preserve = Preserve(), dry_run: bool = False) -> DataFrame:
+def copy_plan(src: DataFrame, dst: DataFrame, overwrite: bool = False, overwrite_compare: str = "size,mtime", keep_newer: bool = False, ignore_existing: bool = False, skip_specials: bool = False, filter: FilterSettings | None = None, preserve: Preserve = Preserve(), dry_run: bool = False, policy: Policy = ()) -> DataFrame:
     """(rel_path, kind, size, action, dst_kind, removed_files, removed_dirs, removed_symlinks, removed_bytes, reason) of every visited source entry.
 
     Entries below a directory that is skipped or fails are not visited.  Directories
-    made for a filtered copy in which nothing ends up are drop_empty_dir.
+    made for a filtered copy in which nothing ends up are drop_empty_dir.  Rules of a
+    policy are named in reason; below a directory that one leaves out nothing is visited.
     """
     settings = filter or FilterSettings()
     s = apply_filter(src, settings)
     none = F.lit(None).cast("string")
-    p = copy_actions(s.where("walk = 'included'"), dst, overwrite, overwrite_compare, keep_newer, ignore_existing, skip_specials, preserve, dry_run).withColumn("reason", none)
+    p = copy_actions(s.where("walk = 'included'"), dst, overwrite, overwrite_compare, keep_newer, ignore_existing, skip_specials, preserve, dry_run)
+    p = decide(p, policy).withColumnRenamed("rule", "reason") if policy else p.withColumn("reason", none)
+    out = left_out(p.withColumnRenamed("reason", "rule")) if policy else None
     if not settings.empty:
         p = p.unionByName(s.where("walk = 'skipped'").select("rel_path", "kind", "size", F.lit("skip_filter").alias("action"), none.alias("dst_kind"), F.lit(None).cast("bigint").alias("_d_size"), "reason"))
     # Only where a directory cannot take the place of what is there does anything go unvisited.
     if ignore_existing or not (overwrite or dry_run):
         folders = s.where("walk = 'included' and kind = 'dir'").select("rel_path")
         p = without_below(p, folders.join(dst.where("kind <> 'dir'"), "rel_path", "left_semi"), folders)
+    if out is not None:
+        p = without_below(p, out, s.where("walk = 'included' and kind = 'dir'").select("rel_path"))
     if settings.include:
         p = cleanup_empty_dirs(p, settings)
     replaces = overwrite and not ignore_existing and not dry_run
@@ -150,12 +157,13 @@ def mirror_delete_plan(src: DataFrame, dst: DataFrame, filter: FilterSettings |
     return delete_plan(kept, both, dst, filter, delete_excluded, errors)
 
 
-def link_plan(src: DataFrame, update: DataFrame | None = None, dst: DataFrame | None = None, update_compare: str = "size,mtime", update_exclusive: bool = False, overwrite: bool = False, filter: FilterSettings | None = None, skip_specials: bool = False) -> DataFrame:
+def link_plan(src: DataFrame, update: DataFrame | None = None, dst: DataFrame | None = None, update_compare: str = "size,mtime", update_exclusive: bool = False, overwrite: bool = False, filter: FilterSettings | None = None, skip_specials: bool = False, policy: Policy = ()) -> DataFrame:
     """(rel_path, kind, size, action, origin, dst_kind, removed counters): hardlink, link_unchanged, relink, copy_from_update, symlink, mkdir, reuse_dir, unchanged, replace, skip_special, none or error.
 
     One join of the three trees on the path.  Entries of the source below one whose
     kind differs in the update are not visited, nor is anything below a directory
-    that fails because the destination has something else in its place.
+    that fails because the destination has something else in its place.  With a policy
+    there is a column rule, and nothing below a directory that a rule leaves out is visited.
     """
     attributes = parse_metadata_cmp(update_compare)
     s = _prefixed(apply_filter(src, filter).where("walk = 'included'"), "s_", "dev", "ino")
@@ -198,6 +206,9 @@ def link_plan(src: DataFrame, update: DataFrame | None = None, dst: DataFrame |
         made = u_dirs if update_exclusive and update is not None else folders
         failed = made.join(d.where("d_kind <> 'dir'"), "rel_path", "left_semi")
         blocked = failed if blocked is None else blocked.unionByName(failed)
+    if policy:
+        rows = decide(rows, policy)
+        blocked = left_out(rows) if blocked is None else blocked.unionByName(left_out(rows))
     if blocked is not None:
         rows = without_below(rows, blocked, folders)
     rows = _with_removed(rows, dst if overwrite else None, F.col("action").isin("replace", "relink"), "dst_kind", "_d_size")
@@ -304,15 +315,42 @@ def apply_removals(m: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def acl_audit(src: DataFrame, dst: DataFrame, preserve: Preserve) -> DataFrame:
-    """(rel_path, problem): copies that lose a source's ACL, and copies that a parent's default ACL in the destination would widen."""
+    """(rel_path, principal, before, after, problem): who may do more with a copy than with its source, by rights before and after.
+
+    Asked are the users and groups named in the source's list or in one the copy inherits,
+    the owning group and all others.  A copy that keeps no list has its mode, and where a
+    directory above it has a default list in the destination, that list under the mode: the
+    nearest one that is there counts, as directories made below it pass it on.  Directories that
+    are there inherit nothing.  Where lists are kept but the source's is not known, that is the
+    problem.
+    """
+    kinds = ("file", "dir")
     kept = F.lit(False)
-    for kind in ("file", "dir"):
-        if preserve.of(kind).acl:
-            kept = F.when(F.col("kind") == kind, True).otherwise(kept)
-    has = lambda a: F.col(f"acl.{a}").isNotNull()
-    heirs = dst.where("kind = 'dir' and acl.default is not null").select(F.col("rel_path").alias("_in"), F.lit(True).alias("_heir"))
-    s = src.where("kind in ('file', 'dir')").withColumn("_in", parent("rel_path")).join(heirs, "_in", "left")
-    lost = ~kept & F.coalesce(F.col("acl.captured"), F.lit(False)) & (has("access") | has("default"))
-    unknown = kept & ~F.coalesce(F.col("acl.captured"), F.lit(False))
-    problem = F.when(lost, "source ACL is dropped").when(unknown, "source ACL is unknown").when(F.col("_heir").isNotNull() & ~kept, "inherits a default ACL")
-    return s.select("rel_path", problem.alias("problem")).where("problem is not null")
+    mode = F.col("mode")
+    for kind in kinds:
+        at = preserve.of(kind)
+        kept = F.when(F.col("kind") == kind, at.acl).otherwise(kept)
+        mode = F.when(F.col("kind") == kind, masked_mode(F.col("mode"), at.mask)).otherwise(mode)
+    captured = F.coalesce(F.col("acl.captured"), F.lit(False))
+    s = src.where(F.col("kind").isin(*kinds)).select("rel_path", "kind", F.col("mode").alias("_mode"), mode.alias("_copied"), kept.alias("_kept"), captured.alias("_captured"), acl_entries(F.col("acl.access")).alias("_own"), parent("rel_path").alias("_in"))
+
+    # The default list in effect in each folder of the source: of the nearest directory above, itself included, that the destination has.
+    there = dst.where("kind = 'dir'").select(F.col("rel_path").alias("_at"), F.col("acl.default").alias("_default"))
+    folders = s.where("kind = 'dir'").select("rel_path").distinct()
+    up = folders.select(F.col("rel_path").alias("_in"), F.explode(self_and_ancestors("rel_path")).alias("_at")).join(there, "_at")
+    heirs = up.groupBy("_in").agg(F.max_by("_default", depth("_at")).alias("_default")).where("_default is not null").select("_in", acl_entries(F.col("_default")).alias("_inherited"))
+    made = there.select(F.col("_at").alias("rel_path"), F.lit(True).alias("_there"))
+    s = s.join(heirs, "_in", "left").join(made, "rel_path", "left")
+    none = F.array().cast(ENTRIES)
+    after = F.when((F.col("kind") == "dir") & F.col("_there").isNotNull(), none).otherwise(F.coalesce("_inherited", none))
+    s = s.withColumn("_after", after)
+
+    unknown = s.where("_kept and not _captured").select("rel_path", *(F.lit(None).cast("string").alias(c) for c in ("principal", "before", "after")), F.lit("source ACL is unknown").alias("problem"))
+    plain = lambda tag: F.struct(F.lit(tag).alias("tag"), F.lit(None).cast("bigint").alias("id"))
+    asked = F.array_distinct(F.concat(named(F.col("_own")), named(F.col("_after")), F.array(plain(OWNING_GROUP), plain(OTHER))))
+    w = s.where("not _kept and (size(_own) > 0 or size(_after) > 0)").withColumn("_who", F.explode(asked))
+    tag, id_ = F.col("_who.tag"), F.col("_who.id")
+    w = w.withColumns({"_before": rights(F.col("_own"), F.col("_mode"), tag, id_), "_now": rights(F.col("_after"), F.col("_copied"), tag, id_, mode_rules=True)})
+    more = w.where(F.col("_now").bitwiseAND(F.bitwise_not("_before")) != 0)
+    problem = F.when(F.size("_own") > 0, "source ACL is dropped").otherwise("inherits a default ACL")
+    return unknown.unionByName(more.select("rel_path", principal_text(tag, id_).alias("principal"), rights_text(F.col("_before")).alias("before"), rights_text(F.col("_now")).alias("after"), problem.alias("problem")))

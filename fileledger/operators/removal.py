@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fileledger.functions.filters import FilterSettings, apply_filter, directly_matches, time_filter
 from fileledger.functions.paths import parent, self_and_ancestors
+from fileledger.operators.policy import Policy, decide
 
 
 def marked_above(seeds: DataFrame) -> DataFrame:
@@ -15,14 +16,15 @@ def marked_above(seeds: DataFrame) -> DataFrame:
     return folders.select(F.explode(self_and_ancestors("_f")).alias("rel_path")).distinct()
 
 
-def rm_plan(m: DataFrame, filter: FilterSettings | None = None, modified_before=None, created_before=None, now_s: int = 0, dry_run: bool = False) -> DataFrame:
+def rm_plan(m: DataFrame, filter: FilterSettings | None = None, modified_before=None, created_before=None, now_s: int = 0, dry_run: bool = False, policy: Policy = ()) -> DataFrame:
     """(rel_path, kind, size, action, reason).
 
     action: remove, skip_filter, skip_time, keep (a directory that stays for what is
     left in it), pruned (below a skipped directory).  A directory goes if its own
     conditions hold, nothing below it stays, and it and every directory below it has
     something removed in it or matches itself.  A dry run only asks that nothing
-    below was skipped.
+    below was skipped.  An entry for which a rule of the policy holds stays, with the
+    rule's action and its name as reason; so does what holds it.
 
     Rows are added up by folder once; from there on only directories are joined.
     """
@@ -31,7 +33,13 @@ def rm_plan(m: DataFrame, filter: FilterSettings | None = None, modified_before=
     age = time_filter(modified_before, created_before, now_s) if aged else F.lit("matched")
     path, is_dir = F.col("rel_path"), F.col("kind") == "dir"
     r = apply_filter(m, settings).select("rel_path", "kind", "size", "walk", "reason", age.alias("_age"), directly_matches(settings, path, is_dir).alias("_match"))
-    live, ok = F.col("walk") == "included", F.col("_age") == "matched"
+    if policy:
+        r = decide(r.withColumn("action", F.when((F.col("walk") == "included") & (F.col("_age") == "matched"), "remove")), policy)
+        r = r.withColumn("rule", F.when(F.col("walk") == "included", F.col("rule"))).withColumnRenamed("action", "_ruled")
+    else:
+        r = r.withColumns({"rule": F.lit(None).cast("string"), "_ruled": F.lit(None).cast("string")})
+    ruled = F.col("rule").isNotNull()
+    live, ok = F.col("walk") == "included", (F.col("_age") == "matched") & ~ruled
     seed = live & F.when(is_dir, F.col("_match")).otherwise(ok)
     stay = (F.col("walk") == "skipped") | (live & ~ok) if dry_run else ~live | ~ok
     marks = _directory_marks(r.select("rel_path", is_dir.alias("is_dir"), seed.alias("seed"), stay.alias("stay"), live.alias("live")), not dry_run)
@@ -40,8 +48,8 @@ def rm_plan(m: DataFrame, filter: FilterSettings | None = None, modified_before=
     gone = F.when(is_dir, ~F.col("_stays") & ok & F.col("_seeded")).otherwise(ok)
     # A real run asks whether a directory was only passed through before it asks its age.
     passed = is_dir & ~F.col("_match") & ~F.col("_seeded") if not dry_run else F.lit(False)
-    action = F.when(F.col("walk") == "pruned", "pruned").when(F.col("walk") == "skipped", "skip_filter").when(gone, "remove").when(passed, "keep").when(~ok, "skip_time").otherwise("keep")
-    why = F.when(action == "skip_filter", F.col("reason")).when(action == "skip_time", F.col("_age"))
+    action = F.when(F.col("walk") == "pruned", "pruned").when(F.col("walk") == "skipped", "skip_filter").when(ruled, F.col("_ruled")).when(gone, "remove").when(passed, "keep").when(~ok, "skip_time").otherwise("keep")
+    why = F.when(ruled, F.col("rule")).when(action == "skip_filter", F.col("reason")).when(action == "skip_time", F.col("_age"))
     return r.select("rel_path", "kind", "size", action.alias("action"), why.alias("reason"))
 
 

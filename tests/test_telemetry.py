@@ -6,11 +6,10 @@ import pyarrow.fs as pafs
 import pytest
 
 from fileledger.operators import controller
-from fileledger.operators.controller import Ratio, RatioConfig, chunk_manifest, ratio_signal, replay_controller
+from fileledger.operators.controller import Ratio, RatioConfig, ratio_signal, replay_controller
 from fileledger.sources import logs
 from fileledger.sources.logs import COOKIE, decode_histogram, encode_histogram, read_histogram_logs
 from fileledger.streaming.telemetry import control, control_rest, drain, progress_rates
-from tests.conftest import manifest
 
 
 def leb(n):
@@ -232,9 +231,3 @@ def test_stream_rates(spark, tmp_path):
     spark.createDataFrame(rows, "run string, side string, ts string, ops_finished bigint, bytes_copied bigint").selectExpr("run", "side", "cast(ts as timestamp) ts", "ops_finished", "bytes_copied").coalesce(1).write.parquet(str(tmp_path / "p"))
     s = spark.readStream.schema(spark.read.parquet(str(tmp_path / "p")).schema).parquet(str(tmp_path / "p"))
     assert sorted(r.ops_finished_rate for r in drain(progress_rates(s), "rates").collect()) == [0.0, 0.0, 5.0]
-
-
-def test_chunks(spark):
-    m = manifest(spark, {f"d/{'n' * k}": {} for k in (1, 2, 3, 300)})
-    got = {len(r.rel_path) - 2: r.chunk for r in chunk_manifest(m.where("rel_path like 'd/%'"), budget=140).collect()}
-    assert got == {1: 0, 2: 0, 3: 1, 300: 2}
