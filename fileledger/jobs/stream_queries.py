@@ -119,6 +119,30 @@ def stream_logs(spark, sf_dir):
     return logs.log_buckets(spark.read.schema(records.schema).parquet(out)).withColumn("run", _RUN)
 
 
+#: Where the second part of the samples begins, on the dense time axis; one in seven of the samples comes with it, however old.
+_CUT = 170_536_720_000
+_UNIT_ON = "{a}.run = {b}.run AND {a}.side = {b}.side AND {a}.op = {b}.op"
+
+
+@query(
+    "stream_controller_late",
+    f"""WITH RECURSIVE {SAMPLES_SQL}, s AS (SELECT run, side, op, epoch_us(ts) // 10000 AS at_us, greatest(1, latency_us) AS v, (ceil(epoch_us(ts) // 10000 / 1000000) * 1000000)::BIGINT AS due, latency_us % 7 = 0 OR epoch_us(ts) // 10000 > {_CUT} AS later FROM samples),
+first AS (SELECT run, side, op, max(due) AS shown FROM s WHERE NOT later GROUP BY 1, 2, 3),
+k AS (SELECT s.*, shown FROM s LEFT JOIN first ON {_UNIT_ON.format(a='s', b='first')} WHERE NOT later OR shown IS NULL OR at_us >= shown - 10000000),
+t AS (SELECT DISTINCT run, side, op, CASE WHEN later THEN greatest(due, coalesce(shown, due)) ELSE due END AS tick FROM k),
+l AS (SELECT t.*, list_sort(list(v)) AS a, list_sort(list(v) FILTER (at_us >= tick - 1000000)) AS b FROM t JOIN k ON {_UNIT_ON.format(a='t', b='k')} AND k.at_us <= t.tick AND k.at_us >= t.tick - 10000000 AND (NOT k.later OR k.shown IS NULL OR t.tick >= k.shown) GROUP BY ALL),
+p AS MATERIALIZED {REPLAY_SQL.partition("p AS MATERIALIZED ")[2]}""",
+)
+def stream_controller_late(spark, sf_dir):
+    """A stream whose second part brings samples of all times: those within the long window of the tick that is due count for it, older ones are dropped."""
+    s = samples(spark, sf_dir).select("run", "side", "op", F.floor(F.unix_micros("ts") / 10_000).alias("at_us"), "latency_us")
+    path, later = new_path(spark, "late-samples"), (F.col("latency_us") % 7 == 0) | (F.col("at_us") > _CUT)
+    for part in (~later, later):
+        s.where(part).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return telemetry.drain(telemetry.control(stream), "stream-controller-late", rest=telemetry.control_rest)
+
+
 @query(
     "stream_rates",
     f"""WITH {SAMPLES_SQL}, {_PROGRESS}, p AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS gap FROM prog WINDOW w AS (PARTITION BY run, side ORDER BY ts))

@@ -29,6 +29,23 @@ def sliding_windows(samples: DataFrame, long: str = "10 seconds", tick: str = "1
     return g.select("run", "side", "op", F.col("w.end").alias("tick"), "bucket_low", "count")
 
 
+def _newest(frames: Iterator[pd.DataFrame], tick_us: int, cfg: RatioConfig) -> pd.DataFrame:
+    """(at_us, latency_us) of a micro-batch in order of time: of each tick the newest most_samples, as no older one of it can count.  Frames are thinned as they come."""
+    held = pd.DataFrame({"at_us": pd.Series(dtype="int64"), "latency_us": pd.Series(dtype="int64")})
+    limit = 2 * cfg.most_samples
+    for f in frames:
+        held = pd.concat([held, f[["at_us", "latency_us"]].dropna()], ignore_index=True)
+        if len(held) > limit:
+            held = _thinned(held, tick_us, cfg)
+            limit = len(held) + 2 * cfg.most_samples
+    return _thinned(held, tick_us, cfg).astype("int64")
+
+
+def _thinned(held: pd.DataFrame, tick_us: int, cfg: RatioConfig) -> pd.DataFrame:
+    held = held.sort_values(["at_us", "latency_us"])
+    return held.groupby(-(-held["at_us"] // tick_us)).tail(cfg.most_samples)
+
+
 def control(samples: DataFrame, tick_us: int = 1_000_000, cfg: RatioConfig = RatioConfig()) -> DataFrame:
     """The controller's rows as samples (run, side, op, at_us, latency_us) arrive.
 
@@ -45,7 +62,7 @@ def control(samples: DataFrame, tick_us: int = 1_000_000, cfg: RatioConfig = Rat
             c.cwnd, c.fresh = cwnd, fresh
             c.held.extend(zip(times, values))
         rows = []
-        for at, latency in pd.concat(list(frames)).sort_values(["at_us", "latency_us"])[["at_us", "latency_us"]].itertuples(index=False):
+        for at, latency in _newest(frames, tick_us, cfg).itertuples(index=False):
             due = max(-(-at // tick_us) * tick_us, tick or 0)
             if tick is not None and at < tick - cfg.long_us:
                 continue

@@ -2,6 +2,7 @@ import json
 import random
 import struct
 
+import pandas as pd
 import pyarrow.fs as pafs
 import pytest
 
@@ -9,7 +10,7 @@ from fileledger.operators import controller
 from fileledger.operators.controller import Ratio, RatioConfig, ratio_signal, replay_controller
 from fileledger.sources import logs
 from fileledger.sources.logs import COOKIE, decode_histogram, encode_histogram, read_histogram_logs
-from fileledger.streaming.telemetry import control, control_rest, drain, progress_rates
+from fileledger.streaming.telemetry import _newest, control, control_rest, drain, progress_rates
 
 
 def leb(n):
@@ -226,6 +227,42 @@ def test_fixed_controllers(spark):
     assert [(r.tick, r.cwnd) for r in replay_controller(df, 10, controller="unlimited").collect()] == [(10, None)]
 
 
+def test_late_samples_and_hot_ticks_of_a_stream(spark, tmp_path):
+    """Two micro-batches, the second with samples of all times; against the policy fed one sample at a time."""
+    rng, cfg = random.Random(9), RatioConfig(most_samples=5, long_us=4_000_000, short_us=1_000_000, most=30)
+    rows = [(int(rng.uniform(0, 30_000_000)), rng.randint(50, 400)) for _ in range(500)]
+    first = sorted(r for r in rows if r[0] < 20_000_000 and rng.random() < 0.8)
+    second = sorted(set(rows) - set(first))
+    c, tick, want = Ratio(cfg), None, []
+    for part in (first, second):
+        for at, v in part:
+            if tick is not None and at < tick - cfg.long_us:
+                continue
+            due = max(-(-at // 1_000_000) * 1_000_000, tick or 0)
+            if tick is not None and due != tick:
+                want.append((tick, *c.tick(tick)))
+            tick = due
+            c.sample(at, v)
+    want.append((tick, *c.tick(tick)))
+    schema = "run string, side string, op string, at_us bigint, latency_us bigint"
+    for part in (first, second):
+        spark.createDataFrame([("r", "s", "o", *x) for x in part], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "s"))
+    got = drain(control(stream, cfg=cfg), "late", rest=lambda left: control_rest(left, cfg=cfg))
+    assert sorted((r.tick, r.baseline_us, r.current_us, r.cwnd) for r in got.collect()) == sorted(want)
+
+
+def test_micro_batches_are_thinned_as_they_come():
+    rng = random.Random(2)
+    cfg = RatioConfig(most_samples=10)
+    frames = [pd.DataFrame({"run": "r", "at_us": [rng.randrange(3000) for _ in range(200)], "latency_us": [rng.randrange(50) for _ in range(200)]}) for _ in range(20)]
+    got = _newest(iter(frames), 1000, cfg)
+    rows = sorted((a, v) for f in frames for a, v in zip(f["at_us"], f["latency_us"]))
+    want = [x for due in range(4) for x in [r for r in rows if -(-r[0] // 1000) == due][-10:]]
+    assert [tuple(x) for x in got.itertuples(index=False)] == want
+    assert len(_newest(iter([]), 1000, cfg)) == 0
+
+
 def test_stream_rates(spark, tmp_path):
     rows = [("r", "source", "2024-01-01 00:00:00", 0, 0), ("r", "source", "2024-01-01 00:00:10", 50, 100), ("r", "source", "2024-01-01 00:00:10", 60, 100)]
     spark.createDataFrame(rows, "run string, side string, ts string, ops_finished bigint, bytes_copied bigint").selectExpr("run", "side", "cast(ts as timestamp) ts", "ops_finished", "bytes_copied").coalesce(1).write.parquet(str(tmp_path / "p"))
