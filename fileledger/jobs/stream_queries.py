@@ -12,7 +12,7 @@ from fileledger.functions.paths import parent
 from fileledger.jobs.entries import query
 from fileledger.jobs.fixtures import DST_SQL, PARENT, SAMPLES_SQL, SRC_SQL, UP, dst_manifest, sample_columns, samples, src_manifest
 from fileledger.jobs.plan_queries import _action
-from fileledger.jobs.telemetry_queries import _BUCKET, _HIST, _MAGIC, _PROGRESS, _RUN, REPLAY_SQL, _write_logs
+from fileledger.jobs.telemetry_queries import _BUCKET, _HIST, _MAGIC, _PROGRESS, REPLAY_SQL, _named_runs, _write_logs
 from fileledger.jobs.trees import _EQ
 from fileledger.operators.telemetry import progress_snapshots
 from fileledger.sources import logs
@@ -116,7 +116,7 @@ def stream_logs(spark, sf_dir):
         _copy_logs(spark, folder, growing, share)
         records = logs.tail_log_records(spark, growing, _MAGIC)
         records.writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
-    return logs.log_buckets(spark.read.schema(records.schema).parquet(out)).withColumn("run", _RUN)
+    return _named_runs(logs.log_buckets(spark.read.schema(records.schema).parquet(out)))
 
 
 #: Where the second part of the samples begins, on the dense time axis; one in seven of the samples comes with it, however old.

@@ -25,7 +25,11 @@ def latency_histogram(spark, sf_dir):
 
 
 _MAGIC = b"LOGS 2\n"
-_RUN = F.regexp_extract("run", "([^/]*)[.]log$", 1)
+
+
+def _named_runs(rows):
+    """Runs by the names of their logs."""
+    return rows.withColumn("run", F.regexp_extract("run", "([^/]*)[.]log$", 1))
 
 
 def _write_logs(spark, sf_dir) -> str:
@@ -38,18 +42,18 @@ def _write_logs(spark, sf_dir) -> str:
 
 
 def _logs(spark, sf_dir):
-    """All records of the logs, read in ranges much shorter than a log; runs by the names of their logs."""
+    """All records of the logs, read in ranges much shorter than a log."""
     return logs.read_log_records(spark, f"{_write_logs(spark, sf_dir)}/*.log", _MAGIC, rangeBytes=1 << 16)
 
 
 @query("histogram_logs", f"WITH {_HIST} SELECT * FROM hist")
 def histogram_logs(spark, sf_dir):
-    return logs.log_buckets(_logs(spark, sf_dir)).withColumn("run", _RUN)
+    return _named_runs(logs.log_buckets(_logs(spark, sf_dir)))
 
 
 @query("progress_logs", f"WITH {SAMPLES_SQL}, {_PROGRESS} SELECT run, ts, sum(ops_finished)::BIGINT AS ops_finished, sum(bytes_copied)::BIGINT AS bytes_copied FROM prog GROUP BY 1, 2")
 def progress_logs(spark, sf_dir):
-    p = logs.log_progress(_logs(spark, sf_dir)).withColumn("run", _RUN)
+    p = _named_runs(logs.log_progress(_logs(spark, sf_dir)))
     return p.select("run", "ts", telemetry.progress_from_json(F.col("json")).alias("c")).select("run", "ts", "c.ops_finished", "c.bytes_copied")
 
 

@@ -49,3 +49,10 @@ def test_derived_manifests_outlive_an_emptied_folder(spark):
     assert fixtures._kept[spark.sparkContext.applicationId, sf, "update_manifest"] == path
     shutil.rmtree(path.removeprefix("file://"))
     assert fixtures.update_manifest(spark, sf).count() == n
+
+
+def test_queries_are_listed_without_a_session():
+    """The entry module and its lists need no SparkSession."""
+    code = "import __spark_entry__ as e; from pyspark.sql import SparkSession; assert len(e.queries()) > 80 and set(e.oracle_sql()) <= set(e.queries()) and SparkSession.getActiveSession() is None"
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
