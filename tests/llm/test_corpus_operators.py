@@ -1,7 +1,9 @@
 """Substring removal, shingle join, packing, media, mixing, and the pipeline."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -513,6 +515,33 @@ def test_water_filling_against_plain_steps():
         assert np.allclose(got, [want[k] for k in range(n)], rtol=1e-6)
 
 
+def test_measures_read_again(spark, documents):
+    """Tokens and topics of every document in plain Python, word by word."""
+    topics = source_mixing.fit_topics(documents)
+    bucket = {}
+
+    def buckets(word):
+        if word not in bucket:
+            bucket[word] = int(source_mixing.split_words(next(source_mixing.slices(pa.array([word.decode()]))), fold_case=True).hash[0] % np.uint64(source_mixing.BUCKETS))
+        return bucket[word]
+
+    def unit(x):
+        return x / max(math.sqrt(sum(v * v for v in x)), 1e-12)
+
+    want = {}
+    for r in documents.collect():
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (r.text or "").encode())
+        counts = Counter(buckets(w) for w in words if len(w) >= 5)
+        x = np.zeros(source_mixing.BUCKETS)
+        for b, n in counts.items():
+            x[b] = math.sqrt(n) * topics.weight[b]
+        x = unit(unit(x) - topics.means.get(r.lang or "", topics.means[""])) if counts else np.zeros(source_mixing.BUCKETS)
+        likes = [sum(a * c for a, c in zip(x, centre)) + lead for centre, lead in zip(topics.centres, topics.lead)]
+        want[r.doc_id] = (len(words), [f"t{k}" for k, v in enumerate(likes) if v > max(likes) - 1e-9])
+    for r in source_mixing.measure(documents, topics=topics).collect():
+        assert r.n_tokens == want[r.id][0] and r.topic in want[r.id][1]
+
+
 def test_shares_as_rows(spark):
     rows = [(i, "word " * 10, "en" if i % 50 else "xx", "ab"[i % 2], "t") for i in range(1000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, topic string")

@@ -1,6 +1,7 @@
 """Chat formatting, secret scans, quality rules, toxicity, language ID."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -362,3 +363,51 @@ def test_toxic_labels_that_differ_and_repeat(spark):
     twice = spark.createDataFrame(once + [(i, 0) for i in range(0, 200, 4)] + once[:40] + [(None, 1)], schema)
     a, b = ({r.doc_id: r.score for r in toxicity.score_toxicity(docs, labels).collect()} for labels in (plain, twice))
     assert a == b and len(a) == 200
+
+
+def test_quality_verdicts_read_again(spark, documents, labels):
+    """Statistics, bands, walks through the trees and the threshold of every document in plain Python, against the operator's verdicts."""
+    names = (*quality_rules.COUNTS, *quality_rules.MORE)
+    counted = quality_rules.count_rules(documents, "doc_id", "text", ())
+    rows = {r.doc_id: r.asDict() for r in counted.collect()}
+    good = {r.doc_id: r.quality == 1 for r in labels.collect()}
+
+    def plain_statistics(r):
+        words, chars = max(r["n_words"], 1), max(r["word_chars"], 1)
+        rate = lambda x, by: math.sqrt(min(x / by, 4.0))
+        return [rate(r["n_symbols"], words), rate(r["n_marks"], words), rate(r["n_repeat_words"], words), rate(r["n_upper"], chars), rate(r["n_dup_lines"], max(r["n_lines"], 1)), math.log(chars / words), math.log(words)]
+
+    failed = lambda r: r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"]
+    fit = [i for i in rows if i in good and not failed(rows[i])]
+    bands, forest, threshold = quality_rules.fit(counted.join(labels.select("doc_id", "quality"), "doc_id"))
+
+    def quantile(values, q):
+        v = sorted(values)
+        at = q * (len(v) - 1)
+        k = int(at)
+        return v[k] + (v[min(k + 1, len(v) - 1)] - v[k]) * (at - k)
+
+    stats = {i: plain_statistics(r) for i, r in rows.items()}
+    for c in range(7):
+        low, high = (quantile([stats[i][c] for i in fit if good[i]], q) for q in (quality_rules.BAND, 1 - quality_rules.BAND))
+        assert bands.low[c] == pytest.approx(low) and bands.high[c] == pytest.approx(high) and bands.unit[c] == pytest.approx(max((high - low) / 4, quality_rules.LEAST_UNIT))
+
+    def score(x):
+        e = [max(lo - v, v - hi, 0.0) / u for v, lo, hi, u in zip(x, bands.low, bands.high, bands.unit)]
+        e = [v / (1 + v) for v in e]
+        total = 0.0
+        for column, value, left, length in zip(forest.column, forest.value, forest.left, forest.length):
+            at = 0
+            while column[at] >= 0:
+                at = left[at] + (1 if e[column[at]] >= value[at] else 0)
+            total += length[at]
+        return 2.0 ** (-total / len(forest.column) / forest.scale)
+
+    scores = {i: score(x) for i, x in stats.items()}
+    kept_good = sorted(scores[i] for i in fit if good[i])
+    limit = kept_good[min(len(kept_good) - 1, math.ceil(quality_rules.KEEP_GOOD * len(kept_good)) - 1)]
+    assert threshold == pytest.approx(limit if any(scores[i] > limit for i in fit if not good[i]) else math.inf)
+    assert set(names) <= set(next(iter(rows.values())))
+    for r in quality_rules.judge(documents, labels).collect():
+        assert r.score == pytest.approx(scores[r.doc_id]) and r.base_failed == failed(rows[r.doc_id])
+        assert r.kept == (not r.base_failed and not scores[r.doc_id] > threshold)
