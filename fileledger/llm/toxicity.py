@@ -45,8 +45,9 @@ _SEPARATORS[[b for b in range(128) if not chr(b).isalnum()]] = True
 
 @dataclass
 class WindowSet:
-    """Distinct words of a slice (word bucket, trigram buckets by word) and windows of indices into them, -1 where a text ends."""
+    """Distinct words (hash, word bucket, trigram buckets by word) and windows of indices into them, -1 where a text ends."""
 
+    hash: np.ndarray
     bucket: np.ndarray
     trigrams: np.ndarray
     by_word: np.ndarray
@@ -75,19 +76,22 @@ def windows_of(piece: Slice) -> WindowSet:
     inside = index < count[doc][:, None]
     flat = np.append(which.astype(np.int32), -1)
     windows = flat[np.where(inside, index + words.by_doc[doc][:, None], len(which))]
-    return WindowSet((words.hash[first] >> np.uint64(20)).astype(np.int64) % WORDS, tri, np.concatenate([[0], np.cumsum(n)]), windows, doc)
+    return WindowSet(words.hash[first], (words.hash[first] >> np.uint64(20)).astype(np.int64) % WORDS, tri, np.concatenate([[0], np.cumsum(n)]), windows, doc)
 
 
 def windows_of_all(texts: list[str]) -> WindowSet:
-    """The windows of all texts, made slice by slice; a word met in several slices stands several times among the distinct ones."""
+    """The windows of all texts, made slice by slice, over the words that are distinct among all."""
     parts, words, grams = [], 0, 0
     for piece in slices(pa.array(texts, pa.large_string())):
         s = windows_of(piece)
-        parts.append((s.bucket, s.trigrams.astype(np.int32), s.by_word[:-1] + grams, np.where(s.windows >= 0, s.windows + np.int32(words), np.int32(-1)), s.doc + piece.first))
+        parts.append((s.hash, s.bucket, s.trigrams.astype(np.int32), s.by_word[:-1] + grams, np.where(s.windows >= 0, s.windows + np.int32(words), np.int32(-1)), s.doc + piece.first))
         words += len(s.bucket)
         grams += len(s.trigrams)
-    bucket, trigrams, by_word, windows, doc = (np.concatenate(x) for x in zip(*parts))
-    return WindowSet(bucket, trigrams, np.append(by_word, grams), windows, doc)
+    every, bucket, trigrams, begin, windows, doc = (np.concatenate(x) for x in zip(*parts))
+    length = np.diff(np.append(begin, grams))
+    named, first, which = np.unique(every, return_index=True, return_inverse=True)
+    flat = np.append(which.astype(np.int32), np.int32(-1))
+    return WindowSet(named, bucket[first], trigrams[ragged(begin[first], length[first])], np.concatenate([[0], np.cumsum(length[first])]), flat[windows], doc)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -164,7 +168,7 @@ class Network:
             used, local = used[1:], local - 1
         lengths = np.diff(s.by_word)[used]
         trigrams = s.trigrams[ragged(s.by_word[used], lengths)]
-        part = WindowSet(s.bucket[used], trigrams, np.concatenate([[0], np.cumsum(lengths)]), local, s.doc)
+        part = WindowSet(s.hash[used], s.bucket[used], trigrams, np.concatenate([[0], np.cumsum(lengths)]), local, s.doc)
         x, keep = self.inputs(part), {}
         logit = self.forward(x, local, keep)
         h = HIDDEN
