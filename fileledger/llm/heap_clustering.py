@@ -33,7 +33,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fileledger.sources.scratch import new_path, written
@@ -88,11 +88,23 @@ def blocks_of(whole: DataFrame, cfg: Clustering) -> DataFrame:
     return whole.mapInArrow(run, f"block bigint, ids array<{whole.dtypes[0][1]}>, vectors binary")
 
 
-def bucketed(df: DataFrame, name: str, buckets: int) -> DataFrame:
-    """df as a table bucketed by block in the shared folder."""
-    table = f"{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, "block").option("path", new_path(df.sparkSession, name)).saveAsTable(table)
-    return df.sparkSession.table(table)
+class BucketedTables:
+    """Tables bucketed by block in the shared folder; their names leave the catalog at the end, as with any external table the files stay."""
+
+    def __init__(self, spark: SparkSession, buckets: int):
+        self.spark, self.buckets, self.names = spark, buckets, []
+
+    def __enter__(self) -> BucketedTables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.names.append(f"{name}_{uuid.uuid4().hex}")
+        df.write.bucketBy(self.buckets, "block").option("path", new_path(self.spark, name)).saveAsTable(self.names[-1])
+        return self.spark.table(self.names[-1])
 
 
 def pack_heaps(heaps: list[Heap]) -> bytes:
@@ -229,14 +241,23 @@ def cluster_vectors(vectors: DataFrame, cfg: Clustering = Clustering(), id_col:
     if not k:
         schema = f"`{id_col}` {whole.dtypes[0][1]}, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string"
         return Found(spark.createDataFrame([], schema), centroids, [])
-    buckets = max(spark.sparkContext.defaultParallelism, -(-n * 4 * d // BUCKET_BYTES))
-    blocks = bucketed(blocks_of(whole, cfg).repartition(buckets, "block"), "vector_blocks", buckets)
+    with BucketedTables(spark, max(spark.sparkContext.defaultParallelism, -(-n * 4 * d // BUCKET_BYTES))) as tables:
+        blocks = tables.written(blocks_of(whole, cfg).repartition(tables.buckets, "block"), "vector_blocks")
+        rows, final, compared = _rounds(blocks, centroids, cfg, tables, id_col, whole.dtypes[0][1])
+    inertia = dict(rows.groupBy("cluster").agg(F.sum("distance")).collect())  # a row each cluster
+    named = [(j, inertia.get(j, 0), sum(inertia.values()), hashlib.sha256(",".join(map(str, final[j])).encode()).hexdigest()) for j in range(k)]
+    by_cluster = spark.createDataFrame(named, "cluster int, cluster_inertia bigint, inertia bigint, centroid_sha256 string")
+    return Found(rows.join(F.broadcast(by_cluster), "cluster").select(id_col, *rows.columns[1:], "cluster_inertia", "inertia", "centroid_sha256"), final, compared)
+
 
+def _rounds(blocks: DataFrame, centroids: np.ndarray, cfg: Clustering, tables: BucketedTables, id_col: str, id_type: str) -> tuple[DataFrame, np.ndarray, list[int]]:
+    """(id_col, cluster, distance) after all rounds, as written; the centroids, and how many vectors each pass compared."""
+    k, d = centroids.shape
     counts, sums, offsets, compared = [0] * k, [[0] * d for _ in range(k)], np.zeros(k), []
     state = None
     for step in range(cfg.rounds + 1):
         source = blocks.select("block", "vectors", F.lit(None).cast("binary").alias("heaps")) if state is None else _with_heaps(blocks.select("block", "vectors"), state)
-        state = bucketed(source.mapInArrow(_scanner(Round(centroids, offsets)), _STATE), "cluster_heaps", buckets)
+        state = tables.written(source.mapInArrow(_scanner(Round(centroids, offsets)), _STATE), "cluster_heaps")
         compared.append(state.agg(F.sum("compared")).first()[0])
         if step == cfg.rounds:
             break
@@ -263,8 +284,4 @@ def cluster_vectors(vectors: DataFrame, cfg: Clustering = Clustering(), id_col:
                 away = x - final[cluster]
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(i, 1).flatten(), pa.array(cluster), pa.array(np.einsum("ij,ij->i", away, away))], names=[id_col, "cluster", "distance"])
 
-    rows = written(_with_heaps(blocks, state).mapInArrow(assigned, f"`{id_col}` {whole.dtypes[0][1]}, cluster int, distance bigint"), "clusters")
-    inertia = dict(rows.groupBy("cluster").agg(F.sum("distance")).collect())  # a row each cluster
-    named = [(j, inertia.get(j, 0), sum(inertia.values()), hashlib.sha256(",".join(map(str, final[j])).encode()).hexdigest()) for j in range(k)]
-    by_cluster = spark.createDataFrame(named, "cluster int, cluster_inertia bigint, inertia bigint, centroid_sha256 string")
-    return Found(rows.join(F.broadcast(by_cluster), "cluster").select(id_col, *rows.columns[1:], "cluster_inertia", "inertia", "centroid_sha256"), final, compared)
+    return written(_with_heaps(blocks, state).mapInArrow(assigned, f"`{id_col}` {id_type}, cluster int, distance bigint"), "clusters"), final, compared

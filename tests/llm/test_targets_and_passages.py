@@ -145,10 +145,12 @@ def test_few_or_no_vectors(spark):
 
 def test_rounds_join_without_an_exchange(spark):
     df = spark.range(500).selectExpr("id as block", "cast(array(id % 7, id % 11) as array<double>) as v")
-    blocks = heap_clustering.bucketed(df, "test_blocks", 4)
-    state = heap_clustering.bucketed(df.selectExpr("block", "cast('x' as binary) as heaps"), "test_heaps", 4)
-    joined = heap_clustering._with_heaps(blocks, state)
-    assert joined.count() == 500 and "Exchange hash" not in joined._jdf.queryExecution().executedPlan().toString()
+    with heap_clustering.BucketedTables(spark, 4) as tables:
+        blocks = tables.written(df, "test_blocks")
+        state = tables.written(df.selectExpr("block", "cast('x' as binary) as heaps"), "test_heaps")
+        joined = heap_clustering._with_heaps(blocks, state)
+        assert joined.count() == 500 and "Exchange hash" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert not [t for t in spark.catalog.listTables() if t.name in tables.names]
 
 
 def test_clustering_query(spark):
