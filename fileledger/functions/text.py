@@ -10,9 +10,13 @@ def format_mode(mode: Column) -> Column:
 
 
 
+def _decimals(x: Column, pattern: str, unit: str) -> Column:
+    """x with the decimals of a pattern, the even one of two that are as near, and no marks between thousands."""
+    return F.concat(F.call_function("format_number", x, F.lit(pattern)), F.lit(unit))
+
+
 def _tenths(x: Column, unit: str) -> Column:
-    """x with one decimal, the even one of two that are as near, and no marks between thousands."""
-    return F.concat(F.call_function("format_number", x, F.lit("0.0")), F.lit(unit))
+    return _decimals(x, "0.0", unit)
 
 
 def format_micros(us: Column) -> Column:
@@ -36,7 +40,7 @@ def human_bytes(n: Column) -> Column:
     """1023 B, 1.50 KiB, ...; binary units."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB", "PiB"), 1):
-        out = F.when(n >= 1 << 10 * k, F.concat(F.format_string("%.2f", n / float(1 << 10 * k)), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(n >= 1 << 10 * k, _decimals(n / float(1 << 10 * k), "0.00", f" {unit}")).otherwise(out)
     return out
 
 

@@ -97,6 +97,12 @@ def test_paths_and_text(spark):
     assert (r.up, r.e, r.u, r.x, r.m, r.h, r.par, r.n) == (["", "a", "a/b\\c"], "a/b\\\\c/d", "a/b\\c/d", "a\\\\\\xff", "12.3ms", "1.50 KiB", "a/b\\c", "d")
 
 
+def test_sizes_halfway_between_two_decimals(spark):
+    """The even one of two that are as near; no marks between thousands."""
+    sizes = {441_984: "431.62 KiB", 442_112: "431.75 KiB", 952_448: "930.12 KiB", 1_048_575: "1024.00 KiB", 1152: "1.12 KiB", 1408: "1.38 KiB", 5 << 50: "5.00 PiB", (1 << 60) + 5: "1024.00 PiB", 1023: "1023 B"}
+    assert {r.s: r.h for r in spark.createDataFrame([(s,) for s in sizes], "s bigint").select("s", text.human_bytes(F.col("s")).alias("h")).collect()} == sizes
+
+
 def test_buckets(spark):
     values = [0, 1, 2047, 2048, 2049, 4095, 4096, 123_456_789, 10**11]
     for v, b, top in spark.createDataFrame([(v,) for v in values], "v bigint").select("v", hdr_bucket(F.col("v")).alias("b")).select("v", "b", hdr_highest_equivalent(F.col("b"))).collect():
