@@ -6,7 +6,7 @@ In batch both are DataFrame expressions over chunks of time (`signal_chunks`,
 
 from __future__ import annotations
 
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -22,7 +22,7 @@ class RatioConfig:
     short_us: int = 1_000_000
     long_p: float = 0.10
     short_p: float = 0.50
-    most_samples: int = 4096
+    most_samples: int | None = 4096  # None: every sample of the windows counts
     grow_below: float = 1.3
     shrink_above: float = 1.8
     grow_by: int = 1
@@ -48,25 +48,53 @@ def nearest_rank(ordered: list[int], p: float) -> int | None:
     return ordered[min(int(len(ordered) * p), len(ordered) - 1)] if ordered else None
 
 
+def counted_rank(values: list[tuple[int, int]], p: float) -> int | None:
+    """nearest_rank of values that are given with how often they occur."""
+    total = sum(n for _, n in values)
+    left = min(int(total * p), total - 1)
+    for v, n in sorted(values):
+        left -= n
+        if left < 0:
+            return v
+    return None
+
+
 class Ratio:
-    """Grows the window while current latency is near the baseline, shrinks it when far above."""
+    """Grows the window while current latency is near the baseline, shrinks it when far above.
+
+    Samples are held as (time, latency, how often).  Without most_samples, those that leave both windows at the
+    same ticks are counted by latency (`merge`), so what is held grows with distinct latencies only.
+    """
 
     def __init__(self, cfg: RatioConfig):
         self.cfg, self.cwnd = cfg, cfg.first
-        self.held: deque[tuple[int, int]] = deque()
+        self.held: deque[tuple[int, int, int]] = deque()
         self.fresh = False
 
-    def sample(self, at: int, latency: int) -> None:
-        self.held.append((at, max(1, latency)))
-        while len(self.held) > self.cfg.most_samples:
+    def sample(self, at: int, latency: int, n: int = 1) -> None:
+        self.held.append((at, max(1, latency), n))
+        while self.cfg.most_samples is not None and len(self.held) > self.cfg.most_samples:
             self.held.popleft()
         self.fresh = True
 
+    def merge(self, tick_us: int) -> None:
+        """Counts samples that no later tick tells apart; only where all count, as the order of the others matters."""
+        if self.cfg.most_samples is not None:
+            return
+        last = lambda at, back: (at + back) // tick_us
+        n: Counter = Counter()
+        first: dict[tuple, int] = {}
+        for at, v, k in self.held:
+            key = (last(at, self.cfg.long_us), last(at, self.cfg.short_us), v)
+            n[key] += k
+            first[key] = min(at, first.get(key, at))
+        self.held = deque(sorted((first[key], key[2], k) for key, k in n.items()))
+
     def tick(self, now: int) -> tuple[int | None, int | None, int]:
         """(baseline, current, cwnd).  A late sample counts if its time is within the long window, whenever it arrived."""
         self.held = deque(x for x in self.held if x[0] >= now - self.cfg.long_us)
-        baseline = nearest_rank(sorted(v for _, v in self.held), self.cfg.long_p)
-        current = nearest_rank(sorted(v for t, v in self.held if t >= now - self.cfg.short_us), self.cfg.short_p)
+        baseline = counted_rank([(v, n) for _, v, n in self.held], self.cfg.long_p)
+        current = counted_rank([(v, n) for t, v, n in self.held if t >= now - self.cfg.short_us], self.cfg.short_p)
         if self.fresh and baseline and current:
             ratio = current / baseline
             step = self.cfg.grow_by if ratio < self.cfg.grow_below else -self.cfg.shrink_by if ratio > self.cfg.shrink_above else 0
@@ -80,51 +108,69 @@ SCHEMA = "run string, side string, op string, tick bigint, baseline_us bigint, c
 
 UNIT = ["run", "side", "op"]
 # Arrays of this module are never empty and are read by inline_outer: for inline, the planner asks first whether an array is empty, and so makes it twice.
-#: Ticks of a chunk: what one row of the signal holds, together with at most most_samples of each tick.
+#: Ticks of a chunk: what one row of the signal holds, together with at most most_samples of each tick, or without that number the distinct latencies of each.
 CHUNK_TICKS = 512
 #: Chunks whose totals meet in one row of the scan over chunks.
 GROUP_CHUNKS = 1024
 
 
 def dealt_samples(samples: DataFrame, tick_us: int, cfg: RatioConfig) -> DataFrame:
-    """(run, side, op, at_us, v, due, chunk, own): samples by their tick's chunk, and once more (own: false) in the next chunk if that one's first ticks still see them.
+    """(run, side, op, at_us, v, n, due, chunk, own): samples by their tick's chunk, and once more (own: false) in the next chunk if that one's first ticks still see them.
 
     Chunks are much longer than the long window, so few samples are dealt twice, and none is copied by tick.
+    n is 1, unless every sample counts: then those of a latency that enter and leave the windows at the same ticks are one
+    row, with the time of the first.
     """
     span = -(-max(CHUNK_TICKS * tick_us, 2 * cfg.long_us) // tick_us) * tick_us
     at, due = F.col("at_us").cast("bigint"), F.col("due")
     s = samples.where("at_us is not null and latency_us is not null")
     s = s.select(*UNIT, at.alias("at_us"), F.greatest(F.lit(1), F.col("latency_us")).cast("bigint").alias("v"), (at + F.pmod(-at, F.lit(tick_us))).alias("due"))
+    if cfg.most_samples is None:
+        last = lambda back: F.call_function("div", F.col("at_us") + back - F.pmod(F.col("at_us") + back, F.lit(tick_us)), F.lit(tick_us))
+        s = s.groupBy(*UNIT, "v", "due", last(cfg.long_us).alias("_long"), last(cfg.short_us).alias("_short")).agg(F.min("at_us").alias("at_us"), F.count(F.lit(1)).alias("n")).drop("_long", "_short")
+    else:
+        s = s.withColumn("n", F.lit(1).cast("bigint"))
     s = s.withColumn("chunk", F.call_function("div", due - 1 - F.pmod(due - 1, F.lit(span)), F.lit(span)))
     here, later = F.struct("chunk", F.lit(True).alias("own")), F.struct((F.col("chunk") + 1).alias("chunk"), F.lit(False).alias("own"))
     seen_later = F.col("at_us") >= (F.col("chunk") + 1) * span + tick_us - cfg.long_us
-    return s.select(*UNIT, "at_us", "v", "due", F.explode(F.when(seen_later, F.array(here, later)).otherwise(F.array(here))).alias("in")).select(*UNIT, "at_us", "v", "due", "in.*")
+    return s.select(*UNIT, "at_us", "v", "n", "due", F.explode(F.when(seen_later, F.array(here, later)).otherwise(F.array(here))).alias("in")).select(*UNIT, "at_us", "v", "n", "due", "in.*")
 
 
 def signal_chunks(samples: DataFrame, tick_us: int, cfg: RatioConfig) -> DataFrame:
     """(run, side, op, chunk, ticks): the percentiles of each tick that had samples, by stretches of time.
 
     Within a chunk rows are numbered in order of time; a tick's windows are then slices
-    between two counts, of which the newest most_samples are read.
+    between two counts, of which the newest most_samples are read, or all with how often they occur.
     """
+    most = cfg.most_samples
     s = dealt_samples(samples, tick_us, cfg).repartition(*UNIT, "chunk")  # everything below works within a chunk
     due = F.col("due")
 
     # Of one tick's samples only the newest most_samples can ever count; the newest of all stands for the tick itself.
     newest = Window.partitionBy(*UNIT, "chunk", "due").orderBy(F.desc("at_us"), F.desc("v"))
-    s = s.withColumn("k", F.row_number().over(newest)).where(F.col("k") <= cfg.most_samples)
-    sample, tick = F.struct(F.col("at_us").alias("at"), F.col("v")), F.struct(due.alias("at"), F.lit(None).cast("bigint").alias("v"))
+    s = s.withColumn("k", F.row_number().over(newest))
+    s = s if most is None else s.where(F.col("k") <= most)
+    sample, tick = F.struct(F.col("at_us").alias("at"), F.col("v"), F.col("n")), F.struct(due.alias("at"), F.lit(None).cast("bigint").alias("v"), F.lit(None).cast("bigint").alias("n"))
     s = s.select(*UNIT, "chunk", F.explode(F.when(F.col("own") & (F.col("k") == 1), F.array(sample, tick)).otherwise(F.array(sample))).alias("e")).select(*UNIT, "chunk", "e.*")
     by_time = Window.partitionBy(*UNIT, "chunk").orderBy("at")
     until = lambda back: F.count("v").over(by_time.rangeBetween(Window.unboundedPreceding, back))
-    s = s.select(*UNIT, "chunk", "at", "v", until(0).alias("end"), until(-cfg.long_us - 1).alias("long"), until(-cfg.short_us - 1).alias("short"))
+    s = s.select(*UNIT, "chunk", "at", "v", "n", until(0).alias("end"), until(-cfg.long_us - 1).alias("long"), until(-cfg.short_us - 1).alias("short"))
     rows = s.groupBy(*UNIT, "chunk").agg(
-        F.sort_array(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("at", "v")))).alias("samples"),
+        F.sort_array(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("at", "v") if most is not None else F.struct("at", "v", "n")))).alias("samples"),
         F.sort_array(F.collect_list(F.when(F.col("v").isNull(), F.struct(F.col("at").alias("tick"), "end", "long", "short")))).alias("ticks"),
     )
 
+    def counted(t: Column, first: Column, p: float) -> Column:
+        seen = F.slice("samples", (first + 1).cast("int"), (t["end"] - first).cast("int"))
+        values = F.sort_array(F.transform(seen, lambda x: F.struct(x["v"].alias("v"), x["n"].alias("n"))))
+        total = F.aggregate(seen, F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+        start = F.struct(F.least(F.floor(total * p), total - 1).alias("left"), F.lit(None).cast("bigint").alias("v"))
+        return F.aggregate(values, start, lambda a, x: F.struct((a["left"] - x["n"]).alias("left"), F.when((a["left"] >= 0) & (a["left"] < x["n"]), x["v"]).otherwise(a["v"]).alias("v")))["v"]
+
     def rank(t: Column, first: Column, p: float) -> Column:
-        first = F.greatest(first, t["end"] - cfg.most_samples)
+        if most is None:
+            return counted(t, first, p)
+        first = F.greatest(first, t["end"] - most)
         n = t["end"] - first
         values = F.sort_array(F.transform(F.slice("samples", (first + 1).cast("int"), n.cast("int")), lambda x: x["v"]))
         return F.when(n > 0, F.element_at(values, F.least(F.floor(n * p) + 1, n).cast("int")))
@@ -137,7 +183,7 @@ def ratio_signal(samples: DataFrame, tick_us: int = 1_000_000, cfg: RatioConfig
     """(run, side, op, tick, baseline_us, current_us): percentiles of the long and the short window at every tick that had samples.
 
     samples: run, side, op, at_us, latency_us.  A tick sees the samples up to its time, of
-    those the newest most_samples; a sample without a time or a latency is none.
+    those the newest most_samples if there is such a number; a sample without a time or a latency is none.
     """
     return signal_chunks(samples, tick_us, cfg).select(*UNIT, F.inline_outer("ticks"))
 

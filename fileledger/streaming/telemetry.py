@@ -30,18 +30,27 @@ def sliding_windows(samples: DataFrame, long: str = "10 seconds", tick: str = "1
 
 
 def _newest(frames: Iterator[pd.DataFrame], tick_us: int, cfg: RatioConfig) -> pd.DataFrame:
-    """(at_us, latency_us) of a micro-batch in order of time: of each tick the newest most_samples, as no older one of it can count.  Frames are thinned as they come."""
-    held = pd.DataFrame({"at_us": pd.Series(dtype="int64"), "latency_us": pd.Series(dtype="int64")})
-    limit = 2 * cfg.most_samples
+    """(at_us, latency_us) of a micro-batch in order of time: of each tick the newest most_samples, as no older one of it can count.  Frames are thinned as they come.
+
+    Where every sample counts there is a third column n: those of a latency that enter and leave the windows at the same ticks are one row, with the time of the first.
+    """
+    names = ["at_us", "latency_us", *(["n"] if cfg.most_samples is None else [])]
+    held = pd.DataFrame({n: pd.Series(dtype="int64") for n in names})
+    more = 2 * (cfg.most_samples or RatioConfig.most_samples)
+    limit = more
     for f in frames:
-        held = pd.concat([held, f[["at_us", "latency_us"]].dropna()], ignore_index=True)
+        held = pd.concat([held, f[["at_us", "latency_us"]].dropna().assign(n=1)[names]], ignore_index=True)
         if len(held) > limit:
             held = _thinned(held, tick_us, cfg)
-            limit = len(held) + 2 * cfg.most_samples
+            limit = 2 * len(held) + more
     return _thinned(held, tick_us, cfg).astype("int64")
 
 
 def _thinned(held: pd.DataFrame, tick_us: int, cfg: RatioConfig) -> pd.DataFrame:
+    if cfg.most_samples is None:
+        at = held["at_us"]
+        held = held.groupby([-(-at // tick_us), (at + cfg.long_us) // tick_us, (at + cfg.short_us) // tick_us, held["latency_us"].rename("v")]).agg(at_us=("at_us", "min"), latency_us=("latency_us", "min"), n=("n", "sum"))
+        return held.reset_index(drop=True).sort_values(["at_us", "latency_us"])
     held = held.sort_values(["at_us", "latency_us"])
     return held.groupby(-(-held["at_us"] // tick_us)).tail(cfg.most_samples)
 
@@ -50,7 +59,7 @@ def control(samples: DataFrame, tick_us: int = 1_000_000, cfg: RatioConfig = Rat
     """The controller's rows as samples (run, side, op, at_us, latency_us) arrive.
 
     State by unit: the window size and the samples of the long window, at most
-    most_samples.  A tick is emitted when a later sample shows that it has passed;
+    most_samples, or all of them counted by latency.  A tick is emitted when a later sample shows that it has passed;
     samples older than the long window are ignored, others count whenever they come.
     """
 
@@ -58,23 +67,25 @@ def control(samples: DataFrame, tick_us: int = 1_000_000, cfg: RatioConfig = Rat
         c = Ratio(cfg)
         tick = None
         if state.exists:
-            cwnd, fresh, tick, times, values = state.get
+            cwnd, fresh, tick, times, values, counts = state.get
             c.cwnd, c.fresh = cwnd, fresh
-            c.held.extend(zip(times, values))
+            c.held.extend(zip(times, values, counts))
         rows = []
-        for at, latency in _newest(frames, tick_us, cfg).itertuples(index=False):
-            due = max(-(-at // tick_us) * tick_us, tick or 0)
+        for at, latency, *n in _newest(frames, tick_us, cfg).itertuples(index=False):
+            due = -(-at // tick_us) * tick_us
+            due = due if tick is None else max(due, tick)
             if tick is not None and at < tick - cfg.long_us:
                 continue
             if tick is not None and due != tick:
                 rows.append((*key, tick, *c.tick(tick)))
             tick = due
-            c.sample(at, latency)
-        state.update((c.cwnd, c.fresh, tick, [int(t) for t, _ in c.held], [int(v) for _, v in c.held]))
+            c.sample(at, latency, *n)
+        c.merge(tick_us)
+        state.update((c.cwnd, c.fresh, tick, *([int(x[i]) for x in c.held] for i in range(3))))
         names = ["run", "side", "op", "tick", "baseline_us", "current_us", "cwnd"]
         yield pd.DataFrame(rows, columns=names).astype({"baseline_us": "Int64", "current_us": "Int64", "tick": "int64", "cwnd": "int64"})
 
-    return samples.groupBy("run", "side", "op").applyInPandasWithState(step, SCHEMA, "cwnd bigint, fresh boolean, tick bigint, times array<bigint>, vals array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    return samples.groupBy("run", "side", "op").applyInPandasWithState(step, SCHEMA, "cwnd bigint, fresh boolean, tick bigint, times array<bigint>, vals array<bigint>, counts array<bigint>", "append", GroupStateTimeout.NoTimeout)
 
 
 def progress_rates(progress: DataFrame, counters=("ops_finished", "bytes_copied")) -> DataFrame:
@@ -106,14 +117,14 @@ def control_rest(left: DataFrame, tick_us: int = 1_000_000, cfg: RatioConfig = R
     def last(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for run, side, op, cwnd, fresh, tick, times, values in f.itertuples(index=False):
+            for run, side, op, cwnd, fresh, tick, times, values, counts in f.itertuples(index=False):
                 c = Ratio(cfg)
                 c.cwnd, c.fresh = cwnd, fresh
-                c.held.extend(zip(times, values))
+                c.held.extend(zip(times, values, counts))
                 rows.append((run, side, op, tick, *c.tick(tick)))
             yield pd.DataFrame(rows, columns=names).astype({"baseline_us": "Int64", "current_us": "Int64", "tick": "int64", "cwnd": "int64"})
 
-    state = left.select("run", "side", "op", *(F.col(f"groupState.{c}").alias(c) for c in ("cwnd", "fresh", "tick", "times", "vals")))
+    state = left.select("run", "side", "op", *(F.col(f"groupState.{c}").alias(c) for c in ("cwnd", "fresh", "tick", "times", "vals", "counts")))
     return state.where("tick is not null").mapInPandas(last, SCHEMA)
 
 

@@ -1,6 +1,7 @@
 import json
 import random
 import struct
+from collections import Counter
 
 import pandas as pd
 import pyarrow.fs as pafs
@@ -263,6 +264,63 @@ def test_micro_batches_are_thinned_as_they_come():
     assert len(_newest(iter([]), 1000, cfg)) == 0
 
 
+def dense_samples(seed, n):
+    """Many samples in few ticks, some on the ticks themselves; latencies rise."""
+    rng = random.Random(seed)
+    at = lambda: rng.choice([rng.randrange(-2_000_000, 14_000_000), 1_000_000 * rng.randrange(-2, 14), 1_000_000 * rng.randrange(-2, 14) + 1])
+    return [("r0", "source", "stat", t, rng.choice([0] + [100, rng.randrange(90, 400)] * 12) * 3 + max(0, t) // 20_000 * (rng.random() < 0.97)) for t in (at() for _ in range(n))]
+
+
+@pytest.mark.parametrize("tick_us, cfg", [(1_000_000, RatioConfig(most_samples=None)), (700_000, RatioConfig(long_us=3_000_000, short_us=250_000, most_samples=None)), (50_000, RatioConfig(long_us=5_000_000, most_samples=None))])
+def test_windows_without_a_number_of_samples(spark, tmp_path, monkeypatch, tick_us, cfg):
+    """More samples than 4096 in a window count all, in batch and in a stream of several frames."""
+    monkeypatch.setattr(controller, "CHUNK_TICKS", 4)
+    rows = dense_samples(6, 15_000)
+    whole = RatioConfig(long_us=cfg.long_us, short_us=cfg.short_us, most_samples=10**6)
+    want = brute_replay([(*r[:4], max(1, r[4])) for r in rows], tick_us, whole)
+    schema = "run string, side string, op string, at_us bigint, latency_us bigint"
+    df = spark.createDataFrame(rows, schema)
+    pick = lambda d: sorted((r.run, r.tick, r.baseline_us, r.current_us, r.cwnd) for r in d.collect())
+    assert pick(replay_controller(df, tick_us, cfg)) == want
+    if tick_us == 1_000_000:
+        assert pick(replay_controller(df, tick_us)) != want
+    df.coalesce(1).write.parquet(str(tmp_path / "s"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "s"))
+    assert pick(drain(control(stream, tick_us, cfg), "dense", rest=lambda left: control_rest(left, tick_us, cfg))) == want
+
+
+def test_counted_samples_of_a_stream(spark, tmp_path):
+    """Two micro-batches, the second with late samples, against the policy fed one sample at a time; the state holds distinct latencies only."""
+    rng, cfg = random.Random(3), RatioConfig(long_us=4_000_000, most_samples=None)
+    rows = [(int(rng.uniform(0, 20_000_000)), rng.choice([100, 150, 300])) for _ in range(20_000)]
+    first = sorted(r for r in rows if r[0] < 12_000_000 and rng.random() < 0.8)
+    second = sorted((Counter(rows) - Counter(first)).elements())
+    c, tick, want = Ratio(cfg), None, []
+    for part in (first, second):
+        for at, v in part:
+            if tick is not None and at < tick - cfg.long_us:
+                continue
+            due = max(-(-at // 1_000_000) * 1_000_000, tick or 0)
+            if tick is not None and due != tick:
+                want.append((tick, *c.tick(tick)))
+            tick = due
+            c.sample(at, v)
+    want.append((tick, *c.tick(tick)))
+    schema = "run string, side string, op string, at_us bigint, latency_us bigint"
+    for part in (first, second):
+        spark.createDataFrame([("r", "s", "o", *x) for x in part], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "s"))
+    sizes = []
+
+    def rest(left):
+        sizes.extend(len(r.t) for r in left.selectExpr("groupState.times as t").collect())
+        return control_rest(left, cfg=cfg)
+
+    got = drain(control(stream, cfg=cfg), "counted", rest=rest)
+    assert sorted((r.tick, r.baseline_us, r.current_us, r.cwnd) for r in got.collect()) == sorted(want)
+    assert 0 < sizes[0] <= 3 * 12
+
+
 def test_stream_rates(spark, tmp_path):
     rows = [("r", "source", "2024-01-01 00:00:00", 0, 0), ("r", "source", "2024-01-01 00:00:10", 50, 100), ("r", "source", "2024-01-01 00:00:10", 60, 100)]
     spark.createDataFrame(rows, "run string, side string, ts string, ops_finished bigint, bytes_copied bigint").selectExpr("run", "side", "cast(ts as timestamp) ts", "ops_finished", "bytes_copied").coalesce(1).write.parquet(str(tmp_path / "p"))
