@@ -64,7 +64,8 @@ class VersionedTable:
     def write(self, rows: DataFrame, batch_id: int, before: dict[int, int], touched: Iterable[int]) -> DataFrame:
         """Makes rows the contents of the touched buckets, and commits; gives them back as written."""
         spark, path = rows.sparkSession, f"{self.folder}/data/version={batch_id}"
-        rows.withColumn(BUCKET, self.bucket()).repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
+        # Rebalanced, not repartitioned: a bucket that is large is written by several tasks, as several files.
+        rows.withColumn(BUCKET, self.bucket()).hint("rebalance", F.col(BUCKET)).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
         full = spark.read.schema(f"{self.schema}, {BUCKET} int").parquet(path)
         filled = [r[0] for r in full.select(BUCKET).distinct().collect()]
         gone = set(touched)

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from fileledger.jobs import stream_queries
 from fileledger.operators.compare import compare
 from fileledger.operators.plans import copy_plan
 from fileledger.operators.reports import completion
@@ -31,6 +32,27 @@ def test_versions_of_buckets(spark, tmp_path):
     assert t.current(spark).where("k = 'k3'").count() == 0
 
 
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    t = VersionedTable(f"file://{tmp_path}/t", "k string, v bigint", "k", 2)
+    rows = spark.range(0, 40_000, 1, 8).select(F.sha2(F.col("id").cast("string"), 256).alias("k"), F.col("id").alias("v"))
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        t.write(rows, 0, {}, [0, 1])
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    now = t.current(spark)
+    assert len(now.inputFiles()) > 4 and set(t.latest(spark)) == {0, 1}
+    assert now.count() == 40_000 and now.agg(F.sum("v")).first()[0] == sum(range(40_000))
+
+
+def test_files_of_a_feed_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream_queries, "_FILE_ROWS", 100)
+    files = stream_queries._write_feed(spark.range(1000).repartition(2), f"file://{tmp_path}/f", 3)
+    sizes = [r[0] for r in spark.read.parquet(f"file://{tmp_path}/f").groupBy(F.input_file_name()).count().select("count").collect()]
+    assert files == 4 and len(sizes) == 12 and max(sizes) <= 100 and sum(sizes) == 1000
+
+
 def test_manifest_after_a_feed(spark, tmp_path):
     """Random changes in random batches, some twice in a batch, and batches that come again: the table is the newest change of every path."""
     rng = random.Random(1)
