@@ -1,10 +1,12 @@
 """Quality rules: counts of every whole text, and an isolation forest over rule statistics.
 
 The base rules are fixed thresholds on the counts.  For the rest, each statistic
-is measured by how far it lies outside the range of nearly all good labelled rows
-(a bounded sample), and random trees over all possible distances are filled with
-the good ones; documents that few random splits isolate are anomalous.  The score threshold is calibrated on
-labelled rows: the least one that keeps KEEP_GOOD of the good rows.
+is measured by how far it lies outside the range of nearly all good labelled rows,
+and random trees over all possible distances are filled with
+all good ones; documents that few random splits isolate are anomalous.  The score threshold is calibrated on
+labelled rows: the least one that keeps KEEP_GOOD of the good rows.  Every labelled row that passes the
+base rules counts: ranks are found digit by digit from counts, and trees are drawn before they are
+filled, so tasks send counts whose number does not grow with the rows.
 
 Rules.  Null text counts as empty; a text of under 10 words fails; texts are read
 whole; repeated rows are judged alike; without labelled rows of both kinds the
@@ -16,7 +18,7 @@ only if all say so, and counts once.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,8 +31,8 @@ from fileledger.sources.scratch import written
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_upper", "n_marks", "n_lines")
-#: Labelled rows that fitting and calibration read, the smallest by hash of the id.
-SAMPLE_ROWS = 20_000
+#: Bits of a digit of `order_statistics`.
+DIGIT = 11
 TREES, TREE_ROWS = 128, 64
 KEEP_GOOD = 0.995
 #: Share of good rows beyond either end of a statistic's band, and the least unit outside it.
@@ -233,20 +235,147 @@ def calibrate(scores: np.ndarray, good: np.ndarray, keep: float = KEEP_GOOD) ->
     return float(threshold) if (scores[~good] > threshold).any() else float("inf")
 
 
+def _keys(x: np.ndarray) -> np.ndarray:
+    """Unsigned numbers in the order of doubles."""
+    bits = np.ascontiguousarray(x + 0.0).view(np.uint64)
+    return np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
+
+
+def _value(key: int) -> float:
+    bits = key ^ (1 << 63) if key >> 63 else key ^ ((1 << 64) - 1)
+    return float(np.array([bits], np.uint64).view(np.float64)[0])
+
+
+def _tallies(rows: DataFrame, count: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over tasks of what count makes of their rows (a matrix of all columns), as (place, how many), places in order.  A task sends a place once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = None
+        for b in batches:
+            if b.num_rows:
+                more = count(np.stack([c.to_numpy() for c in b.columns], axis=1))
+                n = more if n is None else n + more
+        if n is not None:
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["place", "n"])
+
+    found = rows.mapInArrow(run, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).orderBy("place").collect()
+    return np.array([tuple(r) for r in found], np.int64).reshape(-1, 2)
+
+
+def order_statistics(rows: DataFrame, targets: Sequence[tuple[int, int]]) -> list[float]:
+    """The values at ranks (from 0) of columns of doubles, given as (column, rank): exact, by counts of one digit after the other."""
+    known, ranks = [0] * len(targets), [r for _, r in targets]
+    columns = [c for c, _ in targets]
+    left = 64
+    while left:
+        bits = min(DIGIT, left)
+        left -= bits
+        wide = 1 << bits
+        asked, low = list(known), left
+
+        def count(x: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(asked) * wide, np.int64)
+            for t, (c, prefix) in enumerate(zip(columns, asked)):
+                k = _keys(x[:, c]) >> np.uint64(low)
+                k = k[k >> np.uint64(bits) == np.uint64(prefix)] if prefix or low + bits < 64 else k
+                out[t * wide : (t + 1) * wide] = np.bincount((k & np.uint64(wide - 1)).astype(np.int64), minlength=wide)
+            return out
+
+        table = _tallies(rows, count)
+        for t in range(len(targets)):
+            mine = table[table[:, 0] // wide == t]
+            run = np.cumsum(mine[:, 1])
+            k = int(np.searchsorted(run, ranks[t], side="right"))
+            ranks[t] -= int(run[k - 1]) if k else 0
+            known[t] = (known[t] << bits) | int(mine[k, 0] % wide)
+    return [_value(k) for k in known]
+
+
+def whole_bands(good: DataFrame, n: int) -> Bands:
+    """fit_bands of all rows."""
+    width, ends = len(good.columns), [q * (n - 1) for q in (BAND, 1 - BAND)]
+    ranks = [(c, min(int(e) + k, n - 1)) for e in ends for k in (0, 1) for c in range(width)]
+    v = np.array(order_statistics(good, ranks)).reshape(2, 2, width)
+    low, high = (a + (b - a) * (e - int(e)) for (a, b), e in zip(v, ends))
+    return Bands(low, high, np.maximum((high - low) / 4, LEAST_UNIT))
+
+
+def _expected_of(mass: float) -> float:
+    """_expected where a node holds a part of a row."""
+    return max(0.0, mass - 1) if mass <= 2 else max(1.0, _expected(mass))
+
+
+def whole_forest(good: DataFrame, bands: Bands, n: int, seed: int = 11) -> Forest:
+    """Random trees over [0, 1] in every column, filled with how far all good rows lie beyond the bands.
+
+    A node is split while it holds more than one of TREE_ROWS rows' worth; its rows count as that many parts.
+    """
+    rng, width = np.random.default_rng(seed), len(good.columns)
+    rows = min(TREE_ROWS, n)
+    depth = max(1, int(np.ceil(np.log2(max(2, rows)))) + 2)
+    inner, nodes = (1 << depth) - 1, (2 << depth) - 1  # children of a node k stand at 2k + 1 and 2k + 2
+    column = np.full((TREES, nodes), -1)
+    value = np.zeros((TREES, nodes))
+    for t in range(TREES):
+        box = [(np.zeros(width), np.ones(width))]
+        for k in range(inner):
+            low, high = box[k]
+            c = int(rng.integers(width))
+            column[t, k], value[t, k] = c, rng.uniform(low[c], high[c])
+            at = np.arange(width) == c
+            box += [(low, np.where(at, value[t, k], high)), (np.where(at, value[t, k], low), high)]
+    left = np.tile(2 * np.arange(nodes) + 1, (TREES, 1))
+
+    def count(x: np.ndarray) -> np.ndarray:
+        e, every = bands.beyond(x), np.arange(len(x))
+        out = np.zeros(TREES * nodes, np.int64)
+        for t in range(TREES):
+            node = np.zeros(len(x), np.int64)
+            for _ in range(depth):
+                node = 2 * node + 1 + (e[every, column[t, node]] >= value[t, node])
+            out[t * nodes : (t + 1) * nodes] = np.bincount(node, minlength=nodes)
+        return out
+
+    table = _tallies(good, count)
+    held = np.zeros(TREES * nodes)
+    held[table[:, 0]] = table[:, 1]
+    held = held.reshape(TREES, nodes)
+    for k in range(inner - 1, -1, -1):
+        held[:, k] = held[:, 2 * k + 1] + held[:, 2 * k + 2]
+    mass = held * rows / n
+    level = np.floor(np.log2(np.arange(nodes) + 1))
+    length = level + np.vectorize(_expected_of, otypes=[float])(mass)
+    column[mass <= 1] = -1
+    return Forest(column, value, left, length, _expected(rows))
+
+
 def fit(labelled: DataFrame, label_col: str = "quality") -> tuple[Bands, Forest, float] | None:
-    """Bands and forest of the good rows and the threshold, from labelled counts (bounded to SAMPLE_ROWS by hash of the row's counts and id)."""
-    names = (*COUNTS, *MORE)
-    rows = labelled.where(F.col(label_col).isNotNull() & ~base_failed()).select(labelled.columns[0], label_col, *names)
-    place = F.shiftrightunsigned(F.xxhash64(labelled.columns[0], *names), 11) / float(1 << 53)
-    rows = rows.withColumn("_place", place).where(F.col("_place") < 1.5 * SAMPLE_ROWS / max(1, rows.count()))  # so that tasks send little more than the sample
-    rows = rows.orderBy("_place").limit(SAMPLE_ROWS).select(label_col, *names).toPandas()
-    good = rows[label_col].to_numpy() == 1
-    if not len(rows) or good.all() or not good.any():
+    """Bands and forest of all good rows and the threshold, from all labelled counts."""
+    names, columns = (*COUNTS, *MORE), [f"s{i}" for i in range(7)]
+    rows = labelled.where(F.col(label_col).isNotNull() & ~base_failed()).select((F.col(label_col) == 1).alias("good"), *names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = statistics({k: b.column(i + 1).to_numpy() for i, k in enumerate(names)})
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v) for v in x.T)], names=["good", *columns])
+
+    stats = written(rows.mapInArrow(run, ", ".join(["good boolean", *(f"{c} double" for c in columns)])), "quality-statistics")
+    n, bad = stats.agg(F.count_if("good"), F.count_if(~F.col("good"))).first()
+    if not n or not bad:
         return None
-    x = statistics({k: rows[k].to_numpy() for k in names})
-    bands = fit_bands(x[good])
-    forest = fit_forest(bands.beyond(x[good]), box=(0.0, 1.0))
-    return bands, forest, calibrate(forest.scores(bands.beyond(x)), good)
+    good = stats.where("good").select(*columns)
+    bands = whole_bands(good, n)
+    forest = whole_forest(good, bands, n)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.stack([c.to_numpy() for c in b.columns[1:]], axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(forest.scores(bands.beyond(x)))], names=["good", "score"])
+
+    scored = written(stats.mapInArrow(score, "good boolean, score double"), "quality-scores")
+    (threshold,) = order_statistics(scored.where("good").select("score"), [(0, min(n - 1, int(np.ceil(KEEP_GOOD * n)) - 1))])
+    return bands, forest, threshold if scored.where(~F.col("good") & (F.col("score") > threshold)).count() else float("inf")
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", also: Sequence[str] = ()) -> DataFrame:

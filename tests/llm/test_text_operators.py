@@ -161,6 +161,44 @@ def test_judging(spark, labels, odd_texts):
     assert q[q.quality == 1].kept.mean() > 0.99 and q[q.quality == 0].kept.mean() < 0.3
 
 
+def test_ranks_by_digits(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 1, 400), np.zeros(200), [-0.0, 1e-300, -1e300, 5.0, 5.0]])
+    df = spark.createDataFrame([(float(v), float(-v)) for v in x], "a double, b double").repartition(5)
+    ranks = [0, 1, 17, 300, 400, len(x) - 1]
+    got = quality_rules.order_statistics(df, [(c, r) for c in (0, 1) for r in ranks])
+    assert got == [*np.sort(x)[ranks], *np.sort(-x)[ranks]]
+
+
+def test_every_labelled_row_fills_the_trees(spark, monkeypatch):
+    """25 000 good rows of one kind and 30 of another: bands, trees and threshold against all of them in plain numpy."""
+    monkeypatch.setattr(quality_rules, "TREES", 8)
+    rng = random.Random(1)
+    row = lambda i: (i, 1 if i < 25_030 else 0, 100 + rng.randrange(50), 500, rng.randrange(4) if i < 25_000 else 90, 0, 0, 10, rng.randrange(20), 5)
+    rows = [row(i) for i in range(25_060)]
+    names = (*quality_rules.COUNTS, *quality_rules.MORE)
+    bands, forest, threshold = quality_rules.fit(spark.createDataFrame(rows, ", ".join(["doc_id bigint, quality int", *(f"{n} bigint" for n in names)])))
+    x = quality_rules.statistics({n: np.array([r[i + 2] for r in rows]) for i, n in enumerate(names)})
+    good = np.arange(len(rows)) < 25_030
+    want = quality_rules.fit_bands(x[good])
+    for got, plain in ((bands.low, want.low), (bands.high, want.high), (bands.unit, want.unit)):
+        assert np.allclose(got, plain)
+    e, n = want.beyond(x[good]), 25_030
+    for t in range(8):
+
+        def check(at, level, part):
+            mass = len(part) * 64 / n
+            if mass <= 1 or level == 8:
+                assert forest.column[t, at] == -1 and forest.length[t, at] == pytest.approx(level + quality_rules._expected_of(mass))
+                return
+            below = part[:, forest.column[t, at]] < forest.value[t, at]
+            check(forest.left[t, at], level + 1, part[below])
+            check(forest.left[t, at] + 1, level + 1, part[~below])
+
+        check(0, 0, e)
+    assert threshold == quality_rules.calibrate(forest.scores(want.beyond(x)), good)
+
+
 def test_judging_sees_every_statistic(spark, labels):
     """Texts that pass the base rules and hold no symbol: repeated short lines, one-letter words, words run together."""
     rng = random.Random(3)
