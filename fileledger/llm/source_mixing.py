@@ -9,11 +9,9 @@ for each category what was asked, what was aimed at and what is reached.  A docu
 taken if a hash of its id, read as a number in [0, 1), is below its cell's probability.
 
 The topic is a column of that name where there is one.  Else it comes from the
-corpus: counts of words of 5 bytes or more in hashed buckets, damped, weighted by
-rarity and less the mean profile of the document's language, are clustered by
-k-means on a sample of SAMPLE_DOCS documents, and every text takes the nearest of
-the centres t0 to t7, each with a constant lead that gives them about equal shares
-of the sample's words.  Texts without such words fall to the centre of most lead.
+corpus: `topics` clusters the word profiles of all documents, and every text takes
+the nearest of the centres t0 to t7, each with a constant lead that gives them about
+equal shares of the words.
 
 Rules.  Null source, language or topic is the category ''.  Null text is empty
 (0 tokens).  Every category is raked by itself; the cells that occur are held on the
@@ -36,12 +34,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fileledger.llm.kernel import slices, split_words
+from fileledger.llm.topics import BUCKETS, Topics, count_words, fit_topics  # noqa: F401
 from fileledger.sources.scratch import written
 
-TOPICS = 8
-#: Topics are fitted on this many documents, over word counts in this many buckets.
-SAMPLE_DOCS, BUCKETS = 4000, 1024
-STARTS, CLUSTER_ROUNDS, LEAD_ROUNDS, SAMPLE_SEED = 6, 50, 200, 29
 MARGINS = ("source", "lang", "topic")
 #: A share off its target by more than this part of it is not met.
 MOST_OFF = 0.01
@@ -64,101 +59,6 @@ class Mix:
     tolerance: float = 1e-9
 
 
-@dataclass
-class Topics:
-    """Word weights, the mean profile of each language ('' for any other), the centres of the topics, and a lead that evens out their words."""
-
-    weight: np.ndarray
-    means: dict[str, np.ndarray]
-    centres: np.ndarray
-    lead: np.ndarray
-
-    def profiles(self, counts: np.ndarray, langs: list[str]) -> np.ndarray:
-        """Unit vectors of how texts differ from their language's mean profile."""
-        x = _unit(np.sqrt(counts) * self.weight)
-        for lang in set(langs):
-            mine = np.array([v == lang for v in langs])
-            x[mine] -= self.means.get(lang, self.means[""])
-        return _unit(x * counts.any(axis=1, keepdims=True))
-
-    def of(self, counts: np.ndarray, langs: list[str]) -> np.ndarray:
-        return (self.profiles(counts, langs) @ self.centres.T + self.lead).argmax(axis=1)
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
-
-
-def _counts(piece) -> tuple[np.ndarray, np.ndarray]:
-    """Words of 5 bytes or more by bucket, and the number of all words, of each document."""
-    words = split_words(piece, fold_case=True)
-    long = words.end - words.start >= 5
-    at = words.doc[long] * BUCKETS + (words.hash[long] % np.uint64(BUCKETS)).astype(np.int64)
-    return np.bincount(at, minlength=len(piece) * BUCKETS).reshape(-1, BUCKETS), np.diff(words.by_doc)
-
-
-def _centres(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    centres = x[rng.integers(len(x))][None]
-    while len(centres) < min(TOPICS, len(x)):
-        far = np.maximum(1 - (x @ centres.T).max(axis=1), 0.0)
-        if far.sum() < 1e-9:
-            break
-        far = far**2
-        centres = np.vstack([centres, x[rng.choice(len(x), p=far / far.sum())]])
-    for _ in range(CLUSTER_ROUNDS):
-        near = (x @ centres.T).argmax(axis=1)
-        sums = np.stack([x[near == k].sum(axis=0) for k in range(len(centres))])
-        moved = np.where(sums.any(axis=1, keepdims=True), _unit(sums), centres)
-        if np.abs(moved - centres).max() < 1e-6:
-            break
-        centres = moved
-    return centres
-
-
-def cluster(counts: np.ndarray, langs: list[str], seed: int = 5) -> Topics:
-    """Spherical k-means over the profiles of sampled documents."""
-    seen = (counts > 0).sum(axis=0)
-    model = Topics(np.log((1 + len(counts)) / (1 + seen)) + 1, {}, np.zeros((1, BUCKETS)), np.zeros(1))
-    x = _unit(np.sqrt(counts) * model.weight)
-    groups = np.array(langs, dtype=object)
-    model.means = {lang: x[groups == lang].mean(axis=0) for lang in set(langs)}
-    model.means[""] = model.means.get("", x.mean(axis=0) if len(x) else np.zeros(BUCKETS))
-    x = model.profiles(counts, langs)
-    mass = counts.sum(axis=1)[x.any(axis=1)] / max(1, counts.sum())
-    x = x[x.any(axis=1)]
-    if not len(x):
-        return model
-    rng = np.random.default_rng(seed)
-    centres = max((_centres(x, rng) for _ in range(STARTS)), key=lambda c: (x @ c.T).max(axis=1).sum())
-    like, lead, best = x @ centres.T, np.zeros(len(centres)), (np.inf, None)
-    for step in range(LEAD_ROUNDS):
-        words = np.bincount((like + lead).argmax(axis=1), weights=mass, minlength=len(centres))
-        best = min(best, (float(words.max() - words.min()), tuple(lead)))
-        lead = lead - (words - 1 / len(centres)) * like.std() * 2 / (1 + step / 20)
-    model.centres, model.lead = centres, np.array(best[1])
-    return model
-
-
-def fit_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Topics | None:
-    """Topics of a sample of SAMPLE_DOCS documents, the smallest by hash of the id; None where docs have a topic column."""
-    if "topic" in docs.columns:
-        return None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for piece in slices(b.column(2)):
-                rows = [np.minimum(c, 1 << 30).astype(np.int32).tobytes() for c in _counts(piece)[0]]
-                part = b.slice(piece.first, len(piece))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.binary())], names=["place", "lang", "counts"])
-
-    place = draw(F.col(id_col), SAMPLE_SEED)
-    slim = docs.select(place.alias("place"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    slim = slim.where(F.col("place") < 1.5 * SAMPLE_DOCS / max(1, docs.count()))
-    rows = slim.mapInArrow(run, "place double, lang string, counts binary").orderBy("place", "lang", "counts").limit(SAMPLE_DOCS).collect()
-    counts = np.frombuffer(b"".join(bytes(r.counts) for r in rows), np.int32).reshape(-1, BUCKETS)
-    return cluster(counts, [r.lang for r in rows])
-
-
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topics: Topics | None = None, seed: int = Mix.seed) -> DataFrame:
     """(id, source, lang, drawn, topic, n_tokens).  topic: the column of that name, or the nearest centre of topics (fitted if not given).  drawn: the row's number in [0, 1)."""
     topics = topics or fit_topics(docs, id_col, text_col)
@@ -170,7 +70,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top
             found, tokens = [], []
             for p in slices(b.column(5)):
                 langs = b.column(2).slice(p.first, len(p)).to_pylist()
-                counts, n = _counts(p) if shared.value else (None, _n_words(p))
+                counts, n = count_words(p) if shared.value else (None, _n_words(p))
                 found += [f"t{k}" for k in shared.value.of(counts, langs)] if shared.value else b.column(4).slice(p.first, len(p)).to_pylist()
                 tokens.append(n)
             if tokens:
@@ -334,7 +234,7 @@ def take(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: st
         for b in batches:
             sides = [["" if x is None else str(x) for x in b.column(i).to_pylist()] for i in where]
             if model:
-                sides.append([f"t{k}" for q in slices(b.column(at)) for k in model.of(_counts(q)[0], sides[1][q.first : q.first + len(q)])])
+                sides.append([f"t{k}" for q in slices(b.column(at)) for k in model.of(count_words(q)[0], sides[1][q.first : q.first + len(q)])])
             if prob is None:
                 yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.string()) for x in sides)], names=[*b.schema.names, *more])
                 continue

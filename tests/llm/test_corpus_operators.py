@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from fileledger.llm import graph, media_store, packing, quality_rules, secret_scan, shingle_join, source_mixing, substring_dedup
+from fileledger.llm import graph, media_store, packing, quality_rules, secret_scan, shingle_join, source_mixing, substring_dedup, topics
 from fileledger.llm.entries import QUERIES
 from fileledger.llm.kernel import slices
 from tests.llm.conftest import SF, frame, words
@@ -468,6 +468,49 @@ def test_topics(spark):
     assert taken.columns == named.columns and {r.doc_id for r in taken.collect()} == {r.doc_id for r in got if r.selected}
 
 
+def test_topics_count_every_document(spark):
+    """Weights, means, centres and leads read again over all of more documents than one block holds, however they are dealt out."""
+    rng = random.Random(9)
+    vocabulary = [["".join(rng.choice("abcdefghiklmnoprstu") for _ in range(7)) for _ in range(30)] for _ in range(8)]
+    texts = [" ".join(rng.choice(vocabulary[k if rng.random() < 0.7 else rng.randrange(8)]) for _ in range(rng.randrange(20, 60))) for k in (min(rng.randrange(9), 7) for _ in range(4500))] + ["", "one two", None]
+    langs = [("en", "de", None, "fr")[rng.randrange(4)] for _ in texts[:-4]] + ["xx"] * 4
+    docs = spark.createDataFrame([(i, t, lang, "s") for i, (t, lang) in enumerate(zip(texts, langs))], "doc_id bigint, text string, lang string, source string")
+    found = source_mixing.fit_topics(docs)
+    again = source_mixing.fit_topics(docs.repartition(7))
+    assert all(np.array_equal(getattr(found, k), getattr(again, k)) for k in ("weight", "centres", "lead"))
+    assert set(found.means) == {"", "en", "de", "fr", "xx"}
+
+    counts = np.vstack([source_mixing.count_words(p)[0] for p in slices(pa.array(texts))])
+    weight = np.log((1 + len(texts)) / (1 + (counts > 0).sum(axis=0))) + 1
+    assert np.array_equal(found.weight, weight)
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    x, of = unit(np.sqrt(counts) * weight), np.array([lang or "" for lang in langs])
+    for lang, mean in found.means.items():
+        assert np.allclose(mean, x[of == lang].mean(axis=0), atol=1e-8)
+        x[of == lang] -= mean
+    x, words = unit(x)[counts.any(axis=1)], counts.sum(axis=1)[counts.any(axis=1)]
+    likes = x @ found.centres.T
+    near = likes.argmax(axis=1)
+    assert np.allclose(unit(np.stack([x[near == k].sum(axis=0) for k in range(8)])), found.centres, atol=1e-4)
+    share = lambda lead: np.bincount((likes + lead).argmax(axis=1), weights=words, minlength=8) / words.sum()
+    assert np.ptp(share(found.lead)) < 0.01 < np.ptp(share(0))
+
+
+def test_topics_of_few_texts_and_many_languages(spark, monkeypatch):
+    """No topic more than there are profiles; rare languages share a mean; whatever has no profile takes the topic of most lead."""
+    rows = [(i, ("alpha alpha bravo", "gamma delta delta", "sigma sigma omega")[i % 3], "en", "s") for i in range(60)] + [(100 + i, "alpha gamma", f"l{i}", "s") for i in range(40)] + [(200, "", "en", "s"), (201, None, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    alone = source_mixing.fit_topics(docs)
+    assert len(alone.means) == 42 and len(alone.centres) == 3
+    topic = {r.id: r.topic for r in source_mixing.measure(docs, topics=alone).collect()}
+    assert len({topic[i] for i in range(60)}) == 3 and {topic[i] for i in range(100, 140)} | {topic[200], topic[201]} == {f"t{alone.lead.argmax()}"}
+    monkeypatch.setattr(topics, "MOST_LANGS", 10)
+    shared = source_mixing.fit_topics(docs)
+    assert set(shared.means) == {"", "en"} and np.allclose(shared.means["en"], alone.means["en"])
+    none = source_mixing.fit_topics(docs.where("text is null or text = ''"))
+    assert none.centres.shape == (1, topics.BUCKETS) and not none.centres.any()
+
+
 def filled(share, have, wanted):
     """Water-filling in plain steps: the category shortest of its share is made whole, one at a time."""
     whole = {}
