@@ -6,9 +6,10 @@ Every document counts in the weights, the means, the draws of first centres, all
 rounds and the leads.  A lead is a constant by topic that gives topics about equal
 shares of the words; a text takes the topic of most likeness plus lead.
 
-Texts are read once into cells (bucket, count), and these are packed in blocks of about
-BLOCK_CELLS; a round reads the blocks and sends one vector a centre and task.  What is
-added up is whole numbers, so a fit does not depend on how the rows are dealt out.
+Texts are read once into cells (bucket, count), and these become profiles; a round reads
+the profiles and sends one vector a centre and task.  What is added up is whole numbers,
+and a nearest centre that single precision leaves open is told in exact products, so a
+fit does not depend on how the rows are dealt out.
 First centres are drawn by the k-means++ rule: of all documents the one of least
 -ln(u) / far**2 comes next, u being a hash of its id, language and text.  All starts
 share their rounds.  Leads are found by Newton steps on the words at the borders of
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fileledger.llm.kernel import byte_view, mix, slices, split_words
+from fileledger.llm.kernel import byte_view, mix, ragged, slices, split_words
 from fileledger.sources.scratch import written
 
 TOPICS, BUCKETS = 8, 1024
@@ -43,7 +44,9 @@ ONE, FINE = 1 << 22, 1 << 30
 #: A profile is less than this away from its language's mean: none.  A document is less than this from a centre: not drawn.
 LEAST_AWAY, APART = 1 / 256, 1e-4
 MOST_LANGS = 4096
-BLOCK_CELLS, CHUNK = 1 << 17, 512
+CHUNK = 512
+#: Products in single precision are less than this (times 1 / r) off, twice over.
+ROUGH = 2e-4
 
 
 @dataclass
@@ -184,11 +187,8 @@ def _language_means(cells: DataFrame, weight: np.ndarray, langs: list[str]) -> n
     return np.stack([sums[k][:-1] / FINE / sums[k][-1] for k in range(len(langs))])
 
 
-_BLOCK = (("place", np.int64), ("lang", np.int32), ("words", np.int64), ("inverse", np.int32), ("size", np.int32), ("at", np.uint16), ("value", np.int32))
-
-
-def profile_blocks(cells: DataFrame, weight: np.ndarray, langs: list[str], means: np.ndarray) -> DataFrame:
-    """The documents that have a profile, in blocks of arrays.
+def profiles_of(cells: DataFrame, weight: np.ndarray, langs: list[str], means: np.ndarray) -> DataFrame:
+    """(place, lang, words, inverse, at, value) of the documents that have a profile; lang as a number.
 
     A profile is (v - m) / r: v the unit vector, m its language's mean, r their distance.  v / r is kept as
     cells, 1 / r as `inverse`, both in whole numbers of 1 / ONE; m is not repeated.
@@ -198,6 +198,8 @@ def profile_blocks(cells: DataFrame, weight: np.ndarray, langs: list[str], means
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if not b.num_rows:
+                continue
             c = _cells(b.column(3), b.column(4), weight)
             lang = np.array([number.get(x, 0) for x in b.column(1).to_pylist()], np.int32)
             alike = np.bincount(c.doc, weights=c.value * means[lang[c.doc], c.at], minlength=len(lang))
@@ -205,42 +207,44 @@ def profile_blocks(cells: DataFrame, weight: np.ndarray, langs: list[str], means
             size = np.diff(c.bounds)
             there = (size > 0) & (away >= LEAST_AWAY)
             inverse = 1 / np.maximum(away, LEAST_AWAY)
-            mine = there[c.doc]
-            value, at = np.rint(c.value * inverse[c.doc] * ONE)[mine], c.at[mine]
-            by_doc = (b.column(0).to_numpy()[there], lang[there], b.column(2).to_numpy()[there], np.rint(inverse * ONE)[there], size[there])
-            ends = np.concatenate([[0], np.cumsum(size[there])])
-            first = 0
-            while first < len(ends) - 1:
-                last = max(first + 1, int(np.searchsorted(ends, ends[first] + BLOCK_CELLS, side="right")) - 1)
-                arrays = [*(x[first:last] for x in by_doc), *(x[ends[first] : ends[last]] for x in (at, value))]
-                yield pa.RecordBatch.from_arrays([pa.array([x.astype(t).tobytes()], pa.binary()) for x, (_, t) in zip(arrays, _BLOCK)], names=[k for k, _ in _BLOCK])
-                first = last
-
-    return cells.select("place", "lang", "words", "at", "n").mapInArrow(run, ", ".join(f"{k} binary" for k, _ in _BLOCK))
-
-
-class Block:
-    """The arrays of a block by name, and where each document's cells are."""
-
-    def __init__(self, b: pa.RecordBatch, row: int):
-        for k, t in _BLOCK:
-            if k in b.schema.names:
-                setattr(self, k, np.frombuffer(b.column(b.schema.get_field_index(k))[row].as_py(), t))
-        self.bounds = np.concatenate([[0], np.cumsum(self.size)])
-        self.doc = np.repeat(np.arange(len(self.size)), self.size)
-        self.at = self.at.astype(np.int64)
-
-    def likes(self, centres: np.ndarray, of_langs: np.ndarray) -> np.ndarray:
-        """Cosines of every document and centre (a row of centres, in whole numbers); of_langs: means times centres."""
-        out, wide = np.empty((len(self.size), len(centres))), np.zeros((min(CHUNK, len(self.size)), BUCKETS))
-        for first in range(0, len(out), CHUNK):
-            last = min(first + CHUNK, len(out))
-            part = slice(self.bounds[first], self.bounds[last])
-            where = self.doc[part] - first, self.at[part]
-            wide[where] = self.value[part]
-            out[first:last] = wide[: last - first] @ centres.T
-            wide[where] = 0
-        return (out - self.inverse[:, None] * of_langs[self.lang]) / ONE**2
+            mine, ends = there[c.doc], np.concatenate([[0], np.cumsum(size[there])])
+            value = np.rint(c.value[mine] * inverse[c.doc[mine]] * ONE).astype(np.int32)
+            arrays = [pa.array(x[there]) for x in (b.column(0).to_numpy(), lang, b.column(2).to_numpy(), np.rint(inverse * ONE).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*arrays, _binaries(c.at[mine].astype(np.uint16), ends), _binaries(value, ends)], names=["place", "lang", "words", "inverse", "at", "value"])
+
+    return cells.select("place", "lang", "words", "at", "n").mapInArrow(run, "place bigint, lang int, words bigint, inverse int, at binary, value binary")
+
+
+@dataclass
+class Profiles:
+    """Up to CHUNK documents: `value` in cell `flat` of a matrix of a row each; bounds by document."""
+
+    lang: np.ndarray
+    inverse: np.ndarray
+    at: np.ndarray
+    value: np.ndarray
+    bounds: np.ndarray
+    #: Of `place` and `words` what the table has.
+    more: dict[str, np.ndarray]
+
+    def __post_init__(self) -> None:
+        self.size = np.diff(self.bounds)
+        self.flat = np.repeat(np.arange(len(self)) * BUCKETS, self.size) + self.at
+
+    def __len__(self) -> int:
+        return len(self.lang)
+
+    def times(self, centres: np.ndarray, of_langs: np.ndarray, wide: np.ndarray) -> np.ndarray:
+        """Products of every document and centre (a row of centres) in the precision of wide, a matrix of zeros; of_langs: means times centres."""
+        wide.reshape(-1)[self.flat] = self.value
+        out = wide[: len(self)] @ centres.T
+        wide.reshape(-1)[self.flat] = 0
+        out -= self.inverse[:, None].astype(wide.dtype) * of_langs[self.lang]
+        return out
+
+    def only(self, rows: np.ndarray) -> Profiles:
+        cells = ragged(self.bounds[rows], self.size[rows])
+        return Profiles(self.lang[rows], self.inverse[rows], self.at[cells], self.value[cells], np.concatenate([[0], np.cumsum(self.size[rows])]), {})
 
     def profile(self, i: int, means: np.ndarray) -> np.ndarray:
         x = np.zeros(BUCKETS)
@@ -249,6 +253,53 @@ class Block:
         return x - self.inverse[i] * means[self.lang[i]]
 
 
+def _chunks(b: pa.RecordBatch) -> Iterator[Profiles]:
+    """The documents of a batch of profiles."""
+    column = lambda name: b.column(b.schema.get_field_index(name))
+    if not b.num_rows:
+        return
+    data, bounds = byte_view(column("value"))
+    value = data[bounds[0] : bounds[-1]].view(np.int32)
+    data, bounds = byte_view(column("at"))
+    at, bounds = data[bounds[0] : bounds[-1]].view(np.uint16), (bounds - bounds[0]) // 2
+    lang, inverse = column("lang").to_numpy(), column("inverse").to_numpy()
+    more = {k: column(k).to_numpy() for k in ("place", "words") if k in b.schema.names}
+    for first in range(0, b.num_rows, CHUNK):
+        rows = slice(first, min(first + CHUNK, b.num_rows))
+        ends = bounds[first : rows.stop + 1]
+        cells = slice(ends[0], ends[-1])
+        yield Profiles(lang[rows], inverse[rows], at[cells].astype(np.int64), value[cells], ends - ends[0], {k: x[rows] for k, x in more.items()})
+
+
+@dataclass
+class Nearest:
+    """The centres of several starts (whole numbers; sizes: how many each), to find for a document the nearest of each start."""
+
+    centres: np.ndarray
+    sizes: list[int]
+    means: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.of_langs = self.means @ self.centres.T
+        self.rough = (self.centres / ONE).astype(np.float32), (self.of_langs / ONE).astype(np.float32)
+        self.firsts = np.cumsum([0, *self.sizes[:-1]]).tolist()
+
+    def of(self, docs: Profiles, wide: np.ndarray) -> list[np.ndarray]:
+        """Numbers of the nearest centres (ties: the first), an array a start; wide: zeros in single precision."""
+        z = docs.times(*self.rough, wide)
+        least, open_, near = ROUGH * docs.inverse.astype(np.float32), np.zeros(len(docs), bool), []
+        for first, k in zip(self.firsts, self.sizes):
+            mine = z[:, first : first + k]
+            near.append(mine.argmax(axis=1))
+            open_ |= np.count_nonzero(mine > (mine.max(axis=1) - least)[:, None], axis=1) > 1
+        rows = np.flatnonzero(open_)
+        if len(rows):
+            z = docs.only(rows).times(self.centres, self.of_langs, np.zeros((len(rows), BUCKETS)))
+            for j, (first, k) in enumerate(zip(self.firsts, self.sizes)):
+                near[j][rows] = z[:, first : first + k].argmax(axis=1)
+        return near
+
+
 def _chance(place: np.ndarray, start: int, step: int) -> np.ndarray:
     """Numbers in (0, 1) by document, other ones each start and step."""
     salt = mix(np.array([start * 1000 + step + 1], np.uint64))
@@ -259,7 +310,7 @@ def _whole(x: np.ndarray) -> np.ndarray:
     return np.rint(_unit(x) * ONE)
 
 
-def _first_centres(blocks: DataFrame, means: np.ndarray) -> list[np.ndarray]:
+def _first_centres(profiles: DataFrame, means: np.ndarray) -> list[np.ndarray]:
     """For each start up to TOPICS profiles, the next one drawn by its squared distance from those before."""
     centres = [np.zeros((0, BUCKETS)) for _ in range(STARTS)]
     for step in range(TOPICS):
@@ -271,58 +322,50 @@ def _first_centres(blocks: DataFrame, means: np.ndarray) -> list[np.ndarray]:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best: dict[int, tuple[float, np.ndarray]] = {}
-            for b in batches:
-                for row in range(b.num_rows):
-                    block = Block(b, row)
-                    likes = block.likes(now, of_langs) if step else None
-                    for k, s in enumerate(open_):
-                        far = np.ones(len(block.size)) if likes is None else 1 - likes[:, k * step : (k + 1) * step].max(axis=1)
-                        wait = np.where(far > APART, -np.log(_chance(block.place, s, step)) / np.maximum(far, APART) ** 2, np.inf)
-                        i = int(wait.argmin())
-                        if wait[i] < best.get(s, (np.inf,))[0]:
-                            best[s] = float(wait[i]), block.profile(i, means)
+            wide = np.zeros((CHUNK, BUCKETS))
+            for docs in (c for b in batches for c in _chunks(b)):
+                likes = docs.times(now, of_langs, wide) / ONE**2 if step else None
+                for k, s in enumerate(open_):
+                    far = np.ones(len(docs)) if likes is None else 1 - likes[:, k * step : (k + 1) * step].max(axis=1)
+                    wait = np.where(far > APART, -np.log(_chance(docs.more["place"], s, step)) / np.maximum(far, APART) ** 2, np.inf)
+                    i = int(wait.argmin())
+                    if wait[i] < best.get(s, (np.inf,))[0]:
+                        best[s] = float(wait[i]), docs.profile(i, means)
             for s, (wait, x) in best.items():
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([wait]), pa.array([_whole(x).tobytes()], pa.binary())], names=["start", "wait", "centre"])
 
-        drawn = blocks.drop("words").mapInArrow(run, "start int, wait double, centre binary").groupBy("start").agg(F.min(F.struct("wait", "centre")).alias("x"))
+        drawn = profiles.drop("words").mapInArrow(run, "start int, wait double, centre binary").groupBy("start").agg(F.min(F.struct("wait", "centre")).alias("x"))
         for r in drawn.collect():  # a row each start
             centres[r.start] = np.vstack([centres[r.start], np.frombuffer(bytes(r.x.centre))])
     return centres
 
 
-def _centres(blocks: DataFrame, means: np.ndarray) -> np.ndarray:
+def _centres(profiles: DataFrame, means: np.ndarray) -> np.ndarray:
     """The centres (whole numbers) of the start whose documents are most like theirs."""
-    centres = _first_centres(blocks, means)
-    n_langs, live, score = len(means), list(range(STARTS)), [0] * STARTS
-    slim = blocks.drop("place", "words")
+    centres = _first_centres(profiles, means)
+    n_langs, live, score = len(means), list(range(STARTS)), [0.0] * STARTS
+    slim = profiles.drop("place", "words")
     for step in range(CLUSTER_ROUNDS + 1):
-        sizes = [len(centres[s]) for s in live]
-        ends = np.cumsum([0, *sizes])
-        now = np.vstack([centres[s] for s in live])
-        of_langs = means @ now.T
+        now = Nearest(np.vstack([centres[s] for s in live]), [len(centres[s]) for s in live], means)
 
         def count(b: pa.RecordBatch) -> dict[int, np.ndarray]:
-            out = np.zeros((len(now), BUCKETS + n_langs + 1), np.int64)
-            for row in range(b.num_rows):
-                block = Block(b, row)
-                likes = block.likes(now, of_langs)
-                for first, k in zip(ends, sizes):
-                    mine = likes[:, first : first + k]
-                    near = mine.argmax(axis=1)
-                    sums = np.bincount(near[block.doc] * BUCKETS + block.at, weights=block.value, minlength=k * BUCKETS)
-                    inverse = np.bincount(near * n_langs + block.lang, weights=block.inverse, minlength=k * n_langs)
-                    like = np.bincount(near, weights=np.rint(mine.max(axis=1) * FINE), minlength=k)
-                    out[first : first + k] += np.hstack([sums.reshape(k, -1), inverse.reshape(k, -1), like[:, None]]).astype(np.int64)
-            return {j: x for j, x in enumerate(out) if x.any()}
+            out = np.zeros((len(now.centres), BUCKETS + n_langs))
+            wide = np.zeros((CHUNK, BUCKETS), np.float32)
+            for docs in _chunks(b):
+                value = docs.value.astype(float)
+                for near, first, k in zip(now.of(docs, wide), now.firsts, now.sizes):
+                    out[first : first + k, :BUCKETS] += np.bincount(np.repeat(near * BUCKETS, docs.size) + docs.at, weights=value, minlength=k * BUCKETS).reshape(k, -1)
+                    out[first : first + k, BUCKETS:] += np.bincount(near * n_langs + docs.lang, weights=docs.inverse, minlength=k * n_langs).reshape(k, -1)
+            return {j: x.astype(np.int64) for j, x in enumerate(out) if x.any()}
 
         found = _summed(slim, count)
-        sums = np.stack([found.get(j, np.zeros(BUCKETS + n_langs + 1, np.int64)) for j in range(len(now))])
-        moved = sums[:, :BUCKETS] - sums[:, BUCKETS:-1] @ means
+        sums = np.stack([found.get(j, np.zeros(BUCKETS + n_langs, np.int64)) for j in range(len(now.centres))])
+        moved = sums[:, :BUCKETS] - sums[:, BUCKETS:] @ means
         still = []
-        for s, first, k in zip(live, ends, sizes):
-            mine = slice(first, first + k)
-            score[s] = int(sums[mine, -1].sum())
-            after = np.where(moved[mine].any(axis=1, keepdims=True), _whole(moved[mine]), centres[s])
+        for s, first, k in zip(live, now.firsts, now.sizes):
+            mine = moved[first : first + k]
+            score[s] = float((mine * centres[s]).sum())
+            after = np.where(mine.any(axis=1, keepdims=True), _whole(mine), centres[s])
             if step < CLUSTER_ROUNDS and np.abs(after - centres[s]).max() >= 1e-6 * ONE:
                 centres[s] = after
                 still.append(s)
@@ -332,19 +375,19 @@ def _centres(blocks: DataFrame, means: np.ndarray) -> np.ndarray:
     return centres[int(np.argmax(score))]
 
 
-def _leads(blocks: DataFrame, means: np.ndarray, centres: np.ndarray) -> np.ndarray:
+def _leads(profiles: DataFrame, means: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """A constant by topic under which the topics' words are most even."""
     k, of_langs = len(centres), means @ centres.T
     if k == 1:
         return np.zeros(1)
 
     def like(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in range(b.num_rows):
-                block = Block(b, row)
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (block.likes(centres, of_langs), block.words)], names=["likes", "words"])
+        wide = np.zeros((CHUNK, BUCKETS))
+        for docs in (c for b in batches for c in _chunks(b)):
+            x = docs.times(centres, of_langs, wide) / ONE**2
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()), pa.array([docs.more["words"].tobytes()], pa.binary())], names=["likes", "words"])
 
-    likes = written(blocks.drop("place").mapInArrow(like, "likes binary, words binary"), "topic-likes")
+    likes = written(profiles.drop("place").mapInArrow(like, "likes binary, words binary"), "topic-likes")
     tries, best, stride = [np.zeros(k)], (np.inf, (), None), 1.0
     for _ in range(LEAD_ROUNDS):
 
@@ -392,9 +435,9 @@ def fit_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     frequent = cells.groupBy("lang").count().where((F.col("count") * MOST_LANGS >= n) & (F.col("lang") != ""))
     langs = ["", *sorted(r.lang for r in frequent.select("lang").collect())]  # MOST_LANGS at most
     means = _language_means(cells, weight, langs)
-    blocks = written(profile_blocks(cells, weight, langs, means), "topic-blocks")
+    profiles = written(profiles_of(cells, weight, langs, means), "topic-profiles")
     model = Topics(weight, dict(zip(langs, means)), none.centres, none.lead)
-    if blocks.select(F.length("size")).limit(1).count():
-        centres = _centres(blocks, means)
-        model.centres, model.lead = centres / ONE, _leads(blocks, means, centres)
+    if profiles.select("lang").limit(1).count():
+        centres = _centres(profiles, means)
+        model.centres, model.lead = centres / ONE, _leads(profiles, means, centres)
     return model
