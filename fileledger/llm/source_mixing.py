@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fileledger.llm.kernel import slices, split_words
-from fileledger.llm.topics import BUCKETS, Topics, count_words, fit_topics  # noqa: F401
+from fileledger.llm.topics import BUCKETS, PLAIN, Topics, column_cells, count_words, fit_cells, fit_topics, text_cells, word_cells  # noqa: F401
 from fileledger.sources.scratch import written
 
 MARGINS = ("source", "lang", "topic")
@@ -61,23 +61,42 @@ class Mix:
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topics: Topics | None = None, seed: int = Mix.seed) -> DataFrame:
     """(id, source, lang, drawn, topic, n_tokens).  topic: the column of that name, or the nearest centre of topics (fitted if not given).  drawn: the row's number in [0, 1)."""
-    topics = topics or fit_topics(docs, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(topics)
-    given = F.coalesce(F.col("topic").cast("string"), F.lit("")) if topics is None else F.lit("")
+    return _measured(docs, id_col, text_col, topics, seed)[0]
+
+
+def _measured(docs: DataFrame, id_col: str, text_col: str, topics: Topics | None, seed: int) -> tuple[DataFrame, Topics | None]:
+    """What measure gives, and the topics; where they are fitted here, from the cells of the fit, so texts are not read again."""
+    told = {"id": F.col(id_col), "source": F.coalesce(F.col("source").cast("string"), F.lit("")), "drawn": draw(F.col(id_col), seed, F.col(text_col))}
+    if topics is None and "topic" in docs.columns:
+        lang, given = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in MARGINS[1:])
+        slim = docs.select(*(c.alias(k) for k, c in told.items()), lang.alias("lang"), given.alias("topic"), F.col(text_col).cast("string").alias("text"))
+        rows = slim.mapInArrow(_count_tokens, ", ".join(f"{k} {t}" for k, t in slim.dtypes[:-1]) + ", n_tokens bigint")
+    else:
+        cells = word_cells(docs, id_col, text_col, told)
+        if topics is None:
+            cells = written(cells, "topic-cells", **PLAIN)
+            topics = fit_cells(cells)
+        rows = _topic_rows(cells.select("id", "source", "lang", "drawn", "tokens", "cells", "heavy"), topics)
+    return rows.select("id", "source", "lang", "drawn", "topic", "n_tokens"), topics
+
+
+def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        tokens = [_n_words(p) for p in slices(b.column(b.num_columns - 1))]
+        if tokens:
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(tokens))], names=[*b.schema.names[:-1], "n_tokens"])
+
+
+def _topic_rows(cells: DataFrame, topics: Topics) -> DataFrame:
+    shared = cells.sparkSession.sparkContext.broadcast(topics)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found, tokens = [], []
-            for p in slices(b.column(5)):
-                langs = b.column(2).slice(p.first, len(p)).to_pylist()
-                counts, n = count_words(p) if shared.value else (None, _n_words(p))
-                found += [f"t{k}" for k in shared.value.of(counts, langs)] if shared.value else b.column(4).slice(p.first, len(p)).to_pylist()
-                tokens.append(n)
-            if tokens:
-                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(found, pa.string()), pa.array(np.concatenate(tokens))], names=["id", "source", "lang", "drawn", "topic", "n_tokens"])
+            if b.num_rows:
+                found = shared.value.of(column_cells(b, shared.value.weight), b.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([f"t{k}" for k in found], pa.string()), b.column(4)], names=["id", "source", "lang", "drawn", "topic", "n_tokens"])
 
-    slim = docs.select(F.col(id_col).alias("id"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in MARGINS[:2]), draw(F.col(id_col), seed, F.col(text_col)).alias("drawn"), given.alias("topic"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, f"id {slim.dtypes[0][1]}, source string, lang string, drawn double, topic string, n_tokens bigint")
+    return cells.mapInArrow(run, f"id {cells.dtypes[0][1]}, source string, lang string, drawn double, topic string, n_tokens bigint")
 
 
 def _n_words(piece) -> np.ndarray:
@@ -222,23 +241,38 @@ def calibrated(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_c
 
 def take(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The sampled rows of docs, all columns; where probabilities can be broadcast, without a shuffle of texts."""
-    topics = fit_topics(docs, id_col, text_col)
-    p = probabilities(written(measure(docs, id_col, text_col, topics), "mixing-measures"), mix)
+    measured, topics = _measured(docs, id_col, text_col, None, mix.seed)
+    p = probabilities(written(measured, "mixing-measures"), mix)
     few = len(p) <= BROADCAST_CELLS
     shared = docs.sparkSession.sparkContext.broadcast((p if few else None, topics))
     names = docs.columns
     at, where = names.index(text_col), [names.index(c) for c in MARGINS if c in names]
 
+    def topics_of(model: Topics, texts: pa.Array, langs: list[str]) -> list[str]:
+        return [f"t{k}" for q in slices(texts) for k in model.of(text_cells(q, model.weight), langs[q.first : q.first + len(q)])]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prob, model = shared.value
+        span: dict[tuple, tuple[float, float]] = {}
+        for (source, lang, _), x in (prob or {}).items():
+            low, high = span.get((source, lang), (x, x))
+            span[source, lang] = min(low, x), max(high, x)
         for b in batches:
             sides = [["" if x is None else str(x) for x in b.column(i).to_pylist()] for i in where]
+            u = b.column(len(names)).to_numpy() if b.num_rows else ()
+            if model and few:  # a topic is looked up where a row's number lies between the probabilities that its source and language have
+                spans = [span.get(cell, (0.0, 1.0)) for cell in zip(*sides)]
+                open_ = [i for i, (x, (low, high)) in enumerate(zip(u, spans)) if low <= x < high]
+                keep = [x < low for x, (low, _) in zip(u, spans)]
+                for i, topic in zip(open_, topics_of(model, b.column(at).take(pa.array(open_, pa.int64())), [sides[1][i] for i in open_])):
+                    keep[i] = u[i] < prob.get((sides[0][i], sides[1][i], topic), 0.0)
+                yield pa.RecordBatch.from_arrays(b.columns[: len(names)], names=names).filter(pa.array(keep, pa.bool_()))
+                continue
             if model:
-                sides.append([f"t{k}" for q in slices(b.column(at)) for k in model.of(count_words(q)[0], sides[1][q.first : q.first + len(q)])])
+                sides.append(topics_of(model, b.column(at), sides[1]))
             if prob is None:
                 yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.string()) for x in sides)], names=[*b.schema.names, *more])
                 continue
-            u = b.column(len(names)).to_numpy()
             keep = [x < prob.get(cell, 0.0) for x, cell in zip(u, zip(*sides))]
             yield pa.RecordBatch.from_arrays(b.columns[: len(names)], names=names).filter(pa.array(keep, pa.bool_()))
 

@@ -23,8 +23,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once, written as Parquet and read back: lineage ends here and a lost executor loses nothing."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df, computed once, written as Parquet (with the writer's options) and read back: lineage ends here and a lost executor loses nothing."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -496,6 +496,36 @@ def test_topics_count_every_document(spark):
     assert np.ptp(share(found.lead)) < 0.01 < np.ptp(share(0))
 
 
+def test_mixing_reads_texts_once(spark):
+    """Measures come from the cells of the fit; take, which gives whole rows back, reads them once more and keeps what calibrated selects."""
+    rows = [(i, " ".join(f"{'alpha bravo gamma delta sigma omega'.split()[(i * j) % 6]}{i % 7}" for j in range(1, 12)), ("en", "de")[i % 2], "ab"[i % 3 == 0]) for i in range(300)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    docs = docs.mapInArrow(counted, docs.schema)
+    chosen = {r.doc_id for r in source_mixing.calibrated(docs).where("selected").collect()}
+    assert read.value == 300 and 0 < len(chosen) < 300
+    assert {r.doc_id for r in source_mixing.take(docs).collect()} == chosen
+    assert read.value == 900
+
+
+def test_cells_of_frequent_words():
+    """Counts on both sides of what a cell holds are kept, beside texts that have none."""
+    texts = ["alpha " * 63 + "bravo", "", "alpha " * 64 + "gamma " * 5000, "delta", "bravo " * 65]
+    counts = np.vstack([topics.count_words(p)[0] for p in slices(pa.array(texts))])
+    weight = np.linspace(0.5, 2, topics.BUCKETS)
+    cells = topics.cells_of(*topics._coded(counts)[:3], weight)
+    got = np.zeros(counts.shape)
+    got[cells.doc, cells.at] = cells.value
+    x = np.sqrt(counts) * weight
+    assert np.allclose(got, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), rtol=1e-12, atol=0)
+
+
 def test_topics_of_few_texts_and_many_languages(spark, monkeypatch):
     """No topic more than there are profiles; rare languages share a mean; whatever has no profile takes the topic of most lead."""
     rows = [(i, ("alpha alpha bravo", "gamma delta delta", "sigma sigma omega")[i % 3], "en", "s") for i in range(60)] + [(100 + i, "alpha gamma", f"l{i}", "s") for i in range(40)] + [(200, "", "en", "s"), (201, None, None, "s")]
